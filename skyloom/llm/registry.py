@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import quality, sql
+from skyloom.llm import bpe, quality, secrets, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality_rules": quality.op1_quality_rules}
+    return {
+        "op1_quality_rules": quality.op1_quality_rules,
+        "op2_byte_bpe": bpe.op2_byte_bpe,
+        "op3_secret_scan": secrets.op3_secret_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.QUALITY}
+    return {"op1_quality_rules": sql.QUALITY, "op3_secret_scan": sql.SECRETS}

@@ -58,3 +58,42 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   source, {", ".join(f"fails_{r}" for r in _RULES)}, {", ".join(f"round(host_{r}, 9) AS host_{r}" for r in _RULES)}
 FROM fails JOIN rated ON source IS NOT DISTINCT FROM h
 """
+
+
+# RE2 has no match positions: the text before each match is rebuilt from the pieces between matches.
+def _spans(kind: str, pattern: str, length: str, least: int) -> str:
+    return f"""
+{kind}_m AS (
+  SELECT rid, unnest(regexp_extract_all(t, {pattern})) AS m, generate_subscripts(regexp_extract_all(t, {pattern}), 1) AS i
+  FROM texts),
+{kind}_g AS (
+  SELECT rid, unnest(string_split_regex(t, {pattern})) AS g, generate_subscripts(string_split_regex(t, {pattern}), 1) AS i
+  FROM texts),
+{kind} AS (
+  SELECT rid, '{kind}' AS kind, m,
+    (sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS s
+  FROM {kind}_m JOIN {kind}_g USING (rid, i)
+  WINDOW w AS (PARTITION BY rid ORDER BY i)
+  QUALIFY {length} >= {least})"""
+
+
+_ASSIGN = r"""'(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'"""
+_VALUE = r"""length(regexp_extract(m, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1))"""
+
+SECRETS = f"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+{_spans("assign", _ASSIGN, _VALUE, 12)},
+{_spans("access", "'AKIA[A-Z0-9]+'", "length(m)", 18)},
+{_spans("hex", "'[0-9a-f]+'", "length(m)", 16)},
+spans AS (
+  SELECT rid, kind, s, s + length(m) AS e, 0 AS k FROM assign
+  UNION ALL SELECT rid, kind, s, s + length(m), 1 FROM access
+  UNION ALL SELECT rid, kind, s, s + length(m), 2 FROM hex),
+joined AS (
+  SELECT rid, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans,
+    count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c
+  FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN joined USING (rid)
+"""
