@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import bpe, quality, secrets, sql
+from skyloom.llm import bpe, quality, secrets, simhash, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_secret_scan": secrets.op3_secret_scan,
+        "op9_simhash": simhash.op9_simhash,
     }
 
 
