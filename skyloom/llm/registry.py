@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import bpe, quality, secrets, simhash, sql
+from skyloom.llm import bpe, maxscore, packing, quality, secrets, simhash, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,9 +16,11 @@ def queries() -> dict[str, Query]:
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_secret_scan": secrets.op3_secret_scan,
+        "op8_maxscore": maxscore.op8_maxscore,
         "op9_simhash": simhash.op9_simhash,
+        "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.QUALITY, "op3_secret_scan": sql.SECRETS}
+    return {"op1_quality_rules": sql.QUALITY, "op3_secret_scan": sql.SECRETS, "op8_maxscore": sql.MAXSCORE}
