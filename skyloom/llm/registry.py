@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import bpe, maxscore, packing, quality, secrets, simhash, sql
+from skyloom.llm import bpe, maxscore, packing, quality, secrets, simhash, sql, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_secret_scan": secrets.op3_secret_scan,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op8_maxscore": maxscore.op8_maxscore,
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
