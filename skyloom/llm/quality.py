@@ -17,14 +17,18 @@ SYMBOL = r"[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Limits of the rules. ``host_rate``: the shrunk failure rate from which a host is suspect."""
+    """Limits of the rules.
+
+    ``trusted_rate``: the shrunk failure rate below which a host's failures of a rule are forgiven.
+    ``ban_rate``: the rate of short or repetitive documents from which all of a host goes.
+    """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     max_symbols_per_word: float = 1.0
     max_dup_line_share: float = 0.5
-    host_rate: float = 0.5
-    host_ban_rate: float = 0.95
+    trusted_rate: float = 0.02
+    ban_rate: float = 0.95
 
 
 #: The rules that count as failures of a host.
@@ -108,7 +112,7 @@ def beta_prior(total_n: float, mean: float, between: float, within: float) -> tu
 
 
 def host_verdicts(measured: DataFrame, host: str, rules: QualityRules) -> DataFrame:
-    """One row a host: documents, failures and shrunk failure rate of each rule, suspect and banned.
+    """One row a host: documents, failures, shrunk failure rate and trust of each rule, and ``banned``.
 
     Hosts are aggregated with partial sums, so a host with a third of all rows costs no more than
     another. The prior of each rule comes from one row of moments over the hosts.
@@ -134,10 +138,8 @@ def host_verdicts(measured: DataFrame, host: str, rules: QualityRules) -> DataFr
         a, b = beta_prior(float(m["total"] or 0), mean, m[f"between_{r}"] or 0.0, within)
         shrunk[f"rate_{r}"] = (F.col(f"n_{r}") + F.lit(a)) / (F.col("n") + F.lit(a + b))
     rated = hosts.withColumns(shrunk)
-    worst = F.greatest(*[F.col(k) for k in shrunk])
-    return rated.withColumns(
-        {"suspect": worst >= rules.host_rate, "banned": F.greatest("rate_short", "rate_repeats") >= rules.host_ban_rate}
-    )
+    trusted = {f"trusts_{r}": F.col(f"rate_{r}") < rules.trusted_rate for r in RULES}
+    return rated.withColumns({**trusted, "banned": F.greatest("rate_short", "rate_repeats") >= rules.ban_rate})
 
 
 def quality_verdicts(
@@ -146,8 +148,8 @@ def quality_verdicts(
     """One row a document: ``docs`` without its text, with measures, rule failures, host rates and ``kept``.
 
     ``base_failed``: too short or mostly repeats. A document goes if it is ``base_failed``, if it fails
-    any two rules, if it fails one and its host is suspect, or if its host is banned; a clean document
-    of a host that is not banned always stays. Null hosts are one host. Repeated rows are rows of their
+    another rule that its host is not trusted in, or if its host is banned; a clean document of a host that
+    is not banned always stays. Null hosts are one host. Repeated rows are rows of their
     own; an empty table gives an empty table. Columns of ``docs`` that clash with a new column are
     replaced by it.
     """
@@ -156,18 +158,19 @@ def quality_verdicts(
     fails = {f"fails_{r}": c for r, c in rule_failures(rules).items()}
     measured = shared_table(measured.drop("_text").withColumns(fails), "measures")
     hosts = host_verdicts(measured, host, rules).select(
-        F.col("_host"), F.col("suspect"), F.col("banned"), *[F.col(f"rate_{r}").alias(f"host_{r}") for r in RULES]
+        "_host", "banned", *[f"trusts_{r}" for r in RULES], *[F.col(f"rate_{r}").alias(f"host_{r}") for r in RULES]
     )
     joined = measured.join(hosts, measured[host].eqNullSafe(hosts["_host"]), "left").drop("_host")
-    failures = sum((F.col(f"fails_{r}").cast("int") for r in RULES), F.lit(0))
     base = F.col("fails_short") | F.col("fails_repeats")
-    goes = base | (failures >= 2) | ((failures >= 1) & F.col("suspect")) | F.col("banned")
+    goes = base | F.col("banned")
+    for r in RULES:
+        goes = goes | (F.col(f"fails_{r}") & ~F.col(f"trusts_{r}"))
     return joined.withColumns({"base_failed": base, "kept": ~goes})
 
 
 _NEW = {
-    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "suspect", "banned",
-    "base_failed", "kept", *(f"fails_{r}" for r in RULES), *(f"host_{r}" for r in RULES),
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "banned",
+    "base_failed", "kept", *(f"{x}_{r}" for r in RULES for x in ("fails", "trusts", "host")),
 }
 
 

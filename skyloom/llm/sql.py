@@ -52,8 +52,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
   fails_short OR fails_repeats AS base_failed,
   NOT (fails_short OR fails_repeats
-    OR fails_short::INT + fails_repeats::INT + fails_symbols::INT + fails_lines::INT >= 2
-    OR ((fails_symbols OR fails_lines) AND greatest(host_short, host_repeats, host_symbols, host_lines) >= 0.5)
+    OR (fails_symbols AND host_symbols >= 0.02) OR (fails_lines AND host_lines >= 0.02)
     OR greatest(host_short, host_repeats) >= 0.95) AS kept,
   source, {", ".join(f"fails_{r}" for r in _RULES)}, {", ".join(f"round(host_{r}, 9) AS host_{r}" for r in _RULES)}
 FROM fails JOIN rated ON source IS NOT DISTINCT FROM h
