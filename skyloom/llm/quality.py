@@ -25,7 +25,7 @@ class QualityRules:
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    max_symbols_per_word: float = 1.0
+    max_symbols_per_word: float = 0.3
     max_dup_line_share: float = 0.5
     trusted_rate: float = 0.02
     ban_rate: float = 0.95

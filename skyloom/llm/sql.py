@@ -20,7 +20,7 @@ measures AS (
   FROM lined LEFT JOIN cov USING (rid)),
 fails AS (
   SELECT *, n_words < 50 AS fails_short, 100 * n_repeat_words > 50 * n_words AS fails_repeats,
-         n_symbols > 1.0 * n_words AS fails_symbols, n_dup_lines > 0.5 * n_lines AS fails_lines
+         n_symbols > 0.3::DOUBLE * n_words AS fails_symbols, n_dup_lines > 0.5 * n_lines AS fails_lines
   FROM measures)
 """
 
