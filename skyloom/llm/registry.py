@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import bpe, chunks, maxscore, packing, quality, secrets, simhash, sql, toxicity
+from skyloom.llm import bpe, chunks, lm, maxscore, packing, quality, secrets, simhash, sql, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_substring_dedup": chunks.op5_substring_dedup,
+        "op6_class_lm": lm.op6_class_lm,
         "op8_maxscore": maxscore.op8_maxscore,
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
