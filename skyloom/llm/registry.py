@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import bpe, chunks, lm, maxscore, packing, quality, secrets, simhash, sql, toxicity
+from skyloom.llm import bpe, chunks, lm, maxscore, packing, quality, secrets, simhash, sql, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_substring_dedup": chunks.op5_substring_dedup,
         "op6_class_lm": lm.op6_class_lm,
+        "op7_suffix_array": suffixes.op7_suffix_array,
         "op8_maxscore": maxscore.op8_maxscore,
         "op9_simhash": simhash.op9_simhash,
         "op10_packing": packing.op10_packing,
