@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.plans import graphs, tables
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -50,8 +52,10 @@ FROM (
 
 
 def queries() -> dict[str, Query]:
-    return {"s08_join_filter_project": join_filter_project}
+    found = {"s08_join_filter_project": join_filter_project}
+    return found | {name: f for name, (f, _) in {**tables.QUERIES, **graphs.QUERIES}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"s08_join_filter_project": JOIN_FILTER_PROJECT}
+    found = {"s08_join_filter_project": JOIN_FILTER_PROJECT}
+    return found | {name: sql for name, (_, sql) in {**tables.QUERIES, **graphs.QUERIES}.items() if sql}
