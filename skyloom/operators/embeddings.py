@@ -65,7 +65,8 @@ def node_embeddings(nodes: DataFrame, edges: DataFrame, dim: int = 64, walks: in
         e = np.pad(e * np.where(sign == 0, 1, sign), ((0, 0), (0, max(0, dim - e.shape[1]))))
         return pd.DataFrame({"graph_id": key[0], "node_id": ids, "embedding": e.tolist()})
 
-    left, right = nodes.select("graph_id", "node_id").groupBy("graph_id"), counts.groupBy("graph_id")
+    left = nodes.select(F.col("graph_id").alias("graph_id"), "node_id").groupBy("graph_id")
+    right = counts.select(F.col("graph_id").alias("graph_id"), "a", "b", "n").groupBy("graph_id")
     return left.cogroup(right).applyInPandas(run, "graph_id string, node_id long, embedding array<double>")
 
 

@@ -30,7 +30,7 @@ def canonical_edges(edges: DataFrame, src: str = "src", dst: str = "dst", weight
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Every edge from either end: graph_id, node_id, other, weight."""
-    ends = F.array(F.struct(F.col("src").alias("node_id"), F.col("dst").alias("other")), F.struct(F.col("dst"), F.col("src")))
+    ends = F.array(F.struct(F.col("src").alias("node_id"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node_id"), F.col("src").alias("other")))
     return edges.select("graph_id", "weight", F.explode(ends).alias("e")).select("graph_id", "e.node_id", "e.other", "weight")
 
 

@@ -203,9 +203,9 @@ def clustering_metrics(df: DataFrame, features: Sequence[str], key: str, cluster
     within = spread.groupBy("c", "n", "m").agg(F.avg("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("w"))
     pairs = within.select(F.col("c").alias("c1"), F.col("s").alias("s1"), F.col("m").alias("m1")).join(within.select(F.col("c").alias("c2"), F.col("s").alias("s2"), F.col("m").alias("m2")), F.col("c1") != F.col("c2"))
     db = pairs.groupBy("c1").agg(F.max(F.try_divide(F.col("s1") + F.col("s2"), dist("m1", "m2"))).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
-    total = data.agg(F.count(F.lit(1)).alias("N"), F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(width)]).alias("M"))
-    ch = within.join(total).agg(F.sum(F.col("n") * F.pow(dist("m", "M"), F.lit(2))).alias("B"), F.sum("w").alias("W"), F.count(F.lit(1)).alias("k"), F.max("N").alias("N"))
-    ch = ch.select("k", F.try_divide(F.col("B") * (F.col("N") - F.col("k")), F.col("W") * (F.col("k") - 1)).alias("calinski_harabasz"))
+    total = data.agg(F.count(F.lit(1)).alias("n_all"), F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(width)]).alias("m_all"))
+    ch = within.join(total).agg(F.sum(F.col("n") * F.pow(dist("m", "m_all"), F.lit(2))).alias("b_all"), F.sum("w").alias("w_all"), F.count(F.lit(1)).alias("k"), F.max("n_all").alias("n_all"))
+    ch = ch.select("k", F.try_divide(F.col("b_all") * (F.col("n_all") - F.col("k")), F.col("w_all") * (F.col("k") - 1)).alias("calinski_harabasz"))
     found = silhouette.join(db).join(ch)
     return found.select(*[F.when(F.col("k") >= 2, F.col(c)).alias(c) for c in ("silhouette", "davies_bouldin", "calinski_harabasz")])
 

@@ -23,8 +23,9 @@ def _per_graph(nodes: DataFrame, edges: DataFrame, kernel, schema: str) -> DataF
         src, dst = (np.searchsorted(ids, e[c].to_numpy()) for c in ("src", "dst"))
         return pd.DataFrame(kernel(key[0], ids, src, dst, e["weight"].to_numpy(dtype=float)))
 
-    left = nodes.select("graph_id", "node_id").groupBy("graph_id")
-    right = edges.select("graph_id", "src", "dst", F.col("weight").cast("double")).groupBy("graph_id")
+    # edges often come from the nodes' own plan: new names for its columns keep the two sides apart
+    left = nodes.select(F.col("graph_id").alias("graph_id"), "node_id").groupBy("graph_id")
+    right = edges.select(F.col("graph_id").alias("graph_id"), "src", "dst", F.col("weight").cast("double").alias("weight")).groupBy("graph_id")
     return left.cogroup(right).applyInPandas(run, schema)
 
 
