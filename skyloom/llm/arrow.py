@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Rows that are turned into Python objects at a time.
 SLICE = 512
@@ -22,6 +22,7 @@ def map_rows(
     an Arrow array for each column of ``schema``; all of one length, which need not be ``rows``.
     """
     out = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
+    out = StructType([StructField(f.name, f.dataType, True) for f in out])  # a literal's column may not be null
     # string and binary columns may exceed 2 GB only by far larger slices than these
     arrow = to_arrow_schema(out)
 
