@@ -52,7 +52,19 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/skyloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
+
+
+def drop_shared(*tables: DataFrame) -> None:
+    """Delete tables of ``shared_table`` that nothing will read again, and let go of the shuffles behind them.
+
+    Spark removes shuffle files when the driver's collector finds that no plan refers to them any more.
+    """
+    for table in tables:
+        _remove(table.sparkSession, table._shared_path)
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

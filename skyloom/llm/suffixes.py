@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.arrow import map_rows
-from skyloom.llm.common import read_table, shared_table
+from skyloom.llm.common import drop_shared, read_table, shared_table
 
 #: Bytes of an anchor, and the longest piece of a text that is scanned at a time.
 GRAM, PIECE = 20, 1 << 23
@@ -295,6 +295,7 @@ def repeated_strings(docs: DataFrame, key: str, text: str, span: int) -> DataFra
         "keys",
     )
     rows = shared_table(_anchor_rows(docs, span, True).join(shared, "key"), "anchors")
+    drop_shared(shared)
     segments = shared_table(
         rows.groupBy("key", "seg").agg(F.min(F.struct("doc", "place")).alias("at")).select("key", "seg", "at.*"), "segments"
     )
@@ -310,10 +311,15 @@ def repeated_strings(docs: DataFrame, key: str, text: str, span: int) -> DataFra
         .union(_counted_masks(bodies.join(large, "key", "left_semi"), span)),
         "masks",
     )
+    drop_shared(bodies, several)
     owned = segments.select("key", "seg", F.col("doc").alias("lo")).join(masks, ["key", "seg"], "left")
-    marks = rows.join(shared_table(owned, "owned"), ["key", "seg"])
+    owned = shared_table(owned, "owned")
+    drop_shared(segments, masks)
+    marks = rows.join(owned, ["key", "seg"])
     mask = F.when(F.col("doc") > F.col("lo"), F.lit(-1).cast("long")).otherwise(F.col("mask"))
-    return marks.select("doc", "place", "seg", mask.alias("mask")).filter("mask is not null")
+    found = shared_table(marks.select("doc", "place", "seg", mask.alias("mask")).filter("mask is not null"), "marks")
+    drop_shared(rows, owned)
+    return found
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 50) -> DataFrame:

@@ -466,3 +466,35 @@ def _(spark, d):
 def _(spark, d):
     df, names = table(spark, d)
     return M.principal_components(df, names).select("id", "pc_1", "pc_2")
+
+
+# runs
+
+
+@query("a03_cluster_statistics", "SELECT label AS cluster, count(*)::BIGINT AS count, round(avg(embedding[1]::DOUBLE), 6) AS f0_mean, round(stddev_samp(embedding[1]::DOUBLE), 6) AS f0_std FROM embeddings GROUP BY 1")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("cluster"), F.col("embedding")[0].cast("double").alias("f0"))
+    return M.cluster_statistics(e, "cluster", ["f0"]).withColumns({c: F.round(c, 6) for c in ("f0_mean", "f0_std")})
+
+
+@query("a14_corpus_statistics", f"WITH {TRI}, g AS (SELECT graph_id, count(*) AS n, sum(degree) / 2 AS m FROM degrees GROUP BY 1), k AS (SELECT graph_id, avg(c) AS c FROM cc GROUP BY 1) SELECT count(*)::BIGINT AS n_graphs, round(avg(n), 6) AS n_nodes_mean, round(avg(m), 6) AS n_edges_mean, round(avg(2.0::DOUBLE * m / (n * (n - 1))), 6) AS density_mean, round(avg(c), 6) AS clustering_mean_mean FROM g JOIN k USING (graph_id)")
+def _(spark, d):
+    from skyloom.plans.experiment import corpus_statistics
+
+    out = corpus_statistics(*graph(spark, d))
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c != "n_graphs"})
+
+
+@query("r01_experiment")
+def _(spark, d):
+    """Two sources of one table through ingest, graphs, features and distances."""
+    from skyloom.plans import experiment as X2
+    from skyloom.plans.tables import catalog
+
+    c = catalog(spark, d)
+    names = {"obj_id": ("object_id",), "ra_deg": ("ra",), "dec_deg": ("dec",), "z": ("redshift",)}
+    preset = X2.Preset("demo", (0.0, 360.0), (-60.0, 60.0), (0.01, 2.0), 1500, 1500.0, 3, 6, 20, 200)
+    points, _ = X2.ingest({"one": c.filter("catalog_source = 'A'"), "two": c.filter("catalog_source = 'R'")}, preset, names)
+    points = points.cache()
+    nodes, edges, _ = X2.build_graphs(points, preset)
+    return X2.feature_table(nodes, edges, X2.Experiment(eigenvalues=8, paths_sample=30))

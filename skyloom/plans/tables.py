@@ -560,3 +560,33 @@ def _(spark, d):
 @query("k17_expired", f"SELECT event_id FROM events WHERE ts < {NOW} - INTERVAL 5 DAY")
 def _(spark, d):
     return R.older_than(table(spark, d, "events"), "ts", F.expr(NOW.lower()), 5).select("event_id")
+
+
+@query("a08_key_values", "SELECT count(DISTINCT event_type)::BIGINT AS n FROM events")
+def _(spark, d):
+    e = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("at"))
+    return R.key_value_map(e, "event_type", "n", "at").select(F.size("statistics").cast("long").alias("n"))
+
+
+@query("a09_describe_all", "SELECT 'p_size' AS \"column\", count(p_size) AS count, count(DISTINCT p_size) AS \"unique\", round(avg(p_size), 6) AS mean, round(stddev_samp(p_size), 6) AS std, min(p_size)::DOUBLE AS min, max(p_size)::DOUBLE AS max FROM part")
+def _(spark, d):
+    out = R.describe_all(table(spark, d, "part")).filter(F.col("column") == "p_size")
+    return out.select("column", "count", "unique", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max")
+
+
+@query("a16_stage_counts", f"SELECT count(*)::BIGINT AS before, count(*) FILTER (redshift BETWEEN 0.1 AND 0.5)::BIGINT AS after FROM {CATALOG}")
+def _(spark, d):
+    return catalog(spark, d).agg(F.count(F.lit(1)).alias("before"), F.count_if(C.in_range("redshift", 0.1, 0.5)).alias("after"))
+
+
+@query("f11_lattice_remap", f"SELECT object_id, round(mag_g * 7.2 + 0.5, 6) AS ra FROM (SELECT DISTINCT * FROM {CATALOG}) WHERE mag_g BETWEEN 15 AND 30")
+def _(spark, d):
+    kept = C.filter_ranges(catalog(spark, d), mag_g=(15, 30)).dropDuplicates()
+    return kept.select("object_id", F.round(F.col("mag_g") * 7.2 + 0.5, 6).alias("ra"))
+
+
+@query("k08_cache_upsert", f"SELECT event_type AS cache_key, max(value) AS cache_value, {NOW} + INTERVAL 24 HOUR AS expires_at FROM events GROUP BY 1")
+def _(spark, d):
+    new = table(spark, d, "events").groupBy(F.col("event_type").alias("cache_key")).agg(F.max("value").alias("cache_value"))
+    fresh = R.with_expiry(new, F.expr(NOW.lower()), 24)
+    return R.upsert(fresh.withColumn("cache_value", F.lit(0.0)), fresh, "cache_key").select("cache_key", "cache_value", "expires_at")
