@@ -21,6 +21,8 @@ from skyloom.llm.common import components, read_table, shared_table
 BUCKET = 1024
 #: Node pairs, or leaf pairs, held at a time.
 FRONTIER = 200_000
+#: Shingles of a group of candidates beyond which it is dealt out as pairs of parts.
+SHINGLES = 1_000_000
 
 
 def shingle_hashes(text: str | None, size: int, seed: int = 42):
@@ -352,8 +354,8 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
 
     Equal texts are one node. Different texts are candidates if any of eight 32-bit fingerprints of their
     ``size``-word shingles are within three bits, by the trie join, and all 256 bits within ``NEAR_BITS``;
-    they are linked if their sets of shingles share ``similarity`` of their union. Of each component the row
-    of the smallest key stays; a null key comes after all others. Of repeated rows one stays. Null and empty
+    they are linked if their sets of shingles share ``similarity`` of their union, which is tested in full
+    before anything is joined. Of each component the row of the smallest key stays; a null key comes after all others. Of repeated rows one stays. Null and empty
     texts are texts like others, equal among themselves, null apart from empty. Texts without a shingle
     are linked to equal ones only.
     """
@@ -372,13 +374,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     same = F.col("d._key").eqNullSafe(F.col("w._key")) & (F.col("d._digest") == F.col("w._digest"))
     bodies = slim.alias("d").join(wanted.alias("w"), same).select("id", F.col("d._text").alias("_text"))
     sets = shared_table(_shingle_sets(bodies, size).dropDuplicates(["id"]), "shingles")
-    both = links.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b"
-    )
-    shared = F.size(F.array_intersect("x", "y"))
-    true = shared_table(
-        both.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links"
-    )
+    true = shared_table(true_links(links, sets, similarity), "links")
     groups = components(true)
     order = F.struct(F.col("_key").isNull(), "_key", "_digest")
     first = (
@@ -396,6 +392,83 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     return kept.dropDuplicates([key, "_digest"]).select(*docs.columns)
 
 
+def true_links(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` that span the components of ``sets`` (``id``, ``set``) that share ``similarity`` of their union.
+
+    A true link lies within a component of ``candidates``, though candidates that span it need not be true. So
+    all pairs within each of their components are tested, but for those already joined by true links. A big
+    component is cut into parts by hash, and each pair of parts is a task's work.
+    """
+    groups = components(candidates)
+    members = shared_table(
+        sets.join(groups, sets["id"] == groups["node"]).select("id", "root", "set"), "members"
+    )
+    cuts = F.ceil(F.greatest(F.count(F.lit(1)) / BUCKET, F.sum(F.size("set")) / SHINGLES)).cast("int")
+    hot = shared_table(members.groupBy("root").agg(cuts.alias("cuts")).filter("cuts > 1"), "groups")
+    own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: j != F.col("own"))
+    dealt = (
+        members.join(hot, "root", "left").withColumn("own", own)
+        .withColumn("other", F.explode_outer(others))
+        .select(
+            "id", "set", "root",
+            F.coalesce(F.least("own", "other"), F.lit(-1)).alias("i"),
+            F.coalesce(F.greatest("own", "other"), F.lit(-1)).alias("j"),
+        )
+    )
+    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        held, key = [], None
+
+        def found() -> pa.RecordBatch:
+            ids = [x for x, _ in held]
+            a = verified_links([x for _, x in held], similarity)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([ids[i] for i, _ in a], pa.int64()), pa.array([ids[j] for _, j in a], pa.int64())], names=["a", "b"]
+            )
+
+        for batch in batches:
+            named = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            flat, ends = named["set"].flatten().to_numpy(), named["set"].offsets.to_numpy()
+            ends = (ends - ends[0]).tolist()
+            for k, (x, *new) in enumerate(zip(*(named[c].to_pylist() for c in ("id", "root", "i", "j")))):
+                if new != key:
+                    if len(held) > 1:
+                        yield found()
+                    held, key = [], new
+                held.append((x, np.array(flat[ends[k] : ends[k + 1]])))
+        if len(held) > 1:
+            yield found()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def verified_links(sets: list, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of ``sets``, sorted arrays, that span the components of those sharing ``similarity`` of their union."""
+    import numpy as np
+
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    label, links = np.arange(len(sets)), []
+    for i in range(len(sets) - 1):
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        j = j[np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i]) - 1e-9]
+        if not len(j):
+            continue
+        line = np.concatenate([sets[k] for k in j.tolist()])
+        at = np.minimum(np.searchsorted(sets[i], line), sizes[i] - 1)
+        seen = np.concatenate([[0], np.cumsum(sets[i][at] == line)])
+        ends = np.concatenate([[0], np.cumsum(sizes[j])])
+        shared = seen[ends[1:]] - seen[ends[:-1]]
+        for k in j[shared >= similarity * (sizes[j] + sizes[i] - shared) - 1e-9].tolist():
+            if label[k] != label[i]:
+                label[label == label[k]] = label[i]
+                links.append((i, k))
+    return links
+
+
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """``id`` and ``set``: the distinct shingle hashes of ``_text``."""
 
@@ -403,7 +476,7 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
         import numpy as np
 
         def run(ids: list, texts: list) -> dict[str, list]:
-            return {"id": ids, "set": [np.unique(shingle_hashes(t, size)).view(np.int64).tolist() for t in texts]}
+            return {"id": ids, "set": [np.unique(shingle_hashes(t, size).view(np.int64)).tolist() for t in texts]}
 
         return run
 

@@ -389,6 +389,51 @@ def test_near_dedup_keeps_one_of_each_group(spark, odd, none):
     assert simhash.near_dedup(none).count() == 0
 
 
+def jaccard(x, y):
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("bucket", [1024, 50])
+def test_near_dedup_of_a_group_is_that_of_all_pairs(spark, bucket, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = np.random.default_rng(13)
+    base = [f"b{i}" for i in range(204)]
+    texts = [" ".join(base)]
+    for c in range(160):  # each changed word changes five of 200 shingles: 0.78 to 0.9 of the base, 0.6 to 0.8 of each other
+        w = list(base)
+        for at in rng.choice(40, int(rng.integers(2, 6)), replace=False):
+            w[5 * int(at) + 2] = f"c{c}x{at}"
+        texts.append(" ".join(w))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    order = [int(x) for x in rng.permutation(len(texts))]
+    rows = [(i, texts[i], "en", "s", 1) for i in order]
+    out = sorted(r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert out == sorted(set(root))
+
+
+def test_verified_links_span_what_all_pairs_do():
+    rng = np.random.default_rng(14)
+    sets = [np.unique(rng.integers(0, 14, 10)) for _ in range(60)]
+    links = simhash.verified_links(sets, 0.8)
+    near = [(i, j) for i in range(60) for j in range(i + 1, 60) if jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8]
+    assert set(links) <= set(near)
+
+    def roots(pairs):
+        root = list(range(60))
+        for i, j in pairs:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+        return root
+
+    assert roots(links) == roots(near)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, None), (7, 7)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
