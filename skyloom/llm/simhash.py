@@ -67,10 +67,11 @@ def remix(hashes, k: int):
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
     """``docs`` without ``text``, with ``fp``: an array of ``words`` longs, 64 bits of fingerprint each.
 
-    A null text, like one without words, has fingerprint zero. There is no shuffle.
+    With ``distinct`` a repeated shingle weighs no more than others. A null text, like one without words, has
+    fingerprint zero. There is no shuffle.
     """
     kept = [c for c in docs.columns if c not in (text, "fp")]
 
@@ -85,6 +86,8 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, words: int
             with np.errstate(over="ignore"):
                 for t in columns[-1]:
                     hashes = shingle_hashes(t, size)
+                    if distinct:
+                        hashes = np.unique(hashes)
                     made.append([signed(bit_majority(remix(hashes, k))) for k in range(words)])
             return dict(zip(kept, columns)) | {"fp": made}
 
@@ -203,7 +206,8 @@ def trie_links(fps: DataFrame, bits: int = 64, budget: int = 3, table_bits: int
 
     ``fps``: distinct rows of ``id`` long and ``fp`` array<long>. By default the first 64 bits are compared.
     With ``table_bits`` (32 or 64) every stretch of so many bits of ``fp`` is a table of its own, two rows
-    are candidates if within ``budget`` in any, and linked if all bits of ``fp`` differ in ``near`` at most.
+    are candidates if within ``budget`` in any, and linked if the first ``NEAR_OF`` longs of ``fp`` differ in
+    ``near`` bits at most.
 
     Rows are dealt by (table, choice of blocks, their value). A bucket of more than ``BUCKET`` rows, as of
     near copies, is cut into parts by hash, and each pair of parts is a task's work, so no task takes a
@@ -227,7 +231,7 @@ def trie_links(fps: DataFrame, bits: int = 64, budget: int = 3, table_bits: int
         return value.bitwiseAND(F.lit(kept).cast("long"))
 
     spread = fps.select(
-        "id", "fp",
+        "id", F.slice("fp", 1, NEAR_OF).alias("fp"),
         F.explode(
             F.array(*[
                 F.struct(F.lit(t * len(choices) + c).alias("part"), field(value, choice).alias("key"), value.alias("x"))
@@ -344,16 +348,18 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return marks.join(named, "fp").select(F.col("_key").alias(key), "fp", "component_id")
 
 
-#: A pair of texts that share 0.8 of their shingles differs in 0.152 of the bits of their fingerprints in the
-#: mean; 44 of 256 leaves room for chance, as pairs are tested in full afterwards.
-NEAR_BITS = 44
+#: Longs of a fingerprint, two tables of 32 bits each. Texts that share 0.8 of their shingles are within three bits in
+#: one table with a chance of 0.26, and so in one of 18 with 0.996.
+NEAR_WORDS = 9
+#: They differ in 38.8 of the first 256 bits in the mean, with a deviation of 5.7; this is four deviations above.
+NEAR_BITS, NEAR_OF = 62, 4
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` of which no near copy with a smaller ``key`` stays: one document of each group.
 
-    Equal texts are one node. Different texts are candidates if any of eight 32-bit fingerprints of their
-    ``size``-word shingles are within three bits, by the trie join, and all 256 bits within ``NEAR_BITS``;
+    Equal texts are one node. Different texts are candidates if any of 18 32-bit fingerprints of their distinct
+    ``size``-word shingles are within three bits, by the trie join, and the first 256 bits within ``NEAR_BITS``;
     they are linked if their sets of shingles share ``similarity`` of their union, which is tested in full
     before anything is joined. Of each component the row of the smallest key stays; a null key comes after all others. Of repeated rows one stays. Null and empty
     texts are texts like others, equal among themselves, null apart from empty. Texts without a shingle
@@ -361,7 +367,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     """
     digest = F.coalesce(F.sha2(F.col(text), 256), F.lit("null"))
     slim = docs.select(F.col(key).alias("_key"), digest.alias("_digest"), F.col(text).alias("_text"))
-    marks = shared_table(fingerprints(slim, "_text", size, 4), "marks")
+    marks = shared_table(fingerprints(slim, "_text", size, NEAR_WORDS, True), "marks")
     texts = shared_table(
         marks.groupBy("_digest").agg(F.min("_key").alias("_key"), F.first("fp").alias("fp"))
         .withColumn("id", F.xxhash64("_digest")),

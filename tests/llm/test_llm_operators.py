@@ -417,6 +417,36 @@ def test_near_dedup_of_a_group_is_that_of_all_pairs(spark, bucket, monkeypatch):
     assert out == sorted(set(root))
 
 
+def near_candidates(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    fps = simhash.fingerprints(docs, "text", 5, simhash.NEAR_WORDS, True)
+    links = simhash.trie_links(fps, budget=3, table_bits=32, near=simhash.NEAR_BITS)
+    return {(min(r), max(r)) for r in links.collect()}
+
+
+def test_near_candidates_are_found_at_the_stated_similarity(spark):
+    texts, rng = [], np.random.default_rng(15)
+    for p in range(1200):  # equal first and last parts of 8/9 of n shingles each: exactly 0.8
+        n = int(rng.choice([63, 126, 252, 504]))
+        words = [f"p{p}w{i}" for i in range(n + 4)]
+        other = words[: n * 8 // 9 + 4] + [f"p{p}v{i}" for i in range(n // 9)]
+        texts += [" ".join(words), " ".join(other)]
+        if p < 4:
+            x, y = (set(simhash.shingle_hashes(t, 5).tolist()) for t in texts[-2:])
+            assert jaccard(x, y) == pytest.approx(0.8)
+    found = near_candidates(spark, texts)
+    recall = sum((2 * p, 2 * p + 1) in found for p in range(1200)) / 1200
+    print("recall at 0.8:", recall)
+    assert recall > 0.99
+
+
+def test_near_dedup_weighs_a_repeated_line_once(spark):
+    lines = [" ".join(f"l{k}w{i}" for i in range(20)) for k in range(10)]
+    texts = [" ".join(lines), " ".join(lines + [lines[3]] * 30)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    assert [r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()] == [0]
+
+
 def test_verified_links_span_what_all_pairs_do():
     rng = np.random.default_rng(14)
     sets = [np.unique(rng.integers(0, 14, 10)) for _ in range(60)]
