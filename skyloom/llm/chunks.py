@@ -10,8 +10,12 @@ from skyloom.llm.common import read_table, shared_table
 
 #: Bytes of a chunk at least and at most, and the bits of the gear hash that are 0 where a chunk ends.
 LEAST, MOST, BITS = 12, 256, 2
+#: The same bits where no white space is near.
+CLOSE_BITS = 4
 #: Words in a row that must have been seen before for a stretch to go.
 MIN_WORDS = 25
+#: A stretch without white space counts as a word, and again for each ``MORE`` bytes beyond ``LONG_WORD``.
+LONG_WORD, MORE = 24, 8
 
 
 def gear_table():
@@ -37,9 +41,10 @@ def gear_hashes(data, table):
 def chunk_ends(raw: bytes, table, least: int = LEAST, most: int = MOST, bits: int = BITS) -> list[int]:
     """Ends of the chunks of ``raw``: after white space where the hash's low ``bits`` of its upper half are 0.
 
-    Chunks are ``least`` bytes long or more, but for the last. Without such a place for ``most`` bytes a chunk
-    ends at the next character. What a stretch is cut into depends on it alone but for its first chunks, so an
-    insertion moves no cut beyond the next ones.
+    Where no such place comes for ``most`` bytes, as in texts without white space, chunks end at characters where
+    ``CLOSE_BITS`` bits of the hash are 0. Chunks are ``least`` bytes long or more, but for the last. Without either
+    place for ``most`` bytes a chunk ends at the next character. What a stretch is cut into depends on it alone but
+    for its first chunks, so an insertion moves no cut beyond the next ones.
     """
     import numpy as np
 
@@ -49,8 +54,16 @@ def chunk_ends(raw: bytes, table, least: int = LEAST, most: int = MOST, bits: in
     data = np.frombuffer(raw, np.uint8)
     gap = (data == 32) | ((data >= 9) & (data <= 13))
     mask = np.uint32(((1 << bits) - 1) << 24)
+    hashes = gear_hashes(data, table)
+    places = np.flatnonzero(gap & ((hashes & mask) == 0)) + 1
+    far = np.diff(np.concatenate([[0], places, [n]])) > most
+    if far.any():
+        close = (hashes & np.uint32(((1 << CLOSE_BITS) - 1) << 24)) == 0
+        close[:-1] &= (data[1:] & 0xC0) != 0x80
+        inner = np.flatnonzero(close) + 1
+        places = np.union1d(places, inner[far[np.searchsorted(places, inner, "left")]])
     ends, last = [], 0
-    for e in [*(np.flatnonzero(gap & ((gear_hashes(data, table) & mask) == 0)) + 1).tolist(), n]:
+    for e in [*places[places < n].tolist(), n]:
         while e - last > most:
             cut = last + most
             while cut < n and raw[cut] & 0xC0 == 0x80:
@@ -65,8 +78,24 @@ def chunk_ends(raw: bytes, table, least: int = LEAST, most: int = MOST, bits: in
     return ends
 
 
-def chunk_rows(docs: DataFrame, text: str, width: bool) -> DataFrame:
-    """A row a chunk: digest, doc (the ``_key`` of ``docs``) and, with ``width``, row, start, end and words."""
+def word_marks(data):
+    """Whether a word is counted at each byte: where one starts, and in a long one every ``MORE`` bytes."""
+    import numpy as np
+
+    gap = (data == 32) | ((data >= 9) & (data <= 13))
+    first = ~gap
+    first[1:] &= gap[:-1]
+    at = np.arange(len(data))
+    inside = at - np.maximum.accumulate(np.where(first, at, 0))
+    return first | ~gap & (inside >= LONG_WORD) & ((inside - LONG_WORD) % MORE == 0)
+
+
+def chunk_rows(docs: DataFrame, text: str, width: bool, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row a chunk: digest, doc (the ``_key`` of ``docs``) and, with ``width``, row, start, end and words.
+
+    A text of fewer than ``min_words`` words is a chunk as a whole, too, of ``min_words`` words, so that copies of
+    it can go. Such chunks are digested apart from others.
+    """
 
     def make():
         import numpy as np
@@ -85,15 +114,19 @@ def chunk_rows(docs: DataFrame, text: str, width: bool) -> DataFrame:
                     continue
                 begin = [0, *cuts[:-1]]
                 digests += [digest(raw[a:b]) for a, b in zip(begin, cuts)]
+                seen = np.concatenate([[0], np.cumsum(word_marks(np.frombuffer(raw, np.uint8)))])
+                short = seen[-1] < min_words
+                if short:
+                    sizes[-1] += 1
+                    digests.append(digest(raw, 1))
                 if width:
-                    data = np.frombuffer(raw, np.uint8)
-                    gap = (data == 32) | ((data >= 9) & (data <= 13))
-                    first = ~gap
-                    first[1:] &= gap[:-1]
-                    seen = np.concatenate([[0], np.cumsum(first)])[[0, *cuts]]
                     starts += begin
                     ends += cuts
-                    words += np.diff(seen).tolist()
+                    words += np.diff(seen[[0, *cuts]]).tolist()
+                    if short:
+                        starts.append(0)
+                        ends.append(len(raw))
+                        words.append(min_words)
             out = {
                 "digest": pa.array(np.array(digests, np.uint64).view(np.int64)),
                 "doc": [k for k, n in zip(keys, sizes) for _ in range(n)],
@@ -110,7 +143,7 @@ def chunk_rows(docs: DataFrame, text: str, width: bool) -> DataFrame:
     return map_rows(source, make, schema)
 
 
-def repeated_chunks(docs: DataFrame, text: str) -> DataFrame:
+def repeated_chunks(docs: DataFrame, text: str, min_words: int = MIN_WORDS) -> DataFrame:
     """``row``, start, end, words of each chunk whose digest also comes in a document of a smaller ``_key``.
 
     The digests' owners come from partial minima; chunks and the owners of repeated digests are then joined,
@@ -118,11 +151,11 @@ def repeated_chunks(docs: DataFrame, text: str) -> DataFrame:
     documents hold can be split over tasks.
     """
     owners = shared_table(
-        chunk_rows(docs, text, False).groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+        chunk_rows(docs, text, False, min_words).groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
         .filter("lo < hi").select("digest", "lo"),
         "owners",
     )
-    found = chunk_rows(docs, text, True).join(owners, "digest").filter("lo < doc")
+    found = chunk_rows(docs, text, True, min_words).join(owners, "digest").filter("lo < doc")
     return shared_table(found.select("row", "start", "end", "words"), "repeats")
 
 
@@ -143,16 +176,18 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     """``docs``, all rows, with ``text`` without its repeated stretches and ``removed``, their byte spans.
 
     A stretch is a run of adjacent chunks that documents of a smaller ``key`` hold too, of ``min_words`` words
-    or more; the smallest document keeps its own. Chunks are told apart by 64-bit digests. A null text stays
-    null, an empty one empty; a row of a null key is left as it is and takes nothing from others; repeated
-    rows of one key take nothing from each other. A column named ``removed`` is replaced.
+    or more, or the whole of a shorter text that such a document equals; the smallest document keeps its own. Of a
+    stretch without white space every ``MORE`` bytes beyond ``LONG_WORD`` count as a word. Chunks are told apart
+    by 64-bit digests. A null text stays null, an empty one empty; a row of a null key is left as it is and
+    takes nothing from others; repeated rows of one key take nothing from each other. A column named ``removed``
+    is replaced.
     """
     kept = [c for c in docs.columns if c not in (text, "removed")]
     keyed = docs.select(*kept, F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn(
         "_row", F.xxhash64(F.col("_key"), F.col("_text"))
     )
     chunks = F.collect_list(F.struct("start", "end", "words")).alias("_chunks")
-    marked = repeated_chunks(keyed.select("_key", "_row", "_text"), "_text").groupBy(F.col("row").alias("_row")).agg(chunks)
+    marked = repeated_chunks(keyed.select("_key", "_row", "_text"), "_text", min_words).groupBy(F.col("row").alias("_row")).agg(chunks)
 
     def make():
         def run(*columns: list) -> dict[str, list]:

@@ -197,6 +197,31 @@ def test_repeated_passages_go(odd, none, spark):
     assert chunks.drop_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("letters, size", [("".join(map(chr, range(0x4E00, 0x5200))), 300), ("กขคงจฉชซญดตถทธนบปพมยรลวสหอ", 400), ("abcdefghijklmnopqrstuvwxyz0123456789+/", 800)])
+@pytest.mark.parametrize("space", ["", "\u00a0", "\u3000"])
+def test_passages_without_ascii_space_go(spark, letters, size, space):
+    rng = np.random.default_rng(16)
+
+    def made(n):
+        return space.join("".join(rng.choice(list(letters), 4)) for _ in range(n // 4))
+
+    passage, heads, ends = made(size), [made(90), made(131)], [made(70), made(50)]
+    texts = [h + passage + e for h, e in zip(heads, ends)]
+    rows = [(1, texts[0], "en", "s", 1), (2, texts[1], "en", "s", 1), (3, texts[0], "de", "s", 1)]
+    got = {r["doc_id"]: r["text"] for r in chunks.drop_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1] == texts[0] and got[3] == ""
+    assert got[2].startswith(heads[1]) and got[2].endswith(ends[1])
+    assert len(texts[1]) - len(got[2]) > len(passage) / 2
+
+
+def test_copies_of_short_texts_go(spark):
+    short = ["only a few words in this one text", "x", "   spaced    out   " + " " * 900 + "far", "中文"]
+    rows = [(10 * c + i, t, "en", "s", 1) for c in (1, 2) for i, t in enumerate(short)]
+    rows += [(30, "only a few words in this one text and more", "en", "s", 1), (None, "x", "en", "s", 1)]
+    got = {r["doc_id"]: r["text"] for r in chunks.drop_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {10 + i: t for i, t in enumerate(short)} | {20 + i: "" for i in range(4)} | {30: rows[8][1], None: "x"}
+
+
 # language model
 
 
