@@ -268,14 +268,17 @@ def _sorted_masks(bodies: DataFrame, span: int) -> DataFrame:
 
 
 def _counted_masks(bodies: DataFrame, span: int) -> DataFrame:
-    """The same string by string, with partial minima, for keys of too many segments for one task."""
+    """The same string by string, with partial minima, for keys of too many segments for one task.
+
+    Rows of one key and text give each segment more than once, which changes no mask.
+    """
     strings = bodies.select(
         "key", "seg", "doc", F.explode(F.sequence(F.lit(0), F.octet_length("body") - span)).alias("o"), "body"
     ).select("key", "seg", "doc", "o", F.substring("body", F.col("o") + 1, F.lit(span)).alias("s"))
     least = shared_table(strings.groupBy("s").agg(F.min("doc").alias("lo")), "least")
     return (
         strings.join(least, "s").filter("lo < doc")
-        .groupBy("key", "seg").agg(F.sum(F.expr("shiftleft(1L, o)")).alias("mask"))
+        .groupBy("key", "seg").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
     )
 
 

@@ -301,6 +301,20 @@ def test_suffix_dedup_is_exact(spark, odd, none, group, monkeypatch):
         assert suffixes.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("group", [4096, 1])
+def test_suffix_dedup_of_repeated_rows_is_exact(spark, group, monkeypatch):
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    rng = np.random.default_rng(17)
+    base = ["".join(rng.choice(list("ab c"), 120)) for _ in range(4)]
+    rows = []
+    for i in range(20):
+        text = str(rng.choice(base))[: rng.integers(60, 120)] + str(rng.choice(base))[rng.integers(0, 60) :]
+        rows += [(100 + i, text, "en", "s", 1)] * (1 + i % 3)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted((str(r["doc_id"]), bytes(r["kept"])) for r in suffixes.remove_repeats(docs).collect())
+    assert got == brute_repeats(rows, 50)
+
+
 def test_anchors_cover_every_string_and_depend_on_it_alone():
     rng = np.random.default_rng(6)
     raw = bytes(rng.choice(list(b"abcd"), 3000))
