@@ -6,13 +6,45 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the ASCII white space characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *replaced: str) -> list[str]:
+    """Columns of ``df`` but those of the names ``replaced``, in any case."""
+    gone = {r.lower() for r in replaced}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Working names that no column of ``df`` has, in any case: ``names`` with underscores before them."""
+    held, made = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in held:
+            name = f"_{name}"
+        made.append(name)
+    return made
+
+
+def packed(names: list[str]) -> Column:
+    """The columns ``names`` in one struct, by place, so that no name of theirs meets another."""
+    return F.struct(*[col(n).alias(f"c{i}") for i, n in enumerate(names)]) if names else F.struct(F.lit(True).alias("c0"))
+
+
+def unpacked(struct: str, names: list[str]) -> list[Column]:
+    """The columns that ``packed(names)`` holds."""
+    return [F.col(f"{struct}.c{i}").alias(n) for i, n in enumerate(names)]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,14 +75,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Whether Spark deletes the shuffle files of an execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back, which cuts its lineage.
 
-    The files outlive a lost executor; they are removed when the driver exits.
+    The files outlive a lost executor, and the shuffles behind them go at once, as nothing reads those again. The files
+    are removed when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/skyloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table._shared_path = path
@@ -58,13 +100,9 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_shared(*tables: DataFrame) -> None:
-    """Delete tables of ``shared_table`` that nothing will read again, and let go of the shuffles behind them.
-
-    Spark removes shuffle files when the driver's collector finds that no plan refers to them any more.
-    """
+    """Delete tables of ``shared_table`` that nothing will read again."""
     for table in tables:
         _remove(table.sparkSession, table._shared_path)
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.arrow import map_rows
-from skyloom.llm.common import drop_shared, read_table, shared_table
+from skyloom.llm.arrow import map_rows, whole_keys
+from skyloom.llm.common import col, drop_shared, fresh, others, read_table, shared_table
 
 #: Bytes of an anchor, and the longest piece of a text that is scanned at a time.
-GRAM, PIECE = 20, 1 << 23
+GRAM, PIECE = 16, 1 << 23
 
 
 def anchors(raw: bytes, span: int, gram: int = GRAM):
@@ -17,7 +17,7 @@ def anchors(raw: bytes, span: int, gram: int = GRAM):
 
     The string that starts at p belongs to the leftmost ``gram``-byte string of the least hash in it; those that
     start at first .. last belong to the same one, whose hash is key. The choice depends on the string alone, so
-    equal strings of different texts have equal keys.
+    equal strings of different texts have equal keys. ``gram`` is 16 to 24.
     """
     import numpy as np
 
@@ -26,10 +26,8 @@ def anchors(raw: bytes, span: int, gram: int = GRAM):
     for at in range(0, max(n, 0), PIECE):
         many = min(PIECE, n - at)
         part = raw[at : at + many + span - 1]
-        words = [
-            np.ndarray((len(part) - gram + 1,), "<u8" if size == 8 else "<u4", part, o, (1,)).astype(np.uint64)
-            for o, size in ((0, 8), (8, 8), (gram - 4, 4))
-        ]
+        places = sorted({0, 8, gram - 8})
+        words = [np.ndarray((len(part) - gram + 1,), "<u8", part, o, (1,)).astype(np.uint64) for o in places]
         with np.errstate(over="ignore"):
             h = words[0] * np.uint64(0x9E3779B97F4A7C15)
             for w in words[1:]:
@@ -54,10 +52,14 @@ def anchors(raw: bytes, span: int, gram: int = GRAM):
     return tuple(map(np.concatenate, (keys, firsts, lasts)))
 
 
-#: Suffixes are ordered by this many bytes with multikey sorting; blind tries order what is equal so far.
+#: Suffixes are ordered by this many bytes with multikey quicksort; blind tries order what is equal so far.
 SHALLOW = 16
-#: Segments of a key that are sorted in one task; keys with more are aggregated string by string.
+#: Segments of a key that are sorted together. A key with more is sorted in parts, and what stands for each part again.
 GROUP = 4096
+#: Anchors of a block, within which repeats are settled before anything is shuffled.
+BLOCK = 1_000_000
+#: Segments of one key in a block beyond which they are dealt by segment, and a witness stands for them at the key.
+WITNESSED = 16
 
 
 class BlindTrie:
@@ -107,24 +109,73 @@ class BlindTrie:
                 yield node[1]
 
 
-def _runs(*keys):
-    """Start and end of each stretch of rows that are equal in all sorted ``keys``."""
+def _heads(*keys):
+    """Starts of the stretches of rows that are equal in all sorted ``keys``, and the number of each row's stretch."""
     import numpy as np
 
     change = np.zeros(len(keys[0]), bool)
-    change[0] = True
+    change[:1] = True
     for k in keys:
         change[1:] |= k[1:] != k[:-1]
-    starts = np.flatnonzero(change)
-    return starts, np.concatenate([starts[1:], [len(keys[0])]])
+    return np.flatnonzero(change), np.cumsum(change) - 1
+
+
+def multikey_quicksort(word, run, several, depths: int):
+    """Yields arrays of rows, and of their group's number, whose groups are equal in ``depths`` characters.
+
+    ``word(rows, depth)`` is a character of each row (8 bytes as a number), ``run`` ascending numbers of the
+    groups at the start. Every pass splits all open groups at once by a pivot of their own into less, equal and
+    greater; the equal part goes on to its next character, the others stay at this one. ``several(rows, starts)``
+    tells which groups are worth going on with.
+    """
+    import numpy as np
+
+    rows, depth = np.arange(len(run)), np.zeros(len(run), np.int64)
+    _, run = _heads(run)
+    while len(rows):
+        starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        size = np.diff(np.append(starts, len(rows)))
+        live = (size > 1) & several(rows, starts)
+        keep = np.repeat(live, size)
+        rows, depth, run = rows[keep], depth[keep], run[keep]
+        if not len(rows):
+            return
+        _, run = _heads(run)
+        done = depth == depths
+        if done.any():
+            yield rows[done], run[done]
+            rows, depth, run = rows[~done], depth[~done], run[~done]
+            if not len(rows):
+                return
+            _, run = _heads(run)
+        starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        size = np.diff(np.append(starts, len(rows)))
+        c = word(rows, depth)
+        three = np.stack([c[starts], c[starts + size // 2], c[starts + size - 1]])
+        pivot = np.sort(three, axis=0)[1][run]
+        side = (c >= pivot).astype(np.int8) + (c > pivot)
+        place = np.zeros(len(rows), np.int64)
+        before = starts.copy()  # where each group's next side begins
+        for s in range(3):
+            seen = np.cumsum(side == s)
+            first = seen[starts] - (side[starts] == s)
+            mine = side == s
+            place[mine] = (before[run] + seen - 1 - first[run])[mine]
+            before += np.append(seen[starts[1:] - 1], seen[-1]) - first
+        order = np.empty(len(rows), np.int64)
+        order[place] = np.arange(len(rows))
+        rows, side, run, depth = rows[order], side[order], run[order], depth[order]
+        depth = depth + (side == 1)
+        _, run = _heads(run, side)
 
 
 def equal_strings(groups, segments: list[bytes], span: int, owners):
     """For each segment a mask of its ``span``-byte strings that a segment of the same group with a smaller owner has.
 
-    Deep-shallow sorting of the suffixes within each group: multikey sorting by 8 bytes at a time to ``SHALLOW``
-    bytes, each time only for the runs that are equal so far, then a blind trie for every run that remains. Runs of a
-    single owner are left out. ``groups`` are ascending numbers, ``owners`` comparable numbers.
+    Deep-shallow sorting of the suffixes within each group: multikey quicksort by characters of 8 bytes to ``SHALLOW``
+    bytes, then a blind trie for every stretch that is equal so far. A trie of two leaves is one comparison, and those
+    comparisons are made for all such pairs at once. Stretches of a single owner are left out. ``groups`` are ascending
+    numbers, ``owners`` comparable numbers, ``span`` is ``SHALLOW`` + 8 or more.
     """
     import numpy as np
 
@@ -138,205 +189,311 @@ def equal_strings(groups, segments: list[bytes], span: int, owners):
     text = b"".join(segments) + b"\0" * 8
     at = (np.cumsum(sizes) - sizes)[of] + offset
     words = np.ndarray((len(text) - 7,), ">u8", text, 0, (1,))
-    run, rows = np.asarray(groups)[of], np.arange(len(of))
-    starts = ends = None
-    for depth in range(0, SHALLOW, 8):
-        word = words[at[rows] + depth].astype(np.uint64)
-        order = np.lexsort((word, run))
-        rows, run, word = rows[order], run[order], word[order]
-        starts, ends = _runs(run, word)
-        owner = owners[of[rows]]
-        several = np.minimum.reduceat(owner, starts) < np.maximum.reduceat(owner, starts)
-        size = ends - starts
-        live = np.repeat(several, size)
-        rows, run = rows[live], np.repeat(np.arange(len(starts)), size)[live]
-        if not len(rows):
-            return masks
-    starts, ends = _runs(run)
-    where, source, shift = at[rows].tolist(), of[rows].tolist(), offset[rows].tolist()
-    own = owners[of[rows]].tolist()
-
-    def settle(equal: list[int]) -> None:
-        least = min(own[i] for i in equal)
-        for i in equal:
-            if own[i] > least:
-                masks[source[i]] |= 1 << shift[i]
-
-    for a, b in zip(starts.tolist(), ends.tolist()):
-        if b - a == 2:
-            p, q = where[a], where[a + 1]
-            if text[p + SHALLOW : p + span] == text[q + SHALLOW : q + span]:
-                settle([a, a + 1])
-            continue
-        trie = BlindTrie()
-        for i in range(a, b):
-            trie.add(int.from_bytes(text[where[i] + SHALLOW : where[i] + span], "big"), i)
-        for equal in trie.groups():
-            if len(equal) > 1:
-                settle(equal)
+    own = np.asarray(owners)[of]
+
+    def several(rows, starts):
+        owner = own[rows]
+        return np.minimum.reduceat(owner, starts) < np.maximum.reduceat(owner, starts)
+
+    def settle(rows, starts):
+        """Marks the rows of equal strings, stretches of ``rows``, whose owner is not the least of theirs."""
+        owner = own[rows]
+        least = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.append(starts, len(rows))))
+        hit = rows[owner > least]
+        np.bitwise_or.at(masks, of[hit], np.int64(1) << offset[hit])
+
+    def word(rows, depth):
+        return words[at[rows] + 8 * depth].astype(np.uint64)
+
+    for rows, run in multikey_quicksort(word, np.asarray(groups)[of], several, SHALLOW // 8):
+        starts, _ = _heads(run)
+        size = np.diff(np.append(starts, len(rows)))
+        pairs = starts[size == 2]
+        a, b = rows[pairs], rows[pairs + 1]
+        same = np.ones(len(pairs), bool)
+        for o in range(SHALLOW, span, 8):
+            o = min(o, span - 8)
+            same &= words[at[a] + o] == words[at[b] + o]
+        if same.any():
+            both = np.stack([a[same], b[same]], axis=1).ravel()
+            settle(both, np.arange(0, len(both), 2))
+        for s, n in zip(starts[size > 2].tolist(), size[size > 2].tolist()):
+            trie, members = BlindTrie(), rows[s : s + n].tolist()
+            for i in members:
+                p = int(at[i])
+                trie.add(int.from_bytes(text[p + SHALLOW : p + span], "big"), i)
+            equal = [g for g in trie.groups() if len(g) > 1]
+            if equal:
+                ends = np.cumsum([len(g) for g in equal])
+                settle(np.concatenate(equal), np.concatenate([[0], ends[:-1]]))
     return masks
 
 
-def _anchor_rows(docs: DataFrame, span: int, width: bool) -> DataFrame:
-    """A row an anchor: key, doc and, with ``width``, seg (digest of the segment) and place (first << 16 | last - first).
+#: Kinds of rows: a block's copy of a segment that is compared under its key, the same dealt by segment, a sign that a
+#: key has such, a stretch known to repeat, and a stretch that repeats an earlier one of its own document.
+REPRESENTATIVE, DEALT, WITNESS, REPEAT, ALIAS = range(5)
+_ROWS = "kind byte, key long, seg long, doc {}, place long"
+
+
+def _ranks(owners):
+    """Dense ranks of an Arrow array's values, ascending, as numbers."""
+    import numpy as np
+    import pyarrow.compute as pc
 
-    A segment reaches from the first string of the anchor to the end of its last.
+    return pc.rank(owners, sort_keys="ascending", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _blocks(docs: DataFrame, doc: str, text: str, span: int) -> DataFrame:
+    """The anchors of ``docs`` in rows of kind, key, seg, doc and place (first << 16 | last - first).
+
+    A segment reaches from the first string of an anchor to the end of its last; seg is its digest. In each block of
+    some documents, the smallest document's segment stands for all equal ones: the others repeat it, or are aliases
+    where they are of the same document, whose ``key`` is the place that they follow. Neighbouring repeats are joined.
     """
+    schema = _ROWS.format(dict(docs.dtypes)[doc])
 
-    def make():
+    def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
         digest = xxhash.xxh64_intdigest
 
-        def run(ids: list, texts: list) -> dict[str, list]:
-            keys, owners, segs, places = [], [], [], []
-            for d, t in zip(ids, texts):
-                raw = t.encode() if t else b""
+        def block(ids, raws, parts):
+            key, first, last = (np.concatenate(x) for x in list(zip(*parts))[:3])
+            seg = np.array([s for p in parts for s in p[3]], np.uint64)
+            of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+            ids = pa.chunked_array(ids).combine_chunks()
+            rank = _ranks(ids)[of]
+            place = first << 16 | last - first
+            order = np.lexsort((rank, seg, key))
+            starts, stretch = _heads(key[order], seg[order])
+            head = np.empty(len(key), np.int64)
+            head[order] = order[starts][stretch]
+            kind = np.where(rank > rank[head], REPEAT, ALIAS)
+            kind[order[starts]] = REPRESENTATIVE
+            lead = order[starts]  # in the order of keys
+            at, mine = _heads(key[lead])
+            many = np.diff(np.append(at, len(lead))) > WITNESSED
+            kind[lead[many[mine]]] = DEALT
+            seen = key[head] if not (kind == ALIAS).any() else np.where(kind == ALIAS, place[head].astype(np.uint64), key)
+            # neighbours that repeat, in one row
+            again = kind == REPEAT
+            more = np.flatnonzero(again)
+            joined = np.zeros(len(more), bool)
+            joined[1:] = (np.diff(more) == 1) & (of[more[1:]] == of[more[:-1]]) & (first[more[1:]] == last[more[:-1]] + 1)
+            begin = np.flatnonzero(~joined)
+            end = np.append(begin[1:], len(more))[: len(begin)] - 1
+            rest = np.flatnonzero(~again)
+            columns = [[kind[rest], seen[rest].view(np.int64), seg[rest].view(np.int64), of[rest], place[rest]]]
+            if len(begin):
+                a, b, d = first[more[begin]], last[more[end]], of[more[begin]]
+                short = b - a < 1 << 16
+                for s in np.flatnonzero(~short).tolist():  # too long for a place
+                    for x in range(int(a[s]), int(b[s]) + 1, 1 << 16):
+                        y = min(x + 0xFFFF, int(b[s]))
+                        a, b, d = np.append(a, x), np.append(b, y), np.append(d, d[s])
+                a, b, d = (x[np.append(short, np.ones(len(x) - len(short), bool))] for x in (a, b, d))
+                marks = np.array([digest(raws[i][x : y + span]) for i, x, y in zip(d.tolist(), a.tolist(), b.tolist())], np.uint64)
+                columns.append([np.full(len(a), REPEAT), marks.view(np.int64), marks.view(np.int64), d, a << 16 | b - a])
+            signs = lead[at[many]]
+            columns.append([np.full(len(signs), WITNESS), key[signs].view(np.int64), np.zeros(len(signs), np.int64), of[signs], np.zeros(len(signs), np.int64)])
+            kind, key, seg, of, place = map(np.concatenate, zip(*columns))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(kind.astype(np.int8)), pa.array(key), pa.array(seg), ids.take(pa.array(of)), pa.array(place)],
+                names=["kind", "key", "seg", "doc", "place"],
+            )
+
+        ids, raws, parts, held = [], [], [], 0
+        for batch in batches:
+            owners = batch.column(0)
+            for i, t in enumerate(batch.column(1)):
+                raw = (t.as_py() or "").encode()
+                if len(raw) < span:
+                    continue
                 key, first, last = anchors(raw, span)
-                keys.append(key)
-                owners.append(np.full(len(key), d, np.int64))
-                if width:
-                    segs += [digest(raw[a:b]) for a, b in zip(first.tolist(), (last + span).tolist())]
-                    places.append(first << 16 | last - first)
-            out = {"key": pa.array(np.concatenate(keys).view(np.int64)), "doc": pa.array(np.concatenate(owners))}
-            if width:
-                out |= {"seg": pa.array(np.array(segs, np.uint64).view(np.int64)), "place": pa.array(np.concatenate(places))}
-            return out
+                segs = [digest(raw[a:b]) for a, b in zip(first.tolist(), (last + span).tolist())]
+                ids.append(owners.slice(i, 1))
+                raws.append(raw)
+                parts.append((key, first, last, segs))
+                held += len(key)
+                if held >= BLOCK:
+                    yield block(ids, raws, parts)
+                    ids, raws, parts, held = [], [], [], 0
+        if parts:
+            yield block(ids, raws, parts)
+
+    return docs.select(col(doc), col(text)).filter(col(doc).isNotNull()).mapInArrow(run, schema)
 
-        return run
 
-    schema = "key long, doc long" + (", seg long, place long" if width else "")
-    return map_rows(docs.select("_key", "_text").filter("_key is not null"), make, schema)
+def _settled(rows: DataFrame) -> DataFrame:
+    """The repeats and aliases of ``rows``, and as REPRESENTATIVE the segments whose keys hold other ones, too.
 
+    One shuffle deals a key's rows to a task: of each block one row a segment, and no more than ``WITNESSED`` of a key, so
+    a key of a third of all documents brings that many rows a block. The other rows are dealt by segment or document.
+    """
 
-def _segment_bytes(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def out(t, pick, kind):
+            t = t.take(pa.array(pick)).combine_chunks()
+            return t.set_column(0, "kind", pa.array(np.full(len(pick), kind, np.int8)))
+
+        for t in whole_keys(batches, ["key"], 200_000):
+            kind, key, seg = (t.column(c).to_numpy() for c in ("kind", "key", "seg"))
+            passed = np.flatnonzero(kind >= REPEAT)
+            if len(passed):
+                yield from t.take(pa.array(passed)).to_batches()
+            mine = np.flatnonzero(kind <= WITNESS)
+            if not len(mine):
+                continue
+            rank = _ranks(t.column("doc").combine_chunks())
+            mine = mine[np.lexsort((rank[mine], seg[mine], kind[mine] == WITNESS, key[mine]))]
+            kind, key, seg, rank = kind[mine], key[mine], seg[mine], rank[mine]
+            starts, stretch = _heads(key, seg, kind == WITNESS)
+            least = rank[starts][stretch]
+            again = (rank > least) & (kind != WITNESS)
+            if again.any():
+                yield from out(t, mine[again], REPEAT).to_batches()
+            at, of = _heads(key)
+            shared = np.maximum.reduceat(kind, at) > REPRESENTATIVE
+            shared |= np.minimum.reduceat(least, at) < np.maximum.reduceat(least, at)
+            asked = (rank == least) & (kind != WITNESS) & shared[of]
+            if asked.any():
+                yield from out(t, mine[asked], REPRESENTATIVE).to_batches()
+
+    dealt = F.when(F.col("kind").isin(REPRESENTATIVE, WITNESS), F.xxhash64("key")).when(
+        F.col("kind") == DEALT, F.xxhash64("key", "seg")
+    ).otherwise(F.xxhash64("doc"))
+    return rows.repartition(dealt).sortWithinPartitions("key").mapInArrow(run, rows.schema)
+
+
+def _segment_bytes(docs: DataFrame, doc: str, text: str, wanted: DataFrame, span: int) -> DataFrame:
     """``wanted`` (key, seg, doc, place) with ``body``, the segment's bytes from the document."""
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "seg", "place")).alias("_segs"))
-    joined = docs.join(by_doc, docs["_key"] == by_doc["doc"]).select("doc", "_text", "_segs")
+    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "seg", "place")).alias("segs"))
+    slim = docs.select(col(doc).alias("owner"), col(text).alias("body"))
+    joined = slim.join(by_doc, slim["owner"] == by_doc["doc"]).select("doc", "body", "segs")
 
     def make():
         import xxhash
 
         def run(ids: list, texts: list, lists: list) -> dict[str, list]:
-            out: dict[str, list] = {"key": [], "seg": [], "doc": [], "body": []}
+            out: dict[str, list] = {"key": [], "seg": [], "doc": [], "place": [], "body": []}
             for d, t, segs in zip(ids, texts, lists):
                 raw = t.encode() if t else b""
                 for s in segs:
                     first, more = s["place"] >> 16, s["place"] & 0xFFFF
                     body = raw[first : first + more + span]
                     if xxhash.xxh64_intdigest(body) == s["seg"] & (2**64 - 1):  # rows of one id may differ
-                        for name, value in (("key", s["key"]), ("seg", s["seg"]), ("doc", d), ("body", body)):
+                        for name, value in (("key", s["key"]), ("seg", s["seg"]), ("doc", d), ("place", s["place"]), ("body", body)):
                             out[name].append(value)
             return out
 
         return run
 
-    return map_rows(joined, make, "key long, seg long, doc long, body binary")
+    return map_rows(joined, make, f"key long, seg long, doc {dict(wanted.dtypes)['doc']}, place long, body binary")
+
 
+def _sorted(bodies: DataFrame, span: int, strings: bool) -> DataFrame:
+    """``bodies`` (key, part, base, cuts, seg, doc, place, body) sorted part by part.
 
-def _sorted_masks(bodies: DataFrame, span: int) -> DataFrame:
-    """key, seg, mask of the segments, sorted key by key in the tasks that the keys are dealt to."""
+    Rows seg, doc, place and mask where a string repeats; a segment's strings start at ``base`` in it. With ``strings``
+    there is a row with base and body, too, for each string that no smaller document of its part has, if its key has
+    several parts.
+    """
+    kind = dict(bodies.dtypes)["doc"]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        held = None
-
-        def masks(t):
-            keys = t.column("key").to_numpy()
-            found = equal_strings(keys, t.column("body").to_pylist(), span, t.column("doc").to_numpy())
-            hit = np.flatnonzero(found)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys[hit]), pa.array(t.column("seg").to_numpy()[hit]), pa.array(found[hit])], names=["key", "seg", "mask"]
-            )
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            keys = held.column("key").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1], "left")) if len(keys) else 0
-            if cut > 20_000:  # the last key may go on
-                yield masks(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield masks(held)
-
-    return bodies.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, seg long, mask long")
-
-
-def _counted_masks(bodies: DataFrame, span: int) -> DataFrame:
-    """The same string by string, with partial minima, for keys of too many segments for one task.
-
-    Rows of one key and text give each segment more than once, which changes no mask.
+        for t in whole_keys(batches, ["key", "part"], 20_000):
+            key, part, base, cuts = (t.column(c).to_numpy() for c in ("key", "part", "base", "cuts"))
+            segments = t.column("body").to_pylist()
+            _, group = _heads(key, part)
+            masks = equal_strings(group, segments, span, _ranks(t.column("doc").combine_chunks()))
+            hit = np.flatnonzero(masks)
+            at, bases, found, bodies = [hit], [base[hit]], [masks[hit] << base[hit]], [None] * len(hit)
+            left = [
+                (i, o) for i in (np.flatnonzero(cuts > 1).tolist() if strings else [])
+                for o in range(len(segments[i]) - span + 1) if not masks[i] >> o & 1
+            ]
+            if left:
+                rows, offsets = (np.array(x) for x in zip(*left))
+                at.append(rows)
+                bases.append(base[rows] + offsets)
+                found.append(np.zeros(len(rows), np.int64))
+                bodies += [segments[i][o : o + span] for i, o in left]
+            at, bases, found = map(np.concatenate, (at, bases, found))
+            if len(at):
+                took = t.select(["key", "cuts", "seg", "doc", "place"]).take(pa.array(at)).combine_chunks()
+                took = took.append_column("base", pa.array(bases.astype(np.int32))).append_column("mask", pa.array(found))
+                yield from took.append_column("body", pa.array(bodies, pa.binary())).to_batches()
+
+    dealt = bodies.repartition("key", "part").sortWithinPartitions("key", "part")
+    return dealt.mapInArrow(run, f"key long, cuts int, seg long, doc {kind}, place long, base int, mask long, body binary")
+
+
+def _masks(bodies: DataFrame, span: int) -> DataFrame:
+    """``doc``, place, seg and mask of the segments that hold strings of smaller documents.
+
+    Each key is sorted in parts of ``GROUP`` segments, most keys in one. Of the parts of a larger key those strings that
+    are no repeats so far, one document's of each part, are sorted again, dealt by their own hash, so that a string of a
+    third of all documents brings one row a part.
     """
-    strings = bodies.select(
-        "key", "seg", "doc", F.explode(F.sequence(F.lit(0), F.octet_length("body") - span)).alias("o"), "body"
-    ).select("key", "seg", "doc", "o", F.substring("body", F.col("o") + 1, F.lit(span)).alias("s"))
-    least = shared_table(strings.groupBy("s").agg(F.min("doc").alias("lo")), "least")
-    return (
-        strings.join(least, "s").filter("lo < doc")
-        .groupBy("key", "seg").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
-    )
+    large = bodies.groupBy("key").count().filter(F.col("count") > GROUP).select(
+        "key", F.ceil(F.col("count") / GROUP).cast("int").alias("cuts")
+    )
+    large = shared_table(large, "large")
+    placed = bodies.join(large, "key", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    placed = placed.withColumns({"part": F.pmod("seg", "cuts").cast("int"), "base": F.lit(0)})
+    first = shared_table(_sorted(placed, span, True), "sorted")
+    found = first.filter("body is null").select("doc", "place", "seg", "mask")
+    again = first.filter("body is not null").drop("mask")
+    if large.isEmpty():
+        return found
+    again = again.withColumn("part", F.pmod(F.xxhash64("body"), 64 * F.col("cuts")).cast("int"))
+    return found.union(_sorted(again, span, False).select("doc", "place", "seg", "mask"))
 
 
 def repeated_strings(docs: DataFrame, key: str, text: str, span: int) -> DataFrame:
-    """Marks ``(doc, place, seg, mask)``: the strings of a segment that also start in a document of a smaller key.
+    """Marks ``(kind, doc, place, seg, mask, of)``: which strings of a segment also start in a document of a smaller key.
 
-    1. Keys of anchors that come in two documents are found with partial minima; nothing else can repeat.
-    2. Their segments are told apart by digest. All but the smallest document of a segment repeat all of it.
-    3. Only the smallest document's copy of each segment is compared with the key's other segments, by suffix sorting.
-    A key, a segment or a text of a third of all documents adds one row a task to each of these sums, and
-    the joins can be split by rows.
+    1. Blocks of documents settle what repeats within them; one segment of each kind goes on.
+    2. One shuffle by anchor settles equal segments of different blocks, and finds keys of different segments.
+    3. Only those segments are fetched and compared, by suffix sorting.
+    A mask of -1 is of a stretch that repeats as a whole; an ALIAS shares the fate of the segment at ``of``.
     """
-    docs = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    shared = shared_table(
-        _anchor_rows(docs, span, False).groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-        .filter("lo < hi").select("key"),
-        "keys",
-    )
-    rows = shared_table(_anchor_rows(docs, span, True).join(shared, "key"), "anchors")
-    drop_shared(shared)
-    segments = shared_table(
-        rows.groupBy("key", "seg").agg(F.min(F.struct("doc", "place")).alias("at")).select("key", "seg", "at.*"), "segments"
+    settled = shared_table(_settled(_blocks(docs, key, text, span)), "settled")
+    bodies = _segment_bytes(docs, key, text, settled.filter(F.col("kind") == REPRESENTATIVE), span)
+    bodies = shared_table(bodies, "bodies")
+    masks = shared_table(_masks(bodies, span), "masks")
+    drop_shared(bodies)
+    whole = settled.filter(F.col("kind") > WITNESS).select(
+        "kind", "doc", "place", "seg", F.lit(-1).cast("long").alias("mask"), F.col("key").alias("of")
     )
-    several = shared_table(
-        segments.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .filter("lo < hi").select("key", "n"),
-        "several",
-    )
-    bodies = shared_table(_segment_bytes(docs, segments.join(several.select("key"), "key"), span), "bodies")
-    large = several.filter(F.col("n") > GROUP).select("key")
-    masks = shared_table(
-        _sorted_masks(bodies.join(large, "key", "left_anti"), span)
-        .union(_counted_masks(bodies.join(large, "key", "left_semi"), span)),
-        "masks",
-    )
-    drop_shared(bodies, several)
-    owned = segments.select("key", "seg", F.col("doc").alias("lo")).join(masks, ["key", "seg"], "left")
-    owned = shared_table(owned, "owned")
-    drop_shared(segments, masks)
-    marks = rows.join(owned, ["key", "seg"])
-    mask = F.when(F.col("doc") > F.col("lo"), F.lit(-1).cast("long")).otherwise(F.col("mask"))
-    found = shared_table(marks.select("doc", "place", "seg", mask.alias("mask")).filter("mask is not null"), "marks")
-    drop_shared(rows, owned)
-    return found
+    return whole.union(masks.select(F.lit(REPEAT).cast("byte"), "doc", "place", "seg", "mask", F.lit(0).cast("long")))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 50) -> DataFrame:
     """``docs``, every row, with ``kept`` (binary), the bytes left, and ``removed``, the byte spans that went.
 
     Every byte goes that lies in a ``span``-byte string which also starts in a document of a smaller key; strings are
-    those of the UTF-8 texts as they came. A null text is empty. A row of a null key is left whole and takes nothing
-    from others; rows of one key take nothing from each other. Columns of those names are replaced; the text is dropped.
+    those of the UTF-8 texts as they came. Keys are whole numbers or strings. A null or empty text is empty and loses
+    nothing. A row of a null key is left whole and takes nothing from others; rows of one key, repeated ones too, take
+    nothing from each other, and all keep their rows. An empty table gives an empty table. Columns of the names of the
+    two new ones, in any case, are replaced; others keep their values whatever they are called; the text is dropped.
     """
-    others = [c for c in docs.columns if c not in (text, "kept", "removed")]
+    kept = others(docs, text, "kept", "removed")
+    body, owner, doc, found = fresh(docs, "body", "owner", "doc", "found")
     marks = repeated_strings(docs, key, text, span)
-    by_doc = marks.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("place", "seg", "mask")).alias("_marks"))
-    keyed = docs.select(*others, F.col(text).alias("_text"), F.col(key).alias("_key"))
-    joined = keyed.join(by_doc, keyed["_key"] == by_doc["_doc"], "left").select(*others, "_text", "_marks")
+    by_doc = marks.groupBy(F.col("doc").alias(doc)).agg(
+        F.collect_list(F.struct("kind", "place", "seg", "mask", "of")).alias(found)
+    )
+    keyed = docs.select(*map(col, kept), col(text).alias(body), col(key).alias(owner))
+    joined = keyed.join(by_doc, keyed[owner] == by_doc[doc], "left").select(*map(col, kept), body, found)
 
     def make():
         import numpy as np
@@ -346,10 +503,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
             if not marks:
                 return raw, []
             depth = np.zeros(len(raw) + 1, np.int32)
+            fate: dict[tuple, int] = {}
             for m in marks:
-                first, more, mask = m["place"] >> 16, m["place"] & 0xFFFF, m["mask"]
-                if xxhash.xxh64_intdigest(raw[first : first + more + span]) != m["seg"] & (2**64 - 1):
-                    continue  # of another row of the same key
+                if m["kind"] != ALIAS:
+                    at = m["place"], m["seg"]
+                    fate[at] = fate.get(at, 0) | m["mask"]
+            now = [(*at, mask) for at, mask in fate.items()]
+            now += [(m["place"], m["seg"], fate.get((m["of"], m["seg"]), 0)) for m in marks if m["kind"] == ALIAS]
+            for place, seg, mask in now:
+                first, more = place >> 16, place & 0xFFFF
+                if not mask or xxhash.xxh64_intdigest(raw[first : first + more + span]) != seg & (2**64 - 1):
+                    continue  # no repeat, or of another row of the same key
                 if mask == -1:
                     depth[first] += 1
                     depth[first + more + span] -= 1
@@ -365,15 +529,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
 
         def run(*columns: list) -> dict[str, list]:
             done = [one(t.encode() if t else b"", m) for t, m in zip(*columns[-2:])]
-            return dict(zip(others, columns)) | {"kept": [a for a, _ in done], "removed": [b for _, b in done]}
+            return dict(zip(kept, columns)) | {"kept": [a for a, _ in done], "removed": [b for _, b in done]}
 
         return run
 
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>")
-    return map_rows(joined, make, joined.drop("_text", "_marks").withColumns({"kept": F.lit(b""), "removed": empty}).schema)
+    return map_rows(joined, make, joined.drop(body, found).withColumns({"kept": F.lit(b""), "removed": empty}).schema)
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the 50-byte strings that a smaller ``doc_id`` has: sizes, and a digest of what is left.
+
+    Null texts count as empty: no bytes, no spans, the digest of nothing. Repeated rows keep a row each.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = remove_repeats(docs)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
