@@ -1,28 +1,32 @@
 """LM scoring: Brown class-based bigrams, classes by exchange clustering.
 
-Every token has a unit: a frequent word is its own, any other word the unit of its ending. Exchange
-clustering gives each unit a class. A text's score is the sum over its tokens of
-log10 P(class | class before) + log10 P(word | class).
+Every training word has a class, chosen by the likelihood of class bigrams from the words that it stands next to. A
+text's score is the sum over its tokens of log10 P(class | class before) + log10 P(word | class).
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import repeat
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.arrow import map_rows
-from skyloom.llm.common import read_table, shared_table
+from skyloom.llm.arrow import map_rows, whole_keys
+from skyloom.llm.common import col, drop_shared, fresh, others, read_table, shared_table
 
 #: The end of a text; no word holds a line feed.
 END = b"\n"
-#: Words with a unit of their own, units of endings, classes, words whose counts are sent to the tasks.
-OWN_UNITS, ENDINGS, CLASSES, SENT_WORDS = 1024, 255, 64, 100_000
+#: Words that are exchanged with each other until none moves, classes, and words that are sent to the tasks.
+OWN_UNITS, CLASSES, SENT_WORDS = 1024, 64, 100_000
+#: Groups of endings, by which words that training has not seen get a class.
+ENDINGS = 255
 #: Weight of the class's share of all tokens in its smoothed chance after another class.
 PRIOR = 50.0
+#: Neighbours that a task counts before it sends anything on.
+EVENTS = 8_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -58,45 +62,130 @@ def word_counts(docs: DataFrame, text: str, spill: int = 400_000) -> DataFrame:
         if seen:
             yield flush()
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "word binary, n long")
+    found = docs.select(col(text).alias("text")).mapInArrow(run, "word binary, n long")
     return found.groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def unit_bigrams(docs: DataFrame, text: str, units: dict[bytes, int], size: int) -> DataFrame:
-    """``pair`` (first unit * size + second) and its count ``n`` over all rows.
+class _Numbers(dict):
+    """Numbers of words; a new word gets the next one, and its name goes to ``names``."""
 
-    A text starts after an end. Each task sums a table of ``size`` squared cells and sends those in use.
+    def __init__(self, known):
+        super().__init__(zip(known, range(len(known))))
+        self.names = list(known)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.names)
+        self.names.append(word)
+        return n
+
+
+_CONTEXTS = "word binary, other binary, cells array<int>, counts array<long>"
+
+
+def contexts(docs: DataFrame, text: str, labels: dict[bytes, int], size: int, rest: bool) -> DataFrame:
+    """What the words of all rows stand next to. ``labels`` give words a number below ``size``, or -1.
+
+    Rows word, cells, counts: cell x counts the neighbours before the word that are labelled x, cell size + x those
+    after it, cell 2 * size the word itself. A task gives the words of ``labels``, or with ``rest`` all others. With
+    ``rest`` there are rows word, other and one count, of pairs of words that are both without a label, and rows of
+    neither, whose counts are those of all pairs of labels. The neighbour before a text is the end of another.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(units)
+    sent = docs.sparkSession.sparkContext.broadcast(labels)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        units, cells = _Units(sent.value), np.zeros(size * size, np.int64)
-        end = sent.value[END]
+        known = sent.value
+        own, wide, n_known = np.fromiter(known.values(), np.int64, len(known)), 2 * size + 1, len(known)
+        table = np.zeros(size * size, np.int64)
+        numbers, events, pairs, held = _Numbers(known), [], [], 0
+
+        def listed(key, base, values, type_):
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+            offsets = pa.array(np.append(at, len(key)).astype(np.int32))
+            return at, [pa.ListArray.from_arrays(offsets, pa.array(v, t)) for v, t in zip(values, type_)]
+
+        def flush():
+            if events:
+                key, n = np.unique(np.concatenate(events), return_counts=True)
+                word = key // wide
+                at, lists = listed(word, wide, ((key % wide).astype(np.int32), n), (pa.int32(), pa.int64()))
+                names = pa.array([numbers.names[i] for i in word[at].tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([names, pa.nulls(len(at), pa.binary()), *lists], names=["word", "other", "cells", "counts"])
+            if pairs:
+                key, n = np.unique(np.concatenate(pairs), return_counts=True)
+                first, second = ([numbers.names[i] for i in x.tolist()] for x in (key >> 32, key & 0xFFFFFFFF))
+                counts = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32)), pa.array(n))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first, pa.binary()), pa.array(second, pa.binary()), pa.nulls(len(n), pa.list_(pa.int32())), counts],
+                    names=["word", "other", "cells", "counts"],
+                )
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                parts = [np.array([end])]
+                parts = [np.array([numbers[END]])]
                 for t in batch.column(0).slice(at, 256).to_pylist():
-                    words = tokens(t)
-                    parts.append(np.fromiter(map(units.__getitem__, words), np.int64, len(words)))
+                    line = tokens(t)
+                    parts.append(np.fromiter(map(numbers.__getitem__, line), np.int64, len(line)))
                 line = np.concatenate(parts)  # every text ends with an end, which the next one follows
-                pairs, n = np.unique(line[:-1] * size + line[1:], return_counts=True)
-                cells[pairs] += n
-        used = np.flatnonzero(cells)
-        if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], names=["pair", "n"])
-
-    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "pair long, n long")
-    return found.groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-class _Units(dict):
-    """Units of words; those that have none of their own are not kept."""
+                label = np.where(line < n_known, own[np.minimum(line, n_known - 1)], -1)
+                asked = (line >= n_known) == rest
+                a, b = slice(None, -1), slice(1, None)
+                left, right = asked[b] & (label[a] >= 0), asked[a] & (label[b] >= 0)
+                events += [line[b][left] * wide + label[a][left], line[a][right] * wide + size + label[b][right]]
+                held += len(events[-1]) + len(events[-2])
+                if rest:
+                    events.append(line[b][asked[b]] * wide + 2 * size)
+                    both = (label[a] >= 0) & (label[b] >= 0)
+                    table += np.bincount(label[a][both] * size + label[b][both], minlength=size * size)
+                    neither = (label[a] < 0) & (label[b] < 0)
+                    pairs.append(line[a][neither] << 32 | line[b][neither])
+                    held += len(events[-1]) + len(pairs[-1])
+                if held >= EVENTS:
+                    yield from flush()
+                    numbers, events, pairs, held = _Numbers(known), [], [], 0
+        yield from flush()
+        if rest and table.any():
+            counts = pa.ListArray.from_arrays(pa.array([0, size * size], pa.int32()), pa.array(table))
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int32())), counts],
+                names=["word", "other", "cells", "counts"],
+            )
+
+    return docs.select(col(text).alias("text")).mapInArrow(run, _CONTEXTS)
+
+
+def _by_word(found: DataFrame, wide: int, make: Callable, schema: str) -> DataFrame:
+    """``make()``, once a task, over words (Arrow) and their summed cells: (words, at, cell, n), each word in one call.
+
+    ``at`` are ascending places in words. Its result, and that of a call with None at the end, are batches or None.
+    A task has sent a word once for each ``EVENTS`` neighbours, so a frequent one does not bring all of its tokens.
+    """
 
-    def __missing__(self, word: bytes) -> int:
-        return 1 + ending(word)
+    def run(batches):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        f = make()
+        for t in whole_keys(batches, ["word"], 20_000):
+            t = t.combine_chunks()
+            word, cells, counts = (t.column(c).chunk(0) for c in ("word", "cells", "counts"))
+            coded = word.dictionary_encode()
+            sizes = pc.list_value_length(cells).to_numpy(zero_copy_only=False)
+            key = np.repeat(coded.indices.to_numpy().astype(np.int64), sizes) * wide + cells.flatten().to_numpy()
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], counts.flatten().to_numpy()[order]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            out = f(coded.dictionary, key[at] // wide, key[at] % wide, np.add.reduceat(n, at))
+            if out is not None:
+                yield out
+        out = f(None, None, None, None)
+        if out is not None:
+            yield out
+
+    words = found.filter("cells is not null").select("word", "cells", "counts")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, schema)
 
 
 def exchange(counts, classes: int, fixed: int = 1, rounds: int = 4):
@@ -104,17 +193,17 @@ def exchange(counts, classes: int, fixed: int = 1, rounds: int = 4):
 
     ``counts`` is the square table of unit bigrams. The first ``fixed`` units keep a class of their own. Units
     start in classes by rank of their frequency. A move is judged exactly: sum of f(class bigrams) less that of
-    both marginals, f(x) = x log x; rounds end early when none moves.
+    both marginals, f(x) = x log x; rounds end early when none moves. There is a free class even without units for it.
     """
     import numpy as np
 
     n = len(counts)
-    free = max(1, min(classes - fixed, n - fixed)) if n > fixed else 0
+    free = max(1, min(classes - fixed, n - fixed))
     weight = counts.sum(axis=0) + counts.sum(axis=1)
     order = fixed + np.argsort(-weight[fixed:], kind="stable")
     of = np.zeros(n, np.int64)
     of[:fixed] = np.arange(fixed)
-    of[order] = fixed + np.arange(n - fixed) % max(free, 1)
+    of[order] = fixed + np.arange(n - fixed) % free
     size = fixed + free
     member = np.zeros((n, size))
     member[np.arange(n), of] = 1
@@ -163,19 +252,57 @@ def exchange(counts, classes: int, fixed: int = 1, rounds: int = 4):
     return of, size
 
 
+def best_classes(at, cell, n, words: int, table, fixed: int = 1):
+    """The class of each of ``words`` new words that raises the likelihood of class bigrams ``table`` most, as a move does.
+
+    ``at``, ascending, are words, ``cell`` the class before (0 .. k - 1) or after (k .. 2k - 1) it, ``n`` how often.
+    A word without neighbours goes to the class of the most tokens.
+    """
+    import numpy as np
+
+    k = len(table)
+
+    def f(x):
+        return x * np.log(np.maximum(x, 1.0))
+
+    def added(counts, side):
+        """For each count, what a class's sum of that side loses to it."""
+        seen, back = np.unique(counts, return_inverse=True)
+        total = table.sum(axis=side)
+        return (f(total[None, :] + seen[:, None]) - f(total)[None, :])[back]
+
+    gain = 1e-9 * np.tile(table.sum(axis=0) / max(table.sum(), 1.0), (words, 1))
+    if len(at):
+        key, back = np.unique(n * (2 * k) + cell, return_inverse=True)
+        x, c = (key // (2 * k)).astype(float)[:, None], key % (2 * k)
+        lines = np.concatenate([table, table.T])[c]
+        step = f(lines + x) - f(lines)
+        for i in range(0, len(at), 100_000):  # words may be cut: their parts are added up
+            part = step[back[i : i + 100_000]]
+            mine = at[i : i + 100_000]
+            starts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+            gain[mine[starts]] += np.add.reduceat(part, starts, axis=0)
+    before = np.bincount(at[cell < k], n[cell < k], words)
+    after = np.bincount(at[cell >= k], n[cell >= k], words)
+    gain -= added(before, 0) + added(after, 1)
+    gain[:, :fixed] = -np.inf
+    return np.argmax(gain, axis=1)
+
+
 @dataclass(frozen=True)
 class ClassModel:
-    """What scoring needs: counts of all words in a table, those of the most frequent here.
+    """What scoring needs: the most frequent words here, all others in a table.
 
-    ``words``: log10(count + 1) and class; ``unit_class``: class of each unit; ``transition``: log10 P(class |
-    class before); ``emission``: log10 of each class's tokens, types and one for an unknown word.
+    ``words``: log10(count + 1) and class; ``rest``: word, c, class of the others; ``endings``: class of words not seen,
+    by their ending; ``transition``: log10 P(class | class before); ``emission``: log10 of each class's tokens, types
+    and one for a word not seen.
     """
 
-    vocabulary: DataFrame
+    rest: DataFrame
     n_tokens: int
     n_types: int
     words: dict[bytes, tuple[float, int]]
-    unit_class: list[int]
+    endings: list[int]
     transition: list[list[float]]
     emission: list[float]
 
@@ -183,12 +310,18 @@ class ClassModel:
 def train(docs: DataFrame, text: str = "text", classes: int = CLASSES, own_units: int = OWN_UNITS, sent_words: int = SENT_WORDS) -> ClassModel:
     """Learn counts, classes and transitions from all rows of ``docs``.
 
-    Word counts stay in a table. To the driver come the histogram of counts, at most ``sent_words`` words
-    (those of at least the count that fits), the unit bigrams, whose number is bounded by the parameters, and
-    sums by class.
+    1. The ``own_units`` most frequent words are exchanged with each other, by their bigrams over all rows.
+    2. Each other of the ``sent_words`` most frequent words moves to its best class by its neighbours among those.
+    3. Each other word of the corpus moves to its best class by its neighbours among the words of 1 and 2.
+    4. Transitions and emissions are counts of the classes of all tokens, whatever their words.
+    Steps 2 to 4 are jobs over tables that grow with the corpus. To the driver come the histogram of word counts, at
+    most ``sent_words`` words (those of at least the count that fits), the bigrams of ``own_units`` words, and sums by
+    class. Null and empty texts are an end alone; repeated rows count as often as they come; an empty table gives a
+    model that knows no word.
     """
     import numpy as np
 
+    spark = docs.sparkSession
     vocabulary = shared_table(word_counts(docs, text), "vocabulary")
     histogram = sorted(((r["c"], r["count"]) for r in vocabulary.groupBy("c").count().collect()), reverse=True)
     total, types = sum(c * k for c, k in histogram), sum(k for _, k in histogram)
@@ -197,109 +330,218 @@ def train(docs: DataFrame, text: str = "text", classes: int = CLASSES, own_units
         if k > room:
             break
         least, room = c, room - k
-    frequent = vocabulary.filter(F.col("c") >= least).collect() if least < float("inf") else []
-    ranked = sorted(((-r["c"], bytes(r["word"])) for r in frequent if bytes(r["word"]) != END))
-    units = {END: 0} | {w: 1 + ENDINGS + i for i, (_, w) in enumerate(ranked[:own_units])}
-    size = 1 + ENDINGS + own_units
+    sent = {bytes(r["word"]): r["c"] for r in vocabulary.filter((F.col("c") >= least) | (F.col("word") == F.lit(END))).collect()}
+    drop_shared(vocabulary)
+    count = {END: sent.pop(END, 0)} | dict(sorted(sent.items(), key=lambda x: (-x[1], x[0])))
+    units = {w: i if i <= own_units else -1 for i, w in enumerate(count)}
+    size = min(own_units + 1, len(units))
+
+    labels = spark.sparkContext.broadcast(units)
+
+    def summed():
+        import pyarrow as pa
+
+        own = labels.value
+
+        def f(words, at, cell, n):
+            if words is None:
+                return None
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            offsets = pa.array(np.append(starts, len(at)).astype(np.int32))
+            names = words.take(pa.array(at[starts]))
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([own[w] for w in names.to_pylist()], pa.int32()), names,
+                    pa.ListArray.from_arrays(offsets, pa.array(cell.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(n)),
+                ],
+                names=["unit", "word", "cells", "counts"],
+            )
+
+        return f
+
+    near = contexts(docs, text, units, size, False)
+    near = shared_table(_by_word(near, 2 * size + 1, summed, "unit int, word binary, cells array<int>, counts array<long>"), "contexts")
     counts = np.zeros((size, size))
-    for r in unit_bigrams(docs, text, units, size).toPandas().itertuples():
-        counts[r.pair // size, r.pair % size] = r.n
-    of, n_classes = exchange(counts, classes)
-    member = np.zeros((size, n_classes))
-    member[np.arange(size), of] = 1
+    for r in near.filter("unit >= 0").select("unit", "cells", "counts").collect():
+        cells = np.array(r["cells"])
+        counts[r["unit"], cells[cells >= size] - size] = np.array(r["counts"])[cells >= size]
+    of, k = exchange(counts, classes)
+    member = np.eye(k)[of]
     table = member.T @ counts @ member
-    share = (table.sum(axis=0) + 1) / (table.sum() + n_classes)
-    transition = np.log10((table + PRIOR * share[None, :]) / (table.sum(axis=1, keepdims=True) + PRIOR))
-    unit_class = of.tolist()
-    sums = np.zeros((n_classes, 2))
-    for r in _class_sums(vocabulary, units, unit_class).collect():
-        sums[r["class"]] = r["n"], r["k"]
-    emission = np.log10(sums.sum(axis=1) + 1)
-    lookup = _Units(units)
-    words = {bytes(r["word"]): (float(np.log10(r["c"] + 1)), unit_class[lookup[bytes(r["word"])]]) for r in frequent}
-    return ClassModel(vocabulary, total, types, words, unit_class, transition.tolist(), emission.tolist())
 
+    unit_class = of.tolist()
+    second = _moved(near.filter("unit < 0"), 2 * size + 1, lambda: np.array([*unit_class, *(k + c for c in unit_class), 0]), table)
+    label = {w: int(of[i]) for w, i in units.items() if i >= 0}
+    label |= {bytes(r["word"]): r["class"] for r in second.filter("word is not null").select("word", "class").collect()}
+    unmet = {w: 1 + zlib.crc32(w) % (k - 1) for w in units if w not in label}  # next to rarer words alone
+    label = {w: label[w] if w in label else unmet[w] for w in units}
+
+    far = shared_table(contexts(docs, text, label, k, True), "contexts")
+    drop_shared(near)
+    moved = shared_table(_moved(far, 2 * k + 1, lambda: np.arange(2 * k + 1), table), "classes")
+    rest = moved.filter("word is not null").select("word", "c", "class")
+    pairs = far.filter("other is not null").groupBy("word", "other").agg(F.sum(F.get("counts", F.lit(0))).alias("n"))
+    first, other = (rest.select(F.col("word").alias(w), F.col("class").alias(c)) for w, c in (("word", "a"), ("other", "b")))
+    pairs = pairs.join(first, "word").join(other, "other").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    parts = far.filter("word is null").select("counts").union(moved.filter("word is null").select(F.col("table").alias("counts")))
+    table = np.zeros(k * k)
+    for r in parts.select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
+        table[r["at"]] += r["n"]
+    for r in pairs.collect():
+        table[r["a"] * k + r["b"]] += r["n"]
+    table = table.reshape(k, k)
+    share = (table.sum(axis=0) + 1) / (table.sum() + k)
+    transition = np.log10((table + PRIOR * share[None, :]) / (table.sum(axis=1, keepdims=True) + PRIOR))
+    sums = np.zeros(k)
+    for w, c in label.items():
+        sums[c] += count[w] + (count[w] > 0)
+    for r in rest.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
+        sums[r["class"]] += r["c"] + r["n"]
+    emission = np.log10(sums + 1)
+    words = {w: (float(np.log10(count[w] + 1)), c) for w, c in label.items()}
+    return ClassModel(rest, total, types, words, _endings(rest, k), transition.tolist(), emission.tolist())
 
-def _class_sums(vocabulary: DataFrame, units: dict[bytes, int], unit_class: list[int]) -> DataFrame:
-    """Tokens ``n`` and types ``k`` of each class."""
-    sent = vocabulary.sparkSession.sparkContext.broadcast((units, unit_class))
 
-    def make():
-        units, unit_class = _Units(sent.value[0]), sent.value[1]
+def _moved(found: DataFrame, wide: int, classes: Callable, table) -> DataFrame:
+    """Rows word, c, class of ``found`` words by ``best_classes``, and rows of ``table``, sums of the bigrams with them.
 
-        def run(words: list, n: list) -> dict[str, list]:
-            return {"class": [unit_class[units[w]] for w in words], "c": n}
+    ``classes()`` gives the cell of class bigrams that each cell of ``found`` counts in; c is the count of the last one.
+    """
 
-        return run
+    def make():
+        import numpy as np
+        import pyarrow as pa
 
-    found = map_rows(vocabulary.select("word", "c"), make, "class int, c long", 10_000)
-    return found.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"))
+        to, k, sums = classes(), len(table), np.zeros(table.size, np.int64)
+
+        def f(words, at, cell, n):
+            if words is None:
+                none = pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())
+                made = pa.ListArray.from_arrays(pa.array([0, len(sums)], pa.int32()), pa.array(sums))
+                return pa.RecordBatch.from_arrays([*none, made], names=["word", "c", "class", "table"])
+            own = cell == wide - 1
+            c = np.bincount(at[own], n[own], len(words)).astype(np.int64)
+            at, key = at[~own], at[~own] * (2 * k) + to[cell[~own]]
+            order = np.argsort(key, kind="stable")
+            at, cell, n = at[order], key[order] % (2 * k), n[~own][order]
+            best = best_classes(at, cell, n, len(words), table)
+            before = cell < k
+            place = np.where(before, cell * k + best[at], best[at] * k + cell - k)
+            sums[:] += np.bincount(place, n, len(sums)).astype(np.int64)
+            return pa.RecordBatch.from_arrays(
+                [words.cast(pa.binary()), pa.array(c), pa.array(best.astype(np.int32)), pa.nulls(len(words), pa.list_(pa.int64()))],
+                names=["word", "c", "class", "table"],
+            )
+
+        return f
+
+    return _by_word(found, wide, make, "word binary, c long, class int, table array<long>")
+
+
+def _endings(rest: DataFrame, k: int) -> list[int]:
+    """The class that most words seen once have, for each group of endings; that of all endings where one has none."""
+    once = rest.filter("c = 1").select(
+        F.pmod(F.crc32(F.expr("substring(word, greatest(octet_length(word) - 2, 1), 3)")), F.lit(ENDINGS)).cast("int").alias("e"), "class"
+    )
+    found = once.groupBy("e", "class").count().collect()
+    votes = [[0] * k for _ in range(ENDINGS + 1)]
+    for r in found:
+        votes[r["e"]][r["class"]] += r["count"]
+        votes[ENDINGS][r["class"]] += r["count"]
+    pick = [max(range(1, k), key=lambda c, v=v: (v[c], -c)) if any(v) else None for v in votes]
+    return [p if p is not None else pick[ENDINGS] or 1 for p in pick[:ENDINGS]]
 
 
 def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with n_tokens, n_known, base_score and score.
 
-    Both scores need log10(count + 1) of every token. Frequent words' counts are with the tasks; the others,
-    once for each text that holds them, are joined with the vocabulary, where no word is frequent, and summed
-    for each row. A null or empty text is an end alone. Columns of the same names are replaced.
+    Tasks know the frequent words. The others, once for each text that holds them, are joined with the model's table;
+    what a text's score lacks, counts and transitions to and from such words, is added from what was found. A null or
+    empty text is an end alone. Repeated rows are scored each. An empty table gives an empty one. Columns of the names
+    of the four new ones, in any case, are replaced; others keep their values whatever they are called.
     """
     new = ("n_tokens", "n_known", "base_score", "score")
-    kept = [c for c in docs.columns if c != text and c not in new]
-    sent = docs.sparkSession.sparkContext.broadcast((model.words, model.unit_class, model.transition, model.emission))
+    kept = others(docs, text, *new)
+    body, logged, by_class, rare, times, pairs, row, found = fresh(docs, "text", "log", "class", "rare", "times", "pairs", "row", "found")
+    sent = docs.sparkSession.sparkContext.broadcast((model.words, model.transition, model.emission))
 
     def make():
-        from collections import Counter
-
         import numpy as np
 
-        words, unit_class, transition, emission = sent.value
+        words, transition, emission = sent.value
         index = {w: i for i, w in enumerate(words)}
         logs = np.array([x for x, _ in words.values()] + [0.0])
         classes = np.array([c for _, c in words.values()] + [0], np.int64)
         transition, emission = np.array(transition), np.array(emission)
-        end = unit_class[0]
 
         def one(text):
             line = tokens(text)
             at = np.fromiter(map(index.get, line, repeat(-1)), np.int64, len(line))
-            of, rare = classes[at], np.flatnonzero(at < 0)
-            left = [line[i] for i in rare.tolist()]
-            if left:
-                of[rare] = [unit_class[1 + ending(w)] if w != END else end for w in left]
-            before = np.concatenate([[end], of[:-1]])
-            by_class = float((transition[before, of] - emission[of]).sum())
-            return len(line), len(line) - len(left), float(logs[at].sum()), by_class, Counter(left)
+            of, unknown = classes[at], np.flatnonzero(at < 0)
+            own: dict[bytes, int] = {}
+            if len(unknown):
+                numbers = np.array([own.setdefault(line[i], len(own)) for i in unknown.tolist()])
+                of[unknown] = -1 - numbers
+            before = np.concatenate([[0], of[:-1]])
+            sure = (before >= 0) & (of >= 0)
+            by_class = float(transition[before[sure], of[sure]].sum() - emission[of[of >= 0]].sum())
+            open_ = np.stack([before[~sure], of[~sure]], axis=1).ravel().tolist()
+            often = np.bincount(numbers, minlength=len(own)).tolist() if own else []
+            return len(line), int((logs[at] > 0).sum()), float(logs[at].sum()), by_class, list(own), often, open_
 
         def run(*columns: list) -> dict[str, list]:
-            n, known, logged, by_class, left = zip(*map(one, columns[-1])) if columns[-1] else ((),) * 5
-            return dict(zip(kept, columns)) | {
-                "n_tokens": list(n), "n_known": list(known), "_log": list(logged), "_class": list(by_class),
-                "_rare": [list(c) for c in left], "_times": [list(c.values()) for c in left],
-            }
+            made = list(zip(*map(one, columns[-1]))) if columns[-1] else [()] * 7
+            return dict(zip(kept, columns)) | dict(zip(("n_tokens", "n_known", logged, by_class, rare, times, pairs), map(list, made)))
 
         return run
 
-    source = docs.select(*kept, F.col(text).alias("_text"))
+    source = docs.select(*map(col, kept), col(text).alias(body))
     zero, whole = F.lit(0.0), F.lit(0).cast("long")
-    shape = source.drop("_text").withColumns(
-        {"n_tokens": whole, "n_known": whole, "_log": zero, "_class": zero, "_rare": F.array(F.lit(b"")), "_times": F.array(whole)}
-    )
-    parts = shared_table(map_rows(source, make, shape.schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
-    rare = parts.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("x")).select("_row", F.col("x._rare").alias("word"), F.col("x._times").alias("k"))
-    found = rare.join(model.vocabulary, "word").groupBy("_row").agg(
-        F.sum("k").alias("_k"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("_l")
-    )
-    logged = F.col("_log") + F.coalesce("_l", F.lit(0.0))
-    return parts.join(found, "_row", "left").select(
-        *kept,
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("_k", F.lit(0))).alias("n_known"),
-        (logged - F.col("n_tokens") * F.log10(F.lit(float(model.n_tokens + model.n_types + 1)))).alias("base_score"),
-        (logged + F.col("_class")).alias("score"),
-    )
+    shape = source.drop(body).withColumns({
+        "n_tokens": whole, "n_known": whole, logged: zero, by_class: zero,
+        rare: F.array(F.lit(b"")), times: F.array(whole), pairs: F.array(F.lit(0)),
+    })
+    parts = shared_table(map_rows(source, make, shape.schema).withColumn(row, F.monotonically_increasing_id()), "scored")
+    asked = parts.select(F.col(row).alias("row"), F.posexplode(rare).alias("at", "word"))
+    known = asked.join(model.rest, "word").groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("at", "c", "class")).alias(found))
+    joined = parts.join(known, row, "left").select(*map(col, kept), "n_tokens", "n_known", logged, by_class, rare, times, pairs, found)
+    total = float(model.n_tokens + model.n_types + 1)
+    sent_rest = docs.sparkSession.sparkContext.broadcast((model.endings, model.transition, model.emission))
+
+    def finish():
+        import numpy as np
+
+        endings, transition, emission = sent_rest.value
+        transition, emission = np.array(transition), np.array(emission)
+
+        def one(n_tokens, n_known, logs, by_class, rare, times, pairs, found):
+            if rare:
+                of = np.array([endings[ending(w)] for w in rare])
+                c, often = np.zeros(len(rare)), np.array(times)
+                for x in found or []:
+                    of[x["at"]], c[x["at"]] = x["class"], x["c"]
+                n_known += int(often[c > 0].sum())
+                logs += float((often * np.log10(c + 1)).sum())
+                line = np.array(pairs)
+                line = np.where(line < 0, of[np.maximum(-1 - line, 0)], line).reshape(-1, 2)
+                by_class += float(transition[line[:, 0], line[:, 1]].sum() - (often * emission[of]).sum())
+            return n_tokens, n_known, logs - n_tokens * float(np.log10(total)), logs + by_class
+
+        def run(*columns: list) -> dict[str, list]:
+            made = list(zip(*map(one, *columns[len(kept) :]))) if columns[-1] else [()] * 4
+            return dict(zip(kept, columns)) | dict(zip(new, map(list, made)))
+
+        return run
+
+    shape = source.drop(body).withColumns({"n_tokens": whole, "n_known": whole, "base_score": zero, "score": zero})
+    return map_rows(joined, finish, shape.schema)
 
 
 def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of those whose crc32 of doc_id, as text, has a remainder by 7 other than 2.
+
+    Null ids train. Null and empty texts have one token, the end.
+    """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
     model = train(docs.filter(~F.col("held_out")))
