@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import WORD_GAP, read_table, shared_table
+from skyloom.llm.common import WORD_GAP, col, fresh, others, packed, read_table, shared_table, unpacked
 
 SYMBOL = r"[#*$%&|<>]"
 
@@ -20,7 +20,8 @@ class QualityRules:
     """Limits of the rules.
 
     ``trusted_rate``: the shrunk failure rate below which a host's failures of a rule are forgiven.
-    ``ban_rate``: the rate of short or repetitive documents from which all of a host goes.
+    ``ban_rate``: the rate of short or repetitive documents from which a host is banned: what comes near to failing
+    one of the two rules, by ``near``, goes, too. Clean documents stay whatever their host is.
     """
 
     min_words: int = 50
@@ -29,6 +30,7 @@ class QualityRules:
     max_dup_line_share: float = 0.5
     trusted_rate: float = 0.02
     ban_rate: float = 0.95
+    near: float = 2.0
 
 
 #: The rules that count as failures of a host.
@@ -41,52 +43,53 @@ def _indices(n: Column) -> Column:
 
 
 def text_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (long).
+    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (long), or with those replaced.
 
     A null text has no words and counts 0 everywhere. A word counts in ``n_repeat_words`` if it lies in
     a three-word window found twice or more in the text. Windows are told apart by a 64-bit hash: the
     hashes are sorted within the row, equal neighbours are the repeats, and the union of the windows
     that start at their positions is measured from the gaps between them.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    split = docs.withColumn("_words", F.array_remove(F.split(body, WORD_GAP), "")).withColumn(
-        "_lines", F.filter(F.split(body, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
+    words, lines, hashes, placed_, starts_ = fresh(docs, "words", "lines", "hashes", "placed", "starts")
+    body = F.coalesce(col(text), F.lit(""))
+    split = docs.withColumn(words, F.array_remove(F.split(body, WORD_GAP), "")).withColumn(
+        lines, F.filter(F.split(body, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     )
-    n = F.size("_words")
+    n = F.size(words)
     grams = split.withColumn(
-        "_hashes",
-        F.transform(
-            _indices(n - 2),
-            lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)),
-        ),
+        hashes,
+        F.transform(_indices(n - 2), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))),
     )
-    repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
     placed = grams.withColumn(
-        "_placed",
-        F.when(repeats, F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
+        placed_,
+        F.when(repeats, F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
     )
 
     def twice(x: Column, k: Column) -> Column:
-        before = F.when(k > 0, F.get("_placed", k - 1)["h"])
-        return F.coalesce(before == x["h"], F.lit(False)) | F.coalesce(F.get("_placed", k + 1)["h"] == x["h"], F.lit(False))
+        before = F.when(k > 0, F.get(placed_, k - 1)["h"])
+        return F.coalesce(before == x["h"], F.lit(False)) | F.coalesce(F.get(placed_, k + 1)["h"] == x["h"], F.lit(False))
 
-    starts = placed.withColumn("_starts", F.sort_array(F.transform(F.filter("_placed", twice), lambda x: x["i"])))
+    starts = placed.withColumn(starts_, F.sort_array(F.transform(F.filter(placed_, twice), lambda x: x["i"])))
     covered = F.aggregate(
-        F.transform("_starts", lambda p, k: F.least(F.coalesce(F.get("_starts", k + 1) - p, F.lit(3)), F.lit(3))),
+        F.transform(starts_, lambda p, k: F.least(F.coalesce(F.get(starts_, k + 1) - p, F.lit(3)), F.lit(3))),
         F.lit(0),
         lambda total, x: total + x,
     )
     return starts.select(
-        *docs.columns,
+        *map(col, others(docs, *_MEASURES)),
         n.cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.regexp_count(body, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
 
+_MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 def rule_failures(rules: QualityRules) -> dict[str, Column]:
     """Whether a measured document fails each rule."""
     return {
@@ -147,22 +150,32 @@ def quality_verdicts(
 ) -> DataFrame:
     """One row a document: ``docs`` without its text, with measures, rule failures, host rates and ``kept``.
 
-    ``base_failed``: too short or mostly repeats. A document goes if it is ``base_failed``, if it fails
-    another rule that its host is not trusted in, or if its host is banned; a clean document of a host that
-    is not banned always stays. Null hosts are one host. Repeated rows are rows of their
-    own; an empty table gives an empty table. Columns of ``docs`` that clash with a new column are
-    replaced by it.
+    ``base_failed``: too short or mostly repeats. A document goes if it is ``base_failed``, if it fails another rule that
+    its host is not trusted in, or if its host is banned and it comes near to failing; a document that is clear of all
+    rules always stays. A null or empty text is too short. Null hosts are one host. Repeated rows are rows of their own;
+    an empty table gives an empty table. Columns of ``docs`` of the names of new columns, in any case, are replaced by
+    them; others keep their values whatever they are called.
     """
-    kept = [c for c in docs.columns if c not in _NEW and c != text]
-    measured = text_measures(docs.select(*kept, F.col(text).alias("_text")), "_text")
+    kept = others(docs, text, *_NEW)
+    judged = _judged(docs.select(packed(kept).alias("row"), col(host).alias("host"), col(text).alias("body")), rules, False)
+    new = [c for c in judged.columns if c not in ("row", "host")]
+    return judged.select(*unpacked("row", kept), *new)
+
+
+def _judged(rows: DataFrame, rules: QualityRules, whole: bool) -> DataFrame:
+    """``rows`` (row, host, body) with the columns of ``quality_verdicts``; the body stays with ``whole``."""
     fails = {f"fails_{r}": c for r, c in rule_failures(rules).items()}
-    measured = shared_table(measured.drop("_text").withColumns(fails), "measures")
-    hosts = host_verdicts(measured, host, rules).select(
+    measured = text_measures(rows, "body").withColumns(fails)
+    measured = shared_table(measured if whole else measured.drop("body"), "measures")
+    hosts = host_verdicts(measured, "host", rules).select(
         "_host", "banned", *[f"trusts_{r}" for r in RULES], *[F.col(f"rate_{r}").alias(f"host_{r}") for r in RULES]
     )
-    joined = measured.join(hosts, measured[host].eqNullSafe(hosts["_host"]), "left").drop("_host")
+    joined = measured.join(hosts, measured["host"].eqNullSafe(hosts["_host"]), "left").drop("_host")
     base = F.col("fails_short") | F.col("fails_repeats")
-    goes = base | F.col("banned")
+    near = (F.col("n_words") < rules.near * rules.min_words) | (
+        rules.near * 100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
+    )
+    goes = base | (F.col("banned") & near)
     for r in RULES:
         goes = goes | (F.col(f"fails_{r}") & ~F.col(f"trusts_{r}"))
     return joined.withColumns({"base_failed": base, "kept": ~goes})
@@ -175,24 +188,22 @@ _NEW = {
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of ``docs`` that the verdicts keep, all columns unchanged.
+    """The rows of ``docs`` that the verdicts of ``quality_verdicts`` keep, all columns unchanged whatever they are called.
 
-    Verdicts depend on the text and the host alone; they are joined back by a digest of both and
-    the row's ``doc_id`` so that repeated rows stay as often as they came.
+    Rows are measured once and wait for the hosts' verdicts in the shared folder, so no text is shuffled unless there are
+    too many hosts to be sent to every task. Repeated rows that are kept stay as often as they came.
     """
-    keyed = docs.withColumn("_key", _row_key(docs, text, host))
-    verdicts = quality_verdicts(keyed.select("_key", F.col(host).alias("_src"), F.col(text).alias("_body")), "_body", "_src", rules)
-    gone = verdicts.filter(~F.col("kept")).select("_key").distinct()
-    return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
-
-
-def _row_key(docs: DataFrame, text: str, host: str) -> Column:
-    own = [F.col(c).cast("string") for c in docs.columns if c == "doc_id"]
-    parts = [F.coalesce(c, F.lit("\0")) for c in (*own, F.col(host).cast("string"), F.col(text))]
-    return F.sha2(F.concat_ws("\1", *parts), 256)
+    rest = others(docs, text)
+    judged = _judged(docs.select(packed(rest).alias("row"), col(host).alias("host"), col(text).alias("body")), rules, True)
+    back = judged.filter("kept").select(*unpacked("row", rest), F.col("body").alias(text))
+    return back.select(*map(col, docs.columns))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, rule failures, host rates and verdicts of every document.
+
+    Null and empty texts have no words and fail as short; repeated rows are judged each.
+    """
     verdicts = quality_verdicts(read_table(spark, sf_dir, "documents"))
     return verdicts.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",

@@ -53,7 +53,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   fails_short OR fails_repeats AS base_failed,
   NOT (fails_short OR fails_repeats
     OR (fails_symbols AND host_symbols >= 0.02) OR (fails_lines AND host_lines >= 0.02)
-    OR greatest(host_short, host_repeats) >= 0.95) AS kept,
+    OR (greatest(host_short, host_repeats) >= 0.95 AND (n_words < 100 OR 200 * n_repeat_words > 50 * n_words))) AS kept,
   source, {", ".join(f"fails_{r}" for r in _RULES)}, {", ".join(f"round(host_{r}, 9) AS host_{r}" for r in _RULES)}
 FROM fails JOIN rated ON source IS NOT DISTINCT FROM h
 """
