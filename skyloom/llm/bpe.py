@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.arrow import Recent, map_rows
-from skyloom.llm.common import read_table
+from skyloom.llm.common import col, fresh, others, read_table
 
 #: Unicode white space. No match of the tokenizer's pattern goes on from another character into it.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -188,11 +188,12 @@ def encode_documents(
     """``docs`` without ``text``, with ``ids``: little-endian unsigned 32-bit ids as binary.
 
     With ``decoded``, also the bytes that the ids decode to. A null or empty text has no ids. Repeated
-    rows are encoded each for itself; an empty table gives an empty table. Other columns pass through,
-    but for those named ``ids`` or ``decoded``. ``ranks`` is of a fixed size and is sent to each task;
-    there is no shuffle, and a task holds a slice of rows and memos of a bounded number of words.
+    rows are encoded each for itself; an empty table gives an empty table. Other columns pass through whatever
+    they are called, but for those named ``ids`` or ``decoded`` in any case. ``ranks`` is of a fixed size and is sent to
+    each task; there is no shuffle, and a task holds a slice of rows and memos of words that are bounded in bytes.
     """
-    kept = [c for c in docs.columns if c not in (text, "ids", "decoded")]
+    kept = others(docs, text, "ids", "decoded")
+    (body,) = fresh(docs, "body")
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def make():
@@ -205,14 +206,15 @@ def encode_documents(
 
         return run
 
-    source = docs.select(*kept, F.col(text).alias("_text"))
-    schema = source.drop("_text").withColumn("ids", F.lit(b""))
+    source = docs.select(*map(col, kept), col(text).alias(body))
+    schema = source.drop(body).withColumn("ids", F.lit(b""))
     if decoded:
         schema = schema.withColumn("decoded", F.lit(b""))
     return map_rows(source, make, schema.schema)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """Token counts and digests of the ids and of the bytes they decode to, of every document; null texts have none."""
     import public_tokenizers
 
     ranks = read_ranks(public_tokenizers.path(tokenizer))

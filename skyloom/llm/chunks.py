@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.arrow import map_rows
-from skyloom.llm.common import read_table, shared_table
+from skyloom.llm.common import col, fresh, others, read_table, shared_table
 
 #: Bytes of a chunk at least and at most, and the bits of the gear hash that are 0 where a chunk ends.
 LEAST, MOST, BITS = 12, 256, 2
@@ -91,7 +91,7 @@ def word_marks(data):
 
 
 def chunk_rows(docs: DataFrame, text: str, width: bool, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row a chunk: digest, doc (the ``_key`` of ``docs``) and, with ``width``, row, start, end and words.
+    """A row a chunk: digest of 128 bits (high, low), doc (the ``key`` of ``docs``) and, with ``width``, row, start, end, words.
 
     A text of fewer than ``min_words`` words is a chunk as a whole, too, of ``min_words`` words, so that copies of
     it can go. Such chunks are digested apart from others.
@@ -102,7 +102,7 @@ def chunk_rows(docs: DataFrame, text: str, width: bool, min_words: int = MIN_WOR
         import pyarrow as pa
         import xxhash
 
-        table, digest = gear_table(), xxhash.xxh64_intdigest
+        table, digest = gear_table(), xxhash.xxh3_128_digest
 
         def run(keys: list, rows: list, texts: list) -> dict[str, list]:
             digests, sizes, starts, ends, words = [], [], [], [], []
@@ -127,8 +127,10 @@ def chunk_rows(docs: DataFrame, text: str, width: bool, min_words: int = MIN_WOR
                         starts.append(0)
                         ends.append(len(raw))
                         words.append(min_words)
+            both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             out = {
-                "digest": pa.array(np.array(digests, np.uint64).view(np.int64)),
+                "high": pa.array(both[:, 0]),
+                "low": pa.array(both[:, 1]),
                 "doc": [k for k, n in zip(keys, sizes) for _ in range(n)],
             }
             if width:
@@ -137,26 +139,26 @@ def chunk_rows(docs: DataFrame, text: str, width: bool, min_words: int = MIN_WOR
 
         return run
 
-    source = docs.select("_key", "_row", F.col(text).alias("_text"))
-    kind = dict(docs.dtypes)["_key"]
-    schema = f"digest long, doc {kind}" + (", row long, start int, end int, words int" if width else "")
+    source = docs.select("key", "row", text)
+    kind = dict(docs.dtypes)["key"]
+    schema = f"high long, low long, doc {kind}" + (", row long, start int, end int, words int" if width else "")
     return map_rows(source, make, schema)
 
 
 def repeated_chunks(docs: DataFrame, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """``row``, start, end, words of each chunk whose digest also comes in a document of a smaller ``_key``.
+    """``doc``, row, start, end, words of each chunk whose digest also comes in a document of a smaller ``key``.
 
     The digests' owners come from partial minima; chunks and the owners of repeated digests are then joined,
     with nothing above the join that needs a digest's rows together, so that a chunk that a third of all
     documents hold can be split over tasks.
     """
     owners = shared_table(
-        chunk_rows(docs, text, False, min_words).groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-        .filter("lo < hi").select("digest", "lo"),
+        chunk_rows(docs, text, False, min_words).groupBy("high", "low").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+        .filter("lo < hi").select("high", "low", "lo"),
         "owners",
     )
-    found = chunk_rows(docs, text, True, min_words).join(owners, "digest").filter("lo < doc")
-    return shared_table(found.select("row", "start", "end", "words"), "repeats")
+    found = chunk_rows(docs, text, True, min_words).join(owners, ["high", "low"]).filter("lo < doc")
+    return shared_table(found.select("doc", "row", "start", "end", "words"), "repeats")
 
 
 def long_runs(chunks: list[tuple[int, int, int]], least: int) -> list[tuple[int, int]]:
@@ -178,16 +180,19 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     A stretch is a run of adjacent chunks that documents of a smaller ``key`` hold too, of ``min_words`` words
     or more, or the whole of a shorter text that such a document equals; the smallest document keeps its own. Of a
     stretch without white space every ``MORE`` bytes beyond ``LONG_WORD`` count as a word. Chunks are told apart
-    by 64-bit digests. A null text stays null, an empty one empty; a row of a null key is left as it is and
-    takes nothing from others; repeated rows of one key take nothing from each other. A column named ``removed``
-    is replaced.
+    by 128-bit digests, and rows of one key by a hash of their text. A null text stays null, an empty one empty; a row of
+    a null key is left as it is and takes nothing from others; repeated rows of one key take nothing from each other. An
+    empty table gives an empty table. A column named ``removed``, in any case, is replaced; others keep their values
+    whatever they are called.
     """
-    kept = [c for c in docs.columns if c not in (text, "removed")]
-    keyed = docs.select(*kept, F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn(
-        "_row", F.xxhash64(F.col("_key"), F.col("_text"))
-    )
-    chunks = F.collect_list(F.struct("start", "end", "words")).alias("_chunks")
-    marked = repeated_chunks(keyed.select("_key", "_row", "_text"), "_text", min_words).groupBy(F.col("row").alias("_row")).agg(chunks)
+    kept = others(docs, text, "removed")
+    body, doc, row, chunks = fresh(docs, "body", "doc", "row", "chunks")
+    text_of = F.xxhash64(col(text))
+    slim = docs.select(col(key).alias("key"), text_of.alias("row"), col(text).alias("body"))
+    listed = F.collect_list(F.struct("start", "end", "words")).alias(chunks)
+    marked = repeated_chunks(slim, "body", min_words).groupBy(F.col("doc").alias(doc), F.col("row").alias(row)).agg(listed)
+    owner, mine = fresh(docs, "owner", "mine")
+    keyed = docs.select(*map(col, kept), col(text).alias(body), col(key).alias(owner), text_of.alias(mine))
 
     def make():
         def run(*columns: list) -> dict[str, list]:
@@ -203,16 +208,21 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
                     t = b"".join([*parts, raw[at:]]).decode()
                 spans.append([{"start": a, "end": b} for a, b in runs])
                 left.append(t)
-            return dict(zip(kept, columns)) | {"_text": left, "removed": spans}
+            return dict(zip(kept, columns)) | {body: left, "removed": spans}
 
         return run
 
-    joined = keyed.join(marked, "_row", "left").select(*kept, "_text", "_chunks")
+    same = (keyed[owner] == marked[doc]) & (keyed[mine] == marked[row])
+    joined = keyed.join(marked, same, "left").select(*map(col, kept), body, chunks)
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>")
-    return map_rows(joined, make, joined.drop("_chunks").withColumn("removed", empty).schema).withColumnRenamed("_text", text)
+    return map_rows(joined, make, joined.drop(chunks).withColumn("removed", empty).schema).withColumnRenamed(body, text)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses: its bytes, those removed, their spans, and the text that is left.
+
+    A null text counts no bytes and stays null; repeated rows of a doc_id take nothing from each other.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length("text").alias("n"))
     found = drop_repeats(docs)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])

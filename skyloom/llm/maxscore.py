@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import read_table
 
-#: Rows of a shard of candidates and of a block of queries, about.
-SHARD, BLOCK = 8192, 1024
+#: Rows of a shard of candidates, at least and at most, and of a block of queries, about.
+LEAST_SHARD, SHARD, BLOCK = 4096, 65536, 8192
 
 
 def top_k(query, own: int, ids, x, least, most, k: int, step: int = 8):
@@ -61,10 +61,12 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5, shard: int = SHARD,
     no answer to a query of its own id. Rows are dealt into shards and queries into blocks by hash; each
     shard meets each block in a task of bounded size, which returns ``k`` rows a query, and the shards'
     answers are merged by a window over them. A query that meets no row has no answer. Repeated ids are
-    rows of their own, the tie between them is broken by the score alone.
+    rows of their own, the tie between them is broken by the score alone. Empty tables give an empty table. Shards are
+    as large as the cores allow, so a row is sent once for each block, of which there is one for ``block`` queries.
     """
     n_rows, n_queries = rows.count(), queries.count()
-    shards, blocks = max(1, -(-n_rows // shard)), max(1, -(-n_queries // block))
+    cores = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    shards, blocks = max(1, -(-n_rows // shard), min(cores, n_rows // LEAST_SHARD)), max(1, -(-n_queries // block))
     left = _dealt(rows, "s", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), "b", blocks)
     right = _dealt(queries, "b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), "s", shards)
 
@@ -101,5 +103,6 @@ def whole_vectors(rows: DataFrame, key: str, vector: str, scale: int = 256) -> D
 
 
 def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows for each vector whose id is divisible by 50; null vectors and those not finite take no part."""
     rows = whole_vectors(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return search(rows.filter(F.col("id") % 50 == 0), rows, k=5)

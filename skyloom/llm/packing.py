@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import read_table, shared_table
+from skyloom.llm.common import col, fresh, others, read_table, shared_table
 
 #: Rows that are ranked together, and the most parts of a bucket: beyond them the parts grow instead.
 RANKED, PARTS = 2000, 4096
@@ -68,44 +68,45 @@ def pack(rows: DataFrame, length: str, key: str, buckets: int = 8, budget: int =
     as ``budget`` padded tokens allow, one at least. Only the last batch of a bucket may have room left:
     rows are ranked in parts dealt by a hash of ``key``, and each part's rank goes on from those before,
     so a bucket with most of the rows is not ranked in one task. ``length`` must not be null; rows with a
-    null key are packed too; an empty table gives an empty table. Columns of those names are replaced.
+    null key are packed too, and so is each of repeated rows; an empty table gives an empty table. Columns of the
+    names of new ones, in any case, are replaced; others keep their values whatever they are called.
     """
-    added = ["bucket", "boundary", "batch_id", "slot", "padding"]
-    rows = shared_table(rows.select(*[c for c in rows.columns if c not in added]), "lengths")
-    histogram = sorted((r[0], r[1]) for r in rows.groupBy(length).count().collect())
+    rows = shared_table(rows.select(*map(col, others(rows, "bucket", "boundary", "batch_id", "slot", "padding"))), "lengths")
+    part, size, first, rank = fresh(rows, "part", "n", "before", "rank")
+    size_of, key_of = col(length), col(key)
+    histogram = sorted((r[0], r[1]) for r in rows.select(size_of.alias("n")).groupBy("n").count().collect())
     total = sum(c for _, c in histogram)
     bounds = best_boundaries([x for x, _ in histogram], [c for _, c in histogram], buckets)
     bucket, boundary = F.lit(None).cast("int"), F.lit(None).cast("long")
     for i, bound in reversed(list(enumerate(bounds))):
-        bucket = F.when(F.col(length) <= bound, F.lit(i)).otherwise(bucket)
-        boundary = F.when(F.col(length) <= bound, F.lit(bound).cast("long")).otherwise(boundary)
+        bucket = F.when(size_of <= bound, F.lit(i)).otherwise(bucket)
+        boundary = F.when(size_of <= bound, F.lit(bound).cast("long")).otherwise(boundary)
     parts = max(1, min(PARTS, -(-total // RANKED)))
-    mixed = F.xxhash64(F.col(key), F.lit(7))
-    placed = rows.withColumns({"bucket": bucket, "boundary": boundary}).withColumn("_part", F.pmod(mixed, F.lit(parts)).cast("int"))
-    sizes = placed.groupBy("bucket", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = shared_table(
-        sizes.select("bucket", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "offsets"
-    )
+    mixed = F.xxhash64(key_of, F.lit(7))
+    placed = rows.withColumns({"bucket": bucket, "boundary": boundary}).withColumn(part, F.pmod(mixed, F.lit(parts)).cast("int"))
+    sizes = placed.groupBy("bucket", part).agg(F.count(F.lit(1)).alias(size))
+    before = Window.partitionBy("bucket").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = shared_table(sizes.select("bucket", part, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(first)), "offsets")
     ranked = placed.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("bucket", "_part").orderBy(mixed, F.col(key), F.col(length)))
-    ).join(offsets, ["bucket", "_part"])
+        rank, F.row_number().over(Window.partitionBy("bucket", part).orderBy(mixed, key_of, size_of))
+    ).join(offsets, ["bucket", part])
     capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("boundary"))).cast("long")
-    at = F.col("_before") + F.col("_rank") - 1
+    at = F.col(first) + F.col(rank) - 1
     return ranked.select(
-        *rows.columns,
+        *map(col, rows.columns),
         "bucket",
         "boundary",
         (F.col("bucket").cast("long") * F.lit(1 << 48) + F.floor(at / capacity)).cast("long").alias("batch_id"),
         (at % capacity).cast("int").alias("slot"),
-        (F.col("boundary") - F.col(length)).alias("padding"),
+        (F.col("boundary") - size_of).alias("padding"),
     )
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 8, budget: int = 65536) -> DataFrame:
-    """One row a document: ``key``, n_tokens (words and an end) and where ``pack`` puts it."""
-    return pack(docs.select(F.col(key), word_tokens(text).alias("n_tokens")), "n_tokens", key, buckets, budget)
+    """One row a document: ``key``, n_tokens (words and an end) and where ``pack`` puts it; null texts have an end alone."""
+    return pack(docs.select(col(key), word_tokens(col(text)).alias("n_tokens")), "n_tokens", key, buckets, budget)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bucket, batch and slot of every document; null and empty texts are one token long, repeated rows packed each."""
     return pack_documents(read_table(spark, sf_dir, "documents"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.arrow import map_rows
-from skyloom.llm.common import read_table
+from skyloom.llm.common import col, fresh, others, read_table
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -126,9 +126,15 @@ def scan_secrets(
 
     With ``masked`` the text is returned with that string in place of each stretch of secrets; without
     it the text is left out. A null text has no secrets and stays null. Repeated rows are scanned each
-    for itself; a column named ``secrets`` is replaced. There is no shuffle.
+    for itself; an empty table gives an empty table. A column named ``secrets``, in any case, is replaced; others
+    keep their values whatever they are called. There is no shuffle.
     """
-    kept = [c for c in docs.columns if c not in (text, "secrets")]
+    return _scanned(docs, text, kinds, masked, "secrets")
+
+
+def _scanned(docs: DataFrame, text: str, kinds: tuple[Kind, ...], masked: str | None, spans_as: str | None) -> DataFrame:
+    kept = others(docs, text, spans_as or text)
+    (body,) = fresh(docs, "body")
 
     def make():
         scanner = Scanner(kinds)
@@ -137,27 +143,34 @@ def scan_secrets(
             texts = columns[-1]
             spans = [scanner.scan(t) if t else [] for t in texts]
             out = dict(zip(kept, columns))
-            out["secrets"] = [[{"kind": kinds[k].name, "start": a, "end": b} for a, b, k in s] for s in spans]
+            if spans_as:
+                out[spans_as] = [[{"kind": kinds[k].name, "start": a, "end": b} for a, b, k in s] for s in spans]
             if masked is not None:
-                out["_text"] = [mask(t, s, masked) if s else t for t, s in zip(texts, spans)]
+                out[body] = [mask(t, s, masked) if s else t for t, s in zip(texts, spans)]
             return out
 
         return run
 
-    source = docs.select(*kept, F.col(text).alias("_text"))
+    source = docs.select(*map(col, kept), col(text).alias(body))
     empty = F.from_json(F.lit("[]"), "array<struct<kind:string,start:int,end:int>>")
-    shape = source.drop("_text").withColumn("secrets", empty)
+    shape = source.drop(body)
+    if spans_as:
+        shape = shape.withColumn(spans_as, empty)
     if masked is not None:
-        shape = shape.withColumn("_text", F.lit("").cast("string"))
-    return map_rows(source, make, shape.schema).withColumnRenamed("_text", text)
+        shape = shape.withColumn(body, F.lit("").cast("string"))
+    return map_rows(source, make, shape.schema).withColumnRenamed(body, text)
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", by: str = "[secret]") -> DataFrame:
-    """``docs``, every row and column, with the secrets of ``text`` masked; its length column untouched."""
-    return scan_secrets(docs, text, masked=by).select(*docs.columns)
+    """``docs``, every row and column, with the secrets of ``text`` masked; its length column untouched.
+
+    A null text stays null, an empty one empty; repeated rows are masked each.
+    """
+    return _scanned(docs, text, KINDS, by, None).select(*map(col, docs.columns))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base kinds, a digest of their spans, and all spans, of every document; null texts hold none."""
     found = scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def joined(spans):

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.arrow import map_rows
-from skyloom.llm.common import components, read_table, shared_table
+from skyloom.llm.common import col, components, fresh, others, read_table, shared_table
 
 #: Rows of a bucket beyond which it is dealt out as pairs of parts.
 BUCKET = 1024
@@ -71,9 +71,10 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, words: int
     """``docs`` without ``text``, with ``fp``: an array of ``words`` longs, 64 bits of fingerprint each.
 
     With ``distinct`` a repeated shingle weighs no more than others. A null text, like one without words, has
-    fingerprint zero. There is no shuffle.
+    fingerprint zero; repeated rows have theirs each. There is no shuffle. A column named ``fp``, in any case, is replaced.
     """
-    kept = [c for c in docs.columns if c not in (text, "fp")]
+    kept = others(docs, text, "fp")
+    (body,) = fresh(docs, "body")
 
     def make():
         import numpy as np
@@ -93,8 +94,8 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, words: int
 
         return run
 
-    source = docs.select(*kept, F.col(text).alias("_text"))
-    return map_rows(source, make, source.drop("_text").withColumn("fp", F.array(F.lit(0).cast("long"))).schema)
+    source = docs.select(*map(col, kept), col(text).alias(body))
+    return map_rows(source, make, source.drop(body).withColumn("fp", F.array(F.lit(0).cast("long"))).schema)
 
 
 def _blocks(bits: int, budget: int, n: int) -> list[list[tuple[int, int]]]:
@@ -333,7 +334,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     keep theirs too, with the component of their fingerprint, null if it has no other key.
     """
     marks = shared_table(
-        fingerprints(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", size)
+        fingerprints(docs.select(col(key).alias("_key"), col(text).alias("_text")), "_text", size)
         .select("_key", F.get("fp", F.lit(0)).alias("fp")),
         "marks",
     )
@@ -361,16 +362,17 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     Equal texts are one node. Different texts are candidates if any of 18 32-bit fingerprints of their distinct
     ``size``-word shingles are within three bits, by the trie join, and the first 256 bits within ``NEAR_BITS``;
     they are linked if their sets of shingles share ``similarity`` of their union, which is tested in full
-    before anything is joined. Of each component the row of the smallest key stays; a null key comes after all others. Of repeated rows one stays. Null and empty
-    texts are texts like others, equal among themselves, null apart from empty. Texts without a shingle
-    are linked to equal ones only.
+    before anything is joined. Of each component the row of the smallest key stays; a null key comes after all
+    others. Of repeated rows one stays. Null and empty texts are texts like others, equal among themselves, null apart
+    from empty. Texts without a shingle are linked to equal ones only. An empty table gives an empty table; all columns
+    keep their values whatever they are called.
     """
-    digest = F.coalesce(F.sha2(F.col(text), 256), F.lit("null"))
-    slim = docs.select(F.col(key).alias("_key"), digest.alias("_digest"), F.col(text).alias("_text"))
+    digest = F.coalesce(F.sha2(col(text), 256), F.lit("null"))
+    slim = docs.select(col(key).alias("_key"), digest.alias("_digest"), col(text).alias("_text"))
     marks = shared_table(fingerprints(slim, "_text", size, NEAR_WORDS, True), "marks")
     texts = shared_table(
         marks.groupBy("_digest").agg(F.min("_key").alias("_key"), F.first("fp").alias("fp"))
-        .withColumn("id", F.xxhash64("_digest")),
+        .withColumn("id", F.monotonically_increasing_id()),
         "texts",
     )
     nodes = texts.filter(F.exists("fp", lambda x: x != 0)).select("id", "fp")
@@ -389,13 +391,14 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     )
     gone = groups.join(first, "root").join(texts, F.col("node") == F.col("id")).filter(F.col("_digest") != F.col("_first"))
     stays = shared_table(texts.join(gone.select("_digest"), "_digest", "left_anti").select("_key", "_digest"), "stays")
-    named = docs.withColumn("_digest", digest)
+    own, owner, of, least = fresh(docs, "digest", "owner", "of", "least")
+    named = docs.withColumns({own: digest, owner: col(key)})
     kept = named.join(
-        stays.withColumnsRenamed({"_digest": "_of", "_key": "_least"}),
-        (F.col("_digest") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_least")),
+        stays.withColumnsRenamed({"_digest": of, "_key": least}),
+        (F.col(own) == F.col(of)) & F.col(owner).eqNullSafe(F.col(least)),
         "left_semi",
     )
-    return kept.dropDuplicates([key, "_digest"]).select(*docs.columns)
+    return kept.dropDuplicates([owner, own]).select(*map(col, docs.columns))
 
 
 def true_links(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -490,6 +493,7 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and empty texts share fingerprint zero."""
     found = near_components(read_table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.arrow import map_rows
-from skyloom.llm.common import read_table, shared_table
+from skyloom.llm.common import col, fresh, others, read_table, shared_table
 
 #: Labelled documents that the model is fitted on at most, those of the smallest hash of their id.
 FIT_ROWS = 20_000
@@ -100,32 +100,31 @@ def fit(texts: list[set[bytes]], grades: list[int], features: int = FEATURES, ri
     return Severity({name: float(v) for name, v in zip(names, w) if v}, tuple(float(c) for c in cuts))
 
 
-def severity_grades(texts: list[set[bytes]], toxic: list[int]) -> list[int]:
-    """Ordered grades from binary labels: 0 not toxic, 1 toxic, 2 toxic with above the median evidence.
+def label_grades(labels: DataFrame) -> DataFrame:
+    """``labels`` with ``grade``: 0 not toxic, 1 toxic, 2 toxic and of poor quality; null where ``toxic`` is.
 
-    The evidence is the score of the two-grade model of the same family on the toxic documents.
+    The order is the labellers': what they marked for both reasons is worse than what they marked for one.
     """
-    model = fit(texts, toxic)
-    scores = [model.score(t) for t in texts]
-    of_toxic = sorted(s for s, t in zip(scores, toxic) if t)
-    if not of_toxic:
-        return list(toxic)
-    median = of_toxic[len(of_toxic) // 2]
-    return [int(t) + int(bool(t) and s > median) for s, t in zip(scores, toxic)]
+    poor = F.coalesce((F.col("quality") == 0).cast("int"), F.lit(0))
+    return labels.withColumn("grade", F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, 1 + poor))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int) -> tuple[list, list]:
-    """Words and labels of at most ``rows`` labelled documents, one for each id, by the hash of the id.
+    """Words and grades of at most ``rows`` labelled documents, one for each id, by the hash of the id.
 
+    ``label`` is a grade of 0 or more; of several labels of an id the greatest counts, and of several texts the one of
+    the least words in their order. Null ids, labels and texts without a label are left out; empty tables give none.
     The words are counted by label in Spark, and only those whose share differs between the labels by a standard
     score of 4, the ``FEATURES`` of the largest, reach the driver.
     """
     chosen = (
-        labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
-        .groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_label"))
+        labels.filter(col(key).isNotNull() & col(label).isNotNull())
+        .groupBy(col(key).alias("_key")).agg(F.max(col(label).cast("int")).alias("_label"))
         .orderBy(F.xxhash64("_key"), "_key").limit(rows)
     )
-    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
+    found = docs.select(col(key).alias("_key"), col(text).alias("_text")).join(F.broadcast(chosen), "_key")
+
+    kind = dict(found.dtypes)["_key"]
 
     def make():
         def run(keys, texts, marks):
@@ -133,12 +132,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
 
         return run
 
-    made = map_rows(found.select("_key", "_text", "_label"), make, "_key long, _label int, words array<binary>")
+    made = map_rows(found.select("_key", "_text", "_label"), make, f"_key {kind}, _label int, words array<binary>")
     sample = shared_table(made.groupBy("_key", "_label").agg(F.min("words").alias("words")), "sample")
-    n, pos = (x or 0 for x in sample.agg(F.count(F.lit(1)), F.sum("_label")).first())
+    n, pos = (x or 0 for x in sample.agg(F.count(F.lit(1)), F.sum((F.col("_label") > 0).cast("int"))).first())
     wanted: set[bytes] = set()
     if 0 < pos < n:
-        seen = sample.select("_label", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k"), F.sum("_label").alias("a"))
+        seen = sample.select("_label", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("_label") > 0).cast("int")).alias("a"))
         p = F.col("k") / n
         gap = F.col("a") / pos - (F.col("k") - F.col("a")) / (n - pos)
         z = F.abs(gap) / F.sqrt(p * (1 - p) * (1 / pos + 1 / (n - pos)) + 1e-12)
@@ -151,7 +150,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
 
         return run
 
-    kept = map_rows(sample.select("_key", "_label", "words"), pick, "_key long, _label int, words array<binary>").orderBy("_key").collect()
+    kept = map_rows(sample.select("_key", "_label", "words"), pick, f"_key {kind}, _label int, words array<binary>").orderBy("_key").collect()
     return [{bytes(w) for w in r["words"]} for r in kept], [r["_label"] for r in kept]
 
 
@@ -160,10 +159,12 @@ def score_documents(docs: DataFrame, model: Severity, text: str = "text", limit:
 
     ``expected_severity`` is the sum over thresholds of the probability to be above; ``grade`` the number of
     thresholds that are more likely passed than not; ``toxic`` if the first is, by ``limit``. A null or empty
-    text has no words and gets the model's base rate. The weights are bounded in number.
+    text has no words and gets the model's base rate; repeated rows are scored each; an empty table gives an empty
+    table. The weights are bounded in number. Columns of the names of the four new ones, in any case, are replaced;
+    others keep their values whatever they are called.
     """
-    new = ("expected_severity", "grade", "p_toxic", "toxic")
-    kept = [c for c in docs.columns if c != text and c not in new]
+    kept = others(docs, text, "expected_severity", "grade", "p_toxic", "toxic")
+    (body,) = fresh(docs, "body")
 
     def make():
         def run(*columns: list) -> dict[str, list]:
@@ -177,14 +178,17 @@ def score_documents(docs: DataFrame, model: Severity, text: str = "text", limit:
 
         return run
 
-    source = docs.select(*kept, F.col(text).alias("_text"))
+    source = docs.select(*map(col, kept), col(text).alias(body))
     zero = F.lit(0.0)
-    shape = source.drop("_text").withColumns({"expected_severity": zero, "grade": F.lit(0), "p_toxic": zero, "toxic": F.lit(True)})
+    shape = source.drop(body).withColumns({"expected_severity": zero, "grade": F.lit(0), "p_toxic": zero, "toxic": F.lit(True)})
     return map_rows(source, make, shape.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str, rows: int = FIT_ROWS) -> DataFrame:
+    """Expected severity and grade of every document, by a model of at most ``rows`` labelled documents.
+
+    Null and empty texts get the base rate; without labels every document has grade 0.
+    """
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    texts, toxic = labelled_sample(docs, labels, "doc_id", "text", "toxic", rows)
-    model = fit(texts, severity_grades(texts, toxic))
-    return score_documents(docs.select("doc_id", "text"), model)
+    texts, grades = labelled_sample(docs, label_grades(labels), "doc_id", "text", "grade", rows)
+    return score_documents(docs.select("doc_id", "text"), fit(texts, grades))
