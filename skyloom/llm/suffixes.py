@@ -57,7 +57,7 @@ SHALLOW = 16
 #: Segments of a key that are sorted together. A key with more is sorted in parts, and what stands for each part again.
 GROUP = 4096
 #: Anchors of a block, within which repeats are settled before anything is shuffled.
-BLOCK = 1_000_000
+BLOCK = 400_000
 #: Segments of one key in a block beyond which they are dealt by segment, and a witness stands for them at the key.
 WITNESSED = 16
 
@@ -261,7 +261,7 @@ def _blocks(docs: DataFrame, doc: str, text: str, span: int) -> DataFrame:
 
         def block(ids, raws, parts):
             key, first, last = (np.concatenate(x) for x in list(zip(*parts))[:3])
-            seg = np.array([s for p in parts for s in p[3]], np.uint64)
+            seg = np.concatenate([p[3] for p in parts])
             of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
             ids = pa.chunked_array(ids).combine_chunks()
             rank = _ranks(ids)[of]
@@ -312,7 +312,7 @@ def _blocks(docs: DataFrame, doc: str, text: str, span: int) -> DataFrame:
                 if len(raw) < span:
                     continue
                 key, first, last = anchors(raw, span)
-                segs = [digest(raw[a:b]) for a, b in zip(first.tolist(), (last + span).tolist())]
+                segs = np.fromiter((digest(raw[a:b]) for a, b in zip(first.tolist(), (last + span).tolist())), np.uint64, len(key))
                 ids.append(owners.slice(i, 1))
                 raws.append(raw)
                 parts.append((key, first, last, segs))
@@ -487,32 +487,37 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     two new ones, in any case, are replaced; others keep their values whatever they are called; the text is dropped.
     """
     kept = others(docs, text, "kept", "removed")
-    body, owner, doc, found = fresh(docs, "body", "owner", "doc", "found")
+    body, owner, doc = fresh(docs, "body", "owner", "doc")
+    parts = ("kind", "place", "seg", "mask", "of")
+    listed = fresh(docs, *parts)
     marks = repeated_strings(docs, key, text, span)
-    by_doc = marks.groupBy(F.col("doc").alias(doc)).agg(
-        F.collect_list(F.struct("kind", "place", "seg", "mask", "of")).alias(found)
-    )
+    by_doc = marks.groupBy(F.col("doc").alias(doc)).agg(F.collect_list(F.struct(*parts)).alias("x"))
+    by_doc = by_doc.select(doc, *[F.col(f"x.{p}").alias(n) for p, n in zip(parts, listed)])
     keyed = docs.select(*map(col, kept), col(text).alias(body), col(key).alias(owner))
-    joined = keyed.join(by_doc, keyed[owner] == by_doc[doc], "left").select(*map(col, kept), body, found)
+    joined = keyed.join(by_doc, keyed[owner] == by_doc[doc], "left").select(*map(col, kept), body, *listed)
 
     def make():
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
         import xxhash
 
+        digest = xxhash.xxh64_intdigest
+
         def one(raw: bytes, marks) -> tuple[bytes, list]:
-            if not marks:
-                return raw, []
             depth = np.zeros(len(raw) + 1, np.int32)
             fate: dict[tuple, int] = {}
-            for m in marks:
-                if m["kind"] != ALIAS:
-                    at = m["place"], m["seg"]
-                    fate[at] = fate.get(at, 0) | m["mask"]
+            aliases = []
+            for kind, place, seg, mask, of in marks:
+                if kind == ALIAS:
+                    aliases.append((place, seg, of))
+                else:
+                    fate[place, seg] = fate.get((place, seg), 0) | mask
             now = [(*at, mask) for at, mask in fate.items()]
-            now += [(m["place"], m["seg"], fate.get((m["of"], m["seg"]), 0)) for m in marks if m["kind"] == ALIAS]
+            now += [(place, seg, fate.get((of, seg), 0)) for place, seg, of in aliases]
             for place, seg, mask in now:
                 first, more = place >> 16, place & 0xFFFF
-                if not mask or xxhash.xxh64_intdigest(raw[first : first + more + span]) != seg & (2**64 - 1):
+                if not mask or digest(raw[first : first + more + span]) != seg & (2**64 - 1):
                     continue  # no repeat, or of another row of the same key
                 if mask == -1:
                     depth[first] += 1
@@ -527,14 +532,22 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
             left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
             return left, [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()]
 
-        def run(*columns: list) -> dict[str, list]:
-            done = [one(t.encode() if t else b"", m) for t, m in zip(*columns[-2:])]
-            return dict(zip(kept, columns)) | {"kept": [a for a, _ in done], "removed": [b for _, b in done]}
+        def run(*columns) -> dict:
+            texts, lists = columns[len(kept)].to_pylist(), columns[len(kept) + 1 :]
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists[0]), 0).to_numpy(zero_copy_only=False)).tolist()
+            rows = list(zip(*(x.flatten().to_numpy(zero_copy_only=False).tolist() for x in lists)))
+            done, at = [], 0
+            for t, end in zip(texts, ends):
+                raw = t.encode() if t else b""
+                done.append(one(raw, rows[at:end]) if end > at else (raw, []))
+                at = end
+            out = {"kept": pa.array([a for a, _ in done], pa.binary()), "removed": [b for _, b in done]}
+            return dict(zip(kept, columns)) | out
 
         return run
 
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>")
-    return map_rows(joined, make, joined.drop(body, found).withColumns({"kept": F.lit(b""), "removed": empty}).schema)
+    return map_rows(joined, make, joined.drop(body, *listed).withColumns({"kept": F.lit(b""), "removed": empty}).schema, lists=False)
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
