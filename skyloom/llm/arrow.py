@@ -14,12 +14,13 @@ SLICE = 512
 
 
 def map_rows(
-    df: DataFrame, make: Callable[[], Callable[..., dict[str, list]]], schema: str | StructType, rows: int = SLICE
+    df: DataFrame, make: Callable[[], Callable[..., dict[str, list]]], schema: str | StructType, rows: int = SLICE, lists: bool = True
 ) -> DataFrame:
     """``mapInArrow`` where ``make()``, called once a task, returns a function of the columns of ``df``.
 
     That function gets a list for each column of ``df``, ``rows`` long at most, and returns a list or
-    an Arrow array for each column of ``schema``; all of one length, which need not be ``rows``.
+    an Arrow array for each column of ``schema``; all of one length, which need not be ``rows``. Without ``lists``
+    it gets Arrow arrays.
     """
     out = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     names = [f.name for f in out]
@@ -33,7 +34,7 @@ def map_rows(
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                got = f(*(c.to_pylist() for c in part.columns))
+                got = f(*(c.to_pylist() if lists else c for c in part.columns))
                 made = [got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], x.type) for n, x in zip(names, arrow)]
                 if len(made[0]):
                     yield pa.RecordBatch.from_arrays(made, schema=arrow)

@@ -88,7 +88,7 @@ def contexts(docs: DataFrame, text: str, labels: dict[bytes, int], size: int, re
     Rows word, cells, counts: cell x counts the neighbours before the word that are labelled x, cell size + x those
     after it, cell 2 * size the word itself. A task gives the words of ``labels``, or with ``rest`` all others. With
     ``rest`` there are rows word, other and one count, of pairs of words that are both without a label, and rows of
-    neither, whose counts are those of all pairs of labels. The neighbour before a text is the end of another.
+    neither, a label in ``cells`` and how often each label comes after it. The neighbour before a text is another's end.
     """
     sent = docs.sparkSession.sparkContext.broadcast(labels)
 
@@ -146,12 +146,17 @@ def contexts(docs: DataFrame, text: str, labels: dict[bytes, int], size: int, re
                     yield from flush()
                     numbers, events, pairs, held = _Numbers(known), [], [], 0
         yield from flush()
-        if rest and table.any():
-            counts = pa.ListArray.from_arrays(pa.array([0, size * size], pa.int32()), pa.array(table))
+        if rest:
+            used = table.reshape(size, size)
+            own = np.flatnonzero(used.any(axis=1))
+            one = pa.array(np.arange(len(own) + 1, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int32())), counts],
+                [
+                    pa.nulls(len(own), pa.binary()), pa.nulls(len(own), pa.binary()), pa.ListArray.from_arrays(one, pa.array(own.astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * size), pa.array(used[own].ravel())),
+                ],
                 names=["word", "other", "cells", "counts"],
-            )
+            )
 
     return docs.select(col(text).alias("text")).mapInArrow(run, _CONTEXTS)
 
@@ -184,7 +189,7 @@ def _by_word(found: DataFrame, wide: int, make: Callable, schema: str) -> DataFr
         if out is not None:
             yield out
 
-    words = found.filter("cells is not null").select("word", "cells", "counts")
+    words = found.filter("cells is not null and word is not null").select("word", "cells", "counts")
     return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, schema)
 
 
@@ -285,6 +290,20 @@ def best_classes(at, cell, n, words: int, table, fixed: int = 1):
     before = np.bincount(at[cell < k], n[cell < k], words)
     after = np.bincount(at[cell >= k], n[cell >= k], words)
     gain -= added(before, 0) + added(after, 1)
+    # a word that comes next to the class it moves to raises a sum from both sides
+    own, mine = cell < k, cell >= k
+    second, first, diagonal = table.sum(axis=0), table.sum(axis=1), np.diag(table)
+    for side, sums, other, classes in ((own, first, after, cell), (mine, second, before, cell - k)):
+        w, c, x = at[side], classes[side], n[side].astype(float)
+        m, s = other[w], sums[c]
+        gain[w, c] += f(s + m) - f(s) - f(s + x + m) + f(s + x)
+    place = np.unique(at[own] * k + cell[own]), np.unique(at[mine] * k + cell[mine] - k)
+    both, i, j = np.intersect1d(*place, assume_unique=True, return_indices=True)
+    if len(both):
+        order = [np.argsort(at[x] * k + c, kind="stable") for x, c in ((own, cell[own]), (mine, cell[mine] - k))]
+        x, y = n[own][order[0]][i].astype(float), n[mine][order[1]][j].astype(float)
+        d = diagonal[both % k]
+        gain[both // k, both % k] += f(d + x + y) - f(d + x) - f(d + y) + f(d)
     gain[:, :fixed] = -np.inf
     return np.argmax(gain, axis=1)
 
@@ -383,13 +402,13 @@ def train(docs: DataFrame, text: str = "text", classes: int = CLASSES, own_units
     pairs = far.filter("other is not null").groupBy("word", "other").agg(F.sum(F.get("counts", F.lit(0))).alias("n"))
     first, other = (rest.select(F.col("word").alias(w), F.col("class").alias(c)) for w, c in (("word", "a"), ("other", "b")))
     pairs = pairs.join(first, "word").join(other, "other").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    parts = far.filter("word is null").select("counts").union(moved.filter("word is null").select(F.col("table").alias("counts")))
-    table = np.zeros(k * k)
-    for r in parts.select(F.posexplode("counts").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
-        table[r["at"]] += r["n"]
+    parts = far.filter("word is null").select(F.get("cells", F.lit(0)).alias("a"), "counts")
+    parts = parts.union(moved.filter("word is null").select(F.col("class").alias("a"), F.col("table").alias("counts")))
+    table = np.zeros((k, k))
+    for r in parts.groupBy("a").agg(F.array(*[F.sum(F.get("counts", F.lit(i))) for i in range(k)]).alias("n")).collect():
+        table[r["a"]] += r["n"]
     for r in pairs.collect():
-        table[r["a"] * k + r["b"]] += r["n"]
-    table = table.reshape(k, k)
+        table[r["a"], r["b"]] += r["n"]
     share = (table.sum(axis=0) + 1) / (table.sum() + k)
     transition = np.log10((table + PRIOR * share[None, :]) / (table.sum(axis=1, keepdims=True) + PRIOR))
     sums = np.zeros(k)
@@ -403,7 +422,7 @@ def train(docs: DataFrame, text: str = "text", classes: int = CLASSES, own_units
 
 
 def _moved(found: DataFrame, wide: int, classes: Callable, table) -> DataFrame:
-    """Rows word, c, class of ``found`` words by ``best_classes``, and rows of ``table``, sums of the bigrams with them.
+    """Rows word, c, class of ``found`` words by ``best_classes``, and rows class, table of the bigrams with them.
 
     ``classes()`` gives the cell of class bigrams that each cell of ``found`` counts in; c is the count of the last one.
     """
@@ -416,9 +435,11 @@ def _moved(found: DataFrame, wide: int, classes: Callable, table) -> DataFrame:
 
         def f(words, at, cell, n):
             if words is None:
-                none = pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())
-                made = pa.ListArray.from_arrays(pa.array([0, len(sums)], pa.int32()), pa.array(sums))
-                return pa.RecordBatch.from_arrays([*none, made], names=["word", "c", "class", "table"])
+                used = sums.reshape(k, k)
+                own = np.flatnonzero(used.any(axis=1))
+                made = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * k), pa.array(used[own].ravel()))
+                none = pa.nulls(len(own), pa.binary()), pa.nulls(len(own), pa.int64())
+                return pa.RecordBatch.from_arrays([*none, pa.array(own.astype(np.int32)), made], names=["word", "c", "class", "table"])
             own = cell == wide - 1
             c = np.bincount(at[own], n[own], len(words)).astype(np.int64)
             at, key = at[~own], at[~own] * (2 * k) + to[cell[~own]]
@@ -460,15 +481,16 @@ def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
     empty text is an end alone. Repeated rows are scored each. An empty table gives an empty one. Columns of the names
     of the four new ones, in any case, are replaced; others keep their values whatever they are called.
     """
+    import numpy as np
+
     new = ("n_tokens", "n_known", "base_score", "score")
     kept = others(docs, text, *new)
-    body, logged, by_class, rare, times, pairs, row, found = fresh(docs, "text", "log", "class", "rare", "times", "pairs", "row", "found")
-    sent = docs.sparkSession.sparkContext.broadcast((model.words, model.transition, model.emission))
+    body, logged, by_class, rare, guess, times, pairs, row = fresh(docs, "text", "log", "class", "rare", "guess", "times", "pairs", "row")
+    places, counts, classes_ = fresh(docs, "places", "counts", "classes")
+    sent = docs.sparkSession.sparkContext.broadcast((model.words, model.endings, model.transition, model.emission))
 
     def make():
-        import numpy as np
-
-        words, transition, emission = sent.value
+        words, endings, transition, emission = sent.value
         index = {w: i for i, w in enumerate(words)}
         logs = np.array([x for x, _ in words.values()] + [0.0])
         classes = np.array([c for _, c in words.values()] + [0], np.int64)
@@ -487,11 +509,12 @@ def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
             by_class = float(transition[before[sure], of[sure]].sum() - emission[of[of >= 0]].sum())
             open_ = np.stack([before[~sure], of[~sure]], axis=1).ravel().tolist()
             often = np.bincount(numbers, minlength=len(own)).tolist() if own else []
-            return len(line), int((logs[at] > 0).sum()), float(logs[at].sum()), by_class, list(own), often, open_
+            guesses = [endings[ending(w)] for w in own]
+            return len(line), int((logs[at] > 0).sum()), float(logs[at].sum()), by_class, list(own), guesses, often, open_
 
         def run(*columns: list) -> dict[str, list]:
-            made = list(zip(*map(one, columns[-1]))) if columns[-1] else [()] * 7
-            return dict(zip(kept, columns)) | dict(zip(("n_tokens", "n_known", logged, by_class, rare, times, pairs), map(list, made)))
+            made = list(zip(*map(one, columns[-1]))) if columns[-1] else [()] * 8
+            return dict(zip(kept, columns)) | dict(zip(("n_tokens", "n_known", logged, by_class, rare, guess, times, pairs), map(list, made)))
 
         return run
 
@@ -499,42 +522,55 @@ def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
     zero, whole = F.lit(0.0), F.lit(0).cast("long")
     shape = source.drop(body).withColumns({
         "n_tokens": whole, "n_known": whole, logged: zero, by_class: zero,
-        rare: F.array(F.lit(b"")), times: F.array(whole), pairs: F.array(F.lit(0)),
+        rare: F.array(F.lit(b"")), guess: F.array(F.lit(0)), times: F.array(whole), pairs: F.array(F.lit(0)),
     })
     parts = shared_table(map_rows(source, make, shape.schema).withColumn(row, F.monotonically_increasing_id()), "scored")
     asked = parts.select(F.col(row).alias("row"), F.posexplode(rare).alias("at", "word"))
-    known = asked.join(model.rest, "word").groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("at", "c", "class")).alias(found))
-    joined = parts.join(known, row, "left").select(*map(col, kept), "n_tokens", "n_known", logged, by_class, rare, times, pairs, found)
-    total = float(model.n_tokens + model.n_types + 1)
-    sent_rest = docs.sparkSession.sparkContext.broadcast((model.endings, model.transition, model.emission))
+    known = asked.join(model.rest, "word").groupBy(F.col("row").alias(row)).agg(
+        F.collect_list(F.struct("at", "c", "class")).alias("x")
+    ).select(row, F.col("x.at").alias(places), F.col("x.c").alias(counts), F.col("x.class").alias(classes_))
+    joined = parts.join(known, row, "left").select(
+        *map(col, kept), "n_tokens", "n_known", logged, by_class, guess, times, pairs, places, counts, classes_
+    )
+    total = float(np.log10(model.n_tokens + model.n_types + 1))
 
     def finish():
-        import numpy as np
-
-        endings, transition, emission = sent_rest.value
+        *_, transition, emission = sent.value
         transition, emission = np.array(transition), np.array(emission)
 
-        def one(n_tokens, n_known, logs, by_class, rare, times, pairs, found):
-            if rare:
-                of = np.array([endings[ending(w)] for w in rare])
-                c, often = np.zeros(len(rare)), np.array(times)
-                for x in found or []:
-                    of[x["at"]], c[x["at"]] = x["class"], x["c"]
-                n_known += int(often[c > 0].sum())
-                logs += float((often * np.log10(c + 1)).sum())
-                line = np.array(pairs)
-                line = np.where(line < 0, of[np.maximum(-1 - line, 0)], line).reshape(-1, 2)
-                by_class += float(transition[line[:, 0], line[:, 1]].sum() - (often * emission[of]).sum())
-            return n_tokens, n_known, logs - n_tokens * float(np.log10(total)), logs + by_class
-
-        def run(*columns: list) -> dict[str, list]:
-            made = list(zip(*map(one, *columns[len(kept) :]))) if columns[-1] else [()] * 4
-            return dict(zip(kept, columns)) | dict(zip(new, map(list, made)))
+        def flat(lists, n):
+            import pyarrow.compute as pc
+
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            return np.repeat(np.arange(n), sizes), lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+
+        def run(*columns) -> dict:
+            import pyarrow as pa
+
+            n_tokens, n_known, logs, scored, guess, times, pairs, places, counts, classes = columns[len(kept) :]
+            n = len(n_tokens)
+            owner, of, first = flat(guess, n)
+            of, often = of.astype(np.int64), flat(times, n)[1]
+            at, place, _ = flat(places, n)
+            place = first[at] + place.astype(np.int64)
+            c = np.zeros(len(of))
+            c[place], of[place] = flat(counts, n)[1], flat(classes, n)[1]
+            logged = np.bincount(owner, often * np.log10(c + 1), n)
+            by, line, _ = flat(pairs, n)
+            line = line.astype(np.int64)
+            rare = line < 0
+            line[rare] = of[first[by[rare]] - 1 - line[rare]]
+            moves = np.bincount(by[::2], transition[line[::2], line[1::2]], n)
+            logs = logs.to_numpy() + logged
+            score = scored.to_numpy() + logs + moves - np.bincount(owner, often * emission[of], n)
+            known = n_known.to_numpy() + np.bincount(owner, often * (c > 0), n).astype(np.int64)
+            made = n_tokens, pa.array(known), pa.array(logs - n_tokens.to_numpy() * total), pa.array(score)
+            return dict(zip(kept, columns)) | dict(zip(new, made))
 
         return run
 
     shape = source.drop(body).withColumns({"n_tokens": whole, "n_known": whole, "base_score": zero, "score": zero})
-    return map_rows(joined, finish, shape.schema)
+    return map_rows(joined, finish, shape.schema, 4096, False)
 
 
 def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
