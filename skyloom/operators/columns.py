@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyloom.operators.quantiles import row_of
+from skyloom.staging import stored
+
 POINTS = T.StructType(
     [
         T.StructField("source", T.StringType()),
@@ -54,22 +57,24 @@ def finite_or_null(c: Column) -> Column:
 def normalize_catalog(
     df: DataFrame, source: str, vital: Mapping[str, Sequence[str]], optional: Mapping[str, Sequence[str]], id_column: str = "object_id"
 ) -> DataFrame:
-    """Vital columns by candidates, optional ones or null, and ``catalog_source``; ids made up where all are null.
+    """Vital columns by candidates, optional ones or null, and ``catalog_source``; ids are made up if all are null.
 
-    Returns no rows' worth of guesses: a missing vital column other than the id raises ValueError.
+    A missing vital column, the id's too, raises ValueError. A made-up id is the source and a hash of the row's values,
+    and a number if rows are equal, so it does not change with how the table is dealt out.
     """
-    needed = {k: v for k, v in vital.items() if k != id_column}
-    found = resolve_columns(df.columns, needed)
+    resolved = resolve_columns(df.columns, {id_column: (id_column,), **vital})
+    found = {k: v for k, v in resolved.items() if k != id_column}
     out = [F.col(src).cast("double").alias(dst) for dst, src in found.items()]
     for dst, names in optional.items():
         src = find_column(df.columns, names)
         out.append((F.col(src).cast("double") if src else F.lit(None).cast("double")).alias(dst))
-    own = find_column(df.columns, vital.get(id_column, (id_column,)))
-    if own is None:
-        own_id = F.concat_ws("_", F.lit(source.upper()), F.monotonically_increasing_id().cast("string"))
-    else:
-        own_id = F.col(own).cast("string")
-    return df.select(own_id.alias(id_column), *out, F.lit(source).alias("catalog_source"))
+    own = F.col(resolved[id_column]).cast("string")
+    if df.filter(F.col(resolved[id_column]).isNotNull()).limit(1).count() or not df.limit(1).count():
+        return df.select(own.alias(id_column), *out, F.lit(source).alias("catalog_source"))
+    marked = df.withColumn("_hash", F.sha2(F.to_json(F.struct(*df.columns)), 256))
+    marked = marked.withColumn("_copy", F.row_number().over(Window.partitionBy("_hash").orderBy(F.lit(0))))
+    made = F.concat_ws("_", F.lit(source.upper()), F.substring("_hash", 1, 32), F.when(F.col("_copy") > 1, F.col("_copy")))
+    return marked.select(made.alias(id_column), *out, F.lit(source).alias("catalog_source"))
 
 
 def rename_known(df: DataFrame, names: Mapping[str, str], required: Sequence[str]) -> DataFrame:
@@ -131,21 +136,22 @@ def clean_for_store(df: DataFrame) -> DataFrame:
 def trim_quantiles(df: DataFrame, column: str, low: float | None, high: float | None) -> DataFrame:
     """Rows within the exact, linearly interpolated quantiles of ``column`` (NumPy's), ends included."""
     wanted = [q for q in (low, high) if q is not None]
-    row = df.agg(F.percentile(column, F.array(*map(F.lit, wanted))).alias("q")).first()["q"]
+    row = row_of(df, [column], wanted)[column]
     if row is None:
         return df
     bounds = dict(zip([x for x, q in (("low", low), ("high", high)) if q is not None], row))
     return df.filter(in_range(column, bounds.get("low"), bounds.get("high")))
 
 
-def clean_cascade(df: DataFrame, mags: Sequence[str] = (), xyz: Sequence[str] = (), per_column_null_safe: bool = True) -> DataFrame:
+def clean_cascade(df: DataFrame, mags: Sequence[str] = (), xyz: Sequence[str] = (), per_column_null_safe: bool = False) -> DataFrame:
     """The cleaning cascade, in order; each quantile is taken over the rows that the steps before have left.
 
     Full-row duplicates go; ra and dec by range and their middle 98 %; redshift in [0, 10] and to its 99.5 %;
     magnitudes in [5, 35] and their middle 99 %; rows with under half of their columns go; coordinates finite
-    and in their middle 99 %. With ``per_column_null_safe`` a null magnitude does not drop its row.
+    and in their middle 99 %. With ``per_column_null_safe`` a null magnitude does not drop its row. The distinct rows are
+    written to the staging folder once, and every quantile is taken from there.
     """
-    df = df.dropDuplicates()
+    df = stored(df.dropDuplicates(), "distinct")
     for c, bounds in (("ra", (0, 360)), ("dec", (-90, 90))):
         if c in df.columns:
             df = trim_quantiles(df.filter(in_range(c, *bounds)), c, 0.01, 0.99)
@@ -154,7 +160,7 @@ def clean_cascade(df: DataFrame, mags: Sequence[str] = (), xyz: Sequence[str] =
     for c in mags:
         sound = in_range(c, 5, 35)
         if per_column_null_safe:
-            row = df.filter(sound).agg(F.percentile(c, F.array(F.lit(0.005), F.lit(0.995))).alias("q")).first()["q"]
+            row = row_of(df.filter(sound), [c], (0.005, 0.995))[c]
             df = df.filter(F.col(c).isNull() | (sound & in_range(c, *row))) if row else df
         else:
             df = trim_quantiles(df.filter(sound), c, 0.005, 0.995)
@@ -176,7 +182,7 @@ def valid_redshift(df: DataFrame, z: str = "redshift", most: float = 20.0) -> Da
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str], factor: float = 1.5, cap: bool = False) -> DataFrame:
     """Values beyond ``factor`` interquartile ranges from the quartiles: their rows go, or they are capped."""
-    quartiles = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns]).first()
+    quartiles = row_of(df, columns, (0.25, 0.75))
     for c in columns:
         if quartiles[c] is None:
             continue
@@ -186,17 +192,69 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], factor: float = 1.5, cap
     return df
 
 
-def fill_missing(df: DataFrame, columns: Sequence[str], strategy: str = "mean") -> DataFrame:
-    """drop, mean, median or mode of each column; ``unknown`` for strings."""
+def fill_missing(df: DataFrame, columns: Sequence[str], strategy: str = "mean", order: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """drop, mean, median, mode or interpolate each column; ``unknown`` for strings.
+
+    ``interpolate`` is linear between the nearest values by ``order`` within each group of ``by``; ends are not filled.
+    """
     if strategy == "drop":
         return df.na.drop(subset=list(columns))
     if strategy == "unknown":
         return df.na.fill("unknown", subset=list(columns))
-    by = {"mean": F.avg, "median": F.median, "mode": lambda c: F.mode(c, True)}[strategy]
-    row = df.agg(*[by(F.col(c)).alias(c) for c in columns]).first().asDict()
+    if strategy == "interpolate":
+        return _interpolated(df, columns, order, by)
+    if strategy == "median":
+        row = {c: q and q[0] for c, q in row_of(df, columns, (0.5,)).items()}
+    elif strategy == "mean":
+        row = df.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
+    elif strategy == "mode":  # counted before anything is gathered; ties to the smallest value
+        row = {}
+        for c in columns:
+            most = df.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
+            row[c] = most and most[c]
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
     return df.na.fill({c: v for c, v in row.items() if v is not None})
 
 
+def _interpolated(df: DataFrame, columns: Sequence[str], order: str | None, by: Sequence[str]) -> DataFrame:
+    if order is None:
+        raise ValueError("interpolate needs an order")
+    w = Window.partitionBy(*by).orderBy(order)
+    past, coming = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    made, x = {}, F.col(order).cast("double")
+    for c in columns:
+        v = F.col(c).cast("double")
+        at = F.when(v.isNotNull(), x)
+        a, b = F.last(v, True).over(past), F.first(v, True).over(coming)
+        xa, xb = F.last(at, True).over(past), F.first(at, True).over(coming)
+        made[c] = F.coalesce(v, a + (b - a) * F.try_divide(x - xa, xb - xa))
+    return df.withColumns(made)
+
+
+def document_struct(df: DataFrame, fields: Mapping[str, tuple[str, object]], out: str = "document") -> DataFrame:
+    """``df`` with a struct of ``fields``: name to (type, default), the default where the column is null or missing."""
+    have = {c.lower(): c for c in df.columns}
+    made = []
+    for name, (kind, default) in fields.items():
+        value = F.col(have[name.lower()]).cast(kind) if name.lower() in have else F.lit(None).cast(kind)
+        made.append(F.coalesce(value, F.lit(default).cast(kind)).alias(name))
+    return df.withColumn(out, F.struct(*made))
+
+
+def downcast(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """Doubles as floats: half the memory, seven digits. All double columns, or those given."""
+    names = list(columns) or [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
+    return df.withColumns({c: F.col(c).cast("float") for c in names})
+
+
+def broadcast_row(df: DataFrame, row: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """Every row of ``df`` with the columns of the one row of ``row``; ValueError if that is not one row."""
+    if len(row.take(2)) != 1:
+        raise ValueError("one row is needed to go with every other")
+    return df.join(F.broadcast(row.select(*(columns or row.columns))))
+
+
 def health_score(df: DataFrame) -> DataFrame:
     """One row: share of cells present, share of rows that are distinct, and a score of 0 to 100.
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skyloom.operators.neighbors import knn_edges
 from skyloom.operators.sampling import hash_order, lcg_order  # noqa: F401  part of the interface
 from skyloom.operators.scaling import normalize_coordinates, scale_weights
+from skyloom.staging import stored
 
 NODE, EDGE = ("graph_id", "node_id"), ("graph_id", "src", "dst", "weight")
 
@@ -102,27 +103,23 @@ def match_sizes(nodes: DataFrame, edges: DataFrame, seed: int = 42) -> tuple[Dat
 
 def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """graph_id, node_id, component: the smallest node reached. Each round takes the least label about a node,
-    then the label of that label, so long paths shorten fast; only a count of changes reaches the driver."""
-    links = both_ways(edges).select("graph_id", "node_id", "other").distinct()
-    labels = nodes.select(*NODE, F.col("node_id").alias("component")).checkpoint() if _can_checkpoint(nodes) else nodes.select(*NODE, F.col("node_id").alias("component"))
+    then the label of that label, so long paths shorten fast; only a count of changes reaches the driver.
+    Links and the labels of each round are written to the staging folder."""
+    links = stored(both_ways(edges).select("graph_id", "node_id", "other").distinct(), "links")
+    labels = stored(nodes.select(*NODE, F.col("node_id").alias("component")), "labels")
     for _ in range(rounds):
         around = links.join(labels.select("graph_id", F.col("node_id").alias("other"), F.col("component").alias("c")), ["graph_id", "other"])
         least = around.groupBy(*NODE).agg(F.min("c").alias("c"))
         stepped = labels.join(least, list(NODE), "left").select(*NODE, "component", F.least("component", F.coalesce("c", "component")).alias("next"))
-        jump = stepped.select("graph_id", F.col("node_id").alias("next"), F.col("next").alias("far"))
+        jump = labels.select("graph_id", F.col("node_id").alias("next"), F.col("component").alias("far"))
         new = stepped.join(jump, ["graph_id", "next"], "left").select(*NODE, F.least("next", F.coalesce("far", "next")).alias("component"), F.col("component").alias("old"))
-        new = new.checkpoint() if _can_checkpoint(nodes) else new.cache()
-        changed = new.filter("component <> old").limit(1).count()
+        new = stored(new, "labels")
         labels = new.drop("old")
-        if not changed:
+        if not new.filter("component <> old").limit(1).count():
             return labels
     raise RuntimeError("components did not settle")
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    return df.sparkSession.conf.get("spark.checkpoint.dir", None) is not None or df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-
-
 def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes of each graph's largest component; of equal ones that of the smallest node."""
     labels = connected_components(nodes, edges)

@@ -11,13 +11,14 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.operators.columns import fill_missing, finite_rows, numeric_columns
 from skyloom.operators.neighbors import radius_pairs
 from skyloom.operators.sampling import exact_split, folds
 from skyloom.operators.scaling import scale
+from skyloom.staging import running_sum, stored
 
 
 def prepare(df: DataFrame, key: str, label: str | None = None, features: Sequence[str] = (), missing: str = "mean", scaled: bool = False) -> tuple[DataFrame, list[str]]:
@@ -89,8 +90,8 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Chance that a positive outscores a negative, ties half. Equal scores are one row before ranks are summed."""
     by = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by.select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("w"))
+    summed = running_sum(by, [score], F.col("n"), "below")
+    won = summed.select("p", "n", (F.col("p") * (F.col("below") + F.col("n") / 2)).alias("w"))
     return won.agg(F.try_divide(F.sum("w"), F.sum("p") * F.sum("n")).alias("roc_auc"))
 
 
@@ -172,7 +173,7 @@ def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float = 0.5, m
     from skyloom.operators.graphs import connected_components
 
     points = df.select(F.lit("p").alias("graph_id"), F.col(key).alias("node_id"), *features)
-    near = radius_pairs(points, features, eps).cache()
+    near = stored(radius_pairs(points, features, eps), "near")
     ends = near.select("src", "dst").union(near.select("dst", "src")).toDF("node_id", "other")
     counts = points.select("node_id").join(ends.groupBy("node_id").count(), "node_id", "left").na.fill(0, ["count"])
     core = counts.filter(F.col("count") + 1 >= min_samples).select("node_id")
@@ -180,7 +181,7 @@ def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float = 0.5, m
     labels = connected_components(core.select(F.lit("p").alias("graph_id"), "node_id"), core_pairs.select("graph_id", "src", "dst", F.lit(1.0).alias("weight"))).select("node_id", "component")
     border = ends.join(core, "node_id", "left_anti").join(labels.withColumnRenamed("node_id", "other"), "other").groupBy("node_id").agg(F.min("component").alias("component"))
     every = labels.union(border)
-    numbers = labels.select("component").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("component")) - 1)
+    numbers = running_sum(labels.select("component").distinct(), ["component"], F.lit(1), "cluster").withColumn("cluster", F.col("cluster").cast("int"))
     found = every.join(numbers, "component").select(F.col("node_id").alias(key), "cluster")
     return df.join(found, key, "left").na.fill(-1, ["cluster"])
 

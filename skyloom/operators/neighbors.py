@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.coords import angular_separation
+from skyloom.staging import stored
+
+#: Parts of a group that a point which no cell has settled is compared with.
+SALTS = 64
 
 
 def euclidean(gaps: Sequence[Column]) -> Column:
@@ -60,7 +64,8 @@ def knn(
     Groups of up to ``small`` points are compared in full, as an equi-join on the group. In larger ones a point
     meets the cells about its own, of a size that holds some k points in the mean; a point is done once its
     k-th distance is within the cell size, as nothing nearer lies farther out. The rest goes on with cells
-    twice as large, so dense regions are settled by small cells; what ``rounds`` leave is compared in full.
+    twice as large, so dense regions are settled by small cells; what ``rounds`` leave is compared in full, in parts.
+    What a round has settled and left is written to the staging folder, so no round is computed twice.
     """
     dist = METRICS[metric] if isinstance(metric, str) else metric
     base = points.select(by, F.col(key).alias("src"), *[F.col(a).cast("double").alias(a) for a in axes])
@@ -79,10 +84,8 @@ def knn(
     done = ranked(sized.filter(F.col("_n") <= small), others, [by]).select(by, *wanted)
     if not groups.filter(F.col("_n") > small).limit(1).count():
         return done
-    if len(axes) > 4:  # 3 ** len(axes) cells about each point are too many: cells of the first four axes bound d as well
-        axes_cells = list(axes)[:4]
-    else:
-        axes_cells = list(axes)
+    # 3 ** len(axes) cells about each point are many: cells of the first four axes bound d as well
+    axes_cells = list(axes)[:4]
     cells = [f"_c_{a}" for a in axes_cells]
     todo = sized.filter(F.col("_n") > small)
     table = others.join(groups.filter(F.col("_n") > small), by)
@@ -90,13 +93,20 @@ def knn(
         size = F.col("_size") * (2.0**i)
         own = table.withColumns({f"_c_{a}": F.floor(F.col(f"{a}_b") / size) for a in axes_cells}).drop("_n", "_size")
         found = ranked(_cells(todo, axes_cells, size, True), own, [by, *cells])
-        found = found.withColumn("_kth", F.max(F.when(F.col("rank") == k, F.col("d"))).over(Window.partitionBy(by, "src")))
-        settled = found.filter(F.col("_kth") <= size)
-        done = done.union(settled.select(by, *wanted))
-        todo = todo.join(settled.select(by, "src").distinct(), [by, "src"], "left_anti")
+        kth = F.max(F.when(F.col("rank") == k, F.col("d"))).over(Window.partitionBy(by, "src"))
+        settled = stored(found.withColumn("_kth", kth).filter(F.col("_kth") <= size).select(by, *wanted), "settled")
+        done = done.union(settled)
+        todo = stored(todo.join(settled.select(by, "src").distinct(), [by, "src"], "left_anti"), "todo")
         if not todo.limit(1).count():
             return done
-    return done.union(ranked(todo, others, [by]).select(by, *wanted))
+    # what is left meets the others in parts, so that no task compares all of a large group
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    far = table.drop("_n", "_size").withColumn("_s", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int"))
+    met = todo.drop("_n", "_size").withColumn("_s", F.explode(salts)).join(far, [by, "_s"]).filter("src <> dst")
+    met = met.withColumn("d", dist([F.col(x) - F.col(f"{x}_b") for x in axes]))
+    own_rank = F.row_number().over(Window.partitionBy(by, "src", "_s").orderBy("d", "dst"))
+    best = met.withColumn("_r", own_rank).filter(F.col("_r") <= k)
+    return done.union(best.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select(by, *wanted))
 
 
 def knn_edges(points: DataFrame, k: int, axes: Sequence[str] = ("x", "y", "z"), metric: str = "euclidean", by: str = "graph_id", key: str = "node_id") -> DataFrame:
@@ -113,20 +123,29 @@ def knn_edges_symmetric(points: DataFrame, k: int, axes: Sequence[str] = ("x", "
 def cross_match(a: DataFrame, b: DataFrame, radius_deg: float) -> DataFrame:
     """Pairs (id_a, id_b, separation) of two catalogs (id, ra, dec) within ``radius_deg`` on the sky.
 
-    Both are dealt into bands of declination and cells of right ascension as wide as the radius needs at the band's
-    greatest declination; the cells join around the circle.
+    Both are dealt into bands of declination as high as the radius, and each band into cells of right ascension about as
+    wide as the radius at the band's end nearer to a pole. A point of ``a`` meets the cells that its circle may reach:
+    half of its width in right ascension is asin(sin r / cos dec), or the whole way round where the circle holds a pole.
     """
-    r = radius_deg
+    r = float(radius_deg)
+    high = F.least(F.lit(90.0), F.greatest(F.abs(F.col("_band") * r), F.abs((F.col("_band") + 1) * r)))
+    n = F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(high)) / r)).cast("long")
     band = F.floor(F.col("dec") / r)
-    edge = F.least(F.lit(89.9), F.greatest(F.abs((F.col("_band")) * r), F.abs((F.col("_band") + 1) * r)))
-    width = F.least(F.lit(360.0), r / F.cos(F.radians(edge)) * 1.01)
-    n = F.greatest(F.lit(1), F.floor(F.lit(360.0) / width))
-    left = a.select(F.col("id").alias("id_a"), F.col("ra").alias("ra_a"), F.col("dec").alias("dec_a"), F.explode(F.sequence(band - 1, band + 1)).alias("_band"))
-    left = left.withColumn("_n", n).withColumn("_own", F.floor(F.col("ra_a") / 360.0 * F.col("_n")))
-    around = F.array_distinct(F.transform(F.sequence(F.col("_own") - 1, F.col("_own") + 1), lambda i: F.pmod(i, F.col("_n"))))
-    left = left.withColumn("_cell", F.explode(around))
-    right = b.select(F.col("id").alias("id_b"), F.col("ra").alias("ra_b"), F.col("dec").alias("dec_b"), F.floor(F.col("dec") / r).alias("_band"))
-    right = right.withColumn("_n", n).withColumn("_cell", F.least(F.floor(F.col("ra_b") / 360.0 * F.col("_n")), F.col("_n") - 1))
+    left = a.select(
+        F.col("id").alias("id_a"), F.pmod(F.col("ra").cast("double"), F.lit(360.0)).alias("ra_a"), F.col("dec").alias("dec_a"),
+        F.explode(F.sequence(band - 1, band + 1)).alias("_band"),
+    ).withColumn("_n", n)
+    polar = F.abs("dec_a") + r >= 90.0
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(r) * 3.141592653589793 / 180) / F.cos(F.radians("dec_a"))))) * (1 + 1e-9) + 1e-9
+    cell = F.col("_n") / 360.0
+    first, last = F.floor((F.col("ra_a") - wide) * cell), F.floor((F.col("ra_a") + wide) * cell)
+    every = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
+    reached = F.when(polar | (last - first >= F.col("_n") - 1), every).otherwise(
+        F.transform(F.sequence(first, F.greatest(first, last)), lambda i: F.pmod(i, F.col("_n")))
+    )
+    left = left.withColumn("_cell", F.explode(reached))
+    right = b.select(F.col("id").alias("id_b"), F.pmod(F.col("ra").cast("double"), F.lit(360.0)).alias("ra_b"), F.col("dec").alias("dec_b"), F.floor(F.col("dec") / r).alias("_band"))
+    right = right.withColumn("_n", n).withColumn("_cell", F.least(F.floor(F.col("ra_b") * cell), F.col("_n") - 1))
     d = angular_separation(F.col("ra_a"), F.col("dec_a"), F.col("ra_b"), F.col("dec_b"))
     return left.join(right.drop("_n"), ["_band", "_cell"]).withColumn("separation", d).filter(F.col("separation") <= r).select("id_a", "id_b", "separation")
 

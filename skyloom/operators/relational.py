@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.operators.quantiles import quantiles
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """``old`` with rows of a key in ``new`` replaced by those, others added; columns that only one has are null."""
@@ -138,10 +140,17 @@ def overview(df: DataFrame, value: str, breakdown: str, pattern: str = "%.3f") -
 
 
 def describe_column(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.count(column).alias("n"), F.avg(column).alias("mean"), F.median(column).alias("median"),
+    """n, mean, exact median, sample std, least and most of each group of ``by``, or of all rows."""
+    moments = df.groupBy(*by).agg(
+        F.count(column).alias("n"), F.avg(column).alias("mean"),
         F.stddev_samp(column).alias("std"), F.min(column).alias("least"), F.max(column).alias("most"),
     )
+    median = quantiles(df, [column], (0.5,), by).select(*by, F.get(f"q__{column}", F.lit(0)).alias("median"))
+    joined = moments.join(median, list(by), "left") if by else moments.join(median)
+    return joined.select(*by, "n", "mean", "median", "std", "least", "most")
+
+
+_DESCRIBED = ("column", "count", "unique", "top", "mean", "std", "min", "quartiles", "max")
 
 
 def describe_all(df: DataFrame) -> DataFrame:
@@ -150,20 +159,27 @@ def describe_all(df: DataFrame) -> DataFrame:
     rows = []
     for c in df.columns:
         v = F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         rows.append(
             F.struct(
                 F.lit(c).alias("column"), F.count(c).alias("count"), F.count_distinct(F.col(c).cast("string")).alias("unique"), F.mode(F.col(c).cast("string"), True).alias("top"),
-                F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("quartiles"), F.max(v).alias("max"),
+                F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
             )
         )
-    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    found = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    if not numeric:
+        return found.withColumn("quartiles", F.lit(None).cast("array<double>")).select(*_DESCRIBED)
+    names = [c for c in df.columns if c in numeric]
+    q = quantiles(df, names, (0.25, 0.5, 0.75))
+    long = q.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"q__{c}").alias("quartiles")) for c in names])))
+    return found.join(long, "column", "left").select(*_DESCRIBED)
 
 
 def counts_in_bins(df: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
     """One row: rows in each half-open interval, and mean, median, std of ``value``."""
     bins = [F.count_if((F.col(value) >= a) & (F.col(value) < b)).alias(f"bin_{i}") for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-    return df.agg(*bins, F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"))
+    median = quantiles(df, [value], (0.5,)).select(F.get(f"q__{value}", F.lit(0)).alias("median"))
+    found = df.agg(*bins, F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")).join(median)
+    return found.select(*[c for c in found.columns if c not in ("median", "std")], "median", "std")
 
 
 def key_value_map(df: DataFrame, key: str, *values: str) -> DataFrame:

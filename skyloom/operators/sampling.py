@@ -19,9 +19,53 @@ def lcg_order(key: Column, seed: int) -> Column:
     return F.pmod(F.pmod(key.cast("long"), F.lit(2147483648)) * F.lit(1103515245) + F.lit(seed), F.lit(2147483648))
 
 
+#: Bits below those that deal an order's values into some 4096 bins.
+_BELOW = {hash_order: 52, lcg_order: 19}
+
+
+def _binned(df: DataFrame, key: str, seed: int, order: Order) -> DataFrame:
+    """``df`` with _o, the order of ``key``, and _bin, a few thousand even parts of it."""
+    return df.withColumn("_o", order(F.col(key), seed)).withColumn("_bin", F.shiftright("_o", _BELOW.get(order, 52)))
+
+
+def _before(binned: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by``, _bin, _n and _before, the rows of the group in earlier bins: a row a bin, whatever the table's size."""
+    sizes = binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+
+
+def _ends(binned: DataFrame, by: Sequence[str], n: Column) -> DataFrame:
+    """``by``, _end, _left: the bin in which the first ``n`` rows of a group end, and how many rows of it they take.
+
+    ``n`` is a column of _total, the group's rows.
+    """
+    bins = _before(binned, by).withColumn("_total", F.sum("_n").over(Window.partitionBy(*by))).withColumn("_wanted", n)
+    last = F.max(
+        F.when(F.col("_before") < F.col("_wanted"), F.struct("_bin", (F.col("_wanted") - F.col("_before")).alias("_left")))
+    )
+    return bins.groupBy(*by).agg(last.alias("_e")).select(*by, F.col("_e._bin").alias("_end"), F.coalesce("_e._left", F.lit(0)).alias("_left"))
+
+
+def _with_ends(binned: DataFrame, ends: DataFrame, by: Sequence[str]) -> DataFrame:
+    if not by:
+        return binned.join(F.broadcast(ends))
+    held = ends.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return binned.join(held, same).drop(*[f"_by_{c}" for c in by])
+
+
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42, order: Order = hash_order) -> DataFrame:
-    """``n`` rows without replacement, those first by a hash of ``key``; all of them if there are fewer."""
-    return df.orderBy(order(F.col(key), seed), key).limit(n)
+    """``n`` rows without replacement, those first by a hash of ``key``; all of them if there are fewer.
+
+    Rows are counted in some 4096 bins of the hash; only those of the bin in which the sample ends are ordered.
+    """
+    binned = _binned(df, key, seed, order)
+    near = _with_ends(binned, _ends(binned, (), F.lit(n)), ())
+    first = near.filter("_bin < _end").select(*df.columns)
+    rank = F.row_number().over(Window.partitionBy("_bin").orderBy("_o", key))
+    last = near.filter("_bin = _end").withColumn("_r", rank).filter("_r <= _left").select(*df.columns)
+    return first.union(last)
 
 
 def sample_n_by(df: DataFrame, n: int | Column, by: Sequence[str], key: str, seed: int = 42, order: Order = hash_order) -> DataFrame:
@@ -89,10 +133,18 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, see
 
 
 def exact_split(df: DataFrame, label: str | None, key: str, test: float = 0.2, seed: int = 42, order: Order = hash_order) -> DataFrame:
-    """``is_test`` with exactly ``round(count * test)`` rows of each class, for tables of graphs, not of points."""
-    w = Window.partitionBy(label) if label else Window.partitionBy(F.lit(0))
-    ranked = df.withColumns({"_r": F.row_number().over(w.orderBy(order(F.col(key), seed), key)), "_n": F.count(F.lit(1)).over(w)})
-    return ranked.withColumn("is_test", F.col("_r") <= F.round(F.col("_n") * test)).drop("_r", "_n")
+    """``is_test`` with exactly ``round(count * test)`` rows of each class, those first by a hash of ``key``.
+
+    As in ``sample_n`` only the rows of the bin in which a class's part ends are ordered, so a class of most of the rows
+    is no single task's. A null label is a class.
+    """
+    by = [label] if label else []
+    binned = _binned(df, key, seed, order)
+    near = _with_ends(binned, _ends(binned, by, F.round(F.col("_total") * test)), by)
+    clear = near.filter("_bin <> coalesce(_end, _bin - 1)").withColumn("is_test", F.coalesce(F.col("_bin") < F.col("_end"), F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("_o", key))
+    last = near.filter("_bin = _end").withColumn("is_test", rank <= F.col("_left"))
+    return clear.select(*df.columns, "is_test").union(last.select(*df.columns, "is_test"))
 
 
 def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, order: Order = hash_order) -> DataFrame:
@@ -101,9 +153,16 @@ def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, order: Order = ha
 
 def shuffle_labels(df: DataFrame, label: str, key: str, seed: int = 42, order: Order = hash_order) -> DataFrame:
     """Labels permuted among the rows: the i-th row by one hash gets the i-th label by another."""
-    a = df.withColumn("_i", F.row_number().over(Window.orderBy(order(F.col(key), seed), key))).drop(label)
-    b = df.select(label, F.row_number().over(Window.orderBy(order(F.col(key), seed + 1), key)).alias("_i"))
-    return a.join(b, "_i").drop("_i")
+
+    def numbered(rows: DataFrame, s: int) -> DataFrame:
+        binned = _binned(rows, key, s, order)
+        bins = _before(binned, ()).select("_bin", "_before")
+        rank = F.row_number().over(Window.partitionBy("_bin").orderBy("_o", key))
+        return binned.withColumn("_r", rank).join(bins, "_bin").withColumn("_i", F.col("_before") + F.col("_r"))
+
+    a = numbered(df, seed).select(*[c for c in df.columns if c != label], "_i")
+    b = numbered(df.select(label, key), seed + 1).select(label, "_i")
+    return a.join(b, "_i").select(*df.columns)
 
 
 def grid_stride(nodes: DataFrame, most: int, ix: str = "ix", iy: str = "iy", method: str = "grid") -> DataFrame:

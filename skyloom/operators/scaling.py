@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import permutations
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.coords import C_KM_S
+from skyloom.operators.quantiles import quantiles
 
 
 def _stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -26,7 +27,7 @@ def scale(df: DataFrame, columns: Sequence[str], method: str, by: Sequence[str]
     aggregate, joined back: one row to every row, or by group.
     """
     if method == "robust":
-        quart = df.groupBy(*by).agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q__{c}") for c in columns])
+        quart = quantiles(df, columns, (0.25, 0.5, 0.75), by)
         joined = df.join(quart, list(by)) if by else df.join(F.broadcast(quart))
         made = {
             c + suffix: F.coalesce(F.try_divide(F.col(c) - F.get(f"q__{c}", F.lit(1)), F.get(f"q__{c}", F.lit(2)) - F.get(f"q__{c}", F.lit(0))), F.lit(0.0) * F.col(c))
@@ -68,7 +69,7 @@ def labelled_bin(v: Column, edges: Sequence[float], labels: Sequence[str]) -> Co
 
 
 REDSHIFT_EDGES = (0.0, 0.1, 0.5, 1.0, 2.0, 10.0)
-REDSHIFT_LABELS = ("very_low", "low", "medium", "high", "very_high")
+REDSHIFT_LABELS = ("nearby", "intermediate", "distant", "high_z", "extreme")
 
 
 def normalize_points(df: DataFrame, mags: Sequence[str] = ()) -> DataFrame:
@@ -91,36 +92,64 @@ def normalize_points(df: DataFrame, mags: Sequence[str] = ()) -> DataFrame:
     return out
 
 
+def _cut(columns: dict[str, int]) -> dict[str, Column]:
+    """For each column its cell of so many equal parts of the table's range, from its min__ and max__ columns."""
+    return {c: equal_bin(F.col(c), F.col(f"min__{c}"), F.col(f"max__{c}"), n) for c, n in columns.items()}
+
+
 def engineer_features(df: DataFrame, mags: Sequence[str] = (), source: str = "catalog_source", grid: int = 10) -> DataFrame:
-    """Colours of each ordered pair of magnitudes, redshift classes and bins, sky cells, shells, group statistics, grid counts."""
-    cols = {f"color_{a.split('_')[-1]}_{b.split('_')[-1]}": F.col(a) - F.col(b) for a, b in permutations(mags, 2)}
-    if "redshift" in df.columns:
-        cols |= {"redshift_class": labelled_bin(F.col("redshift"), REDSHIFT_EDGES, REDSHIFT_LABELS), "velocity": F.col("redshift") * C_KM_S}
+    """Derived features of a catalog, as far as its columns go.
+
+    Colours of each pair of magnitudes in their order; redshift classes (right-open) and 20 equal bins, recession
+    velocity; 36 by 18 cells of the table's range of the sky; distance; mean, sample std and count by ``source`` of
+    redshift, ra, dec and magnitudes; ratio and product of redshift with the first two magnitudes; cells of ``grid``
+    parts an axis and how many points each holds. Bounds and group statistics are two aggregates, joined back.
+    """
+    have = set(df.columns)
+    cols = {f"color_{a.split('_')[-1]}_{b.split('_')[-1]}": F.col(a) - F.col(b) for a, b in combinations(mags, 2)}
+    bounded: dict[str, int] = {}
+    if "redshift" in have:
+        cols |= {"redshift_bin_coarse": labelled_bin(F.col("redshift"), REDSHIFT_EDGES, REDSHIFT_LABELS), "velocity_recession_kms": F.col("redshift") * C_KM_S}
+        bounded["redshift"] = 20
         for m in list(mags)[:2]:
-            cols |= {f"{m}_over_z": F.col(m) / (F.col("redshift") + 0.001), f"{m}_times_z": F.col(m) * F.col("redshift")}
-    if {"ra", "dec"} <= set(df.columns):
-        cell = F.least(F.floor(F.col("ra") / 10), F.lit(35)) * 18 + F.least(F.floor((F.col("dec") + 90) / 10), F.lit(17))
-        cols |= {"polar_distance": 90 - F.abs(F.col("dec")), "sky_cell": cell.cast("long")}
+            cols |= {f"{m}_div_redshift": F.col(m) / (F.col("redshift") + 0.001), f"{m}_mul_redshift": F.col(m) * F.col("redshift")}
+    if "dec" in have:
+        cols["galactic_latitude_approx"] = 90 - F.abs(F.col("dec"))
+    if {"ra", "dec"} <= have:
+        bounded |= {"ra": 36, "dec": 18}
+    if {"X", "Y", "Z"} <= have:
+        cols["distance_3d"] = F.sqrt(F.col("X") ** 2 + F.col("Y") ** 2 + F.col("Z") ** 2)
+        bounded |= {"X": grid, "Y": grid, "Z": grid}
     out = df.withColumns(cols)
-    bounded = [c for c in ("redshift",) if c in out.columns]
-    if {"X", "Y", "Z"} <= set(out.columns):
-        out = out.withColumn("distance_3d", F.sqrt(F.col("X") ** 2 + F.col("Y") ** 2 + F.col("Z") ** 2))
-        bounded += ["X", "Y", "Z", "distance_3d"]
     if bounded:
-        bounds = out.agg(*[f(c).alias(f"{n}__{c}") for c in bounded for n, f in (("min", F.min), ("max", F.max))])
+        bounds = df.agg(*[f(c).alias(f"{n}__{c}") for c in bounded for n, f in (("min", F.min), ("max", F.max))])
         out = out.join(F.broadcast(bounds))
-        bins = {c: 20 if c in ("redshift", "distance_3d") else grid for c in bounded}
-        made = {f"{c}_cell": equal_bin(F.col(c), F.col(f"min__{c}"), F.col(f"max__{c}"), n) for c, n in bins.items()}
+        cell, made = _cut(bounded), {}
+        if "redshift" in bounded:
+            made["redshift_bin_fine"] = cell["redshift"]
+        if "ra" in bounded:
+            made["sky_region_id"] = cell["ra"] * 18 + cell["dec"]
+        if "X" in bounded:
+            made["grid_cell_id"] = cell["X"] * grid * grid + cell["Y"] * grid + cell["Z"]
         out = out.withColumns(made).drop(*bounds.columns)
-        if "X_cell" in made:
-            out = out.withColumn("grid_cell_id", F.col("X_cell") * grid * grid + F.col("Y_cell") * grid + F.col("Z_cell"))
-            # counts by cell are summed before they are joined back, so a crowded cell is no single task's
-            out = out.join(out.groupBy("grid_cell_id").agg(F.count(F.lit(1)).alias("local_density")), "grid_cell_id", "left")
-    if source in out.columns and "redshift" in out.columns:
-        out = attach_group_stats(out, source, "redshift")
+    if "X" in bounded:
+        if "redshift" in have:
+            out = out.withColumn("angular_diameter_distance_mpc", F.col("distance_3d"))
+        out = attach_cell_counts(out, "grid_cell_id", "local_density_grid_approx")
+    if source in have:
+        wanted = [c for c in ("redshift", "ra", "dec", *mags) if c in have]
+        stats = df.groupBy(source).agg(*[
+            f(c).alias(f"{c}_src_{n}") for c in wanted for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("count", F.count))
+        ])
+        out = out.join(stats, source, "left")
     return out
 
 
+def attach_cell_counts(df: DataFrame, cell: str, out: str) -> DataFrame:
+    """The number of rows in each row's cell, on every row; counts are summed before they are joined back."""
+    return df.join(df.groupBy(cell).agg(F.count(F.lit(1)).alias(out)), cell, "left")
+
+
 def attach_group_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """Mean, sample std and count of ``value`` in the row's group, on every row."""
     stats = df.groupBy(key).agg(F.avg(value).alias(f"{value}_mean"), F.stddev_samp(value).alias(f"{value}_std"), F.count(value).alias(f"{value}_count"))

@@ -17,6 +17,7 @@ from skyloom.operators import relational as R
 from skyloom.operators import sampling as S
 from skyloom.operators import spectral as Q
 from skyloom.operators import topology as T
+from skyloom.staging import stored
 
 
 @dataclass(frozen=True)
@@ -87,7 +88,8 @@ def build_graphs(points: DataFrame, preset: Preset) -> tuple[DataFrame, DataFram
         found = found.withColumn("graph_id", F.concat_ws("_", F.lit(preset.name), F.lit(source), F.col("graph_id").cast("string")))
         every = found if every is None else every.unionByName(found)
     nodes = every.select("graph_id", F.col("obj_id").alias("node_id"), F.col("x_mpc").alias("x"), F.col("y_mpc").alias("y"), F.col("z_mpc").alias("z"), "source", "center_x", "center_y", "center_z")
-    edges = N.knn_edges(nodes, preset.k)
+    nodes = stored(nodes, "nodes")
+    edges = stored(N.knn_edges(nodes, preset.k), "edges")
     registry = nodes.groupBy("graph_id", "source").agg(F.count(F.lit(1)).alias("n_nodes"), *[F.first(f"center_{c}").alias(f"center_{c}") for c in "xyz"])
     counted = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_edges"))
     registry = registry.join(counted, "graph_id", "left").na.fill(0, ["n_edges"]).withColumn("preset", F.lit(preset.name))
@@ -95,7 +97,8 @@ def build_graphs(points: DataFrame, preset: Preset) -> tuple[DataFrame, DataFram
 
 
 def feature_table(nodes: DataFrame, edges: DataFrame, what: Experiment) -> DataFrame:
-    """One row a graph with the wanted features, eigenvalues as columns."""
+    """One row a graph with the wanted features, eigenvalues as columns. Each family reads nodes and edges from the staging folder."""
+    nodes, edges = stored(nodes, "nodes"), stored(edges, "edges")
     out = nodes.select("graph_id").distinct()
     if "topology" in what.features:
         out = out.join(T.topology_features(nodes, edges), "graph_id", "left")

@@ -15,6 +15,7 @@ from skyloom.operators import sampling as S
 from skyloom.operators import scaling as X
 from skyloom.operators import spectral as Q
 from skyloom.operators import topology as T
+from skyloom.staging import stored
 
 QUERIES: dict = {}
 AXES = ("x", "y", "z")
@@ -38,7 +39,7 @@ def points(spark: SparkSession, d: str, one_graph: bool = False) -> DataFrame:
 
 def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     nodes = points(spark, d)
-    return nodes, N.knn_edges(nodes, K)
+    return nodes, stored(N.knn_edges(nodes, K), "edges")
 
 
 POINTS = """points AS (SELECT 'g' || label AS graph_id, vec_id AS node_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"""
@@ -495,6 +496,5 @@ def _(spark, d):
     names = {"obj_id": ("object_id",), "ra_deg": ("ra",), "dec_deg": ("dec",), "z": ("redshift",)}
     preset = X2.Preset("demo", (0.0, 360.0), (-60.0, 60.0), (0.01, 2.0), 1500, 1500.0, 3, 6, 20, 200)
     points, _ = X2.ingest({"one": c.filter("catalog_source = 'A'"), "two": c.filter("catalog_source = 'R'")}, preset, names)
-    points = points.cache()
-    nodes, edges, _ = X2.build_graphs(points, preset)
+    nodes, edges, _ = X2.build_graphs(stored(points, "points"), preset)
     return X2.feature_table(nodes, edges, X2.Experiment(eigenvalues=8, paths_sample=30))

@@ -451,12 +451,17 @@ def _(spark, d):
 
 @query(
     "x08_engineer",
-    f"""SELECT object_id, round(mag_g - mag_r, 8) AS color_g_r, CASE WHEN redshift < 0.1 THEN 'very_low' WHEN redshift < 0.5 THEN 'low' WHEN redshift < 1 THEN 'medium' WHEN redshift < 2 THEN 'high' WHEN redshift < 10 THEN 'very_high' END AS redshift_class,
-    round(redshift * 299792.458, 3) AS velocity, (least(floor(ra / 10), 35) * 18 + least(floor((dec + 90) / 10), 17))::BIGINT AS sky_cell, round(mag_g / (redshift + 0.001), 5) AS mag_g_over_z FROM {CATALOG}""",
+    f"""SELECT object_id, round(mag_g - mag_r, 8) AS color_g_r, CASE WHEN redshift < 0.1 THEN 'nearby' WHEN redshift < 0.5 THEN 'intermediate' WHEN redshift < 1 THEN 'distant' WHEN redshift < 2 THEN 'high_z' WHEN redshift < 10 THEN 'extreme' END AS redshift_bin_coarse,
+    least(floor((redshift - min(redshift) OVER ()) / (max(redshift) OVER () - min(redshift) OVER ()) * 20), 19)::BIGINT AS redshift_bin_fine,
+    round(redshift * 299792.458, 3) AS velocity_recession_kms, (least(floor((ra - min(ra) OVER ()) / (max(ra) OVER () - min(ra) OVER ()) * 36), 35) * 18 + least(floor((dec - min(dec) OVER ()) / (max(dec) OVER () - min(dec) OVER ()) * 18), 17))::BIGINT AS sky_region_id,
+    round(90 - abs(dec), 6) AS galactic_latitude_approx, round(mag_g / (redshift + 0.001), 5) AS mag_g_div_redshift, round(mag_r * redshift, 9) AS mag_r_mul_redshift,
+    round(avg(dec) OVER s, 6) AS dec_src_mean, round(stddev_samp(mag_r) OVER s, 6) AS mag_r_src_std, count(ra) OVER s AS ra_src_count FROM {CATALOG} WINDOW s AS (PARTITION BY catalog_source)""",
 )
 def _(spark, d):
     out = X.engineer_features(catalog(spark, d), ["mag_g", "mag_r"])
-    return out.select("object_id", F.round("color_g_r", 8).alias("color_g_r"), "redshift_class", F.round("velocity", 3).alias("velocity"), "sky_cell", F.round("mag_g_over_z", 5).alias("mag_g_over_z"))
+    assert "color_r_g" not in out.columns
+    digits = {"color_g_r": 8, "velocity_recession_kms": 3, "galactic_latitude_approx": 6, "mag_g_div_redshift": 5, "mag_r_mul_redshift": 9, "dec_src_mean": 6, "mag_r_src_std": 6}
+    return out.select("object_id", "redshift_bin_coarse", "redshift_bin_fine", "sky_region_id", "ra_src_count", *[F.round(c, n).alias(c) for c, n in digits.items()])
 
 
 @query("x08_equal_bins", "WITH b AS (SELECT min(p_size) AS a, max(p_size) AS b FROM part) SELECT p_partkey, least(floor((p_size - a) / (b - a)::DOUBLE * 7), 6)::BIGINT AS bin FROM part, b")
