@@ -65,6 +65,13 @@ def add_cartesian(
     return df.withColumns(dict(zip(names, xyz)))
 
 
+def add_proxy_cartesian(df: DataFrame, ra: str = "ra", dec: str = "dec", z: str = "redshift", names=("X", "Y", "Z")) -> DataFrame:
+    """Cartesian columns at a distance of 1000 times the redshift, an old convention without physics; null without all three."""
+    if not {ra, dec, z} <= set(df.columns):
+        return df.withColumns({n: F.lit(None).cast("double") for n in names})
+    return add_cartesian(df, ra, dec, z, names, lambda c: c * 1000.0)
+
+
 def angular_separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
     """Degrees between two directions (haversine)."""
     h = F.pow(F.sin(F.radians(dec2 - dec1) / 2), 2) + F.cos(F.radians(dec1)) * F.cos(F.radians(dec2)) * F.pow(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyloom.functions.coords import add_cartesian, hubble_distance
 from skyloom.operators.quantiles import row_of
 from skyloom.staging import stored
 
@@ -107,6 +108,15 @@ def basic_filter(df: DataFrame, ra: tuple, dec: tuple, z: tuple, needed: Sequenc
     return filter_ranges(clean.na.drop(subset=list(needed)), ra_deg=ra, dec_deg=dec, z=z).filter("z > 0 and weight > 0")
 
 
+def preprocess_catalog(
+    df: DataFrame, ra: tuple | None = None, dec: tuple | None = None, z: tuple | None = None, coordinates: bool = True, h0: float = 70.0, names: Sequence[str] = ("ra", "dec", "redshift")
+) -> DataFrame:
+    """Range cuts, each optional, then x, y, z at the linear distance c z / ``h0``; all filters reach the scan."""
+    cuts = {c: bounds for c, bounds in zip(names, (ra, dec, z)) if bounds is not None}
+    out = filter_ranges(df, **cuts) if cuts else df
+    return add_cartesian(out, *names, ("x", "y", "z"), lambda c: hubble_distance(c, h0)) if coordinates else out
+
+
 def box(df: DataFrame, center: Mapping[str, float], side: float) -> DataFrame:
     """Rows within a cube of ``side`` about ``center``, faces included."""
     return df.filter(reduce(lambda a, b: a & b, [F.abs(F.col(c) - x) <= side / 2 for c, x in center.items()]))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.operators.neighbors import knn_edges
-from skyloom.operators.sampling import hash_order, lcg_order  # noqa: F401  part of the interface
+from skyloom.operators.sampling import grid_stride, hash_order, lcg_order  # noqa: F401  part of the interface
 from skyloom.operators.scaling import normalize_coordinates, scale_weights
 from skyloom.staging import stored
 
@@ -95,10 +95,10 @@ def downsample(nodes: DataFrame, edges: DataFrame, n: int, method: str = "degree
     return kept, induced(edges, kept)
 
 
-def match_sizes(nodes: DataFrame, edges: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def match_sizes(nodes: DataFrame, edges: DataFrame, seed: int = 42, order=hash_order) -> tuple[DataFrame, DataFrame]:
     """All graphs to the size of the smallest."""
     least = nodes.groupBy("graph_id").count().agg(F.min("count")).first()[0] or 0
-    return exact_size(nodes, edges, least, seed)
+    return exact_size(nodes, edges, least, seed, order)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -128,8 +128,12 @@ def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(labels.join(best, ["graph_id", "component"], "left_semi").select(*NODE), list(NODE), "left_semi")
 
 
-def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A row a graph: counts, density, degree and weight mean, std (population), min, max."""
+def graph_statistics(nodes: DataFrame, edges: DataFrame, connected: bool = False) -> DataFrame:
+    """A row a graph: counts, density, degree and weight mean, std (population), min, max.
+
+    With ``connected`` also the number of components, and the mean clustering of graphs of one component and three nodes
+    or more, null of others.
+    """
     deg = degrees(nodes, edges).groupBy("graph_id").agg(
         F.count(F.lit(1)).alias("n_nodes"), F.avg("degree").alias("degree_mean"), F.stddev_pop("degree").alias("degree_std"),
         F.min("degree").alias("degree_min"), F.max("degree").alias("degree_max"),
@@ -139,7 +143,15 @@ def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.min("weight").alias("weight_min"), F.max("weight").alias("weight_max"),
     )
     n, m = F.col("n_nodes"), F.col("n_edges")
-    return deg.join(w, "graph_id", "left").na.fill(0, ["n_edges"]).withColumn("density", F.coalesce(F.try_divide(2.0 * m, n * (n - 1)), F.lit(0.0)))
+    out = deg.join(w, "graph_id", "left").na.fill(0, ["n_edges"]).withColumn("density", F.coalesce(F.try_divide(2.0 * m, n * (n - 1)), F.lit(0.0)))
+    if not connected:
+        return out
+    from skyloom.operators.topology import clustering_features
+
+    parts = connected_components(nodes, edges).groupBy("graph_id").agg(F.count_distinct("component").alias("n_components"))
+    local = clustering_features(nodes, edges).select("graph_id", F.col("clustering_mean").alias("clustering"))
+    whole = (F.col("n_components") == 1) & (F.col("n_nodes") > 2)
+    return out.join(parts, "graph_id", "left").join(local, "graph_id", "left").withColumn("clustering", F.when(whole, F.col("clustering")))
 
 
 def compare_graphs(stats: DataFrame, a, b) -> DataFrame:
@@ -193,6 +205,19 @@ def matrix_graph(matrix: DataFrame, threshold: float = 1e-10, absolute: bool = T
     return matrix.filter("i < j").select("graph_id", F.col("i").alias("src"), F.col("j").alias("dst"), w.alias("weight")).filter(F.col("weight") > threshold)
 
 
+def quantum_graph(grid: DataFrame, matrix: DataFrame, potential: Column | None = None, threshold: float = 1e-10) -> tuple[DataFrame, DataFrame]:
+    """Nodes of a grid with their ``potential``, and the edges of its operator above ``threshold``."""
+    nodes = grid if potential is None else grid.withColumn("potential", potential)
+    return nodes, matrix_graph(matrix, threshold)
+
+
+def reduced_quantum_graph(grid: DataFrame, matrix: DataFrame, most: int, potential: Column | None = None, method: str = "grid", threshold: float = 1e-10) -> tuple[DataFrame, DataFrame]:
+    """The same on at most ``most`` nodes of an even stride, with the part of the operator between them."""
+    kept = grid_stride(grid, most, method=method)
+    nodes, edges = quantum_graph(kept, matrix, potential, threshold)
+    return nodes, induced(edges, nodes)
+
+
 def ring(spark: SparkSession, n: int, graph_id: str = "ring") -> DataFrame:
     i, j = F.col("id"), (F.col("id") + 1) % n
     edges = spark.range(n).select(F.lit(graph_id).alias("graph_id"), F.least(i, j).alias("src"), F.greatest(i, j).alias("dst"), F.lit(1.0).alias("weight"))

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -60,6 +60,48 @@ def regressors(n: int, label_std: float, seed: int = 42, label: str = "label") -
     }
 
 
+def fourier_features(df: DataFrame, features: Sequence[str], n: int = 64, gamma: float | None = None, seed: int = 42) -> tuple[DataFrame, list[str]]:
+    """``df`` with ``n`` columns whose inner products approach the kernel exp(-gamma |x - y|^2).
+
+    A linear model of them stands for one with that kernel, and scales with the rows (Rahimi and Recht, 2007). ``gamma``
+    is 1 over the number of features unless given; features come standardized.
+    """
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    gamma = gamma or 1.0 / len(features)
+    w, b = rng.normal(0, (2 * gamma) ** 0.5, (n, len(features))), rng.uniform(0, 2 * np.pi, n)
+    made = {}
+    for i in range(n):
+        at = reduce(lambda x, y: x + y, [F.col(c) * float(v) for c, v in zip(features, w[i])])
+        made[f"kernel_{i}"] = F.cos(at + float(b[i])) * (2.0 / n) ** 0.5
+    return df.withColumns(made), list(made)
+
+
+#: The kinds of ``named_model``; those with a kernel are linear models of ``fourier_features``.
+MODEL_KINDS = ("random_forest", "linear", "svr", "random_forest_classifier", "logistic", "svc")
+
+
+def named_model(kind: str, n: int, label: str = "label", seed: int = 42):
+    """The estimator of a name of ``MODEL_KINDS``; ValueError for another. ``svr`` and ``svc`` go on ``fourier_features``."""
+    made = {
+        "random_forest": lambda: RandomForestRegressor(labelCol=label, numTrees=100, maxDepth=10, seed=seed),
+        "linear": lambda: LinearRegression(labelCol=label, regParam=0.0),
+        "svr": lambda: LinearRegression(labelCol=label, regParam=1.0 / n, elasticNetParam=0.0, loss="huber", maxIter=200),
+        "random_forest_classifier": lambda: RandomForestClassifier(labelCol=label, numTrees=100, maxDepth=10, seed=seed),
+        "logistic": lambda: logistic(n, label=label),
+        "svc": lambda: LinearSVC(labelCol=label, regParam=1.0 / n, maxIter=200),
+    }
+    if kind not in made:
+        raise ValueError(f"unknown model {kind!r}; known: {MODEL_KINDS}")
+    return made[kind]()
+
+
+def assign_labels(table: DataFrame, clusters: DataFrame, key: str, cluster: str = "cluster", out: str = "cluster_label") -> DataFrame:
+    """``table`` with each row's cluster by ``key``; null for rows that were not clustered, whatever the rows' order."""
+    return table.join(clusters.select(key, F.col(cluster).alias(out)), key, "left")
+
+
 def train(df: DataFrame, features: Sequence[str], estimators: Mapping) -> dict[str, PipelineModel]:
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     return {name: Pipeline(stages=[assembler, e]).fit(df) for name, e in estimators.items()}
@@ -135,12 +177,12 @@ def compare_models(models: Mapping[str, PipelineModel], test: DataFrame, metrics
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
-def train_and_evaluate(df: DataFrame, key: str, label: str, features: Sequence[str] = (), test: float = 0.2, seed: int = 42) -> tuple[dict, DataFrame]:
-    """Models of a stratified split and their metrics on its test part; the linear model sees scaled features."""
+def train_and_evaluate(df: DataFrame, key: str, label: str, features: Sequence[str] = (), test: float = 0.2, seed: int = 42, kinds: Sequence[str] = ()) -> tuple[dict, DataFrame]:
+    """Models of a stratified split and their metrics on its test part; all see scaled features. ``kinds`` of ``classifiers``, or all."""
     data, names = prepare(df, key, label, features)
     split = exact_split(scale(data, names, "standardize"), label, key, test, seed).withColumn("label", F.col(label).cast("double")).cache()
     fit, held = split.filter(~F.col("is_test")), split.filter("is_test")
-    models = train(fit, names, classifiers(fit.count(), seed))
+    models = train(fit, names, {k: e for k, e in classifiers(fit.count(), seed).items() if k in (kinds or k)})
     return models, compare_models(models, held)
 
 

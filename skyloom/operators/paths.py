@@ -21,7 +21,10 @@ def _per_graph(nodes: DataFrame, edges: DataFrame, kernel, schema: str) -> DataF
         if not len(ids):
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
         src, dst = (np.searchsorted(ids, e[c].to_numpy()) for c in ("src", "dst"))
-        return pd.DataFrame(kernel(key[0], ids, src, dst, e["weight"].to_numpy(dtype=float)))
+        made = kernel(key[0], ids, src, dst, e["weight"].to_numpy(dtype=float))
+        if not len(made["graph_id"]):  # as of a graph without paths; an empty list has no type of its own
+            return pd.DataFrame(columns=list(made), dtype=object)
+        return pd.DataFrame(made)
 
     # edges often come from the nodes' own plan: new names for its columns keep the two sides apart
     left = nodes.select(F.col("graph_id").alias("graph_id"), "node_id").groupBy("graph_id")

@@ -66,6 +66,18 @@ def component_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return sizes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_components"), (F.max("n") / F.sum("n")).alias("giant_fraction"))
 
 
+def compact_features(nodes: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
+    """A short row a graph: counts, degree mean and std, mean clustering, assortativity (0 without edges), ``k`` eigenvalues."""
+    from skyloom.operators.spectral import expand, spectrum
+
+    own = degree_features(nodes, edges).select("graph_id", F.col("n_nodes").alias("nodes"), F.col("n_edges").alias("edges"), "degree_mean", "degree_std")
+    local = clustering_features(nodes, edges).select("graph_id", F.col("clustering_mean").alias("clustering"))
+    mixing = assortativity(nodes, edges)
+    out = own.join(local, "graph_id", "left").join(mixing, "graph_id", "left")
+    out = out.withColumn("assortativity", F.when(F.col("edges") > 0, F.col("assortativity")).otherwise(0.0))
+    return out.join(expand(spectrum(nodes, edges, k, weighted=False), "eig", k, "eig"), "graph_id", "left")
+
+
 def topology_features(nodes: DataFrame, edges: DataFrame, clustering: bool = True, mixing: bool = True, components: bool = True) -> DataFrame:
     out = degree_features(nodes, edges)
     for on, f in ((clustering, clustering_features), (mixing, assortativity), (components, component_features)):

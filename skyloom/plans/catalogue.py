@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.plans import graphs, tables
+from skyloom.plans import graphs, more, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,9 +53,9 @@ FROM (
 
 def queries() -> dict[str, Query]:
     found = {"s08_join_filter_project": join_filter_project}
-    return found | {name: f for name, (f, _) in {**tables.QUERIES, **graphs.QUERIES}.items()}
+    return found | {name: f for name, (f, _) in {**tables.QUERIES, **graphs.QUERIES, **more.QUERIES}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {"s08_join_filter_project": JOIN_FILTER_PROJECT}
-    return found | {name: sql for name, (_, sql) in {**tables.QUERIES, **graphs.QUERIES}.items() if sql}
+    return found | {name: sql for name, (_, sql) in {**tables.QUERIES, **graphs.QUERIES, **more.QUERIES}.items() if sql}

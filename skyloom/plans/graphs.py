@@ -289,7 +289,7 @@ def _(spark, d):
 def _(spark, d):
     nodes, edges = graph(spark, d)
     relational = T.topology_features(nodes, edges)
-    return relational.join(P.weighted_path_mean(nodes, edges, 50), "graph_id").join(Q.spectral_features(Q.spectrum(nodes, edges, 16)).drop("eig"), "graph_id")
+    return relational.join(P.weighted_path_mean(nodes, edges), "graph_id").join(Q.spectral_features(Q.spectrum(nodes, edges, 16)).drop("eig"), "graph_id")
 
 
 # distances
@@ -344,8 +344,9 @@ QUERIES["a15_distance_summary"] = (lambda spark, d: D.summarize_distances(D.spec
 
 @query("d13_gromov_wasserstein")
 def _(spark, d):
-    nodes, edges = G.exact_size(*graph(spark, d), 12)
-    return D.gromov_wasserstein(P.distance_matrices(nodes, edges), D.all_pairs(nodes.select(F.col("graph_id").alias("id")), 10))
+    """Whole graphs, every pair."""
+    nodes, edges = graph(spark, d)
+    return D.gromov_wasserstein(P.distance_matrices(nodes, edges), D.all_pairs(nodes.select(F.col("graph_id").alias("id"))))
 
 
 # learning
@@ -497,4 +498,4 @@ def _(spark, d):
     preset = X2.Preset("demo", (0.0, 360.0), (-60.0, 60.0), (0.01, 2.0), 1500, 1500.0, 3, 6, 20, 200)
     points, _ = X2.ingest({"one": c.filter("catalog_source = 'A'"), "two": c.filter("catalog_source = 'R'")}, preset, names)
     nodes, edges, _ = X2.build_graphs(stored(points, "points"), preset)
-    return X2.feature_table(nodes, edges, X2.Experiment(eigenvalues=8, paths_sample=30))
+    return X2.feature_table(nodes, edges, X2.Experiment(eigenvalues=8))

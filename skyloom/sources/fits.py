@@ -1,7 +1,9 @@
-"""FITS binary tables: each file is read by one task, its rows as Arrow batches."""
+"""FITS binary tables: each file, of up to 2 GiB, is read by one task, its rows as Arrow batches."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Type letters of binary table columns (FITS standard 4.0): NumPy type and Spark type.
@@ -27,8 +29,32 @@ def _header(raw: bytes, at: int) -> tuple[dict[str, str], int]:
                 cards[key] = value
 
 
-def first_table(raw: bytes) -> tuple[list[tuple[str, str, int, int]], int, int, int]:
-    """Columns (name, letter, repeat, offset), start of the rows, width and number of the first table with rows."""
+@dataclass(frozen=True)
+class Field:
+    """A column of a table: its type letter, how many values, where it starts in a row, and what its numbers stand for.
+
+    The value is ``zero`` + ``scale`` * number; the number ``null`` stands for none.
+    """
+
+    name: str
+    letter: str
+    repeat: int
+    offset: int
+    scale: float = 1.0
+    zero: float = 0.0
+    null: int | None = None
+
+    @property
+    def kind(self) -> str:
+        """Its Spark type. Scaled numbers are doubles, but a shift of half the range makes them unsigned and whole."""
+        if self.letter in "BIJK" and (self.scale, self.zero) != (1.0, 0.0):
+            wider = {("B", -128.0): "short", ("I", 32768.0): "int", ("J", 2147483648.0): "bigint"}
+            return wider.get((self.letter, self.zero), "double") if self.scale == 1.0 else "double"
+        return "double" if self.letter == "E" and (self.scale, self.zero) != (1.0, 0.0) else FORMS[self.letter][1]
+
+
+def first_table(raw: bytes) -> tuple[list[Field], int, int, int]:
+    """Fields, start of the rows, width and number of the first table with rows; ``raw`` need not reach beyond its header."""
     at = 0
     while at < len(raw):
         head, at = _header(raw, at)
@@ -46,27 +72,72 @@ def first_table(raw: bytes) -> tuple[list[tuple[str, str, int, int]], int, int,
                 letter = form[len(digits)]
                 repeat = int(digits or 1)
                 width = {"L": 1, "B": 1, "A": 1, "I": 2, "J": 4, "E": 4, "K": 8, "D": 8, "X": 1, "P": 8, "Q": 16, "C": 8, "M": 16}[letter]
-                columns.append((head.get(f"TTYPE{i + 1}", f"col{i + 1}"), letter, repeat, offset))
+                null = head.get(f"TNULL{i + 1}")
+                scale, zero = (float(head.get(f"{k}{i + 1}", d).replace("D", "E")) for k, d in (("TSCAL", "1"), ("TZERO", "0")))
+                columns.append(Field(head.get(f"TTYPE{i + 1}", f"col{i + 1}"), letter, repeat, offset, scale, zero, None if null is None else int(null)))
                 offset += width * repeat if letter != "X" else -(-repeat // 8)
             return columns, at, axes[0], axes[1]
         at += -(-size // BLOCK) * BLOCK
     raise ValueError("no table with rows")
 
 
-def _usable(columns) -> list[tuple[str, str, int, int]]:
+def _usable(columns: list[Field]) -> list[Field]:
     """One-dimensional columns of types that Spark has."""
-    return [c for c in columns if c[1] in FORMS and (c[2] == 1 or c[1] == "A")]
+    return [c for c in columns if c.letter in FORMS and (c.repeat == 1 or c.letter == "A")]
+
+
+def _values(part, f: Field):
+    """The values of a field's numbers as an array or list, null where the table has none."""
+    import numpy as np
+    import pandas as pd
+
+    if f.letter == "A":
+        return [x.decode("ascii", "replace").rstrip() for x in part.tolist()]
+    if f.letter == "L":
+        return pd.array([{b"T": True, b"F": False}.get(x) for x in part.tolist()], "boolean")
+    v = part.astype(part.dtype.newbyteorder("="))
+    if f.letter in "ED":
+        return v if (f.scale, f.zero) == (1.0, 0.0) else v.astype(np.float64) * f.scale + f.zero
+    gone = v == f.null if f.null is not None else np.zeros(len(v), bool)
+    if f.kind == "double":
+        out = v.astype(np.float64) * f.scale + f.zero
+        return pd.array(np.where(gone, 0.0, out), "Float64") if not gone.any() else pd.array([None if g else x for g, x in zip(gone, out)], "Float64")
+    whole = v.astype(np.int64) + int(f.zero)
+    return pd.arrays.IntegerArray(whole, gone)
+
+
+def _start(spark: SparkSession, path: str) -> bytes:
+    """The beginning of a file up to the header of its first table with rows, and no more than a few blocks beyond."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        raw, size = b"", 64 * BLOCK
+        while True:
+            more = bytes(stream.readNBytes(size))
+            raw += more
+            try:
+                first_table(raw)
+                return raw
+            except (ValueError, IndexError, KeyError):
+                if not more:
+                    raise
+    finally:
+        stream.close()
 
 
 def read_table(spark: SparkSession, path: str, rows: int = 65536) -> DataFrame:
-    """The first table with rows of each file; the schema is that of the first file. A file without one is an error."""
+    """The first table with rows of each file; the schema is that of the first file. A file without one is an error.
+
+    Scales, shifts and null numbers of the columns are applied. Only the first file's header comes to the driver.
+    """
     files = spark.read.format("binaryFile").load(path)
-    first = files.select("content").limit(1).collect()
+    first = files.select("path").orderBy("path").limit(1).collect()
     if not first:
         raise FileNotFoundError(path)
-    columns = _usable(first_table(bytes(first[0]["content"]))[0])
-    schema = ", ".join(f"`{name}` {FORMS[letter][1]}" for name, letter, _, _ in columns)
-    names = [c[0] for c in columns]
+    columns = _usable(first_table(_start(spark, first[0]["path"]))[0])
+    schema = ", ".join(f"`{f.name}` {f.kind}" for f in columns)
+    names = [f.name for f in columns]
 
     def run(batches):
         import numpy as np
@@ -75,23 +146,14 @@ def read_table(spark: SparkSession, path: str, rows: int = 65536) -> DataFrame:
         for batch in batches:
             for raw in batch["content"]:
                 found, at, width, n = first_table(bytes(raw))
-                own = {c[0]: c for c in _usable(found)}
+                own = {f.name: f for f in _usable(found)}
                 layout = np.dtype({
-                    "names": names, "itemsize": width, "offsets": [own[c][3] for c in names],
-                    "formats": [f"S{own[c][2]}" if own[c][1] == "A" else FORMS[own[c][1]][0] for c in names],
+                    "names": names, "itemsize": width, "offsets": [own[c].offset for c in names],
+                    "formats": [f"S{own[c].repeat}" if own[c].letter == "A" else FORMS[own[c].letter][0] for c in names],
                 })
                 table = np.frombuffer(raw, layout, n, at)
                 for i in range(0, n, rows):
                     part = table[i : i + rows]
-                    out = {}
-                    for c in names:
-                        v = part[c]
-                        if own[c][1] == "A":
-                            out[c] = [x.decode("ascii", "replace").rstrip() for x in v.tolist()]
-                        elif own[c][1] == "L":
-                            out[c] = v == b"T"
-                        else:
-                            out[c] = v.astype(v.dtype.newbyteorder("="))
-                    yield pd.DataFrame(out)
+                    yield pd.DataFrame({c: _values(part[c], own[c]) for c in names})
 
     return files.select("content").mapInPandas(run, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyloom.operators.columns import find_column, resolve_columns
+from skyloom.operators.columns import find_column, in_range, resolve_columns
 from skyloom.operators.sampling import sample_n
 
 Reader = Callable[..., DataFrame]
@@ -127,6 +127,60 @@ def cache_aside(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -
     return spark.read.parquet(path)
 
 
+def load_grid_system(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None, dict]:
+    """What ``save_grid_system`` wrote: grid, operator, record; without an operator None in its place."""
+    import json
+
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/operator")
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    matrix = spark.read.parquet(f"{path}/operator") if there else None
+    return spark.read.parquet(f"{path}/grid"), matrix, json.loads(spark.read.text(f"{path}/about").first()[0])
+
+
+def load_first(makers: Sequence[Callable[[], DataFrame]]) -> DataFrame:
+    """The table of the first of ``makers`` that can be read and has rows; ValueError names what the others said."""
+    said = []
+    for make in makers:
+        try:
+            df = make()
+            if df.limit(1).count():
+                return df
+            said.append("no rows")
+        except Exception as e:  # noqa: BLE001  any source may be away
+            said.append(f"{type(e).__name__}: {str(e).splitlines()[0][:200]}")
+    raise ValueError(f"no source could be read: {said}")
+
+
+def load_survey(
+    spark: SparkSession, cache: str, makers: Sequence[Callable[[], DataFrame]], z: tuple[float | None, float | None] = (None, None),
+    most: int | None = None, redshift: str = "z", key: str = "obj_id", seed: int = 42,
+) -> DataFrame:
+    """A survey's table from the Parquet cache, or from the first source that has it, which is cached; cut and sampled."""
+    found = cache_aside(spark, cache, lambda: load_first(makers)).filter(in_range(redshift, *z))
+    return found if most is None else sample_n(found, most, key, seed)
+
+
+#: The tracers of the survey's clustering catalogs, what they are, least and greatest redshift.
+TRACERS = (
+    ("BGS", "Bright Galaxy Survey", None, 0.6),
+    ("LRG", "Luminous Red Galaxies", 0.4, 1.1),
+    ("ELG", "Emission Line Galaxies", 0.8, 1.6),
+    ("QSO", "Quasars", 0.8, 3.5),
+)
+
+
+def survey_summary(spark: SparkSession) -> DataFrame:
+    """tracer, description, z_min, z_max of the survey's catalogs."""
+    return spark.createDataFrame(list(TRACERS), "tracer string, description string, z_min double, z_max double")
+
+
+def storage_paths(root: str) -> dict[str, str]:
+    """Where the pipeline keeps its tables below ``root``."""
+    kinds = ("raw", "processed", "graphs", "features", "distances", "models", "reports")
+    return {k: f"{root.rstrip('/')}/{k}" for k in kinds}
+
+
 def generated_catalog(spark: SparkSession, n: int, survey: str = "sdss", seed: int = 42) -> DataFrame:
     """A made-up catalog with the columns of a survey (sdss, desi, des, euclid), the same for the same seed."""
     u = lambda i: (F.pmod(F.xxhash64("id", F.lit(seed * 1000 + i)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
