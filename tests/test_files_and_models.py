@@ -155,7 +155,7 @@ def brute_gromov(x, y):
 
 
 def test_gromov_wasserstein_is_near_the_best_permutation(spark):
-    """Graphs of five nodes against every matching of their nodes: a local minimum comes within half of the best."""
+    """Graphs of five nodes against every matching of their nodes."""
     rng = np.random.default_rng(3)
     mats, rows = {}, []
     for g in "abcd":
@@ -165,7 +165,7 @@ def test_gromov_wasserstein_is_near_the_best_permutation(spark):
     tables = spark.createDataFrame(rows, "graph_id string, matrix array<array<double>>")
     pairs = spark.createDataFrame(list(itertools.combinations("abcd", 2)), "id_a string, id_b string")
     for r in D.gromov_wasserstein(tables, pairs).collect():
-        assert r["d"] <= brute_gromov(mats[r["id_a"]], mats[r["id_b"]]) * 1.5 + 1e-6
+        assert r["d"] <= brute_gromov(mats[r["id_a"]], mats[r["id_b"]]) * 1.1 + 1e-6
     feats = spark.createDataFrame([(g, [[float(ord(g))]] * 5) for g in "abcd"], "graph_id string, feats array<array<double>>")
     fused = {(r["id_a"], r["id_b"]): r["d"] for r in D.gromov_wasserstein(tables, pairs, feats, 0.0).collect()}
     assert fused["a", "c"] == pytest.approx(2.0) and fused["a", "b"] == pytest.approx(1.0)
