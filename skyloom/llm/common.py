@@ -45,7 +45,15 @@ def unpacked(struct: str, names: list[str]) -> list[Column]:
     return [F.col(f"{struct}.c{i}").alias(n) for i, n in enumerate(names)]
 
 
+#: Rows of a batch between Spark and Python, where the session keeps Spark's default of 10,000.
+BATCH_ROWS = 2000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table ``name``. Texts are long rows, so the session's Arrow batches are cut to ``BATCH_ROWS`` unless it sets its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
