@@ -144,6 +144,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         # done when every edge is a star's: no node is a centre and a leaf, none has two centres
         unsettled = small.select("u").join(small.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1)
         again = small.groupBy("u").count().filter("count > 1").limit(1)
+        drop_shared(pairs, large)
         pairs = small
         if not unsettled.union(again.select("u")).take(1):
             break

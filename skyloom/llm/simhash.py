@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.arrow import map_rows
-from skyloom.llm.common import col, components, fresh, others, read_table, shared_table
+from skyloom.llm.common import col, components, drop_shared, fresh, others, read_table, shared_table
 
 #: Rows of a bucket beyond which it is dealt out as pairs of parts.
 BUCKET = 1024
@@ -391,6 +391,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     )
     gone = groups.join(first, "root").join(texts, F.col("node") == F.col("id")).filter(F.col("_digest") != F.col("_first"))
     stays = shared_table(texts.join(gone.select("_digest"), "_digest", "left_anti").select("_key", "_digest"), "stays")
+    drop_shared(marks, texts, links, wanted, sets, true)
     own, owner, of, least = fresh(docs, "digest", "owner", "of", "least")
     named = docs.withColumns({own: digest, owner: col(key)})
     kept = named.join(
