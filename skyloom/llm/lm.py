@@ -26,7 +26,9 @@ ENDINGS = 255
 #: Weight of the class's share of all tokens in its smoothed chance after another class.
 PRIOR = 50.0
 #: Neighbours that a task counts before it sends anything on.
-EVENTS = 8_000_000
+EVENTS = 5_000_000
+#: Cells of words that are summed at a time, at the utmost.
+CELLS = 4_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -106,15 +108,22 @@ def contexts(docs: DataFrame, text: str, labels: dict[bytes, int], size: int, re
             offsets = pa.array(np.append(at, len(key)).astype(np.int32))
             return at, [pa.ListArray.from_arrays(offsets, pa.array(v, t)) for v, t in zip(values, type_)]
 
+        def counted(parts):
+            key = np.concatenate(parts)
+            parts.clear()
+            key.sort()
+            at = np.flatnonzero(np.concatenate([key[:1] == key[:1], key[1:] != key[:-1]]))
+            return key[at], np.diff(np.append(at, len(key)))
+
         def flush():
             if events:
-                key, n = np.unique(np.concatenate(events), return_counts=True)
+                key, n = counted(events)
                 word = key // wide
                 at, lists = listed(word, wide, ((key % wide).astype(np.int32), n), (pa.int32(), pa.int64()))
                 names = pa.array([numbers.names[i] for i in word[at].tolist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([names, pa.nulls(len(at), pa.binary()), *lists], names=["word", "other", "cells", "counts"])
             if pairs:
-                key, n = np.unique(np.concatenate(pairs), return_counts=True)
+                key, n = counted(pairs)
                 first, second = ([numbers.names[i] for i in x.tolist()] for x in (key >> 32, key & 0xFFFFFFFF))
                 counts = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32)), pa.array(n))
                 yield pa.RecordBatch.from_arrays(
@@ -173,7 +182,7 @@ def _by_word(found: DataFrame, wide: int, make: Callable, schema: str) -> DataFr
         import pyarrow.compute as pc
 
         f = make()
-        for t in whole_keys(batches, ["word"], 20_000):
+        for t in whole_keys(batches, ["word"], max(500, min(20_000, CELLS // wide))):
             t = t.combine_chunks()
             word, cells, counts = (t.column(c).chunk(0) for c in ("word", "cells", "counts"))
             coded = word.dictionary_encode()
