@@ -108,3 +108,97 @@ scored AS (
 SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM scored
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
+
+
+def _crc32(codes: str) -> str:
+    """SQL of the crc32 of a list of bytes, by the table ``crc``."""
+    return f"xor(list_reduce([4294967295::BIGINT] || ({codes}), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_CRC_TABLE = """
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+# UTF-8 bytes of code points below 2048
+_LATIN = """flatten(list_transform(string_split(k, ''), lambda x:
+  CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 | (unicode(x) >> 6))::BIGINT, (128 | (unicode(x) & 63))::BIGINT] END))"""
+
+# Words one edit apart share what is left when a code point goes: at the same place of both, or the shorter word itself.
+VARIANTS = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM documents),
+keyed AS (SELECT w, coalesce(doc_id::VARCHAR, '') || ':' || w AS k FROM runs WHERE length(w) >= 7),
+hashed AS (SELECT w, {_crc32(_LATIN)} AS h FROM keyed, crc),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w) + 2)::INT) ELSE w END AS word FROM hashed),
+words AS (SELECT word, count(*) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+gaps AS (SELECT word, n, i, left(word, (i - 1)::INT) || substr(word, (i + 1)::INT) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM gaps a JOIN gaps b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM gaps a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM gaps a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, any_value(n) AS n, count(*) AS n_near, min({{'less': -near_n, 'near': near}}) AS b FROM near GROUP BY word),
+forms AS (SELECT word, n_near, CASE WHEN -b.less >= 10 * n THEN b.near END AS form, CASE WHEN -b.less >= 10 * n THEN -b.less END AS form_n FROM best),
+chain AS (
+  SELECT word, form AS reached, 1 AS step FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT chain.word, forms.form, step + 1 FROM chain JOIN forms ON forms.word = chain.reached WHERE forms.form IS NOT NULL),
+roots AS (SELECT word, arg_max(reached, step) AS root FROM chain GROUP BY word)
+SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, form, form_n::BIGINT AS form_n, coalesce(root, word) AS root
+FROM words LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)
+"""
+
+_STEPS = """(VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u'))"""
+
+# What may be inserted after each state, two rows at most: a third would only undo the first two.
+_INSERTS = """(VALUES ('', '', 0, '', []), ('s', 's', 0, '', []), ('u', 'u', 0, '', []), ('a', 'a', 0, '', []),
+  ('', 'u', 3, 'I', ['user:']), ('', 'a', 6, 'II', ['user:', 'assistant:']), ('s', 'u', 3, 'I', ['user:']),
+  ('s', 'a', 6, 'II', ['user:', 'assistant:']), ('u', 'a', 3, 'I', ['assistant:']), ('a', 'u', 3, 'I', ['user:']))"""
+
+REPAIR = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hashed AS (SELECT given.* EXCLUDE (k), {_crc32("list_transform(string_split(k, ''), lambda x: unicode(x)::BIGINT)")} % 20 AS h FROM given, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN h = 0 THEN 0 WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+told AS (
+  SELECT *, left(role, 1) AS r, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed),
+faults AS (SELECT *, blank OR again AS gone, cut AND NOT blank AND NOT again AS truncated FROM told),
+steps(st, r, nxt) AS (FROM {_STEPS}),
+inserts(st, nxt, cost, audit, lines) AS (FROM {_INSERTS}),
+edits AS (
+  SELECT conv_id, i, st, st AS nxt, 4 AS cost, 'D' AS audit, []::VARCHAR[] AS lines FROM faults, (VALUES (''), ('s'), ('u'), ('a')) AS s(st)
+  UNION ALL SELECT conv_id, i, st, nxt, CASE WHEN truncated THEN 3 ELSE 0 END, 'K', [role || ':' || text] FROM faults JOIN steps USING (r) WHERE NOT gone
+  UNION ALL SELECT conv_id, i, st, nxt, CASE WHEN truncated THEN 6 ELSE 3 END, 'R', [CASE steps.r WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text]
+  FROM faults, steps WHERE NOT gone AND steps.r <> 's'),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, inserts.nxt AS st, {{'cost': cost, 'audit': audit, 'lines': lines::VARCHAR[]}} AS v
+  FROM (SELECT DISTINCT conv_id FROM faults), inserts WHERE inserts.st = ''
+  UNION ALL
+  SELECT walk.conv_id, edits.i, inserts.nxt,
+    min({{'cost': v.cost + edits.cost + inserts.cost, 'audit': v.audit || edits.audit || inserts.audit, 'lines': v.lines || edits.lines || inserts.lines::VARCHAR[]}})
+  FROM walk JOIN edits ON walk.conv_id IS NOT DISTINCT FROM edits.conv_id AND edits.i = walk.i + 1 AND edits.st = walk.st
+    JOIN inserts ON inserts.st = edits.nxt
+  GROUP BY walk.conv_id, edits.i, inserts.nxt),
+sums AS (
+  SELECT conv_id, count(*) AS n_rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id),
+best AS (
+  SELECT sums.*, v FROM sums JOIN (SELECT conv_id, i, min(v) AS v FROM walk WHERE st IN ('', 'a') GROUP BY conv_id, i) AS w
+    ON sums.conv_id IS NOT DISTINCT FROM w.conv_id AND sums.n_rows = w.i)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v.cost, 0)::BIGINT AS cost,
+  coalesce(v.audit, '') AS audit, sha256(coalesce(array_to_string(v.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS ids LEFT JOIN best ON ids.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
