@@ -151,13 +151,102 @@ def summarize_distances(d: DataFrame) -> DataFrame:
     return d.agg(F.avg("d").alias("mean"), F.median("d").alias("median"), F.min("d").alias("least"), F.max("d").alias("most"), F.stddev_pop("d").alias("std"))
 
 
+def transport(cost, supply, demand, start=None):
+    """The cheapest plan that carries integer ``supply`` of rows to ``demand`` of columns (equal sums), and its column prices.
+
+    Shortest augmenting paths under prices that keep every reduced cost at zero or more; ``start`` may give the columns'
+    prices of a similar problem. The plan is of integers, so its marginals are exact, and it is optimal up to the
+    rounding of sums of costs.
+    """
+    import numpy as np
+
+    n, m = cost.shape
+    left, wanted = np.array(supply, np.int64), np.array(demand, np.int64)
+    v = cost.min(0) if start is None else start.copy()
+    u = (cost - v).min(1)
+    flow = np.zeros((n, m), np.int64)
+    for i in np.flatnonzero(left):  # what costs nothing under these prices needs no search
+        for j in np.flatnonzero((cost[i] - u[i] - v <= 0) & (wanted > 0)):
+            moved = min(left[i], wanted[j])
+            flow[i, j] += moved
+            left[i] -= moved
+            wanted[j] -= moved
+            if not left[i]:
+                break
+    for i in range(n):
+        while left[i]:
+            dist, by = cost[i] - u[i] - v, np.full(m, i)
+            seen, cols, rows, reached = np.zeros(m, bool), [], [i], {i: (0.0, -1)}
+            while True:
+                j = int(np.argmin(np.where(seen, np.inf, dist)))
+                if wanted[j]:
+                    break
+                seen[j] = True
+                cols.append(j)
+                for r in np.flatnonzero(flow[:, j]):
+                    if r not in reached:
+                        reached[r] = (dist[j], j)
+                        rows.append(r)
+                        further = dist[j] + np.maximum(cost[r] - u[r] - v, 0.0)
+                        nearer = (further < dist) & ~seen
+                        dist[nearer], by[nearer] = further[nearer], r
+            end = dist[j]
+            for r in rows:
+                u[r] += end - reached[r][0]
+            v[cols] -= end - dist[cols]
+            path, r, moved = [], by[j], min(left[i], wanted[j])
+            to = j
+            while True:  # back along the path: a row gives to ``to`` and takes back what it gave to the column before
+                path.append((r, to))
+                before = reached[r][1]
+                if before < 0:
+                    break
+                moved = min(moved, flow[r, before])
+                to, r = before, by[before]
+            for r, to in path:
+                flow[r, to] += moved
+                if reached[r][1] >= 0:
+                    flow[r, reached[r][1]] -= moved
+            left[i] -= moved
+            wanted[j] -= moved
+    return flow, v
+
+
+def conditional_gradient(x, y, t, const, weight, cost, iterations: int, tolerance: float, costs: list | None = None):
+    """A coupling that no linear step makes better than ``tolerance``, from ``t`` on, and its cost; ``costs`` gets each step's.
+
+    The cost is ``weight`` times the squared Gromov-Wasserstein loss plus the rest of ``cost``, and quadratic along a step,
+    so the best length of a step is known.
+    """
+    import numpy as np
+
+    n, m = len(x), len(y)
+    value = lambda t: weight * ((const - 2 * x @ t @ y.T) * t).sum() + (1 - weight) * (cost * t).sum()
+    supply, demand = (np.ones(n, np.int64),) * 2 if n == m else (np.full(n, m), np.full(m, n))
+    mass, prices, now = supply.sum(), None, value(t)
+    for _ in range(iterations):
+        if costs is not None:
+            costs.append(now)
+        grad = weight * 2 * (const - 2 * x @ t @ y.T) + (1 - weight) * cost
+        flow, prices = transport(grad, supply, demand, prices)
+        step = flow / mass - t
+        curve = -2 * weight * ((x @ step @ y.T) * step).sum()
+        slope = (grad * step).sum()
+        tau = min(1.0, max(0.0, -slope / (2 * curve))) if curve > 0 else float(slope + curve < 0)
+        new = value(t + tau * step)
+        if now - new <= tolerance:
+            break
+        t, now = t + tau * step, new
+    return t, now
+
+
 def gromov_wasserstein(matrices: DataFrame, pairs: DataFrame, features: DataFrame | None = None, alpha: float = 1.0, iterations: int = 100, tolerance: float = 1e-9) -> DataFrame:
     """id_a, id_b, d: (fused) Gromov-Wasserstein distance of graphs' distance matrices with uniform masses.
 
-    Conditional gradient of Peyre, Cuturi and Solomon (2016) with squared loss, the best of a few starts: the product
-    coupling, those in the order of nodes' distances, and the identity; the linear step is an entropic transport of small
-    regularisation. Graphs of equal size are also matched node by node, and the matching is made better by swaps. The
-    distance is a local minimum, so an upper bound. Infinite lengths count as twice the largest finite one.
+    Conditional gradient with squared loss, the best of a few starts: the product coupling, those in the order of nodes'
+    distances, and the identity; the linear step is an exact transport, so no step makes the cost larger and couplings
+    keep their marginals. Graphs of equal size are also matched node by node, and the matching is made better by swaps.
+    The distance is a local minimum, so an upper bound. Infinite lengths count as twice the largest finite one.
     With ``features`` (graph_id, feats array<array<double>>) the cost is (1-alpha) * feature cost + alpha * structure.
     A pair of graphs is a task's unit.
     """
@@ -180,15 +269,6 @@ def gromov_wasserstein(matrices: DataFrame, pairs: DataFrame, features: DataFram
             ok = np.isfinite(m)
             return np.where(ok, m, 2 * (m[ok].max() if ok.any() else 0.0))
 
-        def transport(cost, p, q):
-            cost = cost - cost.min()
-            k = np.exp(-cost / max(cost.max() * 5e-3, 1e-12))
-            u = np.ones_like(p)
-            for _ in range(200):
-                v = q / np.maximum(k.T @ u, 1e-300)
-                u = p / np.maximum(k @ v, 1e-300)
-            return u[:, None] * k * v[None, :]
-
         def matched(x, y):
             """Couplings that carry nodes over in the order of their mean distance, and of their median distance."""
             for middle in (np.mean, np.median):
@@ -228,21 +308,8 @@ def gromov_wasserstein(matrices: DataFrame, pairs: DataFrame, features: DataFram
             starts = [np.outer(p, q), *matched(x, y)] + ([np.eye(len(x)) / len(x)] if len(x) == len(y) else [])
             best = np.inf
             for t in starts:
-                now = value(t)
-                for _ in range(iterations):
-                    grad = weight * 2 * (const - 2 * x @ t @ y.T) + (1 - weight) * cost
-                    step = transport(grad, p, q) - t
-                    curve = -2 * weight * ((x @ step @ y.T) * step).sum()
-                    slope = (grad * step).sum()
-                    tau = 1.0 if curve <= 0 else min(1.0, max(0.0, -slope / (2 * curve)))
-                    if curve <= 0 and slope + curve >= 0:
-                        tau = 0.0
-                    t = t + tau * step
-                    new = value(t)
-                    if now - new <= tolerance:
-                        break
-                    now = new
-                best = min(best, value(t), value(swapped(x, y, cost, t)) if len(x) == len(y) else np.inf)
+                t, now = conditional_gradient(x, y, t, const, weight, cost, iterations, tolerance)
+                best = min(best, now, value(swapped(x, y, cost, t)) if len(x) == len(y) else np.inf)
             return float(np.sqrt(max(best, 0.0)))
 
         for f in frames:

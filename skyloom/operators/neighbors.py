@@ -1,4 +1,4 @@
-"""Nearest neighbours, radius and sky joins, all bucketed by grid cells."""
+"""Nearest neighbours, radius and sky joins: by grid cells on few axes, by cells about pivots on many."""
 
 from __future__ import annotations
 
@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.coords import angular_separation
+from skyloom.operators.metric import metric_knn, metric_radius_pairs
 from skyloom.staging import stored
 
+#: Axes of a grid at most: a point meets 3 to the power of the axes cells.
+GRID_AXES = 4
+
 #: Parts of a group that a point which no cell has settled is compared with.
 SALTS = 64
 
@@ -45,8 +49,11 @@ def _cells(df: DataFrame, axes: Sequence[str], size: Column, around: bool) -> Da
 def radius_pairs(points: DataFrame, axes: Sequence[str], radius: float, metric: str = "euclidean", by: str = "graph_id", key: str = "node_id") -> DataFrame:
     """``(by, src, dst, d)``, src < dst, of points within ``radius`` of each other in a group.
 
-    Each point meets the points of its own and the neighbouring cells of a grid of ``radius``.
+    Each point meets the points of its own and the neighbouring cells of a grid of ``radius``, on up to ``GRID_AXES`` axes.
+    On more, blocks of points about pivots meet that may be that near.
     """
+    if len(axes) > GRID_AXES:
+        return metric_radius_pairs(points, axes, radius, metric, by, key)
     cells = [f"_c_{a}" for a in axes]
     near = _cells(points.select(by, F.col(key).alias("src"), *axes), axes, F.lit(radius), True)
     own = _cells(points.select(by, F.col(key).alias("dst"), *axes), axes, F.lit(radius), False)
@@ -66,7 +73,10 @@ def knn(
     k-th distance is within the cell size, as nothing nearer lies farther out. The rest goes on with cells
     twice as large, so dense regions are settled by small cells; what ``rounds`` leave is compared in full, in parts.
     What a round has settled and left is written to the staging folder, so no round is computed twice.
+    On more than ``GRID_AXES`` axes, where a grid has too many cells, a named metric goes by cells about pivots.
     """
+    if len(axes) > GRID_AXES and isinstance(metric, str):
+        return metric_knn(points, k, axes, metric, by, key)
     dist = METRICS[metric] if isinstance(metric, str) else metric
     base = points.select(by, F.col(key).alias("src"), *[F.col(a).cast("double").alias(a) for a in axes])
     others = base.withColumnsRenamed({"src": "dst", **{a: f"{a}_b" for a in axes}})
@@ -84,8 +94,8 @@ def knn(
     done = ranked(sized.filter(F.col("_n") <= small), others, [by]).select(by, *wanted)
     if not groups.filter(F.col("_n") > small).limit(1).count():
         return done
-    # 3 ** len(axes) cells about each point are many: cells of the first four axes bound d as well
-    axes_cells = list(axes)[:4]
+    # a metric of the caller's own may have many axes: cells of the first ones bound d as well
+    axes_cells = list(axes)[:GRID_AXES]
     cells = [f"_c_{a}" for a in axes_cells]
     todo = sized.filter(F.col("_n") > small)
     table = others.join(groups.filter(F.col("_n") > small), by)

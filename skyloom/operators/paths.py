@@ -1,7 +1,6 @@
-"""Path and centrality features: one graph is a task's unit of work.
+"""Path and centrality features: a graph of up to ``WHOLE`` nodes is a task's unit of work, larger ones go by ``frontier``.
 
-Each function deals graphs to tasks; a graph of these sizes (some thousand nodes) fits in one. Hops and lengths
-from all wanted sources are advanced together as array operations.
+Within a task hops and lengths from all wanted sources are advanced together as array operations.
 """
 
 from __future__ import annotations
@@ -9,6 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.operators import frontier
+from skyloom.staging import stored
+
+#: Nodes of a graph that a task takes whole, with matrices of its nodes; larger graphs are searched by joins.
+WHOLE = 4000
+#: Names of large graphs that a filter lists; more are joined.
+LARGE_GRAPHS = 1000
+
 
 def _per_graph(nodes: DataFrame, edges: DataFrame, kernel, schema: str) -> DataFrame:
     """``kernel(graph_id, ids, src, dst, weight)`` with ends as row numbers of the sorted ids, for each graph."""
@@ -32,6 +39,29 @@ def _per_graph(nodes: DataFrame, edges: DataFrame, kernel, schema: str) -> DataF
     return left.cogroup(right).applyInPandas(run, schema)
 
 
+def sized(nodes: DataFrame, edges: DataFrame, whole: int) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
+    """(nodes, edges) of graphs of up to ``whole`` nodes, and those of larger ones or None where there is none."""
+    large = nodes.groupBy("graph_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > whole).select("graph_id")
+    names = [r[0] for r in large.limit(LARGE_GRAPHS + 1).collect()]
+    if not names:
+        return (nodes, edges), None
+    if len(names) > LARGE_GRAPHS:
+        held = stored(large, "large")
+        return tuple(x.join(held, "graph_id", "left_anti") for x in (nodes, edges)), tuple(x.join(held, "graph_id", "left_semi") for x in (nodes, edges))
+    inside = F.col("graph_id").isin(names)
+    return (nodes.filter(~inside), edges.filter(~inside)), (nodes.filter(inside), edges.filter(inside))
+
+
+def _dealt(nodes: DataFrame, edges: DataFrame, kernel, schema: str, large) -> DataFrame:
+    """Small graphs by ``kernel``, those of more than ``WHOLE`` nodes by ``large(nodes, edges)``."""
+    few, many = sized(nodes, edges, WHOLE)
+    out = _per_graph(*few, kernel, schema)
+    if many is None:
+        return out
+    kinds = [c.split() for c in schema.split(", ")]
+    return out.unionByName(large(*many).select(*[F.col(n).cast(t).alias(n) for n, t in kinds]))
+
+
 def hop_matrix(n: int, src, dst, sources):
     """Hops from each of ``sources`` to all nodes, -1 if there is no way: frontiers of all sources at once."""
     import numpy as np
@@ -110,7 +140,7 @@ def path_features(nodes: DataFrame, edges: DataFrame, sample: int | None = None,
         h = h[h > 0]
         return {"graph_id": [g], "path_mean": [float(h.mean()) if len(h) else 0.0], "diameter": [int(h.max()) if len(h) else 0]}
 
-    return _per_graph(nodes, edges, kernel, "graph_id string, path_mean double, diameter long")
+    return _dealt(nodes, edges, kernel, "graph_id string, path_mean double, diameter long", lambda n, e: frontier.path_features(n, e, sample, seed))
 
 
 def weighted_path_mean(nodes: DataFrame, edges: DataFrame, sample: int = 200, seed: int = 42) -> DataFrame:
@@ -123,7 +153,7 @@ def weighted_path_mean(nodes: DataFrame, edges: DataFrame, sample: int = 200, se
         seen = far[np.isfinite(far) & (far > 0)]
         return {"graph_id": [g], "weighted_path_mean": [float(seen.mean()) if len(seen) else None]}
 
-    return _per_graph(nodes, edges, kernel, "graph_id string, weighted_path_mean double")
+    return _dealt(nodes, edges, kernel, "graph_id string, weighted_path_mean double", lambda n, e: frontier.weighted_path_mean(n, e, sample, seed))
 
 
 def hop_lengths(nodes: DataFrame, edges: DataFrame, sample: int | None = None, seed: int = 42) -> DataFrame:
@@ -136,7 +166,7 @@ def hop_lengths(nodes: DataFrame, edges: DataFrame, sample: int | None = None, s
         value, n = np.unique(h[h > 0], return_counts=True)
         return {"graph_id": [g] * len(value), "value": value.astype(float), "n": n}
 
-    return _per_graph(nodes, edges, kernel, "graph_id string, value double, n long")
+    return _dealt(nodes, edges, kernel, "graph_id string, value double, n long", lambda n, e: frontier.hop_lengths(n, e, sample, seed))
 
 
 def distance_matrices(nodes: DataFrame, edges: DataFrame, weighted: bool = True, shortest: bool = True) -> DataFrame:
@@ -189,7 +219,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sample: int | None = 100, se
         scale = n / len(picked) / ((n - 1) * (n - 2)) if n > 2 else 0.0
         return {"graph_id": [g] * n, "node_id": ids, "betweenness": total * scale}
 
-    return _per_graph(nodes, edges, kernel, "graph_id string, node_id long, betweenness double")
+    return _dealt(nodes, edges, kernel, "graph_id string, node_id long, betweenness double", lambda n, e: frontier.betweenness(n, e, sample, seed))
 
 
 def centrality_features(nodes: DataFrame, edges: DataFrame, sample: int = 100, seed: int = 42) -> DataFrame:
@@ -209,4 +239,4 @@ def centrality_features(nodes: DataFrame, edges: DataFrame, sample: int = 100, s
         return {"graph_id": [g], **{k: [float(v)] for k, v in values.items()}}
 
     schema = "graph_id string, betweenness_mean double, betweenness_max double, closeness_mean double, closeness_max double"
-    return _per_graph(nodes, edges, kernel, schema)
+    return _dealt(nodes, edges, kernel, schema, lambda n, e: frontier.centrality_features(n, e, sample, seed))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.operators.paths import _per_graph
+from skyloom.operators import krylov
+from skyloom.operators.paths import _per_graph, sized
+
+#: Nodes of a graph whose matrix a task holds; the spectra of larger ones are found by distributed iteration.
+WHOLE = 4000
 
 
 def _matrix(n, src, dst, w, kind: str):
@@ -27,8 +31,12 @@ def spectrum(nodes: DataFrame, edges: DataFrame, k: int | None = 30, kind: str =
     """graph_id, eig: the ``k`` smallest eigenvalues ascending, or the largest by magnitude descending.
 
     kind: normalized (I - D^-1/2 A D^-1/2, an isolated node's row is 0), laplacian or adjacency. Weights are taken as
-    they are; with ``affinity`` s they become exp(-(w/s)^2), so that far neighbours count less.
+    they are; with ``affinity`` s they become exp(-(w/s)^2), so that far neighbours count less. Graphs of more than
+    ``WHOLE`` nodes go by ``krylov.lanczos``, which finds some of their eigenvalues, so ``k`` is a must for them.
     """
+    few, many = (nodes, edges), None
+    if k is not None:
+        few, many = sized(nodes, edges, WHOLE)
 
     def kernel(g, ids, src, dst, w):
         import numpy as np
@@ -38,7 +46,13 @@ def spectrum(nodes: DataFrame, edges: DataFrame, k: int | None = 30, kind: str =
         e = e[np.argsort(-np.abs(e), kind="stable")] if largest else e
         return {"graph_id": [g], "eig": [e[:k].tolist()]}
 
-    return _per_graph(nodes, edges, kernel, "graph_id string, eig array<double>")
+    small = _per_graph(*few, kernel, "graph_id string, eig array<double>")
+    if many is None:
+        return small
+    w = F.col("weight").cast("double")
+    w = F.exp(-F.pow(w / affinity, F.lit(2))) if affinity else w if weighted else F.lit(1.0)
+    entries = krylov.operator_entries(many[0], many[1].withColumn("weight", w), kind)
+    return small.unionByName(krylov.lanczos(many[0], entries, k, largest).select(F.col("graph_id").cast("string").alias("graph_id"), "eig"))
 
 
 def positional_encoding(nodes: DataFrame, edges: DataFrame, k: int = 8) -> DataFrame:

@@ -191,7 +191,7 @@ def _(spark, d):
     e = table(spark, d, "embeddings")
     axes = [f"c{i}" for i in range(64)]
     p = e.select(F.col("label").cast("string").alias("graph_id"), F.col("vec_id").alias("node_id"), *[F.col("embedding")[i].cast("double").alias(a) for i, a in enumerate(axes)])
-    return N.knn(p, 3, axes, metric=lambda gaps: F.round(N.euclidean(gaps), 9)).select("src", "dst", F.round("d", 5).alias("d"))
+    return N.knn(p, 3, axes).select("src", "dst", F.round("d", 5).alias("d"))
 
 
 # distances

@@ -42,7 +42,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the staging folder and read back: computed once, and safe from lost executors.
 
-    The files are removed when the driver exits, the shuffles behind them at once.
+    The files are removed by ``freed`` or when the driver exits, the shuffles behind them at once.
     """
     spark = df.sparkSession
     path = f"{staging_folder(spark)}/skyloom/{name}-{uuid.uuid4().hex}"
@@ -53,7 +53,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_path = path
+    return table
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that nothing will read again."""
+    for table in tables:
+        _remove(table.sparkSession, table._staged_path)
 
 
 def running_sum(df: DataFrame, order: list[str], value: Column, out: str) -> DataFrame:
