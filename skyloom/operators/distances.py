@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.operators.quantiles import quantiles
+
 EPS = 1e-10
 
 
@@ -148,7 +150,9 @@ def spectral_divergence(spectra: DataFrame, pairs: DataFrame, metric: str = "js"
 
 def summarize_distances(d: DataFrame) -> DataFrame:
     """Mean, median, min, max and population std over pairs."""
-    return d.agg(F.avg("d").alias("mean"), F.median("d").alias("median"), F.min("d").alias("least"), F.max("d").alias("most"), F.stddev_pop("d").alias("std"))
+    moments = d.agg(F.avg("d").alias("mean"), F.min("d").alias("least"), F.max("d").alias("most"), F.stddev_pop("d").alias("std"))
+    middle = quantiles(d, ["d"], (0.5,)).select(F.get("q__d", F.lit(0)).alias("median"))
+    return moments.join(middle).select("mean", "median", "least", "most", "std")
 
 
 def transport(cost, supply, demand, start=None):

@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.operators.neighbors import knn_edges
-from skyloom.operators.sampling import grid_stride, hash_order, lcg_order  # noqa: F401  part of the interface
+from skyloom.operators.paths import _per_graph as per_graph
+from skyloom.operators.sampling import grid_stride, hash_order, lcg_order, sample_n_by  # noqa: F401  part of the interface
 from skyloom.operators.scaling import normalize_coordinates, scale_weights
-from skyloom.staging import stored
+from skyloom.staging import freed, running_sum, stored
+
+#: Edges of a graph whose components a task finds; larger graphs are contracted in rounds.
+COMPONENT_EDGES = 500_000
 
 NODE, EDGE = ("graph_id", "node_id"), ("graph_id", "src", "dst", "weight")
 
@@ -57,8 +61,10 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def relabel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ids 0 .. n-1 in each graph, in the order of the old ones."""
-    ids = nodes.withColumn("_new", F.row_number().over(Window.partitionBy("graph_id").orderBy("node_id")) - 1)
+    """Ids 0 .. n-1 in each graph, in the order of the old ones; ranges of nodes are counted, no graph is ordered in a task."""
+    counted = running_sum(nodes, list(NODE), F.lit(1), "_at")
+    first = counted.groupBy(F.col("graph_id").alias("_of")).agg(F.min("_at").alias("_first"))
+    ids = counted.join(first, F.col("graph_id") == F.col("_of")).withColumn("_new", F.col("_at") - F.col("_first")).drop("_at", "_of", "_first")
     key = ids.select("graph_id", "node_id", "_new")
     moved = edges.join(key.withColumnsRenamed({"node_id": "src", "_new": "_s"}), ["graph_id", "src"]).join(
         key.withColumnsRenamed({"node_id": "dst", "_new": "_d"}), ["graph_id", "dst"]
@@ -72,8 +78,7 @@ def relabel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def exact_size(nodes: DataFrame, edges: DataFrame, n: int | Column, seed: int = 42, order=hash_order) -> tuple[DataFrame, DataFrame]:
     """Each graph's first ``n`` nodes by hash, their edges, new ids."""
-    w = Window.partitionBy("graph_id").orderBy(order(F.col("node_id"), seed), "node_id")
-    kept = nodes.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+    kept = sample_n_by(nodes, n, ["graph_id"], "node_id", seed, order)
     return relabel(kept, induced(edges, kept))
 
 
@@ -101,23 +106,84 @@ def match_sizes(nodes: DataFrame, edges: DataFrame, seed: int = 42, order=hash_o
     return exact_size(nodes, edges, least, seed, order)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """graph_id, node_id, component: the smallest node reached. Each round takes the least label about a node,
-    then the label of that label, so long paths shorten fast; only a count of changes reaches the driver.
-    Links and the labels of each round are written to the staging folder."""
-    links = stored(both_ways(edges).select("graph_id", "node_id", "other").distinct(), "links")
-    labels = stored(nodes.select(*NODE, F.col("node_id").alias("component")), "labels")
-    for _ in range(rounds):
-        around = links.join(labels.select("graph_id", F.col("node_id").alias("other"), F.col("component").alias("c")), ["graph_id", "other"])
-        least = around.groupBy(*NODE).agg(F.min("c").alias("c"))
-        stepped = labels.join(least, list(NODE), "left").select(*NODE, "component", F.least("component", F.coalesce("c", "component")).alias("next"))
-        jump = labels.select("graph_id", F.col("node_id").alias("next"), F.col("component").alias("far"))
-        new = stepped.join(jump, ["graph_id", "next"], "left").select(*NODE, F.least("next", F.coalesce("far", "next")).alias("component"), F.col("component").alias("old"))
-        new = stored(new, "labels")
-        labels = new.drop("old")
-        if not new.filter("component <> old").limit(1).count():
-            return labels
-    raise RuntimeError("components did not settle")
+def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """graph_id, node_id, component: the smallest node reached.
+
+    Graphs of up to ``COMPONENT_EDGES`` edges are labelled in a task each. The edges of larger ones are contracted: in a
+    round each node goes to that of itself and its neighbours which comes first by a hash of the round, edges are named anew,
+    and loops and repeats drop out, so a path of n nodes takes some log n rounds. The labels of the rounds are then followed
+    back. Tables of a round are deleted as soon as the next has been written.
+    """
+    few, many = _by_edges(nodes, edges)
+    kind = dict(nodes.dtypes)
+    small = per_graph(
+        few[0], few[1].select("graph_id", "src", "dst", F.lit(1.0).alias("weight")), _labelled,
+        f"graph_id {kind['graph_id']}, node_id {kind['node_id']}, component {kind['node_id']}",
+    )
+    return small if many is None else small.unionByName(_contracted(*many, rounds))
+
+
+def _labelled(g, ids, src, dst, w):
+    import numpy as np
+
+    label = np.arange(len(ids))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, label[src], label[dst])
+        np.minimum.at(new, label[dst], label[src])
+        while True:  # labels of labels
+            far = new[new]
+            if np.array_equal(far, new):
+                break
+            new = far
+        if np.array_equal(new, label):
+            return {"graph_id": [g] * len(ids), "node_id": ids, "component": ids[label]}
+        label = new
+
+
+def _by_edges(nodes: DataFrame, edges: DataFrame):
+    sizes = edges.groupBy("graph_id").agg(F.count("*").alias("_m")).filter(F.col("_m") > COMPONENT_EDGES).select("graph_id")
+    if not sizes.take(1):
+        return (nodes, edges), None
+    large = stored(sizes, "large")
+    return tuple(tuple(x.join(large, "graph_id", how) for x in (nodes, edges)) for how in ("left_anti", "left_semi"))
+
+
+def _contracted(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
+    ends = lambda a, b: (F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+    left = stored(edges.filter("src <> dst").select("graph_id", *ends("src", "dst")).distinct(), "left")
+    moves = []
+    for i in range(rounds):
+        if not left.take(1):
+            break
+        pair = lambda a, b: F.struct(F.col(a).alias("node_id"), F.col(b).alias("other"))
+        both = left.select("graph_id", F.explode(F.array(pair("src", "dst"), pair("dst", "src"))).alias("e")).select("graph_id", "e.*")
+        ranked = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(i)).alias("h"), F.col(c).alias("to"))
+        first = both.groupBy("graph_id", "node_id").agg(F.min(ranked("other")).alias("near"))
+        moves.append(stored(first.select("graph_id", "node_id", F.least("near", ranked("node_id"))["to"].alias("to")), "moves"))
+        a, b = (moves[-1].select("graph_id", F.col("node_id").alias(x), F.col("to").alias(y)) for x, y in (("src", "a"), ("dst", "b")))
+        met = left.join(a, ["graph_id", "src"]).join(b, ["graph_id", "dst"]).filter("a <> b").select("graph_id", *ends("a", "b"))
+        further = stored(met.distinct(), "left")
+        freed(left)
+        left = further
+    else:
+        raise RuntimeError("components did not settle")
+    freed(left)
+    label = None
+    for m in reversed(moves):
+        if label is not None:
+            far = label.select("graph_id", F.col("node_id").alias("to"), F.col("to").alias("far"))
+            followed = stored(m.join(far, ["graph_id", "to"], "left").select("graph_id", "node_id", F.coalesce("far", "to").alias("to")), "followed")
+            # a node of a later round is one of this, too, so its label is there
+            freed(label, m)
+            label = followed
+        else:
+            label = m
+    if label is None:
+        return nodes.select(*NODE, F.col("node_id").alias("component"))
+    named = nodes.select(*NODE).join(label, list(NODE), "left").select(*NODE, F.coalesce("to", "node_id").alias("to"))
+    least = named.groupBy("graph_id", "to").agg(F.min("node_id").alias("component"))
+    return named.join(least, ["graph_id", "to"]).select(*NODE, "component")
 
 
 def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ class _Graph:
     h: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     live: list[np.ndarray] = field(default_factory=list)
     eig: np.ndarray | None = None
+    states: np.ndarray | None = None
     residual: float = np.inf
     done: bool = False
 
@@ -150,8 +151,10 @@ def _orthonormal(gram: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray
     return factor, kept
 
 
-def lanczos(nodes: DataFrame, entries: DataFrame, k: int = 30, largest: bool = False, most: int = 400, tolerance: float = 1e-9, width: int = WIDTH, seed: int = 42) -> DataFrame:
-    """graph_id, eig, residual: the ``k`` smallest eigenvalues ascending of symmetric ``entries``, or the largest by magnitude.
+def lanczos(nodes: DataFrame, entries: DataFrame, k: int = 30, largest: bool = False, most: int = 400, tolerance: float = 1e-9, width: int = WIDTH, seed: int = 42, powers: tuple[int, ...] = ()) -> DataFrame:
+    """graph_id, n, eig, residual: the ``k`` smallest eigenvalues ascending of symmetric ``entries``, or the largest by magnitude.
+
+    For each p of ``powers`` also ``power_p``: the sums of the p-th powers of the magnitudes of each eigenvector's components.
 
     Block Lanczos with full reorthogonalisation, made twice. It ends when the wanted residuals are below ``tolerance`` times
     the largest eigenvalue, when the basis spans the space, or at ``most`` basis vectors; ``residual`` is the largest
@@ -163,8 +166,9 @@ def lanczos(nodes: DataFrame, entries: DataFrame, k: int = 30, largest: bool = F
     spark = nodes.sparkSession
     graphs = {r[0]: _Graph(r[1]) for r in blocks.groupBy("graph_id").agg(F.sum("n")).collect()}
     kind = dict(blocks.dtypes)["graph_id"]
+    shape = f"graph_id {kind}, n long, eig array<double>, residual double" + "".join(f", power_{p} array<double>" for p in powers)
     if not graphs:
-        return spark.createDataFrame([], f"graph_id {kind}, eig array<double>, residual double")
+        return spark.createDataFrame([], shape)
 
     schema = f"graph_id {kind}, blk long, x array<double>"
 
@@ -252,6 +256,8 @@ def lanczos(nodes: DataFrame, entries: DataFrame, k: int = 30, largest: bool = F
             off = np.linalg.norm((np.sqrt(np.maximum(r, 0))[:, None] * v.T) @ last, axis=0)
             order = (np.argsort(-np.abs(e), kind="stable") if largest else np.argsort(e, kind="stable"))[: min(k, held.n)]
             held.eig, held.residual = e[order], float(off[order].max(initial=0.0))
+            held.states = np.zeros((len(h), len(order)))
+            held.states[alive] = s[:, order]
             # a basis that the operator does not leave may lack copies of an eigenvalue: only a spanned space ends it then
             goes_on = np.sqrt(max(r.max(initial=0.0), 0.0)) > 1e-9 * max(np.abs(e).max(initial=0.0), 1e-300)
             enough = len(e) >= min(k + width, held.n) and held.residual <= tolerance * max(np.abs(e).max(initial=0.0), 1e-300)
@@ -259,6 +265,30 @@ def lanczos(nodes: DataFrame, entries: DataFrame, k: int = 30, largest: bool = F
         if all(held.done for held in graphs.values()) or len(basis) * width >= most:
             break
         extended(q, live, len(basis))
-    freed(q, entries, *[x for x in basis if x is not q])
-    rows = [(g, [float(x) for x in held.eig], 0.0 if held.spanned >= held.n else held.residual) for g, held in graphs.items()]
-    return spark.createDataFrame(rows, f"graph_id {kind}, eig array<double>, residual double")
+    sums = _powers(basis, graphs, width, powers) if powers else {}
+    freed(entries, *[x for x in (q, *basis)])
+    rows = []
+    for g, held in graphs.items():
+        more = [sums[g][p].tolist() for p in powers]
+        rows.append((g, held.n, [float(x) for x in held.eig], 0.0 if held.spanned >= held.n else held.residual, *more))
+    return spark.createDataFrame(rows, shape)
+
+
+def _powers(basis: list[DataFrame], graphs: dict, width: int, powers: tuple[int, ...]) -> dict:
+    """Sums of powers of the components of each graph's eigenvectors, which are the basis times ``states``, block by block."""
+    every = None
+    for k, q in enumerate(basis):
+        q = q.select("graph_id", "blk", F.lit(k).alias("k"), "x")
+        every = q if every is None else every.unionByName(q)
+    sent = every.sparkSession.sparkContext.broadcast({g: held.states for g, held in graphs.items()})
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        graph, states = f["graph_id"].iloc[0], sent.value[f["graph_id"].iloc[0]]
+        v = sum(np.asarray(x).reshape(-1, width) @ states[k * width : (k + 1) * width] for k, x in zip(f["k"], f["x"]) if k * width < len(states))
+        return pd.DataFrame([(graph, p, i, float(s)) for p in powers for i, s in enumerate((np.abs(v) ** p).sum(0))], columns=["graph_id", "p", "i", "s"])
+
+    schema = f"graph_id {dict(every.dtypes)['graph_id']}, p int, i int, s double"
+    out = {g: {p: np.zeros(held.states.shape[1]) for p in powers} for g, held in graphs.items()}
+    for r in every.groupBy("graph_id", "blk").applyInPandas(run, schema).groupBy("graph_id", "p", "i").agg(F.sum("s").alias("s")).collect():
+        out[r["graph_id"]][r["p"]][r["i"]] = r["s"]
+    return out

@@ -228,17 +228,53 @@ def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float = 0.5, m
     return df.join(found, key, "left").na.fill(-1, ["cluster"])
 
 
+#: Points of a block whose distances to those of another are added up in a task.
+PAIR_BLOCK = 1024
+
+
+def _distance_sums(data: DataFrame) -> DataFrame:
+    """``(id, c, c2, s, k)``: the sum of the distances of each point of ``data`` (id, c, v) to cluster c2, and of how many others."""
+    n = data.count()
+    parts = max(1, -(-n // PAIR_BLOCK))
+    # rows without an order of their own: equal ids may fall into one block
+    dealt = stored(data.withColumn("_b", F.pmod(F.xxhash64("id", "c", "v"), F.lit(parts)).cast("int")), "blocks")
+    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = dealt.select("id", "c", "v", F.col("_b").alias("i"), other.alias("j"))
+    right = dealt.select(F.col("id").alias("id"), F.col("c").alias("c"), F.col("v").alias("v"), F.col("_b").alias("j"), other.alias("i"))
+    kinds = dict(data.dtypes)
+
+    def sums(a, b):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        if len(a) and len(b):
+            x, y = (np.array(f["v"].tolist(), float).reshape(len(f), -1) for f in (a, b))
+            for c, rows in b.groupby("c").indices.items():
+                step = max(1, (1 << 22) // max(1, len(rows) * x.shape[1]))
+                s = np.concatenate([np.sqrt(((x[at : at + step, None, :] - y[None, rows, :]) ** 2).sum(-1)).sum(1) for at in range(0, len(x), step)])
+                out.append(pd.DataFrame({"id": a["id"], "c": a["c"], "c2": c, "s": s, "k": len(rows)}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["id", "c", "c2", "s", "k"])
+
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(sums, f"id {kinds['id']}, c {kinds['c']}, c2 {kinds['c']}, s double, k long")
+    summed = met.groupBy("id", "c", "c2").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
+    # a point is no neighbour of its own; alone in its cluster it has none there
+    own = F.col("c") == F.col("c2")
+    return summed.withColumn("k", F.when(own, F.col("k") - 1).otherwise(F.col("k"))).filter("k > 0")
+
+
 def clustering_metrics(df: DataFrame, features: Sequence[str], key: str, cluster: str = "cluster") -> DataFrame:
     """silhouette (Euclidean), davies_bouldin, calinski_harabasz without noise; null with fewer than two clusters.
 
-    The silhouette needs all distances and is for tables of graphs: an equi-join of clusters with points, aggregated.
+    The silhouette needs all distances: blocks of some ``PAIR_BLOCK`` points meet, and a task adds up the distances of each point
+    of one to the clusters of the other, so no pair is a row, but the work grows with the square of the table.
     """
-    data = df.filter(F.col(cluster) >= 0).select(F.col(key).alias("id"), F.col(cluster).alias("c"), F.array(*[F.col(f).cast("double") for f in features]).alias("v")).cache()
+    data = df.filter(F.col(cluster) >= 0).select(F.col(key).alias("id"), F.col(cluster).alias("c"), F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
+    data = stored(data, "clustered")
     width = len(features)
     dist = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     sizes = data.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(width)]).alias("m"))
-    gaps = data.join(data.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("v").alias("v2")), F.col("id") != F.col("id2"))
-    mean = gaps.groupBy("id", "c", "c2").agg(F.sum(dist("v", "v2")).alias("s"), F.count(F.lit(1)).alias("k"))
+    mean = _distance_sums(data)
     ab = mean.groupBy("id", "c").agg(F.max(F.when(F.col("c") == F.col("c2"), F.col("s") / F.col("k"))).alias("a"), F.min(F.when(F.col("c") != F.col("c2"), F.col("s") / F.col("k"))).alias("b"))
     sil = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     silhouette = ab.agg(F.avg(sil).alias("silhouette"))

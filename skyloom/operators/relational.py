@@ -111,8 +111,13 @@ def set_status(df: DataFrame, where: Column, status: str, progress: Column, now:
 
 def summarize(df: DataFrame, by: Sequence[str], columns: Sequence[str], stats: Sequence[str] = ("mean", "std")) -> DataFrame:
     """``<column>__<stat>`` of each group; std is the sample's."""
-    made = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count, "median": F.median}
-    return df.groupBy(*by).agg(*[made[s](c).alias(f"{c}__{s}") for c in columns for s in stats])
+    made = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count}
+    out = df.groupBy(*by).agg(F.count("*").alias("_rows"), *[made[s](c).alias(f"{c}__{s}") for c in columns for s in stats if s != "median"])
+    if "median" in stats:
+        middle = quantiles(df, columns, (0.5,), by)
+        held = middle.select(*[F.col(b).alias(f"_{b}") for b in by], *[F.get(f"q__{c}", F.lit(0)).alias(f"{c}__median") for c in columns])
+        out = out.join(held, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by], "left") if by else out.join(held)
+    return out.select(*by, *[f"{c}__{s}" for c in columns for s in stats])
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -154,18 +159,24 @@ _DESCRIBED = ("column", "count", "unique", "top", "mean", "std", "min", "quartil
 
 
 def describe_all(df: DataFrame) -> DataFrame:
-    """A row a column: count, distinct values, most frequent value, and mean, std, quartiles of numbers."""
+    """A row a column: count, distinct values, most frequent value (the least of equal ones), mean, std, quartiles of numbers.
+
+    Values are counted by column and value before anything is distinct, so no task holds a column's values.
+    """
     numeric = {c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")}
     rows = []
     for c in df.columns:
         v = F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
         rows.append(
             F.struct(
-                F.lit(c).alias("column"), F.count(c).alias("count"), F.count_distinct(F.col(c).cast("string")).alias("unique"), F.mode(F.col(c).cast("string"), True).alias("top"),
-                F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+                F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
             )
         )
     found = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in df.columns]))
+    counts = df.select(cells.alias("x")).filter("x.value is not null").groupBy("x.column", "x.value").agg(F.count("*").alias("n"))
+    tops = counts.groupBy("column").agg(F.count("*").alias("unique"), F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("t"))
+    found = found.join(tops.select("column", "unique", F.col("t.value").alias("top")), "column", "left").na.fill(0, ["unique"])
     if not numeric:
         return found.withColumn("quartiles", F.lit(None).cast("array<double>")).select(*_DESCRIBED)
     names = [c for c in df.columns if c in numeric]

@@ -69,7 +69,17 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42, order: Order = has
 
 
 def sample_n_by(df: DataFrame, n: int | Column, by: Sequence[str], key: str, seed: int = 42, order: Order = hash_order) -> DataFrame:
-    """``n`` rows of each group."""
+    """``n`` rows of each group, or all: those first by a hash of ``key``. A null group is a group.
+
+    A number ``n`` goes by bins as in ``sample_n``: only a group's bin in which its sample ends is ordered. A column ``n``
+    of each row orders whole groups.
+    """
+    if not isinstance(n, Column):
+        binned = _binned(df, key, seed, order)
+        near = _with_ends(binned, _ends(binned, by, F.lit(n)), by)
+        first = near.filter("_bin < _end").select(*df.columns)
+        rank = F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("_o", key))
+        return first.union(near.filter("_bin = _end").withColumn("_r", rank).filter("_r <= _left").select(*df.columns))
     w = Window.partitionBy(*by).orderBy(order(F.col(key), seed), key)
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 

@@ -101,7 +101,7 @@ def engineer_features(df: DataFrame, mags: Sequence[str] = (), source: str = "ca
     """Derived features of a catalog, as far as its columns go.
 
     Colours of each pair of magnitudes in their order; redshift classes (right-open) and 20 equal bins, recession
-    velocity; 36 by 18 cells of the table's range of the sky; distance; mean, sample std and count by ``source`` of
+    velocity; 36 by 18 cells of the table's range of the sky; distance and 20 equal shells of it; mean, sample std and count by ``source`` of
     redshift, ra, dec and magnitudes; ratio and product of redshift with the first two magnitudes; cells of ``grid``
     parts an axis and how many points each holds. Bounds and group statistics are two aggregates, joined back.
     """
@@ -121,14 +121,18 @@ def engineer_features(df: DataFrame, mags: Sequence[str] = (), source: str = "ca
         cols["distance_3d"] = F.sqrt(F.col("X") ** 2 + F.col("Y") ** 2 + F.col("Z") ** 2)
         bounded |= {"X": grid, "Y": grid, "Z": grid}
     out = df.withColumns(cols)
+    if "distance_3d" in out.columns:
+        bounded["distance_3d"] = 20
     if bounded:
-        bounds = df.agg(*[f(c).alias(f"{n}__{c}") for c in bounded for n, f in (("min", F.min), ("max", F.max))])
+        bounds = out.agg(*[f(c).alias(f"{n}__{c}") for c in bounded for n, f in (("min", F.min), ("max", F.max))])
         out = out.join(F.broadcast(bounds))
         cell, made = _cut(bounded), {}
         if "redshift" in bounded:
             made["redshift_bin_fine"] = cell["redshift"]
         if "ra" in bounded:
-            made["sky_region_id"] = cell["ra"] * 18 + cell["dec"]
+            made |= {"sky_region_ra_bin": cell["ra"], "sky_region_dec_bin": cell["dec"], "sky_region_id": cell["ra"] * 18 + cell["dec"]}
+        if "distance_3d" in bounded:
+            made["volume_shell_bin"] = cell["distance_3d"]
         if "X" in bounded:
             made["grid_cell_id"] = cell["X"] * grid * grid + cell["Y"] * grid + cell["Z"]
         out = out.withColumns(made).drop(*bounds.columns)

@@ -56,7 +56,12 @@ def spectrum(nodes: DataFrame, edges: DataFrame, k: int | None = 30, kind: str =
 
 
 def positional_encoding(nodes: DataFrame, edges: DataFrame, k: int = 8) -> DataFrame:
-    """graph_id, pe: mean magnitude of each of the ``k`` first eigenvectors after the constant one."""
+    """graph_id, pe: mean magnitude of each of the ``k`` first eigenvectors after the constant one.
+
+    Graphs of more than ``WHOLE`` nodes go by ``krylov.lanczos``. Vectors of an eigenvalue that comes more than once are not
+    unique, so neither are their means.
+    """
+    few, many = sized(nodes, edges, WHOLE)
 
     def kernel(g, ids, src, dst, w):
         import numpy as np
@@ -65,14 +70,27 @@ def positional_encoding(nodes: DataFrame, edges: DataFrame, k: int = 8) -> DataF
         m = np.abs(v[:, 1 : k + 1]).mean(axis=0)
         return {"graph_id": [g], "pe": [np.pad(m, (0, k - len(m))).tolist()]}
 
-    return _per_graph(nodes, edges, kernel, "graph_id string, pe array<double>")
+    small = _per_graph(*few, kernel, "graph_id string, pe array<double>")
+    if many is None:
+        return small
+    found = krylov.lanczos(many[0], krylov.operator_entries(many[0], many[1].withColumn("weight", F.lit(1.0)), "normalized"), k + 1, powers=(1,))
+    mean = F.slice(F.transform("power_1", lambda x: x / F.col("n")), 2, k)
+    padded = F.slice(F.concat(mean, F.array_repeat(F.lit(0.0), k)), 1, k)
+    return small.unionByName(found.select(F.col("graph_id").cast("string").alias("graph_id"), padded.alias("pe")))
 
 
 def matrix_spectrum(matrix: DataFrame, k: int = 8) -> DataFrame:
     """graph_id, eig, ipr of the ``k`` lowest states of symmetric matrices (graph_id, i, j, value).
 
-    The inverse participation ratio is the sum of the fourth powers of a normalized state's components.
+    The inverse participation ratio is the sum of the fourth powers of a normalized state's components. Matrices of more
+    than ``WHOLE`` rows go by ``krylov.lanczos``.
     """
+    ends = matrix.select("graph_id", F.explode(F.array("i", "j")).alias("node_id")).distinct()
+    rows, many = sized(ends, matrix, WHOLE)
+    if many is not None:
+        found = krylov.lanczos(many[0], many[1].select("graph_id", "i", "j", "value"), k, powers=(4,))
+        small = matrix_spectrum(rows[1], k)
+        return small.unionByName(found.select(F.col("graph_id").cast("string").alias("graph_id"), "eig", F.col("power_4").alias("ipr")))
 
     def run(pdf):
         import numpy as np

@@ -22,6 +22,7 @@ from skyloom.plans.graphs import GRID, KNN, NX, NY, STEP, TRI, graph
 from skyloom.plans.graphs import table as learning_table
 from skyloom.plans.tables import CATALOG, catalog, table
 from skyloom.sources import readers, sinks
+from skyloom.sources.store import Store
 from skyloom.staging import staging_folder
 
 QUERIES: dict = {}
@@ -194,6 +195,64 @@ def _(spark, d):
     return N.knn(p, 3, axes).select("src", "dst", F.round("d", 5).alias("d"))
 
 
+@query("j03_knn_one_group", """WITH p AS (SELECT a.vec_id AS src, b.vec_id AS dst, sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+    SELECT src, dst, round(d, 5) AS d FROM p QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) <= 3""")
+def _(spark, d):
+    """Nearest neighbours in all 64 components, all rows in one group."""
+    e = table(spark, d, "embeddings")
+    axes = [f"c{i}" for i in range(64)]
+    p = e.select(F.lit("all").alias("graph_id"), F.col("vec_id").alias("node_id"), *[F.col("embedding")[i].cast("double").alias(a) for i, a in enumerate(axes)])
+    return N.knn(p, 3, axes).select("src", "dst", F.round("d", 5).alias("d"))
+
+
+@query("m13_metrics_given", """WITH p AS (SELECT vec_id AS id, label AS c, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS v FROM embeddings),
+    m AS (SELECT a.id, a.c, b.c AS c2, sum(list_distance(a.v, b.v)) AS s, count(*) AS k FROM p a JOIN p b ON a.id <> b.id GROUP BY ALL),
+    w AS (SELECT id, max(CASE WHEN c = c2 THEN s / k END) AS a, min(CASE WHEN c <> c2 THEN s / k END) AS b FROM m GROUP BY 1)
+    SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 8) AS silhouette FROM w""")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    p = e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(3)])
+    return M.clustering_metrics(p, ["c0", "c1", "c2"], "vec_id", "label").select(F.round("silhouette", 8).alias("silhouette"))
+
+
+@query("x08_shells", f"""WITH c AS (SELECT object_id, ra, dec, sqrt(mag_g ** 2 + mag_r ** 2 + redshift ** 2) AS s FROM {CATALOG})
+    SELECT object_id, least(floor((ra - min(ra) OVER ()) / (max(ra) OVER () - min(ra) OVER ()) * 36), 35)::BIGINT AS sky_region_ra_bin,
+    least(floor((dec - min(dec) OVER ()) / (max(dec) OVER () - min(dec) OVER ()) * 18), 17)::BIGINT AS sky_region_dec_bin,
+    least(floor((s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) * 20), 19)::BIGINT AS volume_shell_bin FROM c""")
+def _(spark, d):
+    """Cells of the sky and shells of distance, magnitudes and redshift standing in for coordinates."""
+    c = catalog(spark, d).withColumns({"X": F.col("mag_g"), "Y": F.col("mag_r"), "Z": F.col("redshift")})
+    return X.engineer_features(c).select("object_id", "sky_region_ra_bin", "sky_region_dec_bin", "volume_shell_bin")
+
+
+def _stored_customers(spark, d) -> Store:
+    """A store that takes two upserts: customers not divisible by 5, then all divisible by 3 with a balance of 1."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    store = Store(spark, scratch(spark, "store"), "c_custkey", 16)
+    store.upsert(c.filter("c_custkey % 5 <> 0"))
+    store.upsert(c.filter("c_custkey % 3 = 0").withColumn("c_acctbal", F.lit(1.0)))
+    return store
+
+
+_STORED = "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 1.0 ELSE c_acctbal::DOUBLE END AS c_acctbal FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 3 = 0"
+
+
+@query("k07_stored_objects", _STORED)
+def _(spark, d):
+    return _stored_customers(spark, d).read()
+
+
+@query("k17_deleted_by_age", f"WITH s AS ({_STORED}) SELECT c_custkey, c_acctbal FROM s WHERE c_custkey % 7 <> 0")
+def _(spark, d):
+    """Rows of an age are deleted from a store, and what nothing names is cleaned up."""
+    store = _stored_customers(spark, d)
+    seen = F.when(F.col("c_custkey") % 7 == 0, F.expr("timestamp '2024-01-01 00:00:00'")).otherwise(F.expr("timestamp '2024-02-01 00:00:00'"))
+    store.upsert(store.read().withColumn("seen_at", seen))
+    store.expire("seen_at", F.expr("timestamp '2024-02-02 00:00:00'"), 7)
+    store.vacuum()
+    return store.read().select("c_custkey", "c_acctbal")
+
+
 # distances
 
 
@@ -244,8 +303,8 @@ def _(spark, d):
 
 @query("d14_fused_gromov_wasserstein")
 def _(spark, d):
-    """Graphs of their first 30 nodes by degree, with the points as features; every pair."""
-    nodes, edges = G.downsample(*graph(spark, d), 30)
+    """Whole graphs, with the points as features; every pair."""
+    nodes, edges = graph(spark, d)
     feats = nodes.groupBy("graph_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("node_id", F.array("x", "y", "z").alias("f")))), lambda s: s["f"]).alias("feats"))
     return D.gromov_wasserstein(P.distance_matrices(nodes, edges), _pairs(nodes), feats, 0.5, iterations=20)
 
