@@ -5,28 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.operators import krylov
 from skyloom.operators.graphs import both_ways
+from skyloom.operators.paths import sized
+from skyloom.staging import freed, running_sum, stored
+
+#: Nodes of a graph whose co-occurrences a task holds as a matrix; components of larger ones are found by distributed iteration.
+WHOLE = 4000
+#: Steps of walks between two tables.
+STEPS = 8
 
 
 def random_walks(nodes: DataFrame, edges: DataFrame, walks: int = 10, length: int = 80, seed: int = 42) -> DataFrame:
     """graph_id, walk (array of node ids): ``walks`` from every node, each step to a uniform neighbour.
 
-    A step is drawn from a hash of walk, step and seed. Walks stop at a dead end. Neighbours lie in one array a
-    node, so a step is a join of walks with nodes.
+    A step is drawn from a hash of walk, step and seed. Walks stop at a dead end. Neighbours are rows by node and place, so
+    a step is a join of walks with one neighbour each, and a hub is no list. Every ``STEPS`` steps are written.
     """
-    lists = both_ways(edges).groupBy("graph_id", "node_id").agg(F.sort_array(F.collect_list("other")).alias("near"))
+    ways = both_ways(edges)
+    counted = running_sum(ways.select("graph_id", "node_id", "other"), ["graph_id", "node_id", "other"], F.lit(1), "_at")
+    first = stored(ways.groupBy("graph_id", "node_id").agg(F.count("*").alias("deg")), "degrees")
+    starts = counted.groupBy("graph_id", "node_id").agg(F.min("_at").alias("_first"))
+    further = first.select("graph_id", F.col("node_id").alias("other"), F.col("deg").alias("next_deg"))
+    near = counted.join(starts, ["graph_id", "node_id"]).join(further, ["graph_id", "other"])
+    near = stored(near.select("graph_id", "node_id", (F.col("_at") - F.col("_first")).alias("_place"), F.col("other").alias("_next"), "next_deg"), "near")
     state = nodes.select("graph_id", F.col("node_id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("w"))
     state = state.select("graph_id", "start", "w", F.array("start").alias("walk"), F.col("start").alias("node_id"))
+    state, held = state.join(first, ["graph_id", "node_id"], "left"), None
     for i in range(length - 1):
-        draw = F.pmod(F.xxhash64("graph_id", "start", "w", F.lit(i), F.lit(seed)), F.size("near").cast("long")).cast("int")
-        state = state.join(lists, ["graph_id", "node_id"], "left").withColumn("_next", F.get("near", draw))
+        draw = F.pmod(F.xxhash64("graph_id", "start", "w", F.lit(i), F.lit(seed)), F.col("deg"))
+        state = state.withColumn("_place", draw).join(near, ["graph_id", "node_id", "_place"], "left")
         state = state.select(
             "graph_id", "start", "w",
             F.when(F.col("_next").isNotNull(), F.array_append("walk", F.col("_next"))).otherwise(F.col("walk")).alias("walk"),
-            F.coalesce("_next", F.lit(None).cast("long")).alias("node_id"),
+            F.col("_next").alias("node_id"), F.col("next_deg").alias("deg"),
         )
-        if i % 8 == 7:
-            state = state.checkpoint() if state.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else state.cache()
+        if i % STEPS == STEPS - 1:
+            state = stored(state, "walks")
+            if held is not None:
+                freed(held)
+            held = state
     return state.select("graph_id", "start", "w", "walk")
 
 
@@ -47,9 +65,11 @@ def cooccurrence(walks: DataFrame, window: int = 5) -> DataFrame:
 def node_embeddings(nodes: DataFrame, edges: DataFrame, dim: int = 64, walks: int = 10, length: int = 80, window: int = 5, seed: int = 42) -> DataFrame:
     """graph_id, node_id, embedding: principal components of co-occurrence rows, zero-padded to ``dim``.
 
-    The sign of a component is fixed by making its largest entry positive.
+    The sign of a component is fixed by making its largest entry positive. Graphs of more than ``WHOLE`` nodes go by
+    ``krylov.principal_components``: the co-occurrences stay a sparse table.
     """
-    counts = cooccurrence(random_walks(nodes, edges, walks, length, seed), window)
+    counts = stored(cooccurrence(random_walks(nodes, edges, walks, length, seed), window), "cooccurrence")
+    (few, some), many = sized(nodes, counts, WHOLE)
 
     def run(key, n, c):
         import numpy as np
@@ -65,9 +85,13 @@ def node_embeddings(nodes: DataFrame, edges: DataFrame, dim: int = 64, walks: in
         e = np.pad(e * np.where(sign == 0, 1, sign), ((0, 0), (0, max(0, dim - e.shape[1]))))
         return pd.DataFrame({"graph_id": key[0], "node_id": ids, "embedding": e.tolist()})
 
-    left = nodes.select(F.col("graph_id").alias("graph_id"), "node_id").groupBy("graph_id")
-    right = counts.select(F.col("graph_id").alias("graph_id"), "a", "b", "n").groupBy("graph_id")
-    return left.cogroup(right).applyInPandas(run, "graph_id string, node_id long, embedding array<double>")
+    left = few.select(F.col("graph_id").alias("graph_id"), "node_id").groupBy("graph_id")
+    right = some.select(F.col("graph_id").alias("graph_id"), "a", "b", "n").groupBy("graph_id")
+    small = left.cogroup(right).applyInPandas(run, "graph_id string, node_id long, embedding array<double>")
+    if many is None:
+        return small
+    entries = many[1].select("graph_id", F.col("a").alias("i"), F.col("b").alias("j"), F.col("n").cast("double").alias("value"))
+    return small.unionByName(krylov.principal_components(many[0], entries, dim).select(F.col("graph_id").cast("string").alias("graph_id"), "node_id", "embedding"))
 
 
 def aggregate_embeddings(vectors: DataFrame, method: str = "mean", by: str = "graph_id", column: str = "embedding") -> DataFrame:

@@ -59,8 +59,8 @@ def operator_entries(nodes: DataFrame, edges: DataFrame, kind: str = "normalized
     return diagonal.unionByName(scaled.select("graph_id", "i", "j", (-F.col("root") * F.col("w") * F.col("other")).alias("value")))
 
 
-def _blocked(nodes: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks ``(graph_id, blk, n)`` of numbered nodes, and entries ``(graph_id, rb, cb, i, j, value)`` as arrays by blocks."""
+def _blocked(nodes: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Numbered nodes, their blocks ``(graph_id, blk, n, at)``, and entries ``(graph_id, rb, cb, i, j, value)`` as arrays by blocks."""
     numbered = stored(running_sum(nodes.select("graph_id", "node_id").distinct(), ["graph_id", "node_id"], F.lit(1), "at"), "numbered")
     place = lambda c, b, i: numbered.select("graph_id", F.col("node_id").alias(c), F.floor(F.col("at") / BLOCK).alias(b), (F.col("at") % BLOCK).cast("int").alias(i))
     blocks = stored(numbered.groupBy("graph_id", F.floor(F.col("at") / BLOCK).alias("blk")).agg(F.count("*").alias("n"), F.collect_list((F.col("at") % BLOCK).cast("int")).alias("at")), "blocks")
@@ -71,8 +71,8 @@ def _blocked(nodes: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame
     salted = placed.join(parts, pairs).withColumn("_s", F.pmod(F.xxhash64("ii", "jj"), F.col("_parts")))
     rows = salted.groupBy(*pairs, "_s").agg(F.collect_list(F.struct("ii", "jj", "value")).alias("e"))
     rows = stored(rows.select(*pairs, F.col("e.ii").alias("i"), F.col("e.jj").alias("j"), F.col("e.value").alias("value")), "entries")
-    freed(placed, numbered)
-    return blocks, rows
+    freed(placed)
+    return numbered, blocks, rows
 
 
 def _split(x: np.ndarray) -> list[float]:
@@ -151,6 +151,10 @@ def _orthonormal(gram: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray
     return factor, kept
 
 
+def eigenvalues_schema(kind: str, powers: tuple[int, ...]) -> str:
+    return f"graph_id {kind}, n long, eig array<double>, residual double" + "".join(f", power_{p} array<double>" for p in powers)
+
+
 def lanczos(nodes: DataFrame, entries: DataFrame, k: int = 30, largest: bool = False, most: int = 400, tolerance: float = 1e-9, width: int = WIDTH, seed: int = 42, powers: tuple[int, ...] = ()) -> DataFrame:
     """graph_id, n, eig, residual: the ``k`` smallest eigenvalues ascending of symmetric ``entries``, or the largest by magnitude.
 
@@ -162,13 +166,94 @@ def lanczos(nodes: DataFrame, entries: DataFrame, k: int = 30, largest: bool = F
     fewer times than it should unless the space is spanned. All graphs go on together; a step is a few jobs.
     A node without entries has a zero row; a graph of no nodes has no row.
     """
-    blocks, entries = _blocked(nodes, entries)
-    spark = nodes.sparkSession
-    graphs = {r[0]: _Graph(r[1]) for r in blocks.groupBy("graph_id").agg(F.sum("n")).collect()}
+    numbered, blocks, entries = _blocked(nodes, entries)
+    kind = dict(blocks.dtypes)["graph_id"]
+    graphs, basis = _spanned(blocks, lambda v: _product(entries, v, width), k, largest, most, tolerance, width, seed)
+    sums = _powers(basis, graphs, width, powers) if powers and graphs else {}
+    freed(numbered, entries, *basis)
+    rows = []
+    for g, held in graphs.items():
+        more = [sums[g][p].tolist() for p in powers]
+        rows.append((g, held.n, [float(x) for x in held.eig], 0.0 if held.spanned >= held.n else held.residual, *more))
+    return nodes.sparkSession.createDataFrame(rows, eigenvalues_schema(kind, powers))
+
+
+def principal_components(nodes: DataFrame, entries: DataFrame, k: int, most: int = 400, tolerance: float = 1e-10, width: int = WIDTH, seed: int = 42) -> DataFrame:
+    """graph_id, node_id, embedding: the first ``k`` principal components of the rows of ``entries`` (i, j, value), less its column means.
+
+    Taking off column means is a projection away from the constant vector, so components are eigenvectors of H C C' H with H
+    that projection: the constant vector is held out of the basis, and C' and C are applied one after the other. No
+    array is as long as two sides of the matrix. The largest entry of a component is made positive; graphs of
+    fewer than ``k`` nodes are padded with zeros. Components past those that ``most`` basis vectors settle are approximate.
+    """
+    numbered, blocks, forward = _blocked(nodes, entries)
+    second, third, back = _blocked(nodes, entries.select("graph_id", F.col("j").alias("i"), F.col("i").alias("j"), "value"))
+    freed(second, third)
+    kind = dict(blocks.dtypes)["graph_id"]
+
+    def ones(frames):
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                x = np.zeros((BLOCK, width))
+                x[np.asarray(r.at), 0] = 1 / np.sqrt(r.total)
+                out.append((r.graph_id, r.blk, _split(x)))
+            yield pd.DataFrame(out, columns=["graph_id", "blk", "x"])
+
+    totals = blocks.groupBy("graph_id").agg(F.sum("n").alias("total"))
+    held_out = stored(blocks.join(totals, "graph_id").select("graph_id", "blk", "at", "total").mapInPandas(ones, f"graph_id {kind}, blk long, x array<double>"), "ones")
+
+    def apply(v: DataFrame) -> DataFrame:
+        middle = stored(_product(back, v, width), "product")
+        out = stored(_product(forward, middle, width), "product")
+        freed(middle)
+        return out
+
+    graphs, basis = _spanned(blocks, apply, k, True, most, tolerance, width, seed, held_out)
+    freed(held_out, forward, back)
+    made = _vectors(basis, blocks, {g: held.states * np.sqrt(np.maximum(held.eig, 0)) for g, held in graphs.items()}, width, k)
+    out = numbered.join(made, [numbered["graph_id"] == made["_of"], F.floor(F.col("at") / BLOCK) == F.col("_blk"), F.col("at") % BLOCK == F.col("_at")])
+    return out.select("graph_id", "node_id", "embedding")
+
+
+def _vectors(basis: list[DataFrame], blocks: DataFrame, states: dict, width: int, k: int) -> DataFrame:
+    """``(_of, _blk, _at, embedding)``: the basis times ``states``, each column with its largest entry positive, ``k`` wide."""
+    part = lambda df, n, x: df.select("graph_id", "blk", F.lit(n).alias("k"), x.alias("x"))
+    every = part(blocks.withColumn("at", F.col("at").cast("array<double>")), -1, F.col("at"))
+    for n, q in enumerate(basis):
+        every = every.unionByName(part(q, n, F.col("x")))
+    sent = every.sparkSession.sparkContext.broadcast(states)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        graph, blk = f["graph_id"].iloc[0], f["blk"].iloc[0]
+        s, v = sent.value[graph], 0.0
+        at = np.sort(np.asarray(next(x for n, x in zip(f["k"], f["x"]) if n < 0)).astype(int))
+        for n, x in zip(f["k"], f["x"]):
+            if 0 <= n and n * width < len(s):
+                v = v + np.asarray(x).reshape(-1, width)[at] @ s[n * width : (n + 1) * width]
+        v = np.zeros((len(at), s.shape[1])) + v
+        return pd.DataFrame({"_of": graph, "_blk": blk, "_at": at.astype("int32"), "embedding": np.pad(v, ((0, 0), (0, k - v.shape[1]))).tolist()})
+
+    schema = f"_of {dict(blocks.dtypes)['graph_id']}, _blk long, _at int, embedding array<double>"
+    made = stored(every.groupBy("graph_id", "blk").applyInPandas(run, schema), "vectors")
+    cells = made.select("_of", "_blk", "_at", F.posexplode("embedding").alias("i", "v"))
+    first = F.max_by(F.signum("v"), F.struct(F.round(F.abs("v"), 9).alias("v"), (-F.col("_blk")).alias("b"), (-F.col("_at")).alias("a")))
+    signs = cells.groupBy("_of", "i").agg(first.alias("s")).groupBy(F.col("_of").alias("_same")).agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("s"))
+    turned = F.zip_with("embedding", "s", lambda x, s: F.when(s["s"] < 0, -x).otherwise(x))
+    return made.join(signs, made["_of"] == signs["_same"]).select("_of", "_blk", "_at", turned.alias("embedding"))
+
+
+def _spanned(blocks: DataFrame, product, k: int, largest: bool, most: int, tolerance: float, width: int, seed: int, held_out: DataFrame | None = None) -> tuple[dict, list[DataFrame]]:
+    """What ``lanczos`` finds by graph, and the basis; ``held_out`` is a block of vectors that the basis stays orthogonal to.
+
+    Of a block that is held out the first vector alone may be other than zero.
+    """
+    spark = blocks.sparkSession
+    graphs = {r[0]: _Graph(r[1] - (held_out is not None)) for r in blocks.groupBy("graph_id").agg(F.sum("n")).collect()}
     kind = dict(blocks.dtypes)["graph_id"]
-    shape = f"graph_id {kind}, n long, eig array<double>, residual double" + "".join(f", power_{p} array<double>" for p in powers)
     if not graphs:
-        return spark.createDataFrame([], shape)
+        return {}, []
+    away = [] if held_out is None else [held_out]
 
     schema = f"graph_id {kind}, blk long, x array<double>"
 
@@ -193,10 +278,11 @@ def lanczos(nodes: DataFrame, entries: DataFrame, k: int = 30, largest: bool = F
 
         return held.select("graph_id", "blk", "at", "x").mapInPandas(run, schema)
 
-    basis: list[DataFrame] = []
+    found: list[DataFrame] = []
 
     def cleaned(w: DataFrame) -> tuple[DataFrame, dict, dict, dict]:
         """``w`` less its share of the basis, twice, and orthonormal; that share, the products of the rest, what is not zero."""
+        basis = away + found
         one = stored(_reduced(basis, blocks, w, width, None), "dots")
         first = _dots(one, width)
         two = stored(_reduced(basis, blocks, one.drop("dots"), width, {g: (c, np.eye(width)) for g, (c, _) in first.items()}), "dots")
@@ -217,7 +303,7 @@ def lanczos(nodes: DataFrame, entries: DataFrame, k: int = 30, largest: bool = F
             again = stored(_reduced(basis, blocks, q.drop("dots"), width, change), "basis")
             freed(q)
             q = again
-        return q, {g: first[g][0] + second[g][0] for g in rest}, rest, {g: made[g][1] for g in rest}
+        return q, {g: (first[g][0] + second[g][0])[len(away) * width :] for g in rest}, rest, {g: made[g][1] for g in rest}
 
     def extended(q: DataFrame, live: dict, step: int) -> None:
         """``q`` joins the basis; random vectors take the place of zero ones while a graph is not spanned."""
@@ -232,18 +318,19 @@ def lanczos(nodes: DataFrame, entries: DataFrame, k: int = 30, largest: bool = F
             q = whole
             for g, held in graphs.items():
                 held.live.append(live[g])
-        basis.append(q)
+        found.append(q)
 
     q, _, _, live = cleaned(with_random(None, 0))
     extended(q, live, 0)
     while True:
-        w = stored(_product(entries, basis[-1], width), "product")
+        w = product(found[-1])
+        w = w if hasattr(w, "_staged_path") else stored(w, "product")
         q, shares, rests, live = cleaned(w)
         freed(w)
         for g, held in graphs.items():
             if held.done:
                 continue
-            h = np.zeros((len(basis) * width,) * 2)
+            h = np.zeros((len(found) * width,) * 2)
             h[: len(held.h), : len(held.h)] = held.h
             h[:, -width:] = shares[g]
             h[-width:, :] = shares[g].T
@@ -262,16 +349,11 @@ def lanczos(nodes: DataFrame, entries: DataFrame, k: int = 30, largest: bool = F
             goes_on = np.sqrt(max(r.max(initial=0.0), 0.0)) > 1e-9 * max(np.abs(e).max(initial=0.0), 1e-300)
             enough = len(e) >= min(k + width, held.n) and held.residual <= tolerance * max(np.abs(e).max(initial=0.0), 1e-300)
             held.done = held.spanned >= held.n or (enough and goes_on)
-        if all(held.done for held in graphs.values()) or len(basis) * width >= most:
+        if all(held.done for held in graphs.values()) or len(found) * width >= most:
             break
-        extended(q, live, len(basis))
-    sums = _powers(basis, graphs, width, powers) if powers else {}
-    freed(entries, *[x for x in (q, *basis)])
-    rows = []
-    for g, held in graphs.items():
-        more = [sums[g][p].tolist() for p in powers]
-        rows.append((g, held.n, [float(x) for x in held.eig], 0.0 if held.spanned >= held.n else held.residual, *more))
-    return spark.createDataFrame(rows, shape)
+        extended(q, live, len(found))
+    freed(q)
+    return graphs, found
 
 
 def _powers(basis: list[DataFrame], graphs: dict, width: int, powers: tuple[int, ...]) -> dict:

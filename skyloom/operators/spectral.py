@@ -80,7 +80,7 @@ def positional_encoding(nodes: DataFrame, edges: DataFrame, k: int = 8) -> DataF
 
 
 def matrix_spectrum(matrix: DataFrame, k: int = 8) -> DataFrame:
-    """graph_id, eig, ipr of the ``k`` lowest states of symmetric matrices (graph_id, i, j, value).
+    """graph_id, eig, ipr of the ``k`` lowest states of symmetric matrices (graph_id, i, j, value), each cell once.
 
     The inverse participation ratio is the sum of the fourth powers of a normalized state's components. Matrices of more
     than ``WHOLE`` rows go by ``krylov.lanczos``.

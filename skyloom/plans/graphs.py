@@ -271,12 +271,12 @@ def _(spark, d):
 
 @query("e01_random_walks")
 def _(spark, d):
-    return E.random_walks(*graph(spark, d), walks=2, length=8)
+    return E.random_walks(*graph(spark, d))
 
 
 @query("e03_embedding_features")
 def _(spark, d):
-    return E.embedding_features(*graph(spark, d), dim=8, method="concat", walks=2, length=8, window=3)
+    return E.embedding_features(*graph(spark, d), method="concat")
 
 
 @query("a18_aggregate_embeddings", "SELECT label, [round(x, 5) for x in list(m ORDER BY i)] AS embedding FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1")

@@ -1,14 +1,19 @@
-"""FITS binary tables: each file, of up to 2 GiB, is read by one task, its rows as Arrow batches."""
+"""FITS binary tables, read by ranges of rows: a task seeks to its rows in a file of any size."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Type letters of binary table columns (FITS standard 4.0): NumPy type and Spark type.
 FORMS = {"L": ("S1", "boolean"), "B": ("u1", "short"), "I": (">i2", "short"), "J": (">i4", "int"), "K": (">i8", "bigint"), "E": (">f4", "float"), "D": (">f8", "double"), "A": ("S", "string")}
 CARD, BLOCK = 80, 2880
+#: Bytes of a file that a task reads, and that it holds at a time.
+SPLIT, READ = 128 << 20, 16 << 20
 
 
 def _header(raw: bytes, at: int) -> tuple[dict[str, str], int]:
@@ -126,19 +131,113 @@ def _start(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
-def read_table(spark: SparkSession, path: str, rows: int = 65536) -> DataFrame:
+def _opened(path: str):
+    """The file as a seekable one, wherever Arrow's file systems reach; OSError or ValueError elsewhere."""
+    from pyarrow import fs
+
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    system, where = fs.FileSystem.from_uri(path)
+    return system.open_input_file(where)
+
+
+def _head(file) -> bytes:
+    """The beginning of an open file up to the header of its first table with rows."""
+    raw = b""
+    while True:
+        more = file.read(64 * BLOCK)
+        raw += more
+        try:
+            first_table(raw)
+            return raw
+        except (ValueError, IndexError, KeyError):
+            if not more:
+                raise
+
+
+def _layout(own: dict[str, Field], names: list[str], width: int):
+    import numpy as np
+
+    return np.dtype({
+        "names": names, "itemsize": width, "offsets": [own[c].offset for c in names],
+        "formats": [f"S{own[c].repeat}" if own[c].letter == "A" else FORMS[own[c].letter][0] for c in names],
+    })
+
+
+class Range(InputPartition):
+    """Bytes of a file; its rows are those that start there."""
+
+    def __init__(self, path: str, first: int, last: int):
+        self.path, self.first, self.last = path, first, last
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, names: list[str], files: list[tuple[str, int]], split: int):
+        self.names, self.files, self.split = names, files, split
+
+    def partitions(self) -> list[Range]:
+        return [Range(path, at, at + self.split) for path, length in self.files for at in range(0, length, self.split)]
+
+    def read(self, part: Range):
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+
+        with _opened(part.path) as file:
+            found, at, width, n = first_table(_head(file))
+            own = {f.name: f for f in _usable(found)}
+            layout = _layout(own, self.names, width)
+            first, last = (min(n, max(0, -(-(b - at) // width))) for b in (part.first, part.last))
+            step = max(1, READ // width)
+            for i in range(first, last, step):
+                k = min(step, last - i)
+                file.seek(at + i * width)
+                raw = file.read(k * width)
+                if len(raw) < k * width:
+                    raise ValueError(f"{part.path} ends inside its table")
+                table = np.frombuffer(raw, layout, k)
+                yield pa.RecordBatch.from_pandas(pd.DataFrame({c: _values(table[c], own[c]) for c in self.names}), preserve_index=False)
+
+
+class FitsSource(DataSource):
+    """FITS tables by ranges of bytes. Options: ``files`` (JSON of paths and lengths), ``columns`` (JSON of names), ``split``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "skyloom_fits"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(json.loads(self.options["columns"]), json.loads(self.options["files"]), int(self.options["split"]))
+
+
+def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, split: int = SPLIT) -> DataFrame:
     """The first table with rows of each file; the schema is that of the first file. A file without one is an error.
 
-    Scales, shifts and null numbers of the columns are applied. Only the first file's header comes to the driver.
+    A file of any size is read in ranges of ``split`` bytes, a task each, which seek to their rows; of ``columns``, where
+    given, alone are values made. Scales, shifts and null numbers of the columns are applied. Paths, lengths and the first
+    file's header come to the driver. A store that Arrow does not reach is read a file at a time, up to 2 GiB.
     """
-    files = spark.read.format("binaryFile").load(path)
-    first = files.select("path").orderBy("path").limit(1).collect()
-    if not first:
+    listed = spark.read.format("binaryFile").load(path)
+    files = sorted((r["path"], r["length"]) for r in listed.select("path", "length").collect())
+    if not files:
         raise FileNotFoundError(path)
-    columns = _usable(first_table(_start(spark, first[0]["path"]))[0])
-    schema = ", ".join(f"`{f.name}` {f.kind}" for f in columns)
-    names = [f.name for f in columns]
+    fields = _usable(first_table(_start(spark, files[0][0]))[0])
+    if columns is not None:
+        gone = set(columns) - {f.name for f in fields}
+        if gone:
+            raise KeyError(f"{path} has no column {sorted(gone)}")
+        fields = [f for f in fields if f.name in set(columns)]
+    schema = ", ".join(f"`{f.name}` {f.kind}" for f in fields)
+    names = [f.name for f in fields]
+    try:
+        _opened(files[0][0]).close()
+    except (OSError, ValueError, NotImplementedError):
+        return _whole_files(listed, names, schema)
+    spark.dataSource.register(FitsSource)
+    return spark.read.format("skyloom_fits").schema(schema).options(files=json.dumps(files), columns=json.dumps(names), split=str(split)).load()
+
 
+def _whole_files(listed: DataFrame, names: list[str], schema: str, rows: int = 65536) -> DataFrame:
     def run(batches):
         import numpy as np
         import pandas as pd
@@ -147,13 +246,9 @@ def read_table(spark: SparkSession, path: str, rows: int = 65536) -> DataFrame:
             for raw in batch["content"]:
                 found, at, width, n = first_table(bytes(raw))
                 own = {f.name: f for f in _usable(found)}
-                layout = np.dtype({
-                    "names": names, "itemsize": width, "offsets": [own[c].offset for c in names],
-                    "formats": [f"S{own[c].repeat}" if own[c].letter == "A" else FORMS[own[c].letter][0] for c in names],
-                })
-                table = np.frombuffer(raw, layout, n, at)
+                table = np.frombuffer(raw, _layout(own, names, width), n, at)
                 for i in range(0, n, rows):
                     part = table[i : i + rows]
                     yield pd.DataFrame({c: _values(part[c], own[c]) for c in names})
 
-    return files.select("content").mapInPandas(run, schema)
+    return listed.select("content").mapInPandas(run, schema)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from skyloom.operators import distances as D
+from skyloom.operators import embeddings as E
 from skyloom.operators import frontier, krylov, metric
 from skyloom.operators import neighbors as N
 from skyloom.operators import paths as P
@@ -112,6 +113,41 @@ def test_lanczos_that_has_not_settled_says_so(spark, graph):
     assert got["long"] > 1e-6 and got["tiny"] == 0
 
 
+def test_components_of_a_sparse_table_equal_dense(spark, graph, monkeypatch):
+    monkeypatch.setattr(krylov, "BLOCK", 32)
+    want = {(r[0], r[1]): np.array(r[2]) for r in E.node_embeddings(*graph, 6, 3, 8).collect()}
+    monkeypatch.setattr(E, "WHOLE", 4)
+    got = {(r[0], r[1]): np.array(r[2]) for r in E.node_embeddings(*graph, 6, 3, 8).collect()}
+    assert got.keys() == want.keys()
+    for g in ("long", "parts", "tiny", "bare"):
+        a, b = (np.array([m[k] for k in sorted(m) if k[0] == g]) for m in (want, got))
+        apart = np.linalg.svd(np.linalg.qr(a[:, :4])[0].T @ np.linalg.qr(b[:, :4])[0])[1] if np.linalg.matrix_rank(a[:, :4]) == 4 else np.ones(1)
+        assert np.sqrt(max(0.0, 1 - apart.min() ** 2)) < 1e-6
+        assert np.allclose(np.linalg.norm(a, axis=0), np.linalg.norm(b, axis=0), atol=1e-6)
+
+
+def test_walks_take_any_neighbour_and_stop_at_dead_ends(spark):
+    hub = spark.createDataFrame([("g", 0, i, 1.0) for i in range(1, 40)], "graph_id string, src long, dst long, weight double")
+    nodes = spark.createDataFrame([("g", i) for i in range(41)], "graph_id string, node_id long")
+    got = E.random_walks(nodes, hub, 6, 12, 3).collect()
+    assert len(got) == 41 * 6
+    for r in got:
+        assert r["walk"] == [40] if r["start"] == 40 else len(r["walk"]) == 12 and all((a == 0) != (b == 0) for a, b in zip(r["walk"], r["walk"][1:]))
+    assert len({x for r in got for x in r["walk"]}) == 41
+
+
+def test_positional_encoding_and_states_of_large_matrices(spark, graph, monkeypatch):
+    monkeypatch.setattr(krylov, "BLOCK", 32)
+    one = [x.filter("graph_id = 'long'") for x in graph]
+    want = S.positional_encoding(*one, 3).first()["pe"]
+    matrix = krylov.operator_entries(*one, "laplacian").groupBy("graph_id", "i", "j").sum("value").withColumnRenamed("sum(value)", "value")
+    states = S.matrix_spectrum(matrix, 4).first()
+    monkeypatch.setattr(S, "WHOLE", 9)
+    assert np.allclose(S.positional_encoding(*one, 3).first()["pe"], want, atol=1e-6)
+    got = S.matrix_spectrum(matrix, 4).first()
+    assert np.allclose(got["eig"], states["eig"], atol=1e-8) and np.allclose(got["ipr"], states["ipr"], atol=1e-6)
+
+
 OPERATORS = {
     "path_features": lambda g: P.path_features(*g), "sampled_paths": lambda g: P.path_features(*g, 12), "weighted_path_mean": lambda g: P.weighted_path_mean(*g, 10),
     "hop_lengths": lambda g: P.hop_lengths(*g, 15), "betweenness": lambda g: P.betweenness(*g, None), "sampled_betweenness": lambda g: P.betweenness(*g, 9),

@@ -4,7 +4,7 @@ import pytest
 
 from skyloom.operators import columns as C
 from skyloom.sources import readers, sinks
-from skyloom.sources.fits import BLOCK
+from skyloom.sources.fits import BLOCK, read_table
 
 
 def card(key, value):
@@ -28,6 +28,40 @@ def test_fits_table(spark, tmp_path):
     assert got == [(7, 1.5, "GAL"), (8, 2.5, "STAR")]
 
 
+def test_fits_files_are_read_by_ranges_of_rows(spark, tmp_path):
+    files = {f"{n}.fits": [(i * 10 + n, i / 4, "GAL" if i % 2 else "STAR") for i in range(500 * n)] for n in (1, 2)}
+    for name, rows in files.items():
+        (tmp_path / name).write_bytes(fits(rows))
+    for split in (1000, 2879, 1 << 20):
+        df = read_table(spark, str(tmp_path / "*.fits"), split=split)
+        assert sorted(map(tuple, df.collect())) == sorted(files["1.fits"] + files["2.fits"])
+    assert read_table(spark, str(tmp_path / "*.fits"), split=1000).rdd.getNumPartitions() > 30
+    some = read_table(spark, str(tmp_path / "1.fits"), columns=["KIND"])
+    assert some.columns == ["KIND"] and some.count() == 500
+    with pytest.raises(KeyError):
+        read_table(spark, str(tmp_path / "1.fits"), columns=["NONE"])
+
+
+def test_fits_file_of_more_than_two_gib(spark, tmp_path):
+    width, n = 1 << 16, 35_000
+    primary = "".join([card("SIMPLE", "T"), card("BITPIX", "8"), card("NAXIS", "0"), "END".ljust(80)]).ljust(BLOCK).encode()
+    cards = [card("XTENSION", "'BINTABLE'"), card("BITPIX", "8"), card("NAXIS", "2"), card("NAXIS1", str(width)), card("NAXIS2", str(n)), card("PCOUNT", "0"), card("GCOUNT", "1"), card("TFIELDS", "2")]
+    cards += [card("TTYPE1", "'N'"), card("TFORM1", "'J'"), card("TTYPE2", "'FILL'"), card("TFORM2", f"'{width - 4}A'"), "END".ljust(80)]
+    head = "".join(cards).encode()
+    start = primary + head.ljust(-(-len(head) // BLOCK) * BLOCK)
+    path = tmp_path / "large.fits"
+    with open(path, "wb") as f:  # a file with holes
+        f.write(start)
+        for i in range(0, n, 5000):
+            f.seek(len(start) + i * width)
+            f.write(struct.pack(">i", i + 1))
+        f.truncate(len(start) + n * width)
+    assert path.stat().st_size > 1 << 31
+    df = read_table(spark, str(path), columns=["N"])
+    assert df.rdd.getNumPartitions() > 8
+    assert [r["N"] for r in df.filter("N > 0").orderBy("N").collect()] == [i + 1 for i in range(0, n, 5000)] and df.count() == n
+
+
 def test_unknown_format(spark):
     with pytest.raises(ValueError):
         readers.read_any(spark, "x.hdf5")
