@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Type letters of binary table columns (FITS standard 4.0): NumPy type and Spark type.
 FORMS = {"L": ("S1", "boolean"), "B": ("u1", "short"), "I": (">i2", "short"), "J": (">i4", "int"), "K": (">i8", "bigint"), "E": (">f4", "float"), "D": (">f8", "double"), "A": ("S", "string")}
@@ -172,8 +174,8 @@ class Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, names: list[str], files: list[tuple[str, int]], split: int):
-        self.names, self.files, self.split = names, files, split
+    def __init__(self, schema: StructType, files: list[tuple[str, int]], split: int):
+        self.schema, self.names, self.files, self.split = schema, schema.names, files, split
 
     def partitions(self) -> list[Range]:
         return [Range(path, at, at + self.split) for path, length in self.files for at in range(0, length, self.split)]
@@ -183,6 +185,7 @@ class _Reader(DataSourceReader):
         import pandas as pd
         import pyarrow as pa
 
+        arrow = to_arrow_schema(self.schema)
         with _opened(part.path) as file:
             found, at, width, n = first_table(_head(file))
             own = {f.name: f for f in _usable(found)}
@@ -196,18 +199,18 @@ class _Reader(DataSourceReader):
                 if len(raw) < k * width:
                     raise ValueError(f"{part.path} ends inside its table")
                 table = np.frombuffer(raw, layout, k)
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({c: _values(table[c], own[c]) for c in self.names}), preserve_index=False)
+                yield pa.RecordBatch.from_pandas(pd.DataFrame({c: _values(table[c], own[c]) for c in self.names}), schema=arrow, preserve_index=False)
 
 
 class FitsSource(DataSource):
-    """FITS tables by ranges of bytes. Options: ``files`` (JSON of paths and lengths), ``columns`` (JSON of names), ``split``."""
+    """FITS tables by ranges of bytes; the schema names the columns. Options: ``files`` (JSON of paths and lengths), ``split``."""
 
     @classmethod
     def name(cls) -> str:
         return "skyloom_fits"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(json.loads(self.options["columns"]), json.loads(self.options["files"]), int(self.options["split"]))
+        return _Reader(schema, json.loads(self.options["files"]), int(self.options["split"]))
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, split: int = SPLIT) -> DataFrame:
@@ -234,7 +237,7 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     except (OSError, ValueError, NotImplementedError):
         return _whole_files(listed, names, schema)
     spark.dataSource.register(FitsSource)
-    return spark.read.format("skyloom_fits").schema(schema).options(files=json.dumps(files), columns=json.dumps(names), split=str(split)).load()
+    return spark.read.format("skyloom_fits").schema(schema).options(files=json.dumps(files), split=str(split)).load()
 
 
 def _whole_files(listed: DataFrame, names: list[str], schema: str, rows: int = 65536) -> DataFrame:
