@@ -7,6 +7,7 @@ text's score is the sum over its tokens of log10 P(class | class before) + log10
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import repeat
@@ -26,7 +27,9 @@ ENDINGS = 255
 #: Weight of the class's share of all tokens in its smoothed chance after another class.
 PRIOR = 50.0
 #: Neighbours that a task counts before it sends anything on.
-EVENTS = 5_000_000
+EVENTS = 3_000_000
+#: Words without a number that a task names before it sends anything on.
+NAMES = 300_000
 #: Cells of words that are summed at a time, at the utmost.
 CELLS = 4_000_000
 
@@ -40,7 +43,7 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
-def word_counts(docs: DataFrame, text: str, spill: int = 400_000) -> DataFrame:
+def word_counts(docs: DataFrame, text: str, spill: int = 300_000) -> DataFrame:
     """``word`` (binary) and its count ``c`` over all rows; tasks count before anything is shuffled."""
 
     def run(batches):
@@ -68,15 +71,73 @@ def word_counts(docs: DataFrame, text: str, spill: int = 400_000) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def frequent(docs: DataFrame, text: str, sent_words: int) -> tuple[dict[bytes, int], int, int]:
+    """Counts of the end and the ``sent_words`` most frequent words at most, in this order; tokens and distinct ones of all rows.
+
+    The words are those of at least the count that fits. To the driver come they and the histogram of counts.
+    """
+    vocabulary = shared_table(word_counts(docs, text), "vocabulary")
+    histogram = sorted(((r["c"], r["count"]) for r in vocabulary.groupBy("c").count().collect()), reverse=True)
+    least, room = float("inf"), sent_words
+    for c, k in histogram:
+        if k > room:
+            break
+        least, room = c, room - k
+    sent = {bytes(r["word"]): r["c"] for r in vocabulary.filter((F.col("c") >= least) | (F.col("word") == F.lit(END))).collect()}
+    drop_shared(vocabulary)
+    count = {END: sent.pop(END, 0)} | dict(sorted(sent.items(), key=lambda x: (-x[1], x[0])))
+    return count, sum(c * k for c, k in histogram), sum(k for _, k in histogram)
+
+
+def encode(docs: DataFrame, text: str, known: list[bytes], ids: str = "ids", rare: str = "rare") -> DataFrame:
+    """``docs`` with the tokens of ``text`` as numbers in its place: ``ids`` are places in ``known``, or -1 - a place in ``rare``.
+
+    ``rare`` are the words of the row that are not known, each once. Texts are split once here, and numbers read after that.
+    """
+    kept = others(docs, text, ids, rare)
+    source = docs.select(*map(col, kept), col(text).alias(fresh(docs, "text")[0]))
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def make():
+        import numpy as np
+        import pyarrow as pa
+
+        index = {w: i for i, w in enumerate(sent.value)}
+
+        def run(*columns: list) -> dict:
+            words, ends, names, rare_ends = [], [0], [], [0]
+            for t in columns[-1]:
+                words += tokens(t)
+                ends.append(len(words))
+            at = np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
+            unknown = np.flatnonzero(at < 0)
+            owner = np.searchsorted(ends, unknown, "right") - 1
+            stops, numbers = np.searchsorted(owner, np.arange(len(ends)), "left"), []
+            for i in range(len(ends) - 1):
+                own: dict[bytes, int] = {}
+                for j in unknown[stops[i] : stops[i + 1]].tolist():
+                    numbers.append(-1 - own.setdefault(words[j], len(own)))
+                names += own
+                rare_ends.append(len(names))
+            at[unknown] = numbers
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at)), pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.array(names, pa.binary()))
+            return dict(zip(kept, columns)) | {ids: lists[0], rare: lists[1]}
+
+        return run
+
+    shape = source.select(*map(col, kept)).withColumns({ids: F.array(F.lit(0)), rare: F.array(F.lit(b""))}).schema
+    return map_rows(source, make, shape, 128)
+
+
 class _Numbers(dict):
-    """Numbers of words; a new word gets the next one, and its name goes to ``names``."""
+    """Numbers of words from ``first`` on; a new word gets the next one, and its name goes to ``names``."""
 
-    def __init__(self, known):
-        super().__init__(zip(known, range(len(known))))
-        self.names = list(known)
+    def __init__(self, first: int):
+        super().__init__()
+        self.first, self.names = first, []
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.names)
+        self[word] = n = self.first + len(self.names)
         self.names.append(word)
         return n
 
@@ -84,24 +145,28 @@ class _Numbers(dict):
 _CONTEXTS = "word binary, other binary, cells array<int>, counts array<long>"
 
 
-def contexts(docs: DataFrame, text: str, labels: dict[bytes, int], size: int, rest: bool) -> DataFrame:
-    """What the words of all rows stand next to. ``labels`` give words a number below ``size``, or -1.
+def contexts(lines: DataFrame, known: list[bytes], labels, size: int, rest: bool) -> DataFrame:
+    """What the words of ``lines`` (ids, rare) stand next to. ``labels`` give known words a number below ``size``, or -1.
 
     Rows word, cells, counts: cell x counts the neighbours before the word that are labelled x, cell size + x those
-    after it, cell 2 * size the word itself. A task gives the words of ``labels``, or with ``rest`` all others. With
+    after it, cell 2 * size the word itself. A task gives the known words, or with ``rest`` all others. With
     ``rest`` there are rows word, other and one count, of pairs of words that are both without a label, and rows of
     neither, a label in ``cells`` and how often each label comes after it. The neighbour before a text is another's end.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(labels)
+    sent = lines.sparkSession.sparkContext.broadcast((known, labels))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        known = sent.value
-        own, wide, n_known = np.fromiter(known.values(), np.int64, len(known)), 2 * size + 1, len(known)
+        known, own = sent.value
+        wide, n_known = 2 * size + 1, len(known)
+        own = np.append(own, -1)
         table = np.zeros(size * size, np.int64)
-        numbers, events, pairs, held = _Numbers(known), [], [], 0
+        numbers, events, pairs, held = _Numbers(n_known), [], [], 0
+
+        def named(at):
+            return [known[i] if i < n_known else numbers.names[i - n_known] for i in at.tolist()]
 
         def listed(key, base, values, type_):
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
@@ -120,11 +185,11 @@ def contexts(docs: DataFrame, text: str, labels: dict[bytes, int], size: int, re
                 key, n = counted(events)
                 word = key // wide
                 at, lists = listed(word, wide, ((key % wide).astype(np.int32), n), (pa.int32(), pa.int64()))
-                names = pa.array([numbers.names[i] for i in word[at].tolist()], pa.binary())
+                names = pa.array(named(word[at]), pa.binary())
                 yield pa.RecordBatch.from_arrays([names, pa.nulls(len(at), pa.binary()), *lists], names=["word", "other", "cells", "counts"])
             if pairs:
                 key, n = counted(pairs)
-                first, second = ([numbers.names[i] for i in x.tolist()] for x in (key >> 32, key & 0xFFFFFFFF))
+                first, second = map(named, (key >> 32, key & 0xFFFFFFFF))
                 counts = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32)), pa.array(n))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(first, pa.binary()), pa.array(second, pa.binary()), pa.nulls(len(n), pa.list_(pa.int32())), counts],
@@ -133,12 +198,17 @@ def contexts(docs: DataFrame, text: str, labels: dict[bytes, int], size: int, re
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                parts = [np.array([numbers[END]])]
-                for t in batch.column(0).slice(at, 256).to_pylist():
-                    line = tokens(t)
-                    parts.append(np.fromiter(map(numbers.__getitem__, line), np.int64, len(line)))
-                line = np.concatenate(parts)  # every text ends with an end, which the next one follows
-                label = np.where(line < n_known, own[np.minimum(line, n_known - 1)], -1)
+                part = batch.slice(at, 256)
+                line = np.append(0, part.column(0).flatten().to_numpy()).astype(np.int64)  # every text ends with an end, which the next one follows
+                rare = line < 0
+                if rest and rare.any():
+                    sizes = part.column(0).value_lengths().to_numpy()
+                    firsts = np.append(0, np.cumsum(part.column(1).value_lengths().to_numpy()))[:-1]
+                    global_ = np.fromiter(map(numbers.__getitem__, part.column(1).flatten().to_pylist()), np.int64)
+                    line[rare] = global_[np.repeat(firsts, sizes)[rare[1:]] - 1 - line[rare]]
+                else:
+                    line[rare] = n_known
+                label = own[np.minimum(line, n_known)]
                 asked = (line >= n_known) == rest
                 a, b = slice(None, -1), slice(1, None)
                 left, right = asked[b] & (label[a] >= 0), asked[a] & (label[b] >= 0)
@@ -151,9 +221,9 @@ def contexts(docs: DataFrame, text: str, labels: dict[bytes, int], size: int, re
                     neither = (label[a] < 0) & (label[b] < 0)
                     pairs.append(line[a][neither] << 32 | line[b][neither])
                     held += len(events[-1]) + len(pairs[-1])
-                if held >= EVENTS:
+                if held >= EVENTS or len(numbers.names) >= NAMES:
                     yield from flush()
-                    numbers, events, pairs, held = _Numbers(known), [], [], 0
+                    numbers, events, pairs, held = _Numbers(n_known), [], [], 0
         yield from flush()
         if rest:
             used = table.reshape(size, size)
@@ -167,7 +237,7 @@ def contexts(docs: DataFrame, text: str, labels: dict[bytes, int], size: int, re
                 names=["word", "other", "cells", "counts"],
             )
 
-    return docs.select(col(text).alias("text")).mapInArrow(run, _CONTEXTS)
+    return lines.select("ids", "rare").mapInArrow(run, _CONTEXTS)
 
 
 def _by_word(found: DataFrame, wide: int, make: Callable, schema: str) -> DataFrame:
@@ -202,12 +272,13 @@ def _by_word(found: DataFrame, wide: int, make: Callable, schema: str) -> DataFr
     return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, schema)
 
 
-def exchange(counts, classes: int, fixed: int = 1, rounds: int = 4):
+def exchange(counts, classes: int, fixed: int = 1, rounds: int = 50, share: float = 1e-5, gains: list | None = None):
     """Class of each unit: units move to the class that raises the likelihood of class bigrams most.
 
     ``counts`` is the square table of unit bigrams. The first ``fixed`` units keep a class of their own. Units
     start in classes by rank of their frequency. A move is judged exactly: sum of f(class bigrams) less that of
-    both marginals, f(x) = x log x; rounds end early when none moves. There is a free class even without units for it.
+    both marginals, f(x) = x log x, so the likelihood never falls. Rounds end when none moves or a round gains less than ``share``
+    of the tokens' sum of logarithms; ``gains`` gets what each has gained. There is a free class even without units for it.
     """
     import numpy as np
 
@@ -227,8 +298,9 @@ def exchange(counts, classes: int, fixed: int = 1, rounds: int = 4):
         return x * np.log(np.maximum(x, 1.0))
 
     own = np.diag(counts)
+    whole = max(float(f(counts.sum())), 1.0)
     for _ in range(rounds):
-        moved = 0
+        moved, gained = 0, 0.0
         to = counts @ member  # counts of each unit before each class
         by = counts.T @ member
         for u in order.tolist():
@@ -254,6 +326,7 @@ def exchange(counts, classes: int, fixed: int = 1, rounds: int = 4):
             table[:, b] += left
             table[b, b] += s
             if b != a:
+                gained += float(gain[b] - gain[a])
                 of[u] = b
                 member[u, a], member[u, b] = 0, 1
                 to[:, a] -= counts[:, u]
@@ -261,7 +334,9 @@ def exchange(counts, classes: int, fixed: int = 1, rounds: int = 4):
                 by[:, a] -= counts[u, :]
                 by[:, b] += counts[u, :]
                 moved += 1
-        if not moved:
+        if gains is not None:
+            gains.append(gained)
+        if not moved or gained < share * whole:
             break
     return of, size
 
@@ -340,6 +415,7 @@ def train(docs: DataFrame, text: str = "text", classes: int = CLASSES, own_units
 
     1. The ``own_units`` most frequent words are exchanged with each other, by their bigrams over all rows.
     2. Each other of the ``sent_words`` most frequent words moves to its best class by its neighbours among those.
+       Those that stand next to none of 1 take the class that most words of their ending have.
     3. Each other word of the corpus moves to its best class by its neighbours among the words of 1 and 2.
     4. Transitions and emissions are counts of the classes of all tokens, whatever their words.
     Steps 2 to 4 are jobs over tables that grow with the corpus. To the driver come the histogram of word counts, at
@@ -347,20 +423,20 @@ def train(docs: DataFrame, text: str = "text", classes: int = CLASSES, own_units
     class. Null and empty texts are an end alone; repeated rows count as often as they come; an empty table gives a
     model that knows no word.
     """
+    found = frequent(docs, text, sent_words)
+    lines = shared_table(encode(docs.select(col(text).alias("text")), "text", list(found[0])), "lines")
+    model = fit(lines, found, classes, own_units)
+    drop_shared(lines)
+    return model
+
+
+def fit(lines: DataFrame, found: tuple[dict[bytes, int], int, int], classes: int = CLASSES, own_units: int = OWN_UNITS) -> ClassModel:
+    """Steps 1 to 4 of ``train`` over encoded ``lines`` (ids, rare), with what ``frequent`` has found."""
     import numpy as np
 
-    spark = docs.sparkSession
-    vocabulary = shared_table(word_counts(docs, text), "vocabulary")
-    histogram = sorted(((r["c"], r["count"]) for r in vocabulary.groupBy("c").count().collect()), reverse=True)
-    total, types = sum(c * k for c, k in histogram), sum(k for _, k in histogram)
-    least, room = float("inf"), sent_words
-    for c, k in histogram:
-        if k > room:
-            break
-        least, room = c, room - k
-    sent = {bytes(r["word"]): r["c"] for r in vocabulary.filter((F.col("c") >= least) | (F.col("word") == F.lit(END))).collect()}
-    drop_shared(vocabulary)
-    count = {END: sent.pop(END, 0)} | dict(sorted(sent.items(), key=lambda x: (-x[1], x[0])))
+    spark = lines.sparkSession
+    count, total, types = found
+    known = list(count)
     units = {w: i if i <= own_units else -1 for i, w in enumerate(count)}
     size = min(own_units + 1, len(units))
 
@@ -387,7 +463,7 @@ def train(docs: DataFrame, text: str = "text", classes: int = CLASSES, own_units
 
         return f
 
-    near = contexts(docs, text, units, size, False)
+    near = contexts(lines, known, np.fromiter(units.values(), np.int64, len(units)), size, False)
     near = shared_table(_by_word(near, 2 * size + 1, summed, "unit int, word binary, cells array<int>, counts array<long>"), "contexts")
     counts = np.zeros((size, size))
     for r in near.filter("unit >= 0").select("unit", "cells", "counts").collect():
@@ -401,10 +477,16 @@ def train(docs: DataFrame, text: str = "text", classes: int = CLASSES, own_units
     second = _moved(near.filter("unit < 0"), 2 * size + 1, lambda: np.array([*unit_class, *(k + c for c in unit_class), 0]), table)
     label = {w: int(of[i]) for w, i in units.items() if i >= 0}
     label |= {bytes(r["word"]): r["class"] for r in second.filter("word is not null").select("word", "class").collect()}
-    unmet = {w: 1 + zlib.crc32(w) % (k - 1) for w in units if w not in label}  # next to rarer words alone
-    label = {w: label[w] if w in label else unmet[w] for w in units}
+    # next to rarer words alone: the class that most words of this ending have
+    votes: dict[bytes, Counter] = {}
+    for w, c in label.items():
+        if c:
+            votes.setdefault(w[-3:], Counter())[c] += 1
+            votes.setdefault(b"", Counter())[c] += 1
+    most = {e: min(v, key=lambda c: (-v[c], c)) for e, v in votes.items()}
+    label = {w: label[w] if w in label else most.get(w[-3:], most.get(b"", k - 1)) for w in units}
 
-    far = shared_table(contexts(docs, text, label, k, True), "contexts")
+    far = shared_table(contexts(lines, known, np.fromiter(label.values(), np.int64, len(label)), k, True), "contexts")
     drop_shared(near)
     moved = shared_table(_moved(far, 2 * k + 1, lambda: np.arange(2 * k + 1), table), "classes")
     rest = moved.filter("word is not null").select("word", "c", "class")
@@ -418,6 +500,7 @@ def train(docs: DataFrame, text: str = "text", classes: int = CLASSES, own_units
         table[r["a"]] += r["n"]
     for r in pairs.collect():
         table[r["a"], r["b"]] += r["n"]
+    drop_shared(far)
     share = (table.sum(axis=0) + 1) / (table.sum() + k)
     transition = np.log10((table + PRIOR * share[None, :]) / (table.sum(axis=1, keepdims=True) + PRIOR))
     sums = np.zeros(k)
@@ -490,51 +573,63 @@ def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
     empty text is an end alone. Repeated rows are scored each. An empty table gives an empty one. Columns of the names
     of the four new ones, in any case, are replaced; others keep their values whatever they are called.
     """
+    new = ("n_tokens", "n_known", "base_score", "score")
+    ids, rare = fresh(docs, "ids", "rare")
+    return score_lines(encode(docs.select(*map(col, others(docs, *new))), text, list(model.words), ids, rare), model, ids, rare)
+
+
+def score_lines(lines: DataFrame, model: ClassModel, ids: str = "ids", rare: str = "rare") -> DataFrame:
+    """``score`` of texts that ``encode`` has split by the words of ``model``; the columns ``ids`` and ``rare`` go."""
     import numpy as np
 
     new = ("n_tokens", "n_known", "base_score", "score")
-    kept = others(docs, text, *new)
-    body, logged, by_class, rare, guess, times, pairs, row = fresh(docs, "text", "log", "class", "rare", "guess", "times", "pairs", "row")
-    places, counts, classes_ = fresh(docs, "places", "counts", "classes")
-    sent = docs.sparkSession.sparkContext.broadcast((model.words, model.endings, model.transition, model.emission))
+    kept = others(lines, ids, rare, *new)
+    logged, by_class, guess, times, pairs, row = fresh(lines, "log", "class", "guess", "times", "pairs", "row")
+    places, counts, classes_, names = fresh(lines, "places", "counts", "classes", "names")
+    sent = lines.sparkSession.sparkContext.broadcast((model.words, model.endings, model.transition, model.emission))
 
     def make():
+        import pyarrow as pa
+
         words, endings, transition, emission = sent.value
-        index = {w: i for i, w in enumerate(words)}
         logs = np.array([x for x, _ in words.values()] + [0.0])
         classes = np.array([c for _, c in words.values()] + [0], np.int64)
-        transition, emission = np.array(transition), np.array(emission)
+        transition, emission, n_words = np.array(transition), np.array(emission), len(words)
 
-        def one(text):
-            line = tokens(text)
-            at = np.fromiter(map(index.get, line, repeat(-1)), np.int64, len(line))
-            of, unknown = classes[at], np.flatnonzero(at < 0)
-            own: dict[bytes, int] = {}
-            if len(unknown):
-                numbers = np.array([own.setdefault(line[i], len(own)) for i in unknown.tolist()])
-                of[unknown] = -1 - numbers
-            before = np.concatenate([[0], of[:-1]])
-            sure = (before >= 0) & (of >= 0)
-            by_class = float(transition[before[sure], of[sure]].sum() - emission[of[of >= 0]].sum())
-            open_ = np.stack([before[~sure], of[~sure]], axis=1).ravel().tolist()
-            often = np.bincount(numbers, minlength=len(own)).tolist() if own else []
-            guesses = [endings[ending(w)] for w in own]
-            return len(line), int((logs[at] > 0).sum()), float(logs[at].sum()), by_class, list(own), guesses, often, open_
+        def lists(sizes, values, type_):
+            return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, type_))
 
-        def run(*columns: list) -> dict[str, list]:
-            made = list(zip(*map(one, columns[-1]))) if columns[-1] else [()] * 8
-            return dict(zip(kept, columns)) | dict(zip(("n_tokens", "n_known", logged, by_class, rare, guess, times, pairs), map(list, made)))
+        def run(*columns) -> dict:
+            numbers, unknown = columns[-2], columns[-1]
+            n, line = len(numbers), numbers.flatten().to_numpy().astype(np.int64)
+            sizes, rares = numbers.value_lengths().to_numpy(), unknown.value_lengths().to_numpy()
+            owner, first = np.repeat(np.arange(n), sizes), np.cumsum(sizes) - sizes
+            gone = line < 0
+            at = np.where(gone, n_words, line)
+            of = np.where(gone, line, classes[at])
+            before = np.append(0, of[:-1])
+            before[first] = 0  # the end of a text has class 0
+            sure = (before >= 0) & (of >= 0)
+            value = np.bincount(owner[sure], transition[before[sure], of[sure]], n) - np.bincount(owner[~gone], emission[of[~gone]], n)
+            log, n_known = np.bincount(owner, logs[at], n), np.bincount(owner, logs[at] > 0, n).astype(np.int64)
+            often = np.bincount((np.cumsum(rares) - rares)[owner[gone]] - 1 - line[gone], minlength=int(rares.sum())).astype(np.int64)
+            guesses = [endings[ending(w)] for w in unknown.flatten().to_pylist()]
+            open_ = np.stack([before[~sure], of[~sure]], axis=1).ravel()
+            made = pa.array(sizes.astype(np.int64)), pa.array(n_known), pa.array(log), pa.array(value), unknown, lists(rares, guesses, pa.int32())
+            made += lists(rares, often, pa.int64()), lists(2 * np.bincount(owner[~sure], minlength=n), open_.astype(np.int32), pa.int32())
+            return dict(zip(kept, columns)) | dict(zip(("n_tokens", "n_known", logged, by_class, names, guess, times, pairs), made))
 
         return run
 
-    source = docs.select(*map(col, kept), col(text).alias(body))
+    source = lines.select(*map(col, kept), col(ids), col(rare))
     zero, whole = F.lit(0.0), F.lit(0).cast("long")
-    shape = source.drop(body).withColumns({
+    plain = source.select(*map(col, kept))
+    shape = plain.withColumns({
         "n_tokens": whole, "n_known": whole, logged: zero, by_class: zero,
-        rare: F.array(F.lit(b"")), guess: F.array(F.lit(0)), times: F.array(whole), pairs: F.array(F.lit(0)),
+        names: F.array(F.lit(b"")), guess: F.array(F.lit(0)), times: F.array(whole), pairs: F.array(F.lit(0)),
     })
-    parts = shared_table(map_rows(source, make, shape.schema).withColumn(row, F.monotonically_increasing_id()), "scored")
-    asked = parts.select(F.col(row).alias("row"), F.posexplode(rare).alias("at", "word"))
+    parts = shared_table(map_rows(source, make, shape.schema, lists=False).withColumn(row, F.monotonically_increasing_id()), "scored")
+    asked = parts.select(F.col(row).alias("row"), F.posexplode(names).alias("at", "word"))
     known = asked.join(model.rest, "word").groupBy(F.col("row").alias(row)).agg(
         F.collect_list(F.struct("at", "c", "class")).alias("x")
     ).select(row, F.col("x.at").alias(places), F.col("x.c").alias(counts), F.col("x.class").alias(classes_))
@@ -578,7 +673,7 @@ def score(docs: DataFrame, model: ClassModel, text: str = "text") -> DataFrame:
 
         return run
 
-    shape = source.drop(body).withColumns({"n_tokens": whole, "n_known": whole, "base_score": zero, "score": zero})
+    shape = plain.withColumns({"n_tokens": whole, "n_known": whole, "base_score": zero, "score": zero})
     return map_rows(joined, finish, shape.schema, 4096, False)
 
 
@@ -589,7 +684,11 @@ def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
-    model = train(docs.filter(~F.col("held_out")))
-    return score(docs, model).withColumn("train_tokens", F.lit(model.n_tokens).cast("long")).select(
+    found = frequent(docs.filter(~F.col("held_out")), "text", SENT_WORDS)
+    lines = shared_table(encode(docs, "text", list(found[0])), "lines")
+    model = fit(lines.filter(~F.col("held_out")), found)
+    scored = score_lines(lines, model)
+    drop_shared(lines)
+    return scored.withColumn("train_tokens", F.lit(model.n_tokens).cast("long")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )

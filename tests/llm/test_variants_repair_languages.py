@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.llm import languages, registry, repair, variants
+from skyloom.llm import languages, lm, registry, repair, variants
 
 DATA = "/root/testdata/sf0.01"
 LONG = "doc_id long, text string"
@@ -298,3 +298,31 @@ def test_pieces_of_a_text_count_as_the_whole(monkeypatch, piece):
 
 def test_codes_with_regions_have_their_language_family():
     assert languages.family_of(["pt-BR", "xx", "zh_TW", "EN"]) == {"pt-BR": "romance", "xx": "xx", "zh_TW": "sinitic", "EN": "germanic"}
+
+
+# language model
+
+
+def test_no_round_of_exchanges_lowers_the_likelihood():
+    rng = np.random.default_rng(8)
+    counts = rng.poisson(rng.random((60, 1)) * rng.random((1, 60)) * 30).astype(float)
+    gains = []
+    of, size = lm.exchange(counts, 9, gains=gains, share=0.0)
+
+    def likelihood(of):
+        member = np.eye(size)[of]
+        table = member.T @ counts @ member
+        f = lambda x: (x * np.log(np.maximum(x, 1.0))).sum()
+        return f(table) - f(table.sum(0)) - f(table.sum(1))
+
+    first = np.argsort(-(counts.sum(0) + counts.sum(1))[1:], kind="stable") + 1
+    start = np.zeros(60, int)
+    start[first] = 1 + np.arange(59) % (size - 1)
+    assert min(gains) >= 0 and gains[-1] == 0 and likelihood(of) == pytest.approx(likelihood(start) + sum(gains))
+
+
+def test_texts_are_split_once_into_numbers(spark):
+    known = [b"\n", b"the", b"of"]
+    docs = spark.createDataFrame([(1, "The of\x0bcat the CAT dog"), (2, None), (3, ""), (4, "dog dog")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["ids"], [bytes(x) for x in r["rare"]]) for r in lm.encode(docs, "text", known).collect()}
+    assert got == {1: ([1, 2, -1, 1, -1, -2, 0], [b"cat", b"dog"]), 2: ([0], []), 3: ([0], []), 4: ([-1, -1, 0], [b"dog"])}
