@@ -316,7 +316,8 @@ def exchange(counts, classes: int, fixed: int = 1, rounds: int = 50, share: floa
             cols = f(table + left[:, None]) - base
             diagonal = np.diag(table)
             gain = rows.sum(axis=1) - np.diag(rows) + cols.sum(axis=0) - np.diag(cols) + f(diagonal + right + left + s) - f(diagonal)
-            first, second = table.sum(axis=1), table.sum(axis=0)
+            # sums of a class without what the unit brings: but as a neighbour it stays in the sums of the others
+            first, second = table.sum(axis=1) + left, table.sum(axis=0) + right
             gain -= f(first + right.sum() + s) - f(first) + f(second + left.sum() + s) - f(second)
             gain[:fixed] = -np.inf
             b = int(np.argmax(gain))
