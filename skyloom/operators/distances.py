@@ -148,6 +148,23 @@ def spectral_divergence(spectra: DataFrame, pairs: DataFrame, metric: str = "js"
     return both.select("id_a", "id_b", F.aggregate(terms, F.lit(0.0), lambda s, v: s + v).alias("d"))
 
 
+def symmetric(d: DataFrame) -> DataFrame:
+    """id_a, id_b, d in both orders, and 0 of each graph to itself."""
+    other = F.array(F.struct("id_a", "id_b"), F.struct(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    both = d.select(F.explode(other).alias("p"), "d").select("p.id_a", "p.id_b", "d")
+    ids = both.select("id_a").distinct()
+    return both.filter("id_a <> id_b").unionByName(ids.select("id_a", F.col("id_a").alias("id_b"), F.lit(0.0).alias("d"))).dropDuplicates(["id_a", "id_b"])
+
+
+def matrix_rows(d: DataFrame) -> DataFrame:
+    """id, row: the symmetric matrix of pairs, a row a graph, its cells in the order of the ids; null where no pair is."""
+    every = symmetric(d)
+    ids = every.select(F.col("id_a").alias("id")).distinct()
+    names = ids.agg(F.sort_array(F.collect_list("id")).alias("ids"))  # as long as a row of the matrix
+    cells = every.groupBy(F.col("id_a").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("id_b", "d"))).alias("m"))
+    return cells.join(F.broadcast(names)).select("id", F.transform("ids", lambda x: F.try_element_at("m", x)).alias("row"))
+
+
 def summarize_distances(d: DataFrame) -> DataFrame:
     """Mean, median, min, max and population std over pairs."""
     moments = d.agg(F.avg("d").alias("mean"), F.min("d").alias("least"), F.max("d").alias("most"), F.stddev_pop("d").alias("std"))

@@ -11,6 +11,7 @@ from skyloom.functions.coords import add_proxy_cartesian
 from skyloom.operators import columns as C
 from skyloom.operators import distances as D
 from skyloom.operators import graphs as G
+from skyloom.operators import kernels as K
 from skyloom.operators import learning as M
 from skyloom.operators import neighbors as N
 from skyloom.operators import paths as P
@@ -387,6 +388,24 @@ def _(spark, d):
     return R.union_all(*rows)
 
 
+@query("m16_kernel_machines")
+def _(spark, d):
+    """Machines with a radial kernel over all rows: their metrics on the rows they were fitted on."""
+    data, names = learning_table(spark, d)
+    rows = []
+    for kind in ("svr", "svc"):
+        model = K.fit_kernel(data, names, "label", "id", kind)
+        rows.append(M.regression_metrics(model.transform(data)).withColumn("kind", F.lit(kind)))
+    return R.union_all(*rows)
+
+
+@query("d15_matrix_rows", f"""WITH {SPECTRA}, x AS (SELECT a.id AS id, b.id AS other, round(sqrt(list_sum(list_transform(range(1, 17), lambda i: pow(a.eig[i] - b.eig[i], 2)))), 5) AS d FROM e a, e b)
+    SELECT id, list(d ORDER BY other) AS "row" FROM x GROUP BY id""")
+def _(spark, d):
+    s = spectra(spark, d)
+    return D.matrix_rows(D.spectral_distance(s, _pairs(s), 16).withColumn("d", F.round("d", 5)))
+
+
 @query("m14_assigned_labels", "SELECT vec_id AS id, CASE WHEN vec_id % 3 <> 0 THEN label END AS cluster_label FROM embeddings")
 def _(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))

@@ -103,6 +103,20 @@ def _(spark, d):
     return readers.paper_records(table(spark, d, "orders").select(json.alias("json")))
 
 
+@query("s19_paper_links", "SELECT c_custkey::VARCHAR AS id, k AS kind, i::INT AS place, (c_custkey + i + j)::VARCHAR AS other_id, (1990 + i)::INT AS year FROM customer, (VALUES ('citation', 0, 1), ('citation', 1, 1), ('reference', 0, 5)) AS v(k, i, j)")
+def _(spark, d):
+    json = F.format_string(
+        '{"paperId": "%d", "citations": [{"paperId": "%d", "title": "A", "year": 1990}, {"paperId": "%d", "year": 1991}], "references": [{"paperId": "%d", "title": "R", "year": 1990}]}',
+        "c_custkey", F.col("c_custkey") + 1, F.col("c_custkey") + 2, F.col("c_custkey") + 5,
+    )
+    return readers.paper_links(table(spark, d, "customer").select(json.alias("json"))).drop("title")
+
+
+@query("s20_box_across_zero", f"SELECT object_id FROM {CATALOG} WHERE least(abs(ra - 2), 360 - abs(ra - 2)) <= 10 AND abs(dec + 5) <= 10")
+def _(spark, d):
+    return readers.coordinate_box(catalog(spark, d), 2.0, -5.0, 10.0).select("object_id")
+
+
 @query("s20_coordinate_box", f"SELECT object_id FROM {CATALOG} WHERE abs(ra - 120) <= 5 AND abs(dec - 10) <= 20")
 def _(spark, d):
     return readers.coordinate_box(catalog(spark, d).withColumn("ra", F.col("ra")), 120.0, 10.0, 20.0).filter(F.abs(F.col("ra") - 120) <= 5).select("object_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -250,8 +250,90 @@ def matching(df: DataFrame, query: str, columns: Sequence[str], limit: int | Non
     return df.limit(limit) if limit is not None else df
 
 
+def paper_links(responses: DataFrame, column: str = "json") -> DataFrame:
+    """``(id, kind, place, other_id, title, year)``: the papers that cite each paper of a literature API's details, and those it cites.
+
+    ``kind`` is citation or reference, ``place`` the place in its list from 0. Entries without a paper id stay, with a null one.
+    """
+    other = "struct<paperId:string,title:string,year:int>"
+    p = F.from_json(F.col(column), f"struct<paperId:string,citations:array<{other}>,references:array<{other}>>")
+    held = responses.select(p.alias("p")).filter("p.paperId is not null")
+    lists = [
+        held.select(F.col("p.paperId").alias("id"), F.lit(kind).alias("kind"), F.posexplode(f"p.{name}").alias("place", "o"))
+        for kind, name in (("citation", "citations"), ("reference", "references"))
+    ]
+    return lists[0].unionByName(lists[1]).select("id", "kind", "place", F.col("o.paperId").alias("other_id"), "o.title", "o.year")
+
+
 def coordinate_box(df: DataFrame, ra: float, dec: float, radius: float) -> DataFrame:
-    return df.filter((F.abs(F.col("ra") - ra) <= radius) & (F.abs(F.col("dec") - dec) <= radius))
+    """Rows within ``radius`` degrees of right ascension, the shorter way round the sky, and of declination."""
+    gap = F.abs(F.pmod(F.col("ra").cast("double") - F.lit(float(ra)) + 180.0, F.lit(360.0)) - 180.0)
+    return df.filter((gap <= radius) & (F.abs(F.col("dec") - dec) <= radius))
+
+
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """path, paragraph, text of Word files: a row a paragraph, in order; an empty paragraph is an empty text."""
+
+    def run(frames):
+        import io
+        import zipfile
+        from xml.etree import ElementTree
+
+        import pandas as pd
+
+        word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+        for f in frames:
+            out = []
+            for path, content in zip(f["path"], f["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as held:
+                    body = ElementTree.fromstring(held.read("word/document.xml"))
+                for i, p in enumerate(body.iter(f"{word}p")):
+                    out.append((path, i, "".join(t.text or "" for t in p.iter(f"{word}t"))))
+            yield pd.DataFrame(out, columns=["path", "paragraph", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, paragraph int, text string")
+
+
+def read_dataset(spark: SparkSession, path: str, format: str | None = None, describe: bool = False) -> DataFrame:
+    """A dataset by its suffix: text, JSON, Word paragraphs or a table; of a table, with ``describe``, a row a column.
+
+    ValueError for other formats.
+    """
+    from skyloom.operators.relational import describe_all
+
+    kind = format or suffix(path)
+    found = read_docx(spark, path) if kind == "docx" else read_any(spark, path, kind)
+    return describe_all(found) if describe and kind not in ("txt", "docx") else found
+
+
+def read_gexf(spark: SparkSession, path: str, tag: str = "edge") -> DataFrame:
+    """Edges (or, by tag, nodes) of GEXF files: graph_id (the file's name), source, target, weight (1 where it has none), or id, label."""
+    shape = "_id string, _source string, _target string, _weight double" if tag == "edge" else "_id string, _label string"
+    rows = spark.read.format("xml").option("rowTag", tag).schema(shape).load(path)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("graph_id")
+    if tag == "edge":
+        return rows.select(name, F.col("_source").alias("source"), F.col("_target").alias("target"), F.coalesce("_weight", F.lit(1.0)).alias("weight"))
+    return rows.select(name, F.col("_id").alias("id"), F.coalesce("_label", "_id").alias("label"))
+
+
+def read_distances(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """id_a, id_b, d of stored pairs, or of a square matrix: a row a graph, a column each in the same order.
+
+    A column ``id`` of a matrix names its graphs; else they are ``graph_0``, ``graph_1`` ... in the order of the columns, and
+    a column ``row`` or the order of the file tells its rows. A matrix is as wide as a row may be. Both halves are given.
+    """
+    df = read_any(spark, path, format)
+    if {"id_a", "id_b", "d"} <= set(df.columns):
+        return df.select("id_a", "id_b", "d")
+    columns = [c for c in df.columns if c not in ("id", "row")]
+    numbered = df.withColumn("_row", F.row_number().over(Window.orderBy("row" if "row" in df.columns else F.monotonically_increasing_id())) - 1)
+    cells = numbered.select("_row", F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in columns])).alias("_column", "d"))
+    if "id" in df.columns:
+        names = numbered.select(F.col("_row"), F.col("id").cast("string").alias("name"))
+    else:
+        names = numbered.select("_row", F.concat(F.lit("graph_"), F.col("_row").cast("string")).alias("name"))
+    a, b = (names.select(F.col("_row").alias(r), F.col("name").alias(n)) for r, n in (("_row", "id_a"), ("_column", "id_b")))
+    return cells.join(a, "_row").join(b, "_column").select("id_a", "id_b", "d")
 
 
 def read_edge_lists(spark: SparkSession, path: str) -> DataFrame:
