@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.arrow import map_rows
-from skyloom.llm.common import col, fresh, others, read_table, shared_table
+from skyloom.llm.common import col, drop_shared, fresh, others, read_table, shared_table
 
 #: Bytes of a chunk at least and at most, and the bits of the gear hash that are 0 where a chunk ends.
 LEAST, MOST, BITS = 12, 256, 2
@@ -16,6 +18,8 @@ CLOSE_BITS = 4
 MIN_WORDS = 25
 #: A stretch without white space counts as a word, and again for each ``MORE`` bytes beyond ``LONG_WORD``.
 LONG_WORD, MORE = 24, 8
+#: Words of a run of seen chunks from which a stretch may grow, and bytes that are compared beyond either end of it.
+SEED_WORDS, REACH = 6, 2 * MOST
 
 
 def gear_table():
@@ -146,7 +150,7 @@ def chunk_rows(docs: DataFrame, text: str, width: bool, min_words: int = MIN_WOR
 
 
 def repeated_chunks(docs: DataFrame, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc``, row, start, end, words of each chunk whose digest also comes in a document of a smaller ``key``.
+    """``doc``, row, start, end, words, lo of each chunk whose digest also comes in documents of a smaller ``key``, ``lo`` the smallest.
 
     The digests' owners come from partial minima; chunks and the owners of repeated digests are then joined,
     with nothing above the join that needs a digest's rows together, so that a chunk that a third of all
@@ -158,27 +162,162 @@ def repeated_chunks(docs: DataFrame, text: str, min_words: int = MIN_WORDS) -> D
         "owners",
     )
     found = chunk_rows(docs, text, True, min_words).join(owners, ["high", "low"]).filter("lo < doc")
-    return shared_table(found.select("doc", "row", "start", "end", "words"), "repeats")
+    return shared_table(found.select("doc", "row", "start", "end", "words", "lo"), "repeats")
+
+
+def runs_of(chunks: list[tuple], least: int) -> list[tuple]:
+    """Runs (start, end, words, owner, first, last) of adjacent chunks (start, end, words, lo), with ``least`` words or more.
 
+    ``owner`` is the smallest document of most of its chunks, first and last are the outermost chunks (start, end) that are its.
+    """
+    runs, held = [], []
+
+    def close():
+        words = sum(n for _, _, n, _ in held)
+        if held and words >= least:
+            counts = Counter(lo for *_, lo in held)
+            owner = min(counts, key=lambda x: (-counts[x], x))
+            own = [(a, b) for a, b, _, lo in held if lo == owner]
+            runs.append((held[0][0], held[-1][1], words, owner, own[0], own[-1]))
+
+    for c in sorted(set(chunks)):
+        if held and c[0] == held[-1][0]:  # a short text is a chunk as a whole, too
+            if c[1] >= held[-1][1]:
+                held[-1] = c
+            continue
+        if held and c[0] != held[-1][1]:
+            close()
+            held = []
+        held.append(c)
+    close()
+    return runs
+
+
+def _same(a: bytes, b: bytes, back: bool) -> int:
+    """How many bytes at their ends, or ``back`` from them at their beginnings turned round, two texts have in common."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if (a[len(a) - middle :] == b[len(b) - middle :]) if back else (a[:middle] == b[:middle]):
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def grown(owner: bytes, left: bytes, at: int, right: bytes, size: int) -> tuple[int, int]:
+    """How far a stretch goes on before and behind: ``left[at:]`` and ``right[:size]`` come in ``owner``; -1 where they do not."""
+
+    def best(anchor: bytes, rest: bytes, back: bool) -> int:
+        most, place = -1, owner.find(anchor)
+        while place >= 0:
+            beside = owner[max(0, place - len(rest)) : place] if back else owner[place + len(anchor) : place + len(anchor) + len(rest)]
+            most = max(most, _same(rest, beside, back))
+            place = -1 if most == len(rest) else owner.find(anchor, place + 1)
+        return most
+
+    return best(left[at:], left[:at], True), best(right[:size], right[size:], False)
+
+
+def whole_words(raw: bytes, start: int, end: int) -> tuple[int, int]:
+    """The stretch without the halves of characters and, unless they are long, of words at its ends, nor white space before it."""
+    gap = b" \t\n\x0b\x0c\r"
+    first = start
+    while first < end and first and raw[first] not in gap and raw[first - 1] not in gap and first - start <= LONG_WORD:
+        first += 1
+    if first - start <= LONG_WORD:
+        start = first
+    while 0 < start < end and raw[start] in gap:  # what is left before it keeps its space
+        start += 1
+    last = end
+    while last > start and last < len(raw) and raw[last] not in gap and raw[last - 1] not in gap and end - last <= LONG_WORD:
+        last -= 1
+    if end - last <= LONG_WORD:
+        end = last
+    while start < end and raw[start] & 0xC0 == 0x80:
+        start += 1
+    while start < end < len(raw) and raw[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
+
+
+def growth(docs: DataFrame, marked: DataFrame, min_words: int) -> DataFrame:
+    """``doc``, row, start, end, before, behind of runs in ``marked`` (doc, row, chunks): how far they go on in their owner's text.
+
+    A run of ``min_words`` words is held by its outermost chunks, a shorter one as a whole. What goes to the owner's task are
+    ``REACH`` bytes about each end, not texts; a run that its owner does not hold so has -1.
+    """
+    kind = dict(docs.dtypes)["key"]
+    joined = docs.join(marked, (docs["key"] == marked["doc"]) & (docs["row"] == marked["mark"])).select("doc", "row", "body", "chunks")
+
+    def ask():
+        def run(docs_: list, rows: list, texts: list, found: list) -> dict[str, list]:
+            out = []
+            for doc, row, text, chunks in zip(docs_, rows, texts, found):
+                raw = text.encode()
+                for start, end, words, owner, first, last in runs_of([(x["start"], x["end"], x["words"], x["lo"]) for x in chunks], SEED_WORDS):
+                    (a, b), (c, d) = (first, last) if words >= min_words else ((start, end), (start, end))
+                    at = max(0, a - REACH)
+                    out.append((owner, doc, row, start, end, raw[at:b], a - at, raw[c : d + REACH], d - c))
+            names = ("owner", "doc", "row", "start", "end", "left", "at", "right", "size")
+            return dict(zip(names, map(list, zip(*out)))) if out else {n: [] for n in names}
+
+        return run
 
-def long_runs(chunks: list[tuple[int, int, int]], least: int) -> list[tuple[int, int]]:
-    """Stretches of adjacent chunks (start, end, words), with ``least`` words together or more."""
-    runs, start, end, words = [], 0, -1, 0
-    for a, b, n in sorted(set(chunks)):
-        if a == end:
-            end, words = b, words + n
+    asked = map_rows(joined, ask, f"owner {kind}, doc {kind}, row long, start int, end int, left binary, at int, right binary, size int", 64)
+    asked = shared_table(asked, "ends")
+    owners = docs.select(F.col("key").alias("own"), F.col("body").alias("text"))
+    met = asked.join(owners, F.col("owner") == F.col("own")).select("doc", "row", "start", "end", "left", "at", "right", "size", "text")
+
+    def answer():
+        def run(docs_, rows, starts, ends, lefts, ats, rights, sizes, texts) -> dict[str, list]:
+            cached: dict[str, bytes] = {}
+            made = []
+            for left, at, right, size, text in zip(lefts, ats, rights, sizes, texts):
+                if text not in cached:
+                    cached = {text: (text or "").encode()}
+                made.append(grown(cached[text], left, at, right, size))
+            return {"doc": docs_, "row": rows, "start": starts, "end": ends, "before": [x for x, _ in made], "behind": [x for _, x in made]}
+
+        return run
+
+    out = map_rows(met, answer, f"doc {kind}, row long, start int, end int, before int, behind int", 64)
+    # an owner's key may come with several texts
+    best = out.groupBy("doc", "row", "start", "end").agg(F.max("before").alias("before"), F.max("behind").alias("behind"))
+    return shared_table(best, "growth")
+
+
+def stretches(raw: bytes, chunks: list[tuple], found: dict[tuple[int, int], tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
+    """What of a text goes: runs of chunks, as far as they grow, of ``min_words`` words or more; those that meet are one."""
+    import numpy as np
+
+    seen = np.concatenate([[0], np.cumsum(word_marks(np.frombuffer(raw, np.uint8)))])
+    out: list[tuple[int, int]] = []
+    for start, end, words, _, first, last in runs_of(chunks, SEED_WORDS):
+        before, behind = found.get((start, end), (-1, -1))
+        a, b = (first[0], last[1]) if words >= min_words else (start, end)
+        s = min(start, a - before) if before >= 0 else start
+        e = max(end, b + behind) if behind >= 0 else end
+        if words < min_words and min(before, behind) < 0:
+            continue
+        s, e = whole_words(raw, s, e) if (s, e) != (start, end) else (s, e)
+        s, e = min(s, start), max(e, end)
+        if words < min_words and seen[e] - seen[s] < min_words:
             continue
-        if words >= least:
-            runs.append((start, end))
-        start, end, words = a, b, n
-    return [*runs, (start, end)] if words >= least else runs
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs``, all rows, with ``text`` without its repeated stretches and ``removed``, their byte spans.
 
-    A stretch is a run of adjacent chunks that documents of a smaller ``key`` hold too, of ``min_words`` words
-    or more, or the whole of a shorter text that such a document equals; the smallest document keeps its own. Of a
+    A stretch is a run of adjacent chunks that documents of a smaller ``key`` hold too, or a shorter run as far as it goes on
+    in the document that holds it, of ``min_words`` words or more, or the whole of a shorter text that such a document
+    equals; the smallest document keeps its own. Chunks find stretches, and bytes are compared beyond the ends of a run, so
+    a stretch ends with the words that both hold. Of a
     stretch without white space every ``MORE`` bytes beyond ``LONG_WORD`` count as a word. Chunks are told apart
     by 128-bit digests, and rows of one key by a hash of their text. A null text stays null, an empty one empty; a row of
     a null key is left as it is and takes nothing from others; repeated rows of one key take nothing from each other. An
@@ -189,19 +328,26 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     body, doc, row, chunks = fresh(docs, "body", "doc", "row", "chunks")
     text_of = F.xxhash64(col(text))
     slim = docs.select(col(key).alias("key"), text_of.alias("row"), col(text).alias("body"))
-    listed = F.collect_list(F.struct("start", "end", "words")).alias(chunks)
-    marked = repeated_chunks(slim, "body", min_words).groupBy(F.col("doc").alias(doc), F.col("row").alias(row)).agg(listed)
+    repeats = repeated_chunks(slim, "body", min_words)
+    listed = shared_table(repeats.groupBy("doc", F.col("row").alias("mark")).agg(F.collect_list(F.struct("start", "end", "words", "lo")).alias("chunks")), "marked")
+    drop_shared(repeats)
+    ends = growth(slim, listed, min_words)
+    ends = ends.groupBy(F.col("doc").alias("of"), F.col("row").alias("of_row")).agg(F.collect_list(F.struct("start", "end", "before", "behind")).alias("ends"))
+    both = listed.join(ends, (listed["doc"] == F.col("of")) & (listed["mark"] == F.col("of_row")), "left")
+    grow = fresh(docs, "grow")[0]
+    marked = both.select(F.col("doc").alias(doc), F.col("mark").alias(row), F.col("chunks").alias(chunks), F.col("ends").alias(grow))
     owner, mine = fresh(docs, "owner", "mine")
     keyed = docs.select(*map(col, kept), col(text).alias(body), col(key).alias(owner), text_of.alias(mine))
 
     def make():
         def run(*columns: list) -> dict[str, list]:
-            texts, found = columns[-2:]
+            texts, found, ends = columns[-3:]
             spans, left = [], []
-            for t, c in zip(texts, found):
-                runs = long_runs([(x["start"], x["end"], x["words"]) for x in c], min_words) if c else []
+            for t, c, g in zip(texts, found, ends):
+                raw, far = (t or "").encode(), {(x["start"], x["end"]): (x["before"], x["behind"]) for x in g or ()}
+                runs = stretches(raw, [(x["start"], x["end"], x["words"], x["lo"]) for x in c], far, min_words) if c else []
                 if runs:
-                    raw, parts, at = t.encode(), [], 0
+                    parts, at = [], 0
                     for a, b in runs:
                         parts.append(raw[at:a])
                         at = b
@@ -213,9 +359,9 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
         return run
 
     same = (keyed[owner] == marked[doc]) & (keyed[mine] == marked[row])
-    joined = keyed.join(marked, same, "left").select(*map(col, kept), body, chunks)
+    joined = keyed.join(marked, same, "left").select(*map(col, kept), body, chunks, grow)
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>")
-    return map_rows(joined, make, joined.drop(chunks).withColumn("removed", empty).schema).withColumnRenamed(body, text)
+    return map_rows(joined, make, joined.drop(chunks, grow).withColumn("removed", empty).schema).withColumnRenamed(body, text)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

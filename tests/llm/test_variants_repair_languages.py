@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.llm import languages, lm, registry, repair, variants
+from skyloom.llm import chunks, languages, lm, registry, repair, variants
 
 DATA = "/root/testdata/sf0.01"
 LONG = "doc_id long, text string"
@@ -326,3 +326,64 @@ def test_texts_are_split_once_into_numbers(spark):
     docs = spark.createDataFrame([(1, "The of\x0bcat the CAT dog"), (2, None), (3, ""), (4, "dog dog")], "doc_id long, text string")
     got = {r["doc_id"]: (r["ids"], [bytes(x) for x in r["rare"]]) for r in lm.encode(docs, "text", known).collect()}
     assert got == {1: ([1, 2, -1, 1, -1, -2, 0], [b"cat", b"dog"]), 2: ([0], []), 3: ([0], []), 4: ([-1, -1, 0], [b"dog"])}
+
+
+# substring dedup
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Pairs of documents that share a passage of 25 to 200 words and nothing else: rows, and what the second should lose."""
+    rng = random.Random(3)
+    texts = [r[0] for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("lang = 'en'").select("text").collect()]
+    vocabulary = [w for t in texts for w in t.split()]
+
+    def some(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    rows, passages = [], {}
+    for size in (25, 30, 40, 50, 100, 200):
+        for _ in range(40):
+            passage = some(size)
+            for second in (False, True):
+                before, behind = some(rng.randint(20, 200)), some(rng.randint(20, 200))
+                if second:
+                    start = len(before.encode()) + 1
+                    passages[len(rows)] = (size, start, start + len(passage.encode()))
+                rows.append((len(rows), f"{before} {passage} {behind}"))
+    return rows, passages
+
+
+def test_passages_are_found_to_their_edges(spark, planted):
+    rows, passages = planted
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["removed"]] for r in chunks.drop_repeats(spark.createDataFrame(rows, LONG)).collect()}
+    lost, whole = {}, {}
+    for doc, (size, start, end) in passages.items():
+        inside = sum(max(0, min(b, end) - max(a, start)) for a, b in got[doc])
+        lost[size], whole[size] = lost.get(size, 0) + inside, whole.get(size, 0) + end - start
+        assert sum(b - a for a, b in got[doc]) - inside <= 64
+    assert not [d for d in got if d not in passages and got[d]]
+    recall = {size: lost[size] / whole[size] for size in lost}
+    assert recall[25] >= 0.85 and all(r >= 0.95 for size, r in recall.items() if size >= 30), recall
+
+
+def test_growth_stops_at_words_and_characters():
+    assert chunks.grown(b"xx abc def ghi yy", b"-- abc def", 6, b"def ghi zz", 3) == (4, 5)
+    assert chunks.grown(b"xx abc", b"-- nope", 3, b"abc", 3) == (-1, 0)
+    assert chunks.grown(b"ab ab ab", b"x ab ab", 5, b"ab ab", 2) == (4, 3)
+    raw = "één twee drieën".encode()
+    assert chunks.whole_words(raw, 1, 16) == (6, 11) and chunks.whole_words(raw, 6, 10) == (6, 10)
+    assert chunks.whole_words("字字字字".encode() * 9, 1, 50) == (3, 48)
+
+
+def test_repeats_of_one_key_and_texts_of_several_owners(spark):
+    rng = random.Random(9)
+    some = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = some(30)
+    rows = [(1, f"{some(50)} {passage} {some(40)}"), (1, some(80)), (1, some(60)), (2, f"{some(30)} {passage} {some(30)}"), (2, f"{some(30)} {passage} {some(30)}"), (None, passage)]
+    rows.append(rows[3])
+    got = chunks.drop_repeats(spark.createDataFrame(rows, LONG)).collect()
+    assert len(got) == 7
+    for r in got:
+        assert (passage in r["text"]) == (r["doc_id"] != 2 and passage in next(t for d, t in rows if d == r["doc_id"] and (r["text"] in t or d == 2)))
+        assert bool(r["removed"]) == (r["doc_id"] == 2)

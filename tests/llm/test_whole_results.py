@@ -74,7 +74,10 @@ def test_severity_of_string_ids_repeated_rows_and_no_labels(spark):
 
 
 def brute_spans(rows, least):
-    """The removed spans of each row: runs of chunks that a smaller key holds, by comparing the chunks themselves."""
+    """The removed spans of each row: runs of chunks that a smaller key holds, and as far as its text goes on with them.
+
+    Chunks are compared themselves, and what is beside a run byte by byte at every place where the owner holds it.
+    """
     table = chunks.gear_table()
 
     def cut(t):
@@ -82,25 +85,62 @@ def brute_spans(rows, least):
         ends = chunks.chunk_ends(raw, table)
         marks = chunks.word_marks(np.frombuffer(raw, np.uint8)) if raw else np.zeros(0, bool)
         found = [(a, b, int(marks[a:b].sum()), raw[a:b]) for a, b in zip([0, *ends], ends)]
-        return found + ([(0, len(raw), least, (raw,))] if raw and marks.sum() < least else [])
+        return found, [(0, len(raw), least, (raw,))] if raw and marks.sum() < least else [], raw, marks
 
-    owner = {}
+    owner, texts = {}, {}
     for d, t in rows:
-        for *_, c in cut(t) if d is not None else []:
-            owner[c] = min(owner.get(c, d), d)
+        if d is not None:
+            texts.setdefault(d, set()).add((t or "").encode())
+            parts, whole, *_ = cut(t)
+            for *_, c in parts + whole:
+                owner[c] = min(owner.get(c, d), d)
+
+    def beside(d, anchor, rest, step):
+        most = -1
+        for other in texts[d]:
+            for at in range(len(other) - len(anchor) + 1):
+                if other[at : at + len(anchor)] == anchor:
+                    n, i = 0, at + len(anchor) if step > 0 else at - 1
+                    mine = rest if step > 0 else rest[::-1]
+                    while n < len(mine) and 0 <= i < len(other) and other[i] == mine[n]:
+                        n, i = n + 1, i + step
+                    most = max(most, n)
+        return most
+
     out = []
     for d, t in rows:
-        seen = sorted({(a, b, n) for a, b, n, c in cut(t) if d is not None and owner[c] < d})
-        spans, i = [], 0
-        while i < len(seen):
-            j, n = i, seen[i][2]
-            while j + 1 < len(seen) and seen[j + 1][0] == seen[j][1]:
-                j += 1
-                n += seen[j][2]
-            if n >= least:
-                spans.append((seen[i][0], seen[j][1]))
-            i = j + 1
-        out.append((str(d), tuple(spans)))
+        parts, whole, raw, marks = cut(t)
+        spans = set()
+        if d is not None and whole and owner[whole[0][3]] < d:
+            spans.add((0, len(raw)))
+        run = []
+        for c in [*parts, None] if d is not None and not spans else [None]:
+            if c is not None and owner[c[3]] < d:
+                run.append(c)
+                continue
+            words = sum(n for _, _, n, _ in run)
+            if run and words >= chunks.SEED_WORDS:
+                lows = Counter(owner[c_[3]] for c_ in run)
+                low = min(lows, key=lambda x: (-lows[x], x))
+                own = [(x, y) for x, y, _, c_ in run if owner[c_] == low]
+                start, end = run[0][0], run[-1][1]
+                (i, j), (k, m) = (own[0], own[-1]) if words >= least else ((start, end), (start, end))
+                before = beside(low, raw[i:j], raw[max(0, i - chunks.REACH) : i], -1)
+                behind = beside(low, raw[k:m], raw[m : m + chunks.REACH], 1)
+                x, y = (min(start, i - before) if before >= 0 else start), (max(end, m + behind) if behind >= 0 else end)
+                if (x, y) != (start, end):
+                    x, y = chunks.whole_words(raw, x, y)
+                    x, y = min(x, start), max(y, end)
+                if words >= least or (min(before, behind) >= 0 and marks[x:y].sum() >= least):
+                    spans.add((x, y))
+            run = []
+        joined = []
+        for x, y in sorted(spans):
+            if joined and x <= joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(y, joined[-1][1]))
+            else:
+                joined.append((x, y))
+        out.append((str(d), tuple(joined)))
     return sorted(out)
 
 
