@@ -59,6 +59,16 @@ FROM fails JOIN rated ON source IS NOT DISTINCT FROM h
 """
 
 
+def _crc32(codes: str) -> str:
+    """SQL of the crc32 of a list of bytes, by the table ``crc``."""
+    return f"xor(list_reduce([4294967295::BIGINT] || ({codes}), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_CRC_TABLE = """
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
 # RE2 has no match positions: the text before each match is rebuilt from the pieces between matches.
 def _spans(kind: str, pattern: str, length: str, least: int) -> str:
     return f"""
@@ -79,21 +89,41 @@ def _spans(kind: str, pattern: str, length: str, least: int) -> str:
 _ASSIGN = r"""'(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'"""
 _VALUE = r"""length(regexp_extract(m, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1))"""
 
+# the last six characters of a token are the CRC-32 of those before them, in base 62; a run that goes on is no token
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_BODY = _crc32("list_transform(string_split(substr(m, 5, 30), ''), lambda x: unicode(x)::BIGINT)")
+_DIGITS = f"array_to_string(list_transform([916132832, 14776336, 238328, 3844, 62, 1], lambda p: substr('{_BASE62}', ((crc_of // p) % 62 + 1)::INT, 1)), '')"
+
+
+def _checked(kind: str, pattern: str) -> str:
+    return f"""
+{_spans(kind + "_all", pattern, "length(m)", "1")},
+{kind} AS (
+  SELECT rid, '{kind}' AS kind, m, s FROM (SELECT {kind}_all.*, {_BODY} AS crc_of FROM {kind}_all, crc WHERE length(m) = 40)
+  WHERE {_DIGITS} = right(m, 6))"""
+
+
 SECRETS = f"""
-WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+WITH {_CRC_TABLE},
+texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 {_spans("assign", _ASSIGN, _VALUE, 12)},
 {_spans("access", "'AKIA[A-Z0-9]+'", "length(m)", 18)},
 {_spans("hex", "'[0-9a-f]+'", "length(m)", 16)},
+{_checked("code_host", "'gh[pousr]_[A-Za-z0-9]{36,}'")},
+{_checked("packages", "'npm_[A-Za-z0-9]{36,}'")},
 spans AS (
   SELECT rid, kind, s, s + length(m) AS e, 0 AS k FROM assign
   UNION ALL SELECT rid, kind, s, s + length(m), 1 FROM access
-  UNION ALL SELECT rid, kind, s, s + length(m), 2 FROM hex),
+  UNION ALL SELECT rid, kind, s, s + length(m), 2 FROM hex
+  UNION ALL SELECT rid, kind, s, s + length(m), 3 FROM code_host
+  UNION ALL SELECT rid, kind, s, s + length(m), 4 FROM packages),
 joined AS (
   SELECT rid, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base,
     count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c
   FROM spans GROUP BY rid)
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
-  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM texts LEFT JOIN joined USING (rid)
 """
 
@@ -110,15 +140,6 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_numb
 """
 
 
-def _crc32(codes: str) -> str:
-    """SQL of the crc32 of a list of bytes, by the table ``crc``."""
-    return f"xor(list_reduce([4294967295::BIGINT] || ({codes}), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)"
-
-
-_CRC_TABLE = """
-crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
-  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
-
 # UTF-8 bytes of code points below 2048
 _LATIN = """flatten(list_transform(string_split(k, ''), lambda x:
   CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 | (unicode(x) >> 6))::BIGINT, (128 | (unicode(x) & 63))::BIGINT] END))"""

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.llm import chunks, languages, lm, registry, repair, variants
+from skyloom.llm import chunks, languages, lm, registry, repair, secrets, variants
 
 DATA = "/root/testdata/sf0.01"
 LONG = "doc_id long, text string"
@@ -387,3 +387,30 @@ def test_repeats_of_one_key_and_texts_of_several_owners(spark):
     for r in got:
         assert (passage in r["text"]) == (r["doc_id"] != 2 and passage in next(t for d, t in rows if d == r["doc_id"] and (r["text"] in t or d == 2)))
         assert bool(r["removed"]) == (r["doc_id"] == 2)
+
+
+# secrets
+
+
+def test_checksummed_kinds_agree_with_sql(spark, tmp_path):
+    rng = random.Random(6)
+    letters = secrets.BASE62
+
+    def token(prefix, right=True):
+        body = "".join(rng.choices(letters, k=30))
+        value, digits = zlib.crc32(body.encode()), ""
+        for _ in range(6):
+            value, d = divmod(value, 62)
+            digits = letters[d] + digits
+        return prefix + body + (digits if right else digits[::-1] + "")
+
+    texts = [f"a {token('ghp_')} b", f"{token('npm_')},{token('ghs_')}", token("gho_") + "x", token("ghx_"), f"token = {token('ghp_')}", None, "", token("npm_", False)]
+    texts += [f"é😀 {token('ghu_')}\n{token('ghr_')} AKIA{'B' * 16} 0123456789abcdef"]
+    spark.createDataFrame(list(enumerate(texts)), LONG).write.parquet(f"{tmp_path}/documents.parquet")
+    got = secrets.op3_secret_scan(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(registry.oracle_sql()["op3_secret_scan"])
+    names, cols = [c[0] for c in cur.description], sorted(got.columns)
+    want = sorted(repr([r[names.index(c)] for c in cols]) for r in cur.fetchall())
+    assert rows_of(got) == want and sum("code_host" in w or "packages" in w for w in want) == 4
