@@ -161,7 +161,7 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
 
 def cross_validate(df: DataFrame, features: Sequence[str], estimator, key: str, metric, k: int = 5, seed: int = 42) -> DataFrame:
     """cv_mean and cv_std (population) of ``metric``, a function of predictions to one named column, over ``k`` folds."""
-    dealt = folds(df, key, k, seed).cache()
+    dealt = stored(folds(df, key, k, seed), "folds")
     scores = []
     for i in range(k):
         model = train(dealt.filter(F.col("fold") != i), features, {"m": estimator})["m"]
@@ -180,7 +180,7 @@ def compare_models(models: Mapping[str, PipelineModel], test: DataFrame, metrics
 def train_and_evaluate(df: DataFrame, key: str, label: str, features: Sequence[str] = (), test: float = 0.2, seed: int = 42, kinds: Sequence[str] = ()) -> tuple[dict, DataFrame]:
     """Models of a stratified split and their metrics on its test part; all see scaled features. ``kinds`` of ``classifiers``, or all."""
     data, names = prepare(df, key, label, features)
-    split = exact_split(scale(data, names, "standardize"), label, key, test, seed).withColumn("label", F.col(label).cast("double")).cache()
+    split = stored(exact_split(scale(data, names, "standardize"), label, key, test, seed).withColumn("label", F.col(label).cast("double")), "split")
     fit, held = split.filter(~F.col("is_test")), split.filter("is_test")
     models = train(fit, names, {k: e for k, e in classifiers(fit.count(), seed).items() if k in (kinds or k)})
     return models, compare_models(models, held)
@@ -201,7 +201,7 @@ def pairwise_features(table: DataFrame, pairs: DataFrame, features: Sequence[str
 
 def kmeans(df: DataFrame, features: Sequence[str], k: int = 3, runs: int = 10, iterations: int = 300, seed: int = 42) -> DataFrame:
     """``df`` with ``cluster``: the best of ``runs`` by cost, labels in the order of the centres."""
-    data = VectorAssembler(inputCols=list(features), outputCol="_v").transform(df).cache()
+    data = stored(VectorAssembler(inputCols=list(features), outputCol="_v").transform(df), "points")
     fits = [KMeans(featuresCol="_v", predictionCol="_c", k=k, maxIter=iterations, seed=seed + i).fit(data) for i in range(runs)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     order = sorted(range(len(best.clusterCenters())), key=lambda i: tuple(best.clusterCenters()[i]))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skyloom.functions.coords import add_cartesian
 from skyloom.operators import columns as C
 from skyloom.operators import distances as D
+from skyloom.operators import learning as M
 from skyloom.operators import neighbors as N
 from skyloom.operators import paths as P
 from skyloom.operators import relational as R
@@ -132,6 +133,54 @@ def expand_experiments(base: Experiment, ablate: bool = True, eigenvalues: Seque
     return runs
 
 
+@dataclass(frozen=True)
+class GridRun:
+    """A run of a grid: whether spectra are features, the neighbours of a node, how many eigenvalues."""
+
+    name: str
+    spectral: bool = True
+    k: int = 12
+    eigenvalues: int = 30
+
+
+def plan_grid(config: Mapping) -> list[GridRun]:
+    """The runs of a configuration: the baseline, its ablations, and one for each other number of neighbours and eigenvalues."""
+    features, k = config["features"], config["cosmology"]["graph"].get("k_neighbors", 12)
+    made = lambda name, f, k: GridRun(name, f.get("include_spectral", True), k, f.get("spectral_k", 30))
+    more = config.get("experiments", {})
+    runs = [made("baseline", features, k)]
+    runs += [made(f"ablation_{a['name']}", {**features, **a.get("features", {})}, k) for a in more.get("ablations", [])]
+    sensitivity = more.get("sensitivity", {})
+    runs += [made(f"sensitivity_k_{x}", features, x) for x in sensitivity.get("k_neighbors", [])]
+    return runs + [made(f"sensitivity_eigs_{x}", {**features, "spectral_k": x}, k) for x in sensitivity.get("spectral_k", [])]
+
+
+def run_grid(nodes: DataFrame, label: str, columns: Sequence[str], runs: Sequence[GridRun], test: float = 0.2, seed: int = 42) -> DataFrame:
+    """run, accuracy, use_spectral, k_neighbors, n_features: a row a run.
+
+    ``nodes`` (graph_id, node_id, x, y, z, ``columns``, a 0/1 ``label``) are told apart by a logistic regression on ``columns`` and,
+    in spectral runs, on the eigenvalues of the graph of each. Edges of a k, and spectra of a k and number, are made once.
+    """
+    edges: dict[int, DataFrame] = {}
+    spectra: dict[tuple[int, int], DataFrame] = {}
+    rows = []
+    for r in runs:
+        df, names = nodes, list(columns)
+        if r.spectral:
+            if r.k not in edges:
+                edges[r.k] = stored(N.knn_edges(nodes, r.k), "edges")
+            if (r.k, r.eigenvalues) not in spectra:
+                found = Q.spectrum(nodes, edges[r.k], r.eigenvalues)
+                spectra[r.k, r.eigenvalues] = stored(Q.expand(found, "eig", r.eigenvalues, "eig"), "spectra")
+            eigen = spectra[r.k, r.eigenvalues]
+            filled = eigen.na.fill(0.0)  # a graph of fewer nodes has fewer eigenvalues
+            df = nodes.join(filled, "graph_id")
+            names += [c for c in eigen.columns if c != "graph_id"]
+        _, metrics = M.train_and_evaluate(df, "node_id", label, names, test, seed, ["logistic_regression"])
+        rows.append(metrics.select(F.lit(r.name).alias("run"), "accuracy", F.lit(r.spectral).alias("use_spectral"), F.lit(r.k).alias("k_neighbors"), F.lit(len(names)).alias("n_features")))
+    return R.union_all(*rows)
+
+
 def corpus_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Mean nodes, edges, density and clustering over the graphs."""
     f = T.degree_features(nodes, edges).join(T.clustering_features(nodes, edges), "graph_id")

@@ -19,6 +19,7 @@ from skyloom.operators import relational as R
 from skyloom.operators import sampling as S
 from skyloom.operators import scaling as X
 from skyloom.operators import topology as T
+from skyloom.plans.experiment import plan_grid, run_grid
 from skyloom.plans.graphs import GRID, KNN, NX, NY, STEP, TRI, graph
 from skyloom.plans.graphs import table as learning_table
 from skyloom.plans.tables import CATALOG, catalog, table
@@ -406,6 +407,18 @@ def _(spark, d):
     return D.matrix_rows(D.spectral_distance(s, _pairs(s), 16).withColumn("d", F.round("d", 5)))
 
 
+@query("m17_experiment_grid")
+def _(spark, d):
+    """Nodes of graphs of low labels told from others, with and without their graphs' spectra."""
+    nodes = graph(spark, d)[0]
+    extra = table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), (F.col("label") < 5).cast("double").alias("low"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in (3, 4)])
+    config = {
+        "features": {"include_spectral": True, "spectral_k": 8}, "cosmology": {"graph": {"k_neighbors": 6}},
+        "experiments": {"ablations": [{"name": "no_spectral", "features": {"include_spectral": False}}], "sensitivity": {"k_neighbors": [4], "spectral_k": [4]}},
+    }
+    return run_grid(nodes.join(extra, "node_id"), "low", ["x", "y", "z", "f3", "f4"], plan_grid(config))
+
+
 @query("m14_assigned_labels", "SELECT vec_id AS id, CASE WHEN vec_id % 3 <> 0 THEN label END AS cluster_label FROM embeddings")
 def _(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))
