@@ -14,7 +14,7 @@ from skyloom.llm.common import drop_shared, read_table, shared_table
 Q = 2
 #: One edit spoils Q bigrams at most, so of the Q + 1 rarest of each of two near words one is common to both.
 PREFIX = Q + 1
-#: Words whose shorter one has as many code points or fewer may share no bigram; they meet by halves alone.
+#: Words whose shorter one has as many code points or fewer may share no bigram; they meet by parts alone.
 SHORT = PREFIX + Q - 1
 #: Bigrams whose frequencies are sent to the tasks; rarer ones come before all of these, in their own order.
 SENT_BIGRAMS = 65_536
@@ -74,9 +74,9 @@ def _rarest(words: DataFrame) -> DataFrame:
 def _keys(words: DataFrame) -> DataFrame:
     """A row for each key under which a word may meet a near one: ``(key, longer, pos, word, n)``.
 
-    A key is a rare bigram, the length of the shorter word, and one half of it: an edit leaves the half before it or the
-    half after it whole. A word has keys as the shorter word (or of equal length), and as the longer one. Half and length
-    make the lists of frequent bigrams short, and lose no pair.
+    A key is a rare bigram, the length of the shorter word, and two of its three parts: an edit is in one part, and leaves what
+    is before that part and behind it whole. A word has keys as the shorter word (or of equal length), and as the longer
+    one. Parts and length make the lists of frequent bigrams short, and lose no pair.
     """
     size = F.length("word")
     as_one = F.explode(F.array(F.struct(F.lit(False).alias("longer"), size.alias("m")), F.struct(F.lit(True).alias("longer"), (size - 1).alias("m"))))
@@ -84,14 +84,16 @@ def _keys(words: DataFrame) -> DataFrame:
     none = F.array(F.struct(F.lit("").alias("gram"), F.lit(0).alias("pos")))
     met = F.when(F.col("m") <= SHORT, none).otherwise(F.col("grams"))
     rows = roles.select("word", "n", "longer", "m", F.explode(met).alias("g"))
-    h = F.floor(F.col("m") / 2).cast("int")
-    rest = F.col("m") - h
-    halves = F.array(
-        F.struct(F.lit(0).alias("side"), F.substr("word", F.lit(1), h).alias("half")),
-        F.struct(F.lit(1).alias("side"), F.substr("word", F.length("word") - rest + 1, rest).alias("half")),
-    )
-    rows = rows.select("word", "n", "longer", "m", "g", F.explode(halves).alias("s"))
-    key = F.xxhash64("g.gram", "m", "s.side", "s.half")
+    first, second = (F.floor(F.col("m") * i / 3).cast("int") for i in (1, 2))
+
+    def kept(side: int, before, behind):
+        """The ``before`` first and the ``behind`` last code points, the edit being between them."""
+        return F.struct(F.lit(side).alias("side"), F.substr("word", F.lit(1), before).alias("before"), F.substr("word", F.length("word") - behind + 1, behind).alias("behind"))
+
+    zero = F.lit(0)
+    parts = F.array(kept(0, second, zero), kept(1, zero, F.col("m") - first), kept(2, first, F.col("m") - second))
+    rows = rows.select("word", "n", "longer", "m", "g", F.explode(parts).alias("s"))
+    key = F.xxhash64("g.gram", "m", "s.side", "s.before", F.lit("\n"), "s.behind")
     return rows.select(key.alias("key"), "longer", F.col("g.pos").alias("pos"), "word", "n")
 
 
