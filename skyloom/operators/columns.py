@@ -230,16 +230,29 @@ def fill_missing(df: DataFrame, columns: Sequence[str], strategy: str = "mean",
 def _interpolated(df: DataFrame, columns: Sequence[str], order: str | None, by: Sequence[str]) -> DataFrame:
     if order is None:
         raise ValueError("interpolate needs an order")
-    w = Window.partitionBy(*by).orderBy(order)
+    x = F.col(order).cast("double")
+    if not by:  # ranges of rows, and the known values about each of them
+        df = stored(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+        known = {c: F.when(F.col(c).isNotNull(), F.struct(x.alias("x"), F.col(c).cast("double").alias("v"))) for c in columns}
+        ends = df.groupBy("_part").agg(*[f(known[c]).alias(f"_{n}_{c}") for c in columns for n, f in (("least", F.min), ("most", F.max))])
+        earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+        later = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+        around = [f.alias(f"_{n}_{c}") for c in columns for n, f in (("a", F.last(F.col(f"_most_{c}"), True).over(earlier)), ("b", F.first(F.col(f"_least_{c}"), True).over(later)))]
+        df = df.join(F.broadcast(ends.select(F.col("_part").alias("_of"), *around)), F.col("_part") == F.col("_of")).drop("_of")
+    w = Window.partitionBy(*(by or ["_part"])).orderBy(order)
     past, coming = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    made, x = {}, F.col(order).cast("double")
+    made = {}
     for c in columns:
         v = F.col(c).cast("double")
         at = F.when(v.isNotNull(), x)
         a, b = F.last(v, True).over(past), F.first(v, True).over(coming)
         xa, xb = F.last(at, True).over(past), F.first(at, True).over(coming)
+        if not by:
+            a, b = F.coalesce(a, F.col(f"_a_{c}.v")), F.coalesce(b, F.col(f"_b_{c}.v"))
+            xa, xb = F.coalesce(xa, F.col(f"_a_{c}.x")), F.coalesce(xb, F.col(f"_b_{c}.x"))
         made[c] = F.coalesce(v, a + (b - a) * F.try_divide(x - xa, xb - xa))
-    return df.withColumns(made)
+    out = df.withColumns(made)
+    return out if by else out.drop("_part", *[f"_{n}_{c}" for c in columns for n in "ab"])
 
 
 def document_struct(df: DataFrame, fields: Mapping[str, tuple[str, object]], out: str = "document") -> DataFrame:

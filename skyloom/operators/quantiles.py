@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Values of a group whose quantiles one aggregate takes; of more, only those near to a wanted rank are ordered.
-DIRECT = 500_000
+DIRECT = 1_000_000
 #: Half-width, as a share of a group's values, of the stretch about a rank that is ordered, and the accuracy of its ends.
 NEAR, ACCURACY = 2e-4, 20_000
 
@@ -20,6 +20,14 @@ def quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float], by: Se
     each rank; what is below the bracket is counted, and only the distinct values within it are ordered.
     """
     wanted = F.array(*map(F.lit, qs))
+    if not by:  # one scan tells which columns go which way
+        counts = df.agg(*[F.count(F.col(c).cast("double")) for c in columns]).first() if columns else ()
+        large = [c for c, n in zip(columns, counts) if n > DIRECT]
+        out = df.agg(F.lit(True).alias("_"), *[F.percentile(F.col(c).cast("double"), wanted).alias(f"q__{c}") for c in columns if c not in large])
+        for c in large:
+            values = df.select(F.col(c).cast("double").alias("v")).filter("v is not null")
+            out = out.join(_selected(values, qs, by).withColumnRenamed("q", f"q__{c}"))
+        return out.select(*[f"q__{c}" for c in columns])
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     if (sizes.agg(F.max("_n")).first()[0] or 0) <= DIRECT:
         return df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), wanted).alias(f"q__{c}") for c in columns])
@@ -27,19 +35,13 @@ def quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float], by: Se
     for c in columns:
         values = df.select(*by, F.col(c).cast("double").alias("v")).filter("v is not null")
         found = _of_all_sizes(values, qs, wanted, by).withColumnRenamed("q", f"q__{c}")
-        if by:
-            held = found.withColumnsRenamed({b: f"_{b}" for b in by})
-            same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
-            out = out.join(held, same, "left").drop(*[f"_{b}" for b in by])
-        else:
-            out = out.join(found)
+        held = found.withColumnsRenamed({b: f"_{b}" for b in by})
+        same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
+        out = out.join(held, same, "left").drop(*[f"_{b}" for b in by])
     return out
 
 
 def _of_all_sizes(values: DataFrame, qs: Sequence[float], wanted: Column, by: Sequence[str]) -> DataFrame:
-    if not by:
-        n = values.count()
-        return _selected(values, qs, by) if n > DIRECT else values.agg(F.percentile("v", wanted).alias("q"))
     sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > DIRECT).select(*[F.col(b).alias(f"_{b}") for b in by])
     same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.coords import C_KM_S
 from skyloom.operators.quantiles import quantiles
+from skyloom.staging import running_sum
 
 
 def _stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -198,9 +199,9 @@ def normalize_coordinates(nodes: DataFrame, axes: Sequence[str] = ("x", "y", "z"
 
 
 def encode_labels(df: DataFrame, column: str, out: str) -> DataFrame:
-    """0, 1, ... in the ascending order of the distinct values; they are few, and joined back."""
-    order = Window.orderBy(column)
-    codes = df.select(column).filter(F.col(column).isNotNull()).distinct().withColumn(out, (F.row_number().over(order) - 1).cast("long"))
+    """0, 1, ... in the ascending order of the distinct values, null of null. Ranges of values are counted on from each other."""
+    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    codes = running_sum(values, [column], F.lit(1), out).withColumn(out, F.col(out).cast("long"))
     return df.join(codes, column, "left")
 
 

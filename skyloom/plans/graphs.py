@@ -436,7 +436,7 @@ def _(spark, d):
 @query("m11_kmeans")
 def _(spark, d):
     df, names = table(spark, d)
-    return M.cluster_statistics(M.kmeans(df, names, 3, runs=2), "cluster", names[:2])
+    return M.cluster_statistics(M.kmeans(df, names, 3), "cluster", names[:2])
 
 
 @query(

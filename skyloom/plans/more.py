@@ -20,6 +20,7 @@ from skyloom.operators import sampling as S
 from skyloom.operators import scaling as X
 from skyloom.operators import topology as T
 from skyloom.plans.experiment import plan_grid, run_grid
+from skyloom.plans.graphs import QUERIES as LEARNING
 from skyloom.plans.graphs import GRID, KNN, NX, NY, STEP, TRI, graph
 from skyloom.plans.graphs import table as learning_table
 from skyloom.plans.tables import CATALOG, catalog, table
@@ -207,6 +208,16 @@ def _(spark, d):
     return N.knn(p, 3, axes).select("src", "dst", F.round("d", 5).alias("d"))
 
 
+_ON_TWO = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.02"
+
+
+@query("m12_dbscan_six", LEARNING["m12_dbscan"][1].replace("embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y", "embedding[1:6]::DOUBLE[] AS v").replace(_ON_TWO, "list_distance(a.v, b.v) <= 0.25"))
+def _(spark, d):
+    """On six features, where a grid has too many cells."""
+    df, names = learning_table(spark, d)
+    return M.dbscan(df, names, "id", 0.25, 5).select("id", F.col("cluster").cast("int").alias("cluster"))
+
+
 @query("m13_metrics_given", """WITH p AS (SELECT vec_id AS id, label AS c, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS v FROM embeddings),
     m AS (SELECT a.id, a.c, b.c AS c2, sum(list_distance(a.v, b.v)) AS s, count(*) AS k FROM p a JOIN p b ON a.id <> b.id GROUP BY ALL),
     w AS (SELECT id, max(CASE WHEN c = c2 THEN s / k END) AS a, min(CASE WHEN c <> c2 THEN s / k END) AS b FROM m GROUP BY 1)
@@ -371,7 +382,7 @@ def _(spark, d):
 @query("m05_cross_validation")
 def _(spark, d):
     data, names = _prepared(spark, d)
-    return M.cross_validate(data, names, M.logistic(data.count()), "id", lambda p: M.classification_metrics(p).select("f1"), 3)
+    return M.cross_validate(data, names, M.logistic(data.count()), "id", lambda p: M.classification_metrics(p).select("f1"))
 
 
 @query("m16_named_models")

@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyloom.operators import columns as C
 from skyloom.operators import graphs as G
 from skyloom.operators import learning as M
 from skyloom.operators import relational as R
 from skyloom.operators import sampling as S
+from skyloom.operators import scaling as X
 from skyloom.sources.store import Conflict, Store
 
 
@@ -125,6 +127,26 @@ def test_samples_by_group_go_by_bins(spark):
             assert sorted((r["o"], r["id"]) for r in got if r["g"] == g) == want
 
 
+def test_gaps_are_filled_across_ranges(spark):
+    rng = np.random.default_rng(2)
+    known = rng.random(3000) < 0.02
+    y = rng.normal(size=3000)
+    rows = [(int(i), float(y[i]) if known[i] else None, float(i) if i in (700, 2100) else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "t long, x double, z double").repartition(7)
+    got = {r["t"]: (r["x"], r["z"]) for r in C.fill_missing(df, ["x", "z"], "interpolate", "t").collect()}
+    at = np.flatnonzero(known)
+    want = np.interp(np.arange(3000), at, y[at])
+    for t in range(3000):
+        assert got[t][0] == (None if t < at[0] or t > at[-1] else pytest.approx(want[t])) and got[t][1] == (pytest.approx(t) if 700 <= t <= 2100 else None)
+    assert C.fill_missing(df.limit(0), ["x"], "interpolate", "t").count() == 0
+
+
+def test_labels_are_numbered_in_order(spark):
+    df = spark.createDataFrame([(f"v{i % 300:03d}" if i % 7 else None,) for i in range(2000)], "c string")
+    for r in X.encode_labels(df, "c", "code").collect():
+        assert r["code"] == (None if r["c"] is None else int(r["c"][1:]))
+
+
 def test_relabel_counts_on_within_graphs(spark):
     nodes = spark.createDataFrame([(g, 7 * i + len(g)) for g in ("a", "bb", "c") for i in range(25)], "graph_id string, node_id long")
     edges = nodes.select("graph_id", F.col("node_id").alias("src"), (F.col("node_id") + 7).alias("dst"), F.lit(1.0).alias("weight"))
