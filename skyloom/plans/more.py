@@ -21,7 +21,7 @@ from skyloom.operators import scaling as X
 from skyloom.operators import topology as T
 from skyloom.plans.experiment import plan_grid, run_grid
 from skyloom.plans.graphs import QUERIES as LEARNING
-from skyloom.plans.graphs import GRID, KNN, NX, NY, STEP, TRI, graph
+from skyloom.plans.graphs import GRID, KNN, NX, NY, STEP, TRI, graph, points
 from skyloom.plans.graphs import table as learning_table
 from skyloom.plans.tables import CATALOG, catalog, table
 from skyloom.sources import readers, sinks
@@ -421,7 +421,7 @@ def _(spark, d):
 @query("m17_experiment_grid")
 def _(spark, d):
     """Nodes of graphs of low labels told from others, with and without their graphs' spectra."""
-    nodes = graph(spark, d)[0]
+    nodes = points(spark, d)
     extra = table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), (F.col("label") < 5).cast("double").alias("low"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in (3, 4)])
     config = {
         "features": {"include_spectral": True, "spectral_k": 8}, "cosmology": {"graph": {"k_neighbors": 6}},
