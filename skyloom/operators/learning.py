@@ -229,7 +229,7 @@ def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float = 0.5, m
 
 
 #: Points of a block whose distances to those of another are added up in a task.
-PAIR_BLOCK = 1024
+PAIR_BLOCK = 2048
 
 
 def _distance_sums(data: DataFrame) -> DataFrame:
@@ -238,22 +238,38 @@ def _distance_sums(data: DataFrame) -> DataFrame:
     parts = max(1, -(-n // PAIR_BLOCK))
     # rows without an order of their own: equal ids may fall into one block
     dealt = stored(data.withColumn("_b", F.pmod(F.xxhash64("id", "c", "v"), F.lit(parts)).cast("int")), "blocks")
-    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = dealt.select("id", "c", "v", F.col("_b").alias("i"), other.alias("j"))
-    right = dealt.select(F.col("id").alias("id"), F.col("c").alias("c"), F.col("v").alias("v"), F.col("_b").alias("j"), other.alias("i"))
+    # two blocks meet once, as the sums of both sides come from one matrix
+    upper = F.explode(F.sequence(F.col("_b"), F.lit(parts - 1)))
+    lower = F.explode(F.sequence(F.lit(0), F.col("_b")))
+    left = dealt.select("id", "c", "v", F.col("_b").alias("i"), upper.alias("j"))
+    right = dealt.select(F.col("id").alias("id"), F.col("c").alias("c"), F.col("v").alias("v"), F.col("_b").alias("j"), lower.alias("i"))
     kinds = dict(data.dtypes)
 
-    def sums(a, b):
+    def sums(key, a, b):
         import numpy as np
         import pandas as pd
 
         out = []
         if len(a) and len(b):
             x, y = (np.array(f["v"].tolist(), float).reshape(len(f), -1) for f in (a, b))
-            for c, rows in b.groupby("c").indices.items():
-                step = max(1, (1 << 22) // max(1, len(rows) * x.shape[1]))
-                s = np.concatenate([np.sqrt(((x[at : at + step, None, :] - y[None, rows, :]) ** 2).sum(-1)).sum(1) for at in range(0, len(x), step)])
-                out.append(pd.DataFrame({"id": a["id"], "c": a["c"], "c2": c, "s": s, "k": len(rows)}))
+            middle = y.mean(0)
+            x, y = x - middle, y - middle
+            names = [np.unique(f["c"], return_inverse=True) for f in (a, b)]
+            one, two = (np.eye(len(n))[at] for n, at in names)
+            # |x|^2 + |y|^2 - 2xy as one product
+            x2, y2 = (x * x).sum(1), (y * y).sum(1)
+            wide = np.vstack([-2 * y.T, np.ones(len(y)), y2])
+            to, back = np.zeros((len(x), two.shape[1])), np.zeros((len(y), one.shape[1]))
+            for at in range(0, len(x), 128):
+                d = np.hstack([x[at : at + 128], x2[at : at + 128, None], np.ones((len(x[at : at + 128]), 1))]) @ wide
+                i, j = np.nonzero(d <= 1e-6 * (x2[at : at + 128, None] + y2))  # few digits are left of these
+                d[i, j] = ((x[at + i] - y[j]) ** 2).sum(1)
+                np.sqrt(d, out=d)
+                to[at : at + 128] = d @ two
+                back += d.T @ one[at : at + 128]
+            for f, (own, _), s, k in ((a, names[1], to, two.sum(0)), (b, names[0], back, one.sum(0)))[: 1 if key[0] == key[1] else 2]:
+                for c in range(s.shape[1]):
+                    out.append(pd.DataFrame({"id": f["id"], "c": f["c"], "c2": own[c], "s": s[:, c], "k": int(k[c])}))
         return pd.concat(out) if out else pd.DataFrame(columns=["id", "c", "c2", "s", "k"])
 
     met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(sums, f"id {kinds['id']}, c {kinds['c']}, c2 {kinds['c']}, s double, k long")
