@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.operators.columns import fill_missing, finite_rows, numeric_columns
-from skyloom.operators.neighbors import radius_pairs
+from skyloom.operators.metric import radius_counts, radius_forest
 from skyloom.operators.sampling import exact_split, folds
 from skyloom.operators.scaling import scale
 from skyloom.staging import running_sum, stored
@@ -211,16 +211,18 @@ def kmeans(df: DataFrame, features: Sequence[str], k: int = 3, runs: int = 10, i
 
 def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """``df`` with ``cluster``: core points have ``min_samples`` points within ``eps``, themselves included; a border point
-    joins the smallest core cluster in reach; noise is -1. Clusters are numbered by their smallest key."""
+    joins the smallest core cluster in reach; noise is -1. Clusters are numbered by their smallest key. Blocks of points give
+    counts, then links of core points that join as all pairs would; pairs in dense places are no rows."""
     from skyloom.operators.graphs import connected_components
 
     points = df.select(F.lit("p").alias("graph_id"), F.col(key).alias("node_id"), *features)
-    near = stored(radius_pairs(points, features, eps), "near")
-    ends = near.select("src", "dst").union(near.select("dst", "src")).toDF("node_id", "other")
-    counts = points.select("node_id").join(ends.groupBy("node_id").count(), "node_id", "left").na.fill(0, ["count"])
-    core = counts.filter(F.col("count") + 1 >= min_samples).select("node_id")
-    core_pairs = near.join(core.withColumnRenamed("node_id", "src"), "src", "left_semi").join(core.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
-    labels = connected_components(core.select(F.lit("p").alias("graph_id"), "node_id"), core_pairs.select("graph_id", "src", "dst", F.lit(1.0).alias("weight"))).select("node_id", "component")
+    near = stored(radius_counts(points, features, eps, min_samples - 1).select(F.col("src").alias("node_id"), F.col("dst").alias("other"), "d"), "near")
+    counts = points.select("node_id").join(near.groupBy("node_id").agg(F.sum("d").alias("count")), "node_id", "left").na.fill(0, ["count"])
+    core = stored(counts.filter(F.col("count") + 1 >= min_samples).select("node_id"), "core")
+    links = stored(radius_forest(points.join(core, "node_id", "left_semi"), features, eps), "links")
+    labels = connected_components(core.select(F.lit("p").alias("graph_id"), "node_id"), links.select("graph_id", "src", "dst", F.lit(1.0).alias("weight"))).select("node_id", "component")
+    # a point that is no core has all its neighbours as rows
+    ends = near.filter("other is not null").select("node_id", "other")
     border = ends.join(core, "node_id", "left_anti").join(labels.withColumnRenamed("node_id", "other"), "other").groupBy("node_id").agg(F.min("component").alias("component"))
     every = labels.union(border)
     numbers = running_sum(labels.select("component").distinct(), ["component"], F.lit(1), "cluster").withColumn("cluster", F.col("cluster").cast("int"))
