@@ -104,7 +104,8 @@ def engineer_features(df: DataFrame, mags: Sequence[str] = (), source: str = "ca
     Colours of each pair of magnitudes in their order; redshift classes (right-open) and 20 equal bins, recession
     velocity; 36 by 18 cells of the table's range of the sky; distance and 20 equal shells of it; mean, sample std and count by ``source`` of
     redshift, ra, dec and magnitudes; ratio and product of redshift with the first two magnitudes; cells of ``grid``
-    parts an axis and how many points each holds. Bounds and group statistics are two aggregates, joined back.
+    parts an axis and how many points each holds. Bounds, statistics of the few sources and counts of cells are aggregates
+    that are sent to the rows, so no row is moved to the others of its source or cell.
     """
     have = set(df.columns)
     cols = {f"color_{a.split('_')[-1]}_{b.split('_')[-1]}": F.col(a) - F.col(b) for a, b in combinations(mags, 2)}
@@ -140,13 +141,14 @@ def engineer_features(df: DataFrame, mags: Sequence[str] = (), source: str = "ca
     if "X" in bounded:
         if "redshift" in have:
             out = out.withColumn("angular_diameter_distance_mpc", F.col("distance_3d"))
-        out = attach_cell_counts(out, "grid_cell_id", "local_density_grid_approx")
+        cells = out.groupBy("grid_cell_id").agg(F.count(F.lit(1)).alias("local_density_grid_approx"))
+        out = out.join(F.broadcast(cells), "grid_cell_id", "left")
     if source in have:
         wanted = [c for c in ("redshift", "ra", "dec", *mags) if c in have]
         stats = df.groupBy(source).agg(*[
             f(c).alias(f"{c}_src_{n}") for c in wanted for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("count", F.count))
         ])
-        out = out.join(stats, source, "left")
+        out = out.join(F.broadcast(stats), source, "left")
     return out
 
 
