@@ -1,7 +1,9 @@
 """Plans of large tables: what must not gather the rows of a group, or sketch a column more often than once."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from skyloom.operators import quantiles as Q
 from skyloom.operators import scaling as X
 
 
@@ -22,3 +24,13 @@ def test_features_move_no_row_to_its_source_or_cell(spark, monkeypatch):
     assert len(rows) == 60
     for r in rows:
         assert r["ra_src_count"] == 30 and r["local_density_grid_approx"] == sum(q["grid_cell_id"] == r["grid_cell_id"] for q in rows)
+
+
+def test_a_column_is_sketched_once_for_all_its_quantiles(spark, monkeypatch):
+    calls, sketch = [], F.percentile_approx
+    monkeypatch.setattr(Q, "DIRECT", 10)
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: calls.append(a) or sketch(*a))
+    values = np.random.default_rng(2).normal(size=500).round(2)
+    df = spark.createDataFrame([(float(x),) for x in values], "x double")
+    row = Q.quantiles(df, ["x"], (0.0, 0.005, 0.5, 0.995, 1.0)).first()
+    assert np.allclose(row["q__x"], np.quantile(values, (0.0, 0.005, 0.5, 0.995, 1.0)), atol=1e-12) and len(calls) == 1
