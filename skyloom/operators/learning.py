@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -20,6 +22,9 @@ from skyloom.operators.sampling import exact_split, folds
 from skyloom.operators.scaling import scale
 from skyloom.staging import running_sum, stored
 
+#: Models that are fitted at a time.
+JOBS = 5
+
 
 def prepare(df: DataFrame, key: str, label: str | None = None, features: Sequence[str] = (), missing: str = "mean", scaled: bool = False) -> tuple[DataFrame, list[str]]:
     """key, label, numeric features without nulls (imputed by ``missing``, or rows dropped), standardized if asked."""
@@ -199,10 +204,16 @@ def pairwise_features(table: DataFrame, pairs: DataFrame, features: Sequence[str
     return both.join(distances, ["id_a", "id_b"]).select("id_a", "id_b", made.alias("vector"), (1 / (1 + F.col("d"))).alias("similarity"))
 
 
+def together(jobs: Sequence[Callable]) -> list:
+    """What each of ``jobs`` returns; Spark takes the tasks of several at a time, as those of one round are few and short."""
+    with ThreadPoolExecutor(max_workers=max(1, min(JOBS, len(jobs)))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
 def kmeans(df: DataFrame, features: Sequence[str], k: int = 3, runs: int = 10, iterations: int = 300, seed: int = 42) -> DataFrame:
     """``df`` with ``cluster``: the best of ``runs`` by cost, labels in the order of the centres."""
     data = stored(VectorAssembler(inputCols=list(features), outputCol="_v").transform(df), "points")
-    fits = [KMeans(featuresCol="_v", predictionCol="_c", k=k, maxIter=iterations, seed=seed + i).fit(data) for i in range(runs)]
+    fits = together([lambda i=i: KMeans(featuresCol="_v", predictionCol="_c", k=k, maxIter=iterations, seed=seed + i).fit(data) for i in range(runs)])
     best = min(fits, key=lambda m: m.summary.trainingCost)
     order = sorted(range(len(best.clusterCenters())), key=lambda i: tuple(best.clusterCenters()[i]))
     names = F.create_map(*[F.lit(x) for new, old in enumerate(order) for x in (old, new)])

@@ -1,8 +1,11 @@
 """Plans of large tables: what must not gather the rows of a group, or sketch a column more often than once."""
 
+import threading
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from skyloom.operators import learning as M
 from skyloom.operators import quantiles as Q
 from skyloom.operators import scaling as X
 
@@ -34,3 +37,10 @@ def test_a_column_is_sketched_once_for_all_its_quantiles(spark, monkeypatch):
     df = spark.createDataFrame([(float(x),) for x in values], "x double")
     row = Q.quantiles(df, ["x"], (0.0, 0.005, 0.5, 0.995, 1.0)).first()
     assert np.allclose(row["q__x"], np.quantile(values, (0.0, 0.005, 0.5, 0.995, 1.0)), atol=1e-12) and len(calls) == 1
+
+
+def test_runs_of_k_means_go_on_together(spark, monkeypatch):
+    met, fit = threading.Barrier(2, timeout=60), M.KMeans.fit
+    monkeypatch.setattr(M.KMeans, "fit", lambda self, data: met.wait() >= 0 and fit(self, data))  # no run begins alone
+    df = spark.createDataFrame([(float(x + 10 * c), c) for c in range(3) for x in (0.0, 0.1, 0.2)], "x double, c int")
+    assert all(r["cluster"] == r["c"] for r in M.kmeans(df, ["x"], 3, runs=2).collect())
