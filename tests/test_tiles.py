@@ -25,3 +25,13 @@ def test_tiles_of_a_sphere_equal_brute_force(spark, monkeypatch, tasks):
     df = spark.createDataFrame([("g", int(i) * 3, *map(float, v)) for i, v in enumerate(x)], "graph_id string, node_id long, " + ", ".join(f"{a} double" for a in axes))
     got = {(r["src"], r["rank"]): (r["dst"], round(r["d"], 9)) for r in metric.metric_knn(df, 3, axes, block=24).collect()}
     assert got == brute(x, np.arange(260) * 3, 3)
+
+
+def test_a_large_group_on_three_axes_goes_by_blocks(spark, monkeypatch):
+    """Dense in the middle, where the cells of a grid would hold too many; a small group beside it."""
+    seen, whole = [], N.metric_knn
+    monkeypatch.setattr(N, "metric_knn", lambda points, *a: (seen.append(points.count()), whole(points, *a))[1])
+    x = np.random.default_rng(6).normal(size=(150, 3)) ** 3
+    df = spark.createDataFrame([("g" if i < 130 else "h", i, *map(float, v)) for i, v in enumerate(x)], "graph_id string, node_id long, x double, y double, z double")
+    got = {(r["src"], r["rank"]): (r["dst"], round(r["d"], 9)) for r in N.knn(df, 4, small=100).collect()}
+    assert got == brute(x[:130], np.arange(130), 4) | brute(x[130:], np.arange(130, 150), 4) and seen == [130]
