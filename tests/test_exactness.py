@@ -160,3 +160,11 @@ def test_engineered_grid_features(spark):
     for r in X.engineer_features(df).collect():
         assert r["grid_cell_id"] == cell[r["id"]] and r["local_density_grid_approx"] == (cell == cell[r["id"]]).sum()
         assert r["distance_3d"] == pytest.approx(np.linalg.norm(p[r["id"]])) == r["angular_diameter_distance_mpc"]
+
+
+def test_cross_match_keeps_its_tasks(spark):
+    """Few bytes of many pairs: the plan does not join them all in one task."""
+    df = spark.range(400).select("id", (F.col("id") * 0.7).alias("ra"), (F.col("id") % 17 - 8.0).alias("dec"))
+    found = N.cross_match(df, df, 3.0)
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert found.filter("id_a = id_b").count() == 400
