@@ -44,3 +44,19 @@ def test_runs_of_k_means_go_on_together(spark, monkeypatch):
     monkeypatch.setattr(M.KMeans, "fit", lambda self, data: met.wait() >= 0 and fit(self, data))  # no run begins alone
     df = spark.createDataFrame([(float(x + 10 * c), c) for c in range(3) for x in (0.0, 0.1, 0.2)], "x double, c int")
     assert all(r["cluster"] == r["c"] for r in M.kmeans(df, ["x"], 3, runs=2).collect())
+
+
+def test_pairs_of_two_domains_build_no_array_and_shuffle_nothing(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(30, 3)), rng.normal(size=(40, 3)) + 1
+    a, b = (spark.createDataFrame([(i + at, *map(float, r)) for i, r in enumerate(m)], "id long, f0 double, f1 double, f2 double") for m, at in ((x, 0), (y, 100)))
+    a = a.withColumn("f1", F.when(F.col("id") != 3, F.col("f1")))  # imputed by the mean of both
+    out = M.cross_domain_distances(a, b, ["f0", "f1", "f2"], "id")
+    said = plan(out)
+    assert "lambda" not in said and "hashpartitioning" not in said and "rangepartitioning" not in said
+    x[3, 1] = np.r_[np.delete(x[:, 1], 3), y[:, 1]].mean()
+    both = np.r_[x, y]
+    x, y = ((m - both.mean(0)) / both.std(0) for m in (x, y))
+    got = {(r["id_a"], r["id_b"]): r["d"] for r in out.collect()}
+    assert len(got) == 1200
+    assert all(abs(got[i, j + 100] - np.sqrt(((x[i] - y[j]) ** 2).sum())) < 1e-9 for i in range(30) for j in range(40))
