@@ -183,9 +183,14 @@ def compare_models(models: Mapping[str, PipelineModel], test: DataFrame, metrics
 
 
 def train_and_evaluate(df: DataFrame, key: str, label: str, features: Sequence[str] = (), test: float = 0.2, seed: int = 42, kinds: Sequence[str] = ()) -> tuple[dict, DataFrame]:
-    """Models of a stratified split and their metrics on its test part; all see scaled features. ``kinds`` of ``classifiers``, or all."""
+    """Models of a stratified split and their metrics on its test part; all see scaled features. ``kinds`` of ``classifiers``, or all.
+
+    The split is computed once and dealt evenly by ``key``, a part a core: few bytes are much work here, and every task of a
+    forest sums up all nodes of a level, so more parts would be more to shuffle.
+    """
     data, names = prepare(df, key, label, features)
-    split = stored(exact_split(scale(data, names, "standardize"), label, key, test, seed).withColumn("label", F.col(label).cast("double")), "split")
+    split = exact_split(scale(data, names, "standardize"), label, key, test, seed).withColumn("label", F.col(label).cast("double"))
+    split = stored(split.repartition(df.sparkSession.sparkContext.defaultParallelism, key), "split")
     fit, held = split.filter(~F.col("is_test")), split.filter("is_test")
     models = train(fit, names, {k: e for k, e in classifiers(fit.count(), seed).items() if k in (kinds or k)})
     return models, compare_models(models, held)

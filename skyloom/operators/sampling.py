@@ -145,12 +145,12 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, see
 def exact_split(df: DataFrame, label: str | None, key: str, test: float = 0.2, seed: int = 42, order: Order = hash_order) -> DataFrame:
     """``is_test`` with exactly ``round(count * test)`` rows of each class, those first by a hash of ``key``.
 
-    As in ``sample_n`` only the rows of the bin in which a class's part ends are ordered, so a class of most of the rows
-    is no single task's. A null label is a class.
+    As in ``sample_n`` only the rows of the bin in which a class's part ends are ordered, and where it ends is sent to the
+    rows, so a class of most of the rows is no single task's. A null label is a class.
     """
     by = [label] if label else []
     binned = _binned(df, key, seed, order)
-    near = _with_ends(binned, _ends(binned, by, F.round(F.col("_total") * test)), by)
+    near = _with_ends(binned, F.broadcast(_ends(binned, by, F.round(F.col("_total") * test))), by)
     clear = near.filter("_bin <> coalesce(_end, _bin - 1)").withColumn("is_test", F.coalesce(F.col("_bin") < F.col("_end"), F.lit(False)))
     rank = F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("_o", key))
     last = near.filter("_bin = _end").withColumn("is_test", rank <= F.col("_left"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.operators import learning as M
 from skyloom.operators import quantiles as Q
+from skyloom.operators import sampling as S
 from skyloom.operators import scaling as X
 
 
@@ -60,3 +61,19 @@ def test_pairs_of_two_domains_build_no_array_and_shuffle_nothing(spark):
     got = {(r["id_a"], r["id_b"]): r["d"] for r in out.collect()}
     assert len(got) == 1200
     assert all(abs(got[i, j + 100] - np.sqrt(((x[i] - y[j]) ** 2).sum())) < 1e-9 for i in range(30) for j in range(40))
+
+
+def test_models_of_a_split_are_fitted_by_all_cores(spark, monkeypatch):
+    met, train = [], M.train
+    monkeypatch.setattr(M, "train", lambda df, *a: met.append(df) or train(df, *a))
+    df = spark.range(4000).coalesce(1).select("id", (F.col("id") % 10 == 0).cast("double").alias("label"), *[F.rand(i).alias(f"f{i}") for i in (1, 2)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan(S.exact_split(df, "label", "id"))
+        _, scores = M.train_and_evaluate(df, "id", "label", ["f1", "f2"], kinds=["logistic_regression"])
+        sizes = [r["count"] for r in met[0].groupBy(F.spark_partition_id()).count().collect()]
+        assert scores.count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(sizes) == 3200 and len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 1.5 * 3200 / len(sizes)
