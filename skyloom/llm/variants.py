@@ -97,6 +97,12 @@ def _keys(words: DataFrame) -> DataFrame:
     return rows.select(key.alias("key"), "longer", F.col("g.pos").alias("pos"), "word", "n")
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never sent to all tasks: Spark takes keys for as large as the words they come from,
+    and tables for as large as their packed files, and either may be far more than the driver holds."""
+    return df.hint("merge")
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """All pairs of distinct words one inserted, deleted or replaced code point apart: ``(a, a_n, b, b_n)``, each once.
 
@@ -110,7 +116,7 @@ def near_words(words: DataFrame) -> DataFrame:
     once = F.col("b_longer") | (F.col("a_word") < F.col("b_word"))
     close = F.abs(F.col("a_pos") - F.col("b_pos")) <= 1
     near = F.levenshtein("a_word", "b_word", 1) == 1
-    met = a.join(b, (a["key"] == b["key"]) & once & close & near)
+    met = a.join(_merged(b), (a["key"] == b["key"]) & once & close & near)
     return met.select(F.col("a_word").alias("a"), "a_n", F.col("b_word").alias("b"), "b_n").distinct()
 
 
@@ -119,7 +125,7 @@ def _roots(links: DataFrame) -> DataFrame:
     roots = shared_table(links.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = roots.select(F.col("word").alias("_at"), F.col("root").alias("_next"))
-        followed = roots.join(on, F.col("root") == F.col("_at"), "left")
+        followed = roots.join(_merged(on), F.col("root") == F.col("_at"), "left")
         if not followed.filter("_next is not null").take(1):
             return roots
         further = shared_table(followed.select("word", F.coalesce("_next", "root").alias("root")), "roots")
@@ -151,7 +157,7 @@ def spelling_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     ), "near")
     roots = _roots(found.filter("form is not null"))
     return (
-        held.join(found, "word", "left").join(roots, "word", "left")
+        held.join(_merged(found), "word", "left").join(_merged(roots), "word", "left")
         .select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form", "form_n", F.coalesce("root", "word").alias("root"))
     )
 

@@ -414,3 +414,12 @@ def test_checksummed_kinds_agree_with_sql(spark, tmp_path):
     names, cols = [c[0] for c in cur.description], sorted(got.columns)
     want = sorted(repr([r[names.index(c)] for c in cols]) for r in cur.fetchall())
     assert rows_of(got) == want and sum("code_host" in w or "packages" in w for w in want) == 4
+
+
+def test_no_side_of_a_join_of_variants_is_sent_to_all_tasks(spark):
+    words = spark.createDataFrame([("separate", 50), ("seperate", 2), ("seprate", 1)], "word string, n long")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    made = variants.spelling_variants(words)
+    for df in (variants.near_words(words), made):
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+    assert {r["word"]: r["root"] for r in made.collect()} == {"separate": "separate", "seperate": "separate", "seprate": "separate"}
