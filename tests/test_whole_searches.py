@@ -1,5 +1,6 @@
 """Path features and distances of all nodes: no sample of the sources, however large a graph is."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,3 +33,38 @@ def test_joins_search_from_all_nodes_some_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(sparse, "HELD", 20)
     got = {r["value"]: r["n"] for r in P.hop_lengths(*tables(spark, star("s", 30))).collect()}
     assert got == {1.0: 58, 2.0: 29 * 28} and len(seen) == 3 and sum(seen) == 30
+
+
+def line(g, n, weights):
+    return [(g, i) for i in range(n)], [(g, i, i + 1, float(w)) for i, w in enumerate(weights[: n - 1])]
+
+
+@pytest.mark.parametrize("hub", [64, 2])
+def test_lengths_of_sources_near_each_other_equal_the_matrix(hub, monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(sparse, "HUB", hub)
+    monkeypatch.setattr(sparse, "WIDE", 12)
+    n, m = 300, 520
+    src, dst, w = rng.integers(0, 250, m), rng.integers(0, 250, m), rng.integers(0, 9, m) / 7.0
+    src[:20], dst[:20] = 250, np.arange(251, 271)  # a star of its own; nodes from 271 on have no edge
+    src[20:100] = 3
+    want = P.length_matrix(n, src, dst, w, np.arange(n))
+    got, seen = np.full((n, n), np.inf), np.zeros(n, int)
+    for part in range(3):
+        for some, nodes, far in sparse.near_lengths(n, sparse.neighbours(n, src, dst, w), np.arange(n), part, 3):
+            got[np.ix_(some, nodes)] = far.T
+            seen[some] += 1
+    assert (seen == 1).all() and np.array_equal(got, want)
+
+
+@pytest.mark.parametrize("by", ["task", "parts", "joins"])
+def test_weighted_means_are_of_all_nodes(spark, by, monkeypatch):
+    n, weights = (24 if by == "joins" else 300), np.random.default_rng(3).integers(1, 9, 300)
+    at = np.concatenate([[0], np.cumsum(weights[: n - 1])])
+    monkeypatch.setattr(frontier, "SOURCES", 12)
+    if by != "task":
+        monkeypatch.setattr(P, "WHOLE", 20)
+    if by == "joins":
+        monkeypatch.setattr(sparse, "HELD", 20)
+    got = P.weighted_path_mean(*tables(spark, line("a", n, weights))).collect()
+    assert got[0]["weighted_path_mean"] == pytest.approx(np.abs(at[:, None] - at).sum() / (n * (n - 1)), rel=1e-12)
