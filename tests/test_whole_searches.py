@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skyloom.operators import distances as D
 from skyloom.operators import frontier, sparse
 from skyloom.operators import paths as P
+from skyloom.plans import graphs as plans
 
 
 def tables(spark, *graphs):
@@ -68,3 +69,13 @@ def test_weighted_means_are_of_all_nodes(spark, by, monkeypatch):
         monkeypatch.setattr(sparse, "HELD", 20)
     got = P.weighted_path_mean(*tables(spark, line("a", n, weights))).collect()
     assert got[0]["weighted_path_mean"] == pytest.approx(np.abs(at[:, None] - at).sum() / (n * (n - 1)), rel=1e-12)
+
+
+def test_feature_table_takes_lengths_from_all_nodes(spark, tmp_path):
+    """A graph of 250 vectors; 200 of its nodes were sources once."""
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.random.default_rng(5).normal(size=(250, 3)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = plans.QUERIES["e04_feature_table"][0](spark, str(tmp_path)).collect()
+    e = plans.graph(spark, str(tmp_path))[1].toPandas()
+    far = P.length_matrix(250, e["src"].to_numpy(), e["dst"].to_numpy(), e["weight"].to_numpy(), np.arange(250))
+    assert len(got) == 1 and got[0]["weighted_path_mean"] == pytest.approx(far[np.isfinite(far) & (far > 0)].mean(), rel=1e-12)
