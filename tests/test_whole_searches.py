@@ -79,3 +79,11 @@ def test_feature_table_takes_lengths_from_all_nodes(spark, tmp_path):
     e = plans.graph(spark, str(tmp_path))[1].toPandas()
     far = P.length_matrix(250, e["src"].to_numpy(), e["dst"].to_numpy(), e["weight"].to_numpy(), np.arange(250))
     assert len(got) == 1 and got[0]["weighted_path_mean"] == pytest.approx(far[np.isfinite(far) & (far > 0)].mean(), rel=1e-12)
+
+
+def test_combined_distance_is_of_all_nodes(spark):
+    """Two stars: degrees are 1 but for the middle, no triangles, and 2 / n of the pairs are one hop apart."""
+    two = tables(spark, star("a", 1100), star("b", 30))
+    d = D.combined_distance(*two, D.all_pairs(two[0].select(F.col("graph_id").alias("id")))).collect()
+    degree = 28 * (1 / 30 - 1 / 1100) + 1070 / 1100
+    assert d[0]["d"] == pytest.approx((degree + 2 / 30 - 2 / 1100) / 3, rel=1e-9)
