@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from skyloom.operators import distances as D
 from skyloom.operators import krylov, sparse
 from skyloom.operators import spectral as S
 
@@ -40,3 +42,9 @@ def test_an_eigenvalue_of_many_components_comes_as_often_as_it_should(spark, few
 def test_what_does_not_settle_is_an_error(spark, few_vectors):
     with pytest.raises(ArithmeticError):
         S.spectral_features(S.spectrum(*tables(spark, [("ring", 60, RING)]), 30)).collect()
+
+
+def test_no_distance_comes_of_what_has_not_settled(spark, few_vectors):
+    nodes, edges = tables(spark, [("few", 3, [(0, 1, 1.0)]), ("ring", 60, RING)])
+    with pytest.raises(ArithmeticError):
+        D.spectral_distance(S.spectrum(nodes, edges, 16), D.all_pairs(nodes.select(F.col("graph_id").alias("id"))), 16).collect()
