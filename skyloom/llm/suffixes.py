@@ -174,8 +174,8 @@ def equal_strings(groups, segments: list[bytes], span: int, owners):
 
     Deep-shallow sorting of the suffixes within each group: multikey quicksort by characters of 8 bytes to ``SHALLOW``
     bytes, then a blind trie for every stretch that is equal so far. A trie of two leaves is one comparison, and those
-    comparisons are made for all such pairs at once. Stretches of a single owner are left out. ``groups`` are ascending
-    numbers, ``owners`` comparable numbers, ``span`` is ``SHALLOW`` + 8 or more.
+    comparisons are made for all such pairs at once; strings that a mix of their bytes tells from all others of a stretch
+    need no leaf. Stretches of a single owner are left out. ``groups`` are ascending numbers, ``owners`` comparable numbers, ``span`` is ``SHALLOW`` + 8 or more.
     """
     import numpy as np
 
@@ -217,15 +217,26 @@ def equal_strings(groups, segments: list[bytes], span: int, owners):
         if same.any():
             both = np.stack([a[same], b[same]], axis=1).ravel()
             settle(both, np.arange(0, len(both), 2))
-        for s, n in zip(starts[size > 2].tolist(), size[size > 2].tolist()):
-            trie, members = BlindTrie(), rows[s : s + n].tolist()
-            for i in members:
-                p = int(at[i])
+        # of longer stretches, what differs from all others in a mix of the bytes that are left is equal to none
+        many = size > 2
+        deep, stretch = rows[np.repeat(many, size)], np.repeat(np.arange(many.sum()), size[many])
+        mix = np.zeros(len(deep), np.uint64)
+        for o in range(SHALLOW, span, 8):
+            mix = (mix ^ mix >> np.uint64(29) ^ words[at[deep] + min(o, span - 8)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        order = np.lexsort((mix, stretch))
+        first, each = _heads(stretch[order], mix[order])
+        order = np.sort(order[np.diff(np.append(first, len(order)))[each] > 1])
+        deep, stretch = deep[order], stretch[order]
+        first, _ = _heads(stretch)
+        equal = []
+        for members in np.split(deep, first[1:]) if len(first) else []:
+            trie = BlindTrie()
+            for i, p in zip(members.tolist(), at[members].tolist()):
                 trie.add(int.from_bytes(text[p + SHALLOW : p + span], "big"), i)
-            equal = [g for g in trie.groups() if len(g) > 1]
-            if equal:
-                ends = np.cumsum([len(g) for g in equal])
-                settle(np.concatenate(equal), np.concatenate([[0], ends[:-1]]))
+            equal += [g for g in trie.groups() if len(g) > 1]
+        if equal:
+            ends = np.cumsum([len(g) for g in equal])
+            settle(np.concatenate(equal), np.concatenate([[0], ends[:-1]]))
     return masks
 
 
