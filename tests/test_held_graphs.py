@@ -96,3 +96,16 @@ def test_negative_weights_are_refused():
     links = sparse.neighbours(2, np.array([0]), np.array([1]), np.array([-1.0]))
     with pytest.raises(ValueError):
         sparse.lengths(2, links, [0])
+
+
+def test_edges_of_a_graph_go_once_to_a_task_that_gives_rows_of_lengths_in_turn(graph, monkeypatch):
+    """No group of rows is made as a whole, as those of a cogroup are."""
+    nodes, edges = graph
+    monkeypatch.setattr(P, "ROWS", 5)
+    monkeypatch.setattr(P, "DEALT", 40)
+    made = P.distance_rows(nodes, edges)
+    held = {r["graph_id"]: r["count"] for r in nodes.groupBy("graph_id").count().collect()}
+    assert made.rdd.getNumPartitions() == sum(-(-n // 40) for n in held.values())
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan and "MapInArrow" in plan
+    assert made.count() == nodes.count()
